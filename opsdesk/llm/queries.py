@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, toxicity
+from . import langid, tokencount, toxicity
 from .common import crc_mod, read
 
 
@@ -25,5 +25,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(documents, model).select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op5_language_id": op5_language_id}
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencount.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op5_language_id": op5_language_id, "op6_token_counts": op6_token_counts}
 ORACLE_SQL: dict[str, str] = {}
