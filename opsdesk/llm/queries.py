@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, tokencount, toxicity
+from . import langid, neardup, tokencount, toxicity
 from .common import crc_mod, read
 
 
@@ -31,5 +31,9 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op5_language_id": op5_language_id, "op6_token_counts": op6_token_counts}
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op5_language_id": op5_language_id, "op6_token_counts": op6_token_counts, "op7_near_dedup": op7_near_dedup}
 ORACLE_SQL: dict[str, str] = {}

@@ -19,13 +19,16 @@ import json
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_KEEP = 300_000
+_KEEP = 500_000
+#: Stands between pieces; no token holds it.
+_GAP = chr(256)
 _SPACE = regex.compile(r"\s")
 
 
@@ -49,11 +52,15 @@ class PrefixCounter:
         self.tokens: dict[bytes, int] = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items()}
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.rank = {tuple(bytes(byte[c] for c in x) for x in m): k for k, m in enumerate(merges)}
-        self.longest = max(map(len, self.tokens))
+        self.names = {i: t for t, i in self.tokens.items()}
+        self.ending = ahocorasick.Automaton()
+        for t, i in self.tokens.items():
+            self.ending.add_word(t.decode("latin-1"), (len(t), i))
+        self.ending.make_automaton()
         special = [t["content"] for t in spec.get("added_tokens", []) if t.get("special")]
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.split = regex.compile(self.PATTERN).findall
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.kept: dict[str, np.ndarray] = {}
         self.whole: dict[str, int] = {}
 
@@ -67,36 +74,44 @@ class PrefixCounter:
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return parts
 
-    def _follows(self, a: bytes, b: bytes) -> bool:
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) > 4 * _KEEP:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self._merge(a + b) == [a, b]
+    def _follows(self, a: int, b: int) -> bool:
+        if len(self.pairs) > 4 * _KEEP:
+            self.pairs.clear()
+        x, y = self.names[a], self.names[b]
+        known = self.pairs[a << 20 | b] = self._merge(x + y) == [x, y]
         return known
 
-    def piece(self, data: bytes) -> list[int]:
-        """counts[k]: tokens of the first k bytes of a piece."""
-        counts, last, tokens, longest, pairs = [0], [b""], self.tokens, self.longest, self.pairs
-        for end in range(1, len(data) + 1):
-            for start in range(max(0, end - longest), end):
-                token = data[start:end]
-                if token in tokens and (not start or (pairs.get((last[start], token)) if (last[start], token) in pairs else self._follows(last[start], token))):
-                    counts.append(counts[start] + 1)
-                    last.append(token)
-                    break
-            else:
-                raise ValueError(f"no token ends at byte {end}")
-        return counts
+    def pieces(self, pieces: list[str]) -> list[list[int]]:
+        """For each piece, counts[k]: tokens of its first k bytes. One pass over all tokens that end at each byte."""
+        data = [p.encode("utf-8", "surrogatepass").decode("latin-1") for p in pieces]
+        text = _GAP.join(data)
+        counts, last, pairs = [0] * (len(text) + 1), [-1] * (len(text) + 1), self.pairs
+        for end, (size, token) in self.ending.iter(text):
+            end += 1
+            if last[end] < 0:  # exactly one of the tokens that end here fits
+                before = last[end - size]
+                if before >= 0:
+                    fits = pairs.get(before << 20 | token)
+                    if not (self._follows(before, token) if fits is None else fits):
+                        continue
+                last[end], counts[end] = token, counts[end - size] + 1
+        out, at = [], 0
+        for d in data:
+            out.append(counts[at : at + len(d) + 1])
+            at += len(d) + 1
+        return out
+
+    def learn(self, pieces: set[str]) -> None:
+        if len(self.whole) > _KEEP:
+            self.whole.clear()
+        order = list(pieces)
+        self.whole.update((p, c[-1]) for p, c in zip(order, self.pieces(order), strict=True))
 
     def total(self, piece: str) -> int:
         """Tokens of a whole piece; its prefixes are worked out on the way."""
-        n = self.whole.get(piece)
-        if n is None:
-            if len(self.whole) > _KEEP:
-                self.whole.clear()
-            n = self.whole[piece] = self.piece(piece.encode("utf-8", "surrogatepass"))[-1]
-        return n
+        if piece not in self.whole:
+            self.learn({piece})
+        return self.whole[piece]
 
     def _chars(self, piece: str) -> np.ndarray:
         """Tokens of the first 1, 2, ... characters of a piece."""
@@ -104,7 +119,7 @@ class PrefixCounter:
         if counts is None:
             if len(self.kept) > _KEEP:
                 self.kept.clear()
-            by_byte, ends = self.piece(piece.encode("utf-8", "surrogatepass")), np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in piece])
+            by_byte, ends = self.pieces([piece])[0], np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in piece])
             counts = self.kept[piece] = np.array(by_byte)[ends]
         return counts
 
@@ -123,8 +138,9 @@ class PrefixCounter:
         pieces = self.split(text)
         counts = list(map(self.whole.get, pieces))
         if None in counts:
-            total = self.total
-            counts = [total(p) if n is None else n for p, n in zip(pieces, counts, strict=True)]
+            known = dict(zip(pieces, counts, strict=True))
+            self.learn({p for p, n in known.items() if n is None})
+            counts = [self.total(p) if n is None else n for p, n in zip(pieces, counts, strict=True)]
         return sum(counts)
 
     def _plain(self, text: str) -> np.ndarray:
