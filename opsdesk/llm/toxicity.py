@@ -100,7 +100,7 @@ def _logistic(rows: np.ndarray, features: np.ndarray, y: np.ndarray, scale: np.n
     return w[:d], float(w[d])
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, learn: Column | None = None, max_fit_rows: int = 20_000, n_features: int = 8_192, smooth: float = 1.0, l2: float = 1e-4) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, *, learn: Column | None = None, max_fit_rows: int = 12_000, n_features: int = 4_096, smooth: float = 1.0, l2: float = 1e-4) -> Model:
     """learn: which labelled rows may be learned from (a condition on doc_id)."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known if learn is None else known.where(learn)
