@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, neardup, tokencount, toxicity, vafile
+from . import decontam, langid, linededup, mixing, neardup, tokencount, toxicity, vafile
 from .common import crc_mod, read
 
 
@@ -47,7 +47,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), max_repeats=2.0)
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_vector_search": op2_vector_search, "op3_decontamination": op3_decontamination, "op5_language_id": op5_language_id, "op6_token_counts": op6_token_counts, "op7_near_dedup": op7_near_dedup, "op9_mixing": op9_mixing}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_classes(read(spark, sf_dir, "documents"), max_edits=1, min_chars=20)
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_vector_search": op2_vector_search, "op3_decontamination": op3_decontamination, "op5_language_id": op5_language_id, "op6_token_counts": op6_token_counts, "op7_near_dedup": op7_near_dedup, "op9_mixing": op9_mixing, "op10_line_dedup": op10_line_dedup}
 ORACLE_SQL = {
     "op2_vector_search": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
