@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, mixing, neardup, tokencount, toxicity, vafile
+from . import decontam, langid, linededup, mixing, neardup, quotes, tokencount, toxicity, vafile
 from .common import crc_mod, read
 
 
@@ -27,6 +27,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), min_match=5, coverage=0.5)
 
 
+def op4_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(read(spark, sf_dir, "conversations"), scope="conv_id", turn="turn", min_chars=12)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     model = langid.fit(documents, learn=crc_mod(F.col("doc_id"), 4) != 2)
@@ -51,7 +55,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_classes(read(spark, sf_dir, "documents"), max_edits=1, min_chars=20)
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_vector_search": op2_vector_search, "op3_decontamination": op3_decontamination, "op5_language_id": op5_language_id, "op6_token_counts": op6_token_counts, "op7_near_dedup": op7_near_dedup, "op9_mixing": op9_mixing, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_vector_search": op2_vector_search, "op3_decontamination": op3_decontamination, "op4_quotation_linking": op4_quotation_linking, "op5_language_id": op5_language_id, "op6_token_counts": op6_token_counts, "op7_near_dedup": op7_near_dedup, "op9_mixing": op9_mixing, "op10_line_dedup": op10_line_dedup}
 ORACLE_SQL = {
     "op2_vector_search": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
