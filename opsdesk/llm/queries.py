@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, mixing, neardup, quotes, tokencount, toxicity, vafile
+from . import decontam, langid, linededup, mixing, neardup, quotes, secrets, tokencount, toxicity, vafile
 from .common import crc_mod, read
 
 
@@ -47,6 +47,11 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets.fit(secrets.labelled_findings(spark))
+    return secrets.scan(read(spark, sf_dir, "documents"), model, path="source", min_chars=16, threshold=0.5)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), max_repeats=2.0)
 
@@ -55,7 +60,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_classes(read(spark, sf_dir, "documents"), max_edits=1, min_chars=20)
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_vector_search": op2_vector_search, "op3_decontamination": op3_decontamination, "op4_quotation_linking": op4_quotation_linking, "op5_language_id": op5_language_id, "op6_token_counts": op6_token_counts, "op7_near_dedup": op7_near_dedup, "op9_mixing": op9_mixing, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_vector_search": op2_vector_search, "op3_decontamination": op3_decontamination, "op4_quotation_linking": op4_quotation_linking, "op5_language_id": op5_language_id, "op6_token_counts": op6_token_counts, "op7_near_dedup": op7_near_dedup, "op8_secret_scan": op8_secret_scan, "op9_mixing": op9_mixing, "op10_line_dedup": op10_line_dedup}
 ORACLE_SQL = {
     "op2_vector_search": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,6 +129,14 @@ def fit(documents: DataFrame, labels: DataFrame, *, learn: Column | None = None,
     return Model(buckets, w * ratio, b)
 
 
+def _scores(texts: pd.Series | list, model: Model, lut: np.ndarray, distinct: Distinct) -> np.ndarray:
+    out = np.empty(len(texts))
+    for i, text in enumerate(texts):
+        f = lut[hashed(normal(text), SIZES, BITS)]
+        out[i] = model.intercept + model.weights[distinct(f[f >= 0])].sum()
+    return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
+
+
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, score for each row of documents."""
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -135,10 +144,17 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lut, distinct = _lookup(model.buckets), Distinct(len(model.buckets) + 1)
         for pdf in frames:
-            out = np.empty(len(pdf))
-            for i, text in enumerate(pdf.text):
-                f = lut[hashed(normal(text), SIZES, BITS)]
-                out[i] = model.intercept + model.weights[distinct(f[f >= 0])].sum()
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "score": 1 / (1 + np.exp(-np.clip(out, -40, 40)))})
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "score": _scores(pdf.text, model, lut, distinct)})
 
     return documents.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, score double")
+
+
+def reject(documents: DataFrame, model: Model, *, threshold: float = 0.5) -> DataFrame:
+    """The documents, with all their columns, that score below the threshold: one map, no join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lut, distinct = _lookup(model.buckets), Distinct(len(model.buckets) + 1)
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column("text").to_pylist(), model, lut, distinct) < threshold))
+
+    return documents.mapInArrow(run, documents.schema)
