@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -14,21 +14,22 @@ def _star(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, cut(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
 
 
-def _sum(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum((F.xxhash64("u", "v") % 1_000_003).cast("long"))).first())
+def _seen(df: DataFrame) -> tuple[DataFrame, tuple]:
+    """df, written, with its number of rows and a sum over them that are counted while it is written."""
+    counted = Observation()
+    out = cut(df.observe(counted, F.count(F.lit(1)).alias("n"), F.sum((F.xxhash64("u", "v") % 1_000_003).cast("long")).alias("s")))
+    return out, tuple(counted.get.values())
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: columns a, b, in either order, with repeats. Returns node and root (the smallest node reachable) for every
     node that isn't its own root."""
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = _sum(e)
+    e, seen = _seen(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while seen[0]:
         pairs, m = _star(e.union(e.select("v", "u")))
-        large = pairs.where("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = pairs.where("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         pairs, m = _star(cut(large))
-        e = cut(pairs.join(m, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(m).distinct())
-        now = _sum(e)
+        e, now = _seen(pairs.join(m, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(m).distinct())
         if now == seen:
             break
         seen = now
