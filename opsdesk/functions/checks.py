@@ -14,7 +14,7 @@ CREDIT_ALPHABET = "0123456789ABCDEFGHJKLMNPQRTUWXY"
 def luhn(c: Column | str) -> Column:
     """MTH6: 13 to 19 digits whose Luhn sum fits."""
     c = F.col(c) if isinstance(c, str) else c
-    return c.rlike(r"^\d{13,19}$") & F.luhn_check(F.when(c.rlike(r"^\d{13,19}$"), c).otherwise("1"))
+    return c.rlike(r"^\d{13,19}$") & F.call_function("luhn_check", F.when(c.rlike(r"^\d{13,19}$"), c).otherwise("1"))
 
 
 def id_number(c: Column | str, as_of: Column | None = None, *, strict_standard: bool = False) -> Column:

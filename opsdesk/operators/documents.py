@@ -76,16 +76,27 @@ def dead_links(documents: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def markdown_table(df: DataFrame, order: list[str]) -> DataFrame:
-    """SNK4: the lines (line, text) of an aligned Markdown table: cells escaped, numeric columns to the right, widths of at least 3."""
-    cells = df.select(*[markdown_cell(F.col(c).cast("string")).alias(c) for c in df.columns])
+    """SNK4: the lines (line, text) of an aligned Markdown table in the order of the given columns: cells escaped, numeric
+    columns to the right, widths of at least 3. A table to be read by people: its rows are numbered in one task."""
     names = df.columns
-    size = cells.agg(*[F.greatest(F.coalesce(F.max(display_width(c)), F.lit(0)), F.lit(max(3, len(c)))).alias(f"_w{k}") for k, c in enumerate(names)], *[F.coalesce(F.bool_and(numericish(c) | (F.col(c) == "")) & F.bool_or(F.col(c) != ""), F.lit(False)).alias(f"_n{k}") for k, c in enumerate(names)])
-    pad = lambda x, k: F.when(F.col(f"_n{k}"), F.concat(F.repeat(F.lit(" "), F.col(f"_w{k}") - display_width(x)), x)).otherwise(F.concat(x, F.repeat(F.lit(" "), F.col(f"_w{k}") - display_width(x))))
-    line = lambda xs: F.concat(F.lit("| "), F.concat_ws(" | ", *xs), F.lit(" |"))
-    head = size.select(F.lit(0).cast("long").alias("line"), line([pad(F.lit(c), k) for k, c in enumerate(names)]).alias("text"))
-    rule = size.select(F.lit(1).cast("long").alias("line"), line([F.concat(F.repeat(F.lit("-"), F.col(f"_w{k}") - F.col(f"_n{k}").cast("int")), F.when(F.col(f"_n{k}"), ":").otherwise("")) for k in range(len(names))]).alias("text"))
-    numbered = cells.withColumn("line", F.row_number().over(Window.orderBy(*order)).cast("long") + 1)  # a table to be read by people
-    return head.union(rule).union(numbered.join(F.broadcast(size)).select("line", line([pad(F.col(c), k) for k, c in enumerate(names)]).alias("text")))
+    numbered = df.select((F.row_number().over(Window.orderBy(*order)).cast("long") + 1).alias("line"), *[markdown_cell(F.col(c).cast("string")).alias(f"_c{k}") for k, c in enumerate(names)])
+    widths, numeric = [], []
+    for k, c in enumerate(names):
+        cell = F.col(f"_c{k}")
+        widths.append(F.greatest(F.coalesce(F.max(display_width(cell)), F.lit(0)), display_width(F.lit(c)), F.lit(3)).alias(f"_w{k}"))
+        numeric.append(F.coalesce(F.bool_and(numericish(cell) | (cell == "")) & F.bool_or(cell != ""), F.lit(False)).alias(f"_n{k}"))
+    size = numbered.agg(*widths, *numeric)
+
+    def padded(x: Column, k: int) -> Column:
+        blanks = F.repeat(F.lit(" "), F.col(f"_w{k}") - display_width(x))
+        return F.when(F.col(f"_n{k}"), F.concat(blanks, x)).otherwise(F.concat(x, blanks))
+
+    def row(cells: list[Column]) -> Column:
+        return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("text")
+
+    head = size.select(F.lit(0).cast("long").alias("line"), row([padded(F.lit(c), k) for k, c in enumerate(names)]))
+    rule = size.select(F.lit(1).cast("long").alias("line"), row([F.concat(F.repeat(F.lit("-"), F.col(f"_w{k}") - F.col(f"_n{k}").cast("int")), F.when(F.col(f"_n{k}"), ":").otherwise("")) for k in range(len(names))]))
+    return head.union(rule).union(numbered.join(F.broadcast(size)).select("line", row([padded(F.col(f"_c{k}"), k) for k in range(len(names))])))  # one row of widths
 
 
 def cues(documents: DataFrame) -> DataFrame:

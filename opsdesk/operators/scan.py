@@ -6,7 +6,7 @@ be settled, come from a small Arrow function for each batch of texts."""
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -109,24 +109,30 @@ def redact(text: Column | str, types: tuple[str, ...] = ("email", "phone", "ipv4
     return c
 
 
-def leak_findings(documents: DataFrame, rules: tuple[str, ...] = tuple(LEAKS), *, id_column: str = "doc_id") -> DataFrame:
-    """TXT2, TXT7: doc_id, line (from 1), rule, level, masked for each match; placeholders and impossible numbers are left out."""
-    lines = documents.select(id_column, F.posexplode(F.split("text", "\n")).alias("pos", "row"))
-    found = []
-    for rule in rules:
-        shape, group, level = LEAKS[rule]
-        values = F.regexp_extract_all("row", F.lit(shape), F.lit(group))
-        keep = lambda x: ~x.rlike(_PLACEHOLDER)
-        if rule == "generic_secret":
-            keep = lambda x: ~x.rlike(_PLACEHOLDER) & ~x.rlike(r"[:=]$") & ~x.rlike(r"^[0-9]+$") & ~(x.rlike(r"^[a-z]+$") & (F.length(x) < 12))
-        elif rule in ("idcard", "bank"):
-            keep = lambda x, check=PII[rule][1]: F.coalesce(check(x), F.lit(False))
-        elif rule == "email":
-            keep = lambda x: ~x.rlike(r"(?i)@(.*\.)?(example|test|localhost|domain)\.")
-        elif rule == "private_key":
-            keep = lambda x: F.lit(True)
-        found.append(F.transform(F.filter(values, keep), lambda x, r=rule, lv=level: F.struct(F.lit(r).alias("rule"), F.lit(lv).alias("level"), mask(x).alias("masked"))))
-    return lines.select(id_column, (F.col("pos") + 1).alias("line"), F.explode(F.concat(*found)).alias("x")).select(id_column, "line", "x.*")
+def _leak_kept(rule: str) -> Callable[[Column], Column]:
+    """What a match of a rule must be to count."""
+    if rule == "private_key":
+        return lambda x: F.lit(True)
+    if rule == "generic_secret":
+        return lambda x: ~x.rlike(_PLACEHOLDER) & ~x.rlike(r"[:=]$") & ~x.rlike(r"^[0-9]+$") & ~(x.rlike(r"^[a-z]+$") & (F.length(x) < 12))
+    if rule == "email":
+        return lambda x: ~x.rlike(r"(?i)@(.*\.)?(example|test|localhost|domain)\.")
+    if rule in ("idcard", "bank"):
+        return lambda x: F.coalesce(PII[rule][1](x), F.lit(False))
+    return lambda x: ~x.rlike(_PLACEHOLDER)
+
+
+def _leak_hits(rule: str) -> Column:
+    shape, group, level = LEAKS[rule]
+    values = F.filter(F.regexp_extract_all("row", F.lit(shape), F.lit(group)), _leak_kept(rule))
+    return F.transform(values, lambda x: F.struct(F.lit(rule).alias("rule"), F.lit(level).alias("level"), mask(x).alias("masked")))
+
+
+def leak_findings(documents: DataFrame, rules: tuple[str, ...] = tuple(LEAKS), *, id_column: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """TXT2, TXT7: doc_id (and the columns to keep), line (from 1), rule, level, masked for each match; placeholders and
+    impossible numbers are left out."""
+    lines = documents.select(id_column, *keep, F.posexplode(F.split("text", "\n")).alias("pos", "row"))
+    return lines.select(id_column, *keep, (F.col("pos") + 1).alias("line"), F.explode(F.concat(*map(_leak_hits, rules))).alias("x")).select(id_column, *keep, "line", "x.*")
 
 
 #: Characters that don't keep a word from being found, and characters of no width.

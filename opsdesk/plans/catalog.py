@@ -337,7 +337,7 @@ def obfuscated_scan(spark, d):
 
 
 @query("""WITH k AS (SELECT * FROM (VALUES ('rights', true, 'rights reserved'), ('rights', true, 'licensed'), ('contact', true, '@mail'), ('contact', true, 'example.com'), ('secrets', false, 'password'), ('secrets', false, 'token')) v(clause, required, k))
-    SELECT doc_id, clause, required, CAST(sum((len(text) - len(replace(text, k, ''))) / len(k)) AS BIGINT) AS hits, required AND sum((len(text) - len(replace(text, k, ''))) / len(k)) = 0 AS missing FROM documents, k GROUP BY ALL""")
+    SELECT doc_id, clause, required, CAST(sum((len(text) - len(replace(text, k, ''))) / len(k)) AS BIGINT) AS hits, required AND sum((len(text) - len(replace(text, k, ''))) / len(k)) = 0 AS missing FROM documents, k GROUP BY doc_id, clause, required""")
 def clause_coverage(spark, d):
     """AGG22, RUL8."""
     return scan.clause_coverage(read(spark, d, "documents"), inputs.clauses(spark))
@@ -414,9 +414,9 @@ def day_list(spark, d):
     return calendars.next_days(x, inputs.holidays(spark), start="s", n=7).select("start", "d", "kind", "weekday")
 
 
-@query("""WITH x AS (SELECT event_id, ts FROM events), g AS (SELECT DISTINCT date_trunc('day', ts) AS day0 FROM x), c AS (SELECT day0, day0 + INTERVAL 1 DAY * i + INTERVAL 1 MINUTE * m AS at FROM g, range(0, 30) r(i), (VALUES (510), (525), (1050), (1065)) v(m)
-    WHERE dayofweek(day0 + INTERVAL 1 DAY * i) BETWEEN 1 AND 5), n AS (SELECT event_id, at, row_number() OVER (PARTITION BY event_id ORDER BY at) AS nth FROM x JOIN c ON c.day0 = date_trunc('day', x.ts) AND at > ts)
-    SELECT event_id, CAST(nth AS INTEGER) AS nth, at FROM n WHERE nth <= 3""")
+@query("""WITH x AS (SELECT event_id, ts FROM events), g AS (SELECT DISTINCT date_trunc('day', ts) AS day0 FROM x), c AS (SELECT day0, day0 + INTERVAL 1 DAY * i + INTERVAL 1 MINUTE * m AS t FROM g, range(0, 30) r(i), (VALUES (510), (525), (1050), (1065)) v(m)
+    WHERE dayofweek(day0 + INTERVAL 1 DAY * i) BETWEEN 1 AND 5), n AS (SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY c.t) AS nth, c.t FROM x JOIN c ON c.day0 = date_trunc('day', x.ts) AND c.t > ts)
+    SELECT event_id, CAST(nth AS INTEGER) AS nth, t AS "at" FROM n WHERE nth <= 3""")
 def cron_next(spark, d):
     """DT9, DT10, SET6."""
     return calendars.cron_next(read(spark, d, "events"), "30-59/15 8,17 * * mon-fri", start="ts", key="event_id", n=3, days=30)
@@ -457,12 +457,12 @@ def json_shape(spark, d):
     return documents.json_shape(read(spark, d, "events"), "props")
 
 
-@query("""WITH t AS (SELECT CAST(n_nationkey AS VARCHAR) AS a, n_name AS b, CAST(n_regionkey AS VARCHAR) AS c FROM nation), w AS (SELECT greatest(11, max(len(a))) AS wa, greatest(6, max(len(b))) AS wb, greatest(11, max(len(c))) AS wc FROM t)
+@query("""WITH t AS (SELECT CAST(n_nationkey AS VARCHAR) AS a, n_name AS b, CAST(n_regionkey AS VARCHAR) AS c FROM nation), w AS (SELECT CAST(greatest(11, max(len(a))) AS INTEGER) AS wa, CAST(greatest(6, max(len(b))) AS INTEGER) AS wb, CAST(greatest(11, max(len(c))) AS INTEGER) AS wc FROM t)
     SELECT CAST(row_number() OVER (ORDER BY CAST(a AS INTEGER)) + 1 AS BIGINT) AS line, '| ' || lpad(a, wa, ' ') || ' | ' || rpad(b, wb, ' ') || ' | ' || lpad(c, wc, ' ') || ' |' AS text FROM t, w
     UNION ALL SELECT 0, '| ' || lpad('n_nationkey', wa, ' ') || ' | ' || rpad('n_name', wb, ' ') || ' | ' || lpad('n_regionkey', wc, ' ') || ' |' FROM w UNION ALL SELECT 1, '| ' || repeat('-', wa - 1) || ':' || ' | ' || repeat('-', wb) || ' | ' || repeat('-', wc - 1) || ':' || ' |' FROM w""")
 def markdown_table(spark, d):
     """SNK4, STR8, STR16, STR17."""
-    return documents.markdown_table(read(spark, d, "nation").withColumn("n_nationkey", F.lpad(F.col("n_nationkey").cast("string"), 2, " ")).withColumn("n_nationkey", F.ltrim("n_nationkey").cast("int")), ["n_nationkey"])
+    return documents.markdown_table(read(spark, d, "nation"), ["n_nationkey"])
 
 
 @query()
