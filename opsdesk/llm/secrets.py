@@ -134,7 +134,7 @@ def labelled_findings(spark: SparkSession, n: int = 6_000) -> DataFrame:
 def fit(findings: DataFrame, *, trees: int = 40, depth: int = 8, seed: int = 7) -> RandomForestClassificationModel:
     """A forest from labelled findings (token, before, path, label 0 or 1)."""
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(featured(findings.where("label in (0, 1)"))).select("features", F.col("label").cast("double").alias("label"))
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=32).fit(vectors)
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=32).fit(vectors).copy()  # without the training summary, which holds the session
 
 
 def scan(documents: DataFrame, model: RandomForestClassificationModel, *, path: str = "source", min_chars: int = 16, threshold: float = 0.5) -> DataFrame:

@@ -56,7 +56,7 @@ def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 def _thresholds(k: int) -> Callable:
     def run(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(rows):
-            return pd.DataFrame({"query_id": [], "low": []})
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "low": np.zeros(0, object)})
         _, low = _bounds(_matrix(queries.v), *_approximate(_matrix(rows.v)))
         low[queries.id.to_numpy()[:, None] == rows.id.to_numpy()[None, :]] = -np.inf
         best = -np.sort(np.partition(-low, min(k, low.shape[1]) - 1, 1)[:, :k], 1)
@@ -88,7 +88,7 @@ def _search(k: int) -> Callable:
                         first = np.lexsort((seen, -score))[:k]
                         score, seen = score[first], seen[first]
                 out.append(pd.DataFrame({"query_id": query, "vec_id": seen, "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        return pd.concat(out) if out else pd.DataFrame(np.zeros((0, 3), np.int64), columns=["query_id", "vec_id", "score"])
 
     return run
 
