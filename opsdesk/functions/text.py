@@ -56,7 +56,7 @@ def csv_escape(c: Column | str, delimiter: str = ",") -> Column:
 
 def markdown_cell(c: Column | str) -> Column:
     """STR16: pipes escaped, line ends as <br>."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"\|", r"\\\\|"), r"\r\n|\r|\n", "<br>")
+    return F.regexp_replace(F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"\|", r"\\|"), r"\r\n|\r|\n", "<br>")
 
 
 def numericish(c: Column | str) -> Column:
@@ -117,3 +117,25 @@ def identifier(c: Column | str) -> Column:
     """STR15: quoted unless it can stand bare."""
     c = _col(c)
     return F.when(c.rlike(r"^[A-Za-z_$][A-Za-z0-9_$]*$"), c).otherwise(F.to_json(F.struct(c.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("x")))) - 6))
+
+
+def thousands(c: Column | str, digits: int = 2) -> Column:
+    """STR5: a number for people: thousands commas, fixed digits, a dash for null. Half steps follow the double's decimal form."""
+    return F.coalesce(F.format_number(_col(c).cast("double"), digits), F.lit("—"))
+
+
+def natural_key(c: Column | str) -> Column:
+    """SRT4: orders texts as people number them (file 2 before file 10), without regard to case."""
+    padded = F.transform(F.regexp_extract_all(F.lower(_col(c)), F.lit(r"\d+|\D+"), F.lit(0)), lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, 20, "0")).otherwise(x))
+    return F.array_join(padded, "")
+
+
+def chinese_order(c: Column | str) -> Column:
+    """SRT2: a text with the collation that orders Chinese by pronunciation."""
+    return F.collate(_col(c), "zh")
+
+
+def table_cells(c: Column | str) -> Column:
+    """STR22: the trimmed cells of a Markdown table row, cut at pipes that aren't escaped."""
+    body = F.regexp_replace(F.trim(_col(c)), r"^\||(?<!\\)\|$", "")
+    return F.transform(F.split(body, r"(?<!\\)\|"), lambda x: F.trim(x, F.lit(" \t\r")))

@@ -78,7 +78,7 @@ def duplicate_keys(df: DataFrame, keys: list[str], line: str) -> DataFrame:
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """AGG15: one row: repeats beyond the first occurrence, and groups of equal rows."""
-    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeats"), F.count_if(F.col("n") > 1).alias("groups"))
+    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n")).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("repeats"), F.count_if(F.col("_n") > 1).alias("groups"))
 
 
 def first_mode(df: DataFrame, column: str, line: str) -> DataFrame:

@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.dates import subtitle_ms, subtitle_time
-from ..functions.text import display_width, markdown_cell, numericish
+from ..functions.text import display_width, markdown_cell, numericish, table_cells
 
 _FENCE = r"^\s*(```+|~~~+)"
 
 
 def markdown_lines(documents: DataFrame) -> DataFrame:
-    """doc_id, line (from 1), row, in_fence, opens, info. The fence state is a fold over the lines of a text, inside its row."""
+    """doc_id, line (from 1), row, in_fence, opens, closes. The fence state is a fold over the lines of a text, inside its row."""
     rows = F.split("text", "\n")
-    start = F.expr("named_struct('open', '', 'out', cast(array() as array<struct<row:string,in_fence:boolean,opens:boolean>>))")
+    start = F.expr("named_struct('open', '', 'out', cast(array() as array<struct<row:string,in_fence:boolean,opens:boolean,closes:boolean>>))")
 
     def step(s: Column, row: Column) -> Column:
         mark = F.substring(F.regexp_extract(row, _FENCE, 1), 1, 1)
         opens, closes = (mark != "") & (s.open == ""), (mark != "") & (s.open == mark)
         state = F.when(opens, mark).when(closes, "").otherwise(s.open)
-        return F.struct(state.alias("open"), F.concat(s.out, F.array(F.struct(row.alias("row"), ((s.open != "") | opens).alias("in_fence"), opens.alias("opens")))).alias("out"))
+        return F.struct(state.alias("open"), F.concat(s.out, F.array(F.struct(row.alias("row"), ((s.open != "") | opens).alias("in_fence"), opens.alias("opens"), closes.alias("closes")))).alias("out"))
 
     folded = documents.select("doc_id", F.aggregate(rows, start, step, lambda s: s.out).alias("x"))
     return folded.select("doc_id", F.posexplode("x").alias("pos", "x")).select("doc_id", (F.col("pos") + 1).alias("line"), "x.*")
@@ -34,7 +40,7 @@ def lint(documents: DataFrame) -> DataFrame:
     heading = r"^#{1,6}\s+"
     rules = [
         (row.rlike(r"[ \t]+$"), "MD009"), (row.rlike(r"^\t"), "MD010"), (row.rlike(r"^#{1,6}\s{2,}\S"), "MD019"), (row.rlike(r"^#{1,6}\s+$"), "MD021"), (row.rlike(r"^#{1,6}\s.*[。！？，；：]\s*$"), "MD026"),
-        (row.rlike(r"^\s*[-*+]\s{2,}\S"), "MD027"), (~row.rlike(heading) & row.rlike(r"\[\s*\]\([^)]*\)|\[(\s+[^\]]*|[^\]]*\s+)\]\([^)]*\)"), "MD039"), (~row.rlike(heading) & row.rlike(r"(?<![(<\[\"'])https?://\S+") & ~row.rlike(r"\]\(https?://|<https?://"), "MD034"),
+        (row.rlike(r"^\s*[-*+]\s{2,}\S"), "MD027"), (~row.rlike(heading) & row.rlike(r"\[\s*\]\([^)]*\)|\[(\s+[^\]]*|[^\]]*\s+)\]\([^)]*\)"), "MD039"), (~row.rlike(heading) & ~row.rlike(r"^\s*[-*+]\s+\S") & row.rlike(r"(?<![(<\[\"'])https?://\S+") & ~row.rlike(r"\]\(https?://|<https?://"), "MD034"),
     ]
     found = F.filter(F.array(*[F.when(w, F.lit(c)) for w, c in rules]), lambda c: c.isNotNull())
     parts = [free.select("doc_id", "line", F.explode(found).alias("code"))]
@@ -47,8 +53,9 @@ def lint(documents: DataFrame) -> DataFrame:
     blocks = free.withColumn("item", item).where((F.trim("row") != "") & (~row.rlike(r"^\s*[0-9]") | (F.col("item") != ""))).withColumn("before", F.lag("item").over(w))
     parts.append(blocks.where("item <> '' and before <> '' and item <> before").select("doc_id", "line", F.lit("MD004").alias("code")))
     parts.append(x.where(F.col("opens") & F.trim(F.regexp_replace("row", _FENCE, "")).eqNullSafe("")).select("doc_id", "line", F.lit("MD040").alias("code")))
-    last = x.groupBy("doc_id").agg(F.max(F.struct("line", "in_fence", "opens", "row")).alias("z"))
-    parts.append(last.where(F.col("z.in_fence") & (~F.col("z.row").rlike(_FENCE) | F.col("z.opens"))).select("doc_id", F.col("z.line").alias("line"), F.lit("MD031").alias("code")))
+    fences = x.groupBy("doc_id").agg(F.max(F.when(F.col("opens"), F.col("line"))).alias("line"), F.count_if("opens").alias("a"), F.count_if("closes").alias("b"))
+    parts.append(fences.where("a > b").select("doc_id", "line", F.lit("MD031").alias("code")))
+    parts.append(table_findings(x))
     end = documents.where("text is not null and text <> ''").select("doc_id", (F.size(F.split("text", "\n"))).alias("line"), F.when(~F.col("text").endswith("\n"), "MD047").when(F.col("text").endswith("\n\n"), "MD012").alias("code"))
     parts.append(end.where("code is not null"))
     out = parts[0]
@@ -57,12 +64,38 @@ def lint(documents: DataFrame) -> DataFrame:
     return out
 
 
+def table_findings(lines: DataFrame) -> DataFrame:
+    """RUL9: MD056 at the first line of a table without a separator in its second line, and at rows of another width than the
+    first. A table is a run of two lines or more that begin with a pipe."""
+    w = Window.partitionBy("doc_id").orderBy("line")
+    rows = lines.where(F.col("row").rlike(r"^\s*\|")).select("doc_id", "line", table_cells("row").alias("cells"))
+    rows = rows.withColumn("table", F.col("line") - F.row_number().over(w))
+    t = Window.partitionBy("doc_id", "table").orderBy("line")
+    whole = t.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rule = F.forall(F.coalesce(F.nth_value("cells", 2).over(whole), F.array()), lambda c: c.rlike("^:?-+:?$"))
+    rows = rows.withColumns({"n": F.row_number().over(t), "size": F.count(F.lit(1)).over(whole), "width": F.size(F.first("cells").over(whole)), "ruled": rule}).where("size > 1")
+    wrong = F.when(F.col("n") == 1, ~F.col("ruled")).otherwise((F.size("cells") != F.col("width")) & ~((F.col("n") == 2) & F.col("ruled")))
+    return rows.where(wrong).select("doc_id", "line", F.lit("MD056").alias("code"))
+
+
 def fix(text: Column | str) -> Column:
-    """TXT8: blanks at line ends off, leading tabs as two blanks, one list mark, one line end at the end."""
+    """TXT8: outside of code fences blanks at line ends go, leading tabs become two blanks and list marks become one; a fence
+    left open is closed; one line end at the end. A text's lines are folded inside its row, like in markdown_lines."""
     c = F.col(text) if isinstance(text, str) else text
-    c = F.regexp_replace(F.regexp_replace(c, r"(?m)[ \t]+$", ""), r"(?m)^\t", "  ")
-    c = F.regexp_replace(c, r"(?m)^(\s*)[*+](\s+\S)", "$1-$2")
-    return F.concat(F.regexp_replace(c, r"\n+$", ""), F.lit("\n"))
+
+    def step(s: Column, row: Column) -> Column:
+        mark = F.regexp_extract(row, _FENCE, 1)
+        first = F.substring(mark, 1, 1)
+        opens, closes = (first != "") & (s.open == ""), (first != "") & (F.substring(s.open, 1, 1) == first)
+        plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(row, r"[ \t]+$", ""), r"^\t", "  "), r"^(\s*)[*+](\s+\S)", "$1-$2")
+        return F.struct(F.when(opens, mark).when(closes, "").otherwise(s.open).alias("open"), F.concat(s.out, F.array(F.when((s.open != "") | opens, row).otherwise(plain))).alias("out"))
+
+    def whole(s: Column) -> Column:
+        body = F.regexp_replace(F.array_join(s.out, "\n"), r"\n+$", "")
+        return F.concat(body, F.lit("\n"), F.when(s.open != "", F.concat(s.open, F.lit("\n"))).otherwise(""))
+
+    start = F.expr("named_struct('open', '', 'out', cast(array() as array<string>))")
+    return F.when(c == "", c).otherwise(F.aggregate(F.split(c, "\n"), start, step, whole))
 
 
 def links(documents: DataFrame) -> DataFrame:
@@ -148,3 +181,72 @@ def json_shape(df: DataFrame, column: str) -> DataFrame:
 def json_sorted(df: DataFrame, column: str) -> DataFrame:
     """JSN3, SNK11: minified; the variant form keeps the keys of each object in order."""
     return df.withColumn(column, F.expr(f"to_json(try_parse_json({column}))"))
+
+
+def json_errors(df: DataFrame, column: str, key: str = "doc_id") -> DataFrame:
+    """JSN1: key, line, column, message, snippet of the first error of each text that isn't JSON."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for k, text in zip(pdf.k, pdf.t, strict=True):
+                text = (text or "").removeprefix("\ufeff")
+                try:
+                    json.loads(text)
+                except ValueError as e:
+                    rows.append((k, getattr(e, "lineno", 1), getattr(e, "colno", 1), getattr(e, "msg", str(e)), text.split("\n")[getattr(e, "lineno", 1) - 1][:120]))
+            yield pd.DataFrame(rows, columns=[key, "line", "column", "message", "snippet"])
+
+    return df.select(F.col(key).alias("k"), F.col(column).alias("t")).mapInPandas(run, f"`{key}` {kind}, line int, column int, message string, snippet string")
+
+
+def json_pretty(df: DataFrame, column: str, *, indent: int | None = 2, sort_keys: bool = False) -> DataFrame:
+    """SNK11, JSN3: the column formatted (minified with indent None), keys sorted at every depth if asked for; null where it
+    isn't JSON."""
+
+    @F.pandas_udf("string")
+    def pretty(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str | None:
+            try:
+                return json.dumps(json.loads((t or "").removeprefix("\ufeff")), ensure_ascii=False, indent=indent, sort_keys=sort_keys, separators=(",", ": " if indent else ":"))
+            except ValueError:
+                return None
+
+        return texts.map(one)
+
+    return df.withColumn(column, pretty(F.col(column)))
+
+
+def interfaces(df: DataFrame, column: str, name: str = "Root") -> str:
+    """JSN4, SNK10: TypeScript interfaces for a column of JSON objects. Spark merges all rows' schemas into one type, and keys
+    that not every object has are optional; only that type reaches the driver."""
+    merged = df.agg(F.schema_of_variant_agg(F.try_parse_json(F.col(column))).alias("t"), F.count_if(F.try_parse_json(F.col(column)).isNotNull()).alias("n")).first()
+    optional = {r.key for r in json_shape(df.where(F.try_parse_json(F.col(column)).isNotNull()), column).where("optional").select("key").collect()} if merged.n else set()
+    blocks: list[str] = []
+    names: dict[str, str] = {}
+
+    def pascal(x: str) -> str:
+        parts = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", x)
+        return "".join(p[:1].upper() + p[1:] for p in re.split(r"[^A-Za-z0-9]+", parts) if p) or "Item"
+
+    def one(x: str) -> str:
+        return re.sub("ies$", "y", x) if x.endswith("ies") else re.sub("es$", "", x) if re.search("(ch|sh|ss|x|s)es$", x) else re.sub("([^s])s$", r"\1", x)
+
+    def kind(t: T.DataType, hint: str, top: bool = False) -> str:
+        if isinstance(t, T.ArrayType):
+            inner = kind(t.elementType, one(hint))
+            return f"{inner}[]" if " " not in inner else f"({inner})[]"
+        if isinstance(t, T.StructType):
+            body = "\n".join(f"  {f.name if re.fullmatch('[A-Za-z_$][A-Za-z0-9_$]*', f.name) else json.dumps(f.name)}{'?' * (top and f.name in optional)}: {kind(f.dataType, f.name)};" for f in t.fields)
+            label, k = pascal(hint), 2
+            while names.get(label, body) != body:
+                label, k = f"{pascal(hint)}{k}", k + 1
+            if label not in names:
+                names[label] = body
+                blocks.append(f"export interface {label} {{\n{body}\n}}\n")
+            return label
+        return "number" if isinstance(t, T.NumericType) else "boolean" if isinstance(t, T.BooleanType) else "null" if isinstance(t, T.NullType) else "unknown" if isinstance(t, T.VariantType) else "string"
+
+    root = kind(T.DataType.fromDDL(merged.t.replace("OBJECT<", "STRUCT<")), name, top=True)
+    return "\n".join(blocks) + ("" if root == pascal(name) else f"export type {pascal(name)} = {root};\n")

@@ -31,12 +31,20 @@ def manifest(files: DataFrame) -> DataFrame:
     return files.select("path", "bytes", F.sha2("content", 256).alias("hash"), "mtime")
 
 
-def root_hash(entries: DataFrame, *, ranges: int = 1) -> DataFrame:
-    """AGG21: sha256 over path, bytes and hash of all files in path order. The order makes it one long text, built in one
-    task: about 120 bytes for each file."""
-    row = F.concat_ws("\0", "path", F.col("bytes").cast("string"), F.coalesce("hash", F.lit("")))
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("path", F.concat(row, F.lit("\n")).alias("row")))), lambda x: x.row)
-    return entries.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.sha2(F.array_join(parts, ""), 256).alias("root"))
+def root_hash(entries: DataFrame, *, buckets: int = 1_024, max_flat: int = 1_000_000) -> DataFrame:
+    """AGG21: n_files, bytes, root. With several buckets the root is the sha256 of the buckets' digests in order, and a bucket's
+    digest that of the lines (path, bytes, hash) of its paths in order; a path's bucket is a remainder of its crc32. So no task
+    holds more than its share of the lines. buckets=1 is the flat digest of all lines in path order, which is one long text;
+    it is refused beyond max_flat files."""
+    if buckets == 1 and entries.limit(max_flat + 1).count() > max_flat:
+        raise ValueError(f"more than {max_flat} files: use several buckets")
+    line = F.concat(F.concat_ws("\0", "path", F.col("bytes").cast("string"), F.coalesce("hash", F.lit(""))), F.lit("\n"))
+    rows = entries.select((F.crc32(F.col("path").cast("binary")) % buckets).alias("b"), "bytes", F.struct("path", line.alias("line")).alias("x"))
+    digest = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x.line), ""), 256)
+    parts = rows.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), digest.alias("digest"))
+    ordered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "digest"))), lambda x: x.digest), "")
+    root = F.first("digest") if buckets == 1 else F.sha2(ordered, 256)
+    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(root, F.sha2(F.lit(""), 256)).alias("root"))
 
 
 def compare(old: DataFrame, new: DataFrame) -> DataFrame:

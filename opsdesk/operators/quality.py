@@ -61,7 +61,7 @@ def findings(df: DataFrame, *, null_rate: float = 0.1, enums: dict[str, list[str
         rule(c("outliers") > 0, "W", "W104", c("outliers")),
     )
     out = p.select("column_name", F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("f")).select("f.level", "f.code", "column_name", "f.n")
-    equal = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.count(F.lit(1)).alias("n")).where("n > 0")
+    equal = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").agg(F.count(F.lit(1)).alias("n")).where("n > 0")
     parts = [out, equal.select(F.lit("E").alias("level"), F.lit("Q003").alias("code"), F.lit("*").alias("column_name"), "n")]
     for name, allowed in (enums or {}).items():
         v = trim_u(F.col(name).cast("string"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checks, dates, numbers, text
-from ..operators import aggregate, audit, calendars, clean, diff, documents, files, quality, reconcile, scan, timetable
+from ..operators import aggregate, audit, calendars, clean, diff, documents, files, lexicons, quality, reconcile, scan, timetable
 from . import inputs
 from .inputs import HOLIDAYS_SQL, LEDGERS_SQL, MONEY_SQL, STOPS_SQL, VERSIONS_SQL, read
 
@@ -330,6 +330,24 @@ def lexicon_scan(spark, d):
     return scan.word_hits(read(spark, d, "documents"), inputs.word_list(spark), normalise=False)
 
 
+@query()
+def ad_scan(spark, d):
+    """TXT3, RUL6: hits that compete for characters; tests hold it against literal cases."""
+    return lexicons.ad_findings(read(spark, d, "documents"))
+
+
+@query()
+def banned_scan(spark, d):
+    """TXT4, RUL7."""
+    return lexicons.word_spans(read(spark, d, "documents"), lexicons.banned_words(spark))
+
+
+@query()
+def contract_review(spark, d):
+    """RUL8."""
+    return lexicons.contract_clauses(read(spark, d, "documents"))
+
+
 @query()
 def obfuscated_scan(spark, d):
     """TXT4, STR23: words between which punctuation, blanks or zero-width characters stand."""
@@ -361,7 +379,13 @@ def dup_documents(spark, d):
 @query("""WITH h AS (SELECT lpad(CAST(doc_id AS VARCHAR), 10, '0') AS path, octet_length(encode(text)) AS bytes, sha256(text) AS hash FROM documents)
     SELECT count(*) AS n_files, CAST(sum(bytes) AS BIGINT) AS bytes, sha256(string_agg(path || chr(0) || CAST(bytes AS VARCHAR) || chr(0) || hash || chr(10), '' ORDER BY path)) AS root FROM h""")
 def manifest_root(spark, d):
-    """AGG21, SNK5."""
+    """AGG21, SNK5: the flat digest that other tools write."""
+    return files.root_hash(files.manifest(_files(spark, d)), buckets=1)
+
+
+@query()
+def manifest_tree(spark, d):
+    """AGG21 for any number of files; tests hold it against a plain loop (the oracle has no crc32)."""
     return files.root_hash(files.manifest(_files(spark, d)))
 
 

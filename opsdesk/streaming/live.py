@@ -12,18 +12,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+def _timed(events: DataFrame, time: str, late: str) -> DataFrame:
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+
+
 def windowed_totals(events: DataFrame, *, time: str = "ts", key: str = "event_type", value: str = "value", width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Count and sum by key and window; state is dropped once the watermark has passed a window."""
-    return events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), key).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), key, "n", "total")
+    return _timed(events, time, late).groupBy(F.window(time, width).alias("w"), key).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), key, "n", "total")
 
 
 def first_seen(events: DataFrame, keys: list[str], *, time: str = "ts", late: str = "2 hours") -> DataFrame:
     """Repeats of a key within the watermark are dropped."""
-    return events.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+    return _timed(events, time, late).dropDuplicatesWithinWatermark(keys)
 
 
 def sessions(events: DataFrame, *, time: str = "ts", key: str = "user_id", gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
-    return events.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("stop"), key, "n")
+    return _timed(events, time, late).groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("stop"), key, "n")
 
 
 def run_on(stream: DataFrame, operator: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> StreamingQuery:

@@ -1,0 +1,367 @@
+import datetime
+import hashlib
+import os
+import random
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from opsdesk.operators import aggregate, audit, calendars, clean, columns, diff, documents, files, lexicons, quality, reconcile, scan, timetable
+from opsdesk.sources import delimited, sinks
+from opsdesk.sources import files as sources
+from opsdesk.streaming import live
+
+D = datetime.date
+
+
+def rows(df, *order):
+    return sorted((tuple(r) for r in df.select(*(order or df.columns)).collect()), key=repr)
+
+
+def docs(spark, *texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+# --- aggregation, quality, cleaning ------------------------------------------------------------------------------
+
+
+def test_aggregate_of_untyped_cells(spark):
+    df = spark.createDataFrame([(" 东区", "1,000"), ("东区 ", "(50)"), ("西区", ""), ("西区", "x"), (None, "¥3")], "`区域` string, `金额` string")
+    got = {r["区域"]: r for r in aggregate.aggregate(df, [1], [("sum", "金额"), ("avg", 2), ("blank", "金额"), ("distinct", "金额")]).collect()}
+    assert got["东区"].sum_金额 == 950 and got["东区"].row_count == 2 and got["西区"].sum_金额 is None and got["西区"].blank_金额 == 2 and got[""].avg_金额 == 3
+    assert [r["区域"] for r in aggregate.sort_groups(aggregate.aggregate(df, ["区域"], [("sum", "金额")]), "sum_金额").collect()] == ["东区", "", "西区"]
+    with pytest.raises(KeyError):
+        columns.resolve(df, "missing")
+
+
+def test_quality(spark):
+    df = spark.createDataFrame([("1", "a", "2024-01-01"), ("2", " b", "2024-02-30"), ("x", "", "2024-03-01"), ("x", "", "2024-03-01")], "n string, s string, d string")
+    codes = {(r.code, r.column_name) for r in quality.findings(df, null_rate=0.2, enums={"s": ["a"]}).collect()}
+    assert {("Q001", "s"), ("Q003", "*"), ("Q005", "s"), ("Q006", "s"), ("Q007", "d"), ("Q008", "n")} <= codes
+    assert quality.findings(df.limit(0)).count() == 0
+
+
+def test_even_rows_and_blank_rows(spark):
+    df = spark.createDataFrame([(1, ["a", "b"]), (2, ["c"]), (3, ["d", "e", "f"]), (4, ["g", "h"]), (5, ["", " "])], "line int, cells array<string>")
+    got = clean.even_rows(clean.drop_blank_rows(df)).orderBy("line").collect()
+    assert [r.cells for r in got] == [["a", "b"], ["c", ""], ["d", "e"], ["g", "h"]] and [r.ragged for r in got] == [False, True, True, False]
+
+
+# --- differences and ledgers -------------------------------------------------------------------------------------
+
+
+def test_diff(spark):
+    a = spark.createDataFrame([("1", "x", "100"), ("2", "y", "5"), ("3", "z", "7"), ("3", "later", "8")], "k string, s string, n string").withColumn("line", F.monotonically_increasing_id())
+    b = spark.createDataFrame([(" 1", "x ", "100.00"), ("2", "Y", "5"), ("4", "w", "1")], "k string, s string, n string").withColumn("line", F.monotonically_increasing_id())
+    d = diff.table_diff(a, b, ["k"], line="line")
+    assert {r.k.strip(): r.status for r in d.collect()} == {"1": "unchanged", "2": "changed", "3": "removed", "4": "added"}
+    assert rows(diff.changed_cells(d, ["k"])) == [("2", "s", "y", "Y")]
+    assert diff.table_diff(a, a, ["k"], line="line").where("status <> 'unchanged'").count() == 0
+    assert {r.status for r in diff.table_diff(a, b, ["k"], line="line", exact=True).where("k like '%1'").collect()} == {"changed"}
+
+
+def greedy(a, b, days):
+    free, out = list(b), []
+    for line, cents, d in sorted(a):
+        fits = [(0 if None in (d, e) else abs((d - e).days), m, k) for k, (m, c, e) in enumerate(free) if c == cents]
+        best = min((f for f in fits if f[0] <= days), default=None)
+        if best:
+            out.append((line, best[1], best[0]))
+            free.pop(best[2])
+    return sorted(out)
+
+
+def test_exact_matches_are_the_sequential_ones(spark):
+    r = random.Random(8)
+    side = lambda seed: [(i, r.choice([100, 200, 300, -100]), r.choice([None, *[D(2024, 1, 1) + datetime.timedelta(r.randrange(60)) for _ in range(9)]])) for i in range(150)]
+    a, b = side(1), side(2)
+    schema = "line long, cents long, d date"
+    da, db = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
+    for days in (0, 3):
+        m = reconcile.match_exact(da, db, days=days)
+        assert sorted(rows(m)) == greedy(a, sorted(b), days)
+        assert m.count() + reconcile.leftover(da, m, "line_a").count() == len(a)
+
+
+def test_near_and_split_matches(spark):
+    schema = "line long, cents long, d date"
+    a = spark.createDataFrame([(1, 10000, D(2024, 1, 1)), (2, -10000, D(2024, 1, 1)), (3, 600, None), (4, 1000, D(2024, 1, 9))], schema)
+    b = spark.createDataFrame([(11, 10050, D(2024, 1, 3)), (12, 10050, D(2024, 1, 9)), (13, 650, D(2020, 1, 1)), (14, 400, D(2024, 1, 9)), (15, 600, D(2024, 1, 10))], schema)
+    pairs = {(r.line_a, r.line_b) for r in reconcile.near_misses(a, b, days=3).collect()}
+    assert pairs == {(1, 11), (3, 13)}
+    assert [(r.line_a, r.lines_b) for r in reconcile.match_split(a.where("line = 4"), b.where("line in (14, 15)"), days=3).collect()] == [(4, [14, 15])]
+    assert reconcile.match_split(a, b, days=3, pool=2).count() == 0
+
+
+# --- rule packs --------------------------------------------------------------------------------------------------
+
+
+def test_expense_rules(spark):
+    schema = "line long, d date, date_text string, person string, type string, cents long, amount_text string, invoice_no string, approver string"
+    df = spark.createDataFrame([
+        (1, D(2024, 1, 1), "2024-01-01", "A", "hotel", 500_00, "500", "12345678", ""), (2, D(2024, 1, 1), "2024-01-01", "A", "hotel", 500_00, "500", "12345678", "x"), (3, None, "soon", "", "meal", None, "abc", "12", "x"),
+        (4, D(2023, 1, 1), "2023-01-01", "B", "meal", -5, "-0.05", "", "x"), (5, D(2025, 1, 1), "2025-01-01", "B", "meal", 0, "0", "", "x"),
+    ], schema)
+    limits = spark.createDataFrame([("HO TEL", 400_00)], "type string, cents long")
+    got = {(r.line, r.code) for r in audit.expense_findings(df, as_of="2024-02-01", limits=limits, require_approver=True).collect()}
+    assert got == {(1, "E403"), (1, "W504"), (1, "W501"), (2, "W501"), (1, "W502"), (3, "E401"), (3, "E402"), (3, "E406"), (3, "W507"), (4, "W506"), (4, "W503"), (5, "E402"), (5, "E406")}
+    assert audit.total_mismatch(df, 100).count() == 1 and audit.total_mismatch(df, 99_995).count() == 0
+    assert audit.passed(audit.expense_findings(df.limit(0), as_of="2024-01-01")).first().passed
+
+
+# --- text --------------------------------------------------------------------------------------------------------
+
+
+def test_personal_data(spark):
+    df = docs(spark, "call 13812345678 or mail ann.b@host.org", "ip 10.0.0.1 and 999.1.1.1", None, "")
+    got = rows(scan.pii_spans(df), "doc_id", "type", "masked")
+    assert got == [(0, "email", "a***@host.org"), (0, "phone", "138****5678"), (1, "ipv4", "10.0.*.*")]
+    once = df.select("doc_id", scan.redact("text").alias("text"))
+    assert rows(once) == rows(once.select("doc_id", scan.redact("text").alias("text")))
+    assert rows(scan.pii_counts(df, ("email", "phone", "ipv4"))) == [(0, 1, 1, 0), (1, 0, 0, 1), (2, 0, 0, 0), (3, 0, 0, 0)]
+
+
+def test_leaks(spark):
+    df = docs(spark, "x\nkey AKIA" + "Q7RT" * 4 + " here", "password = 'hunter2hunter2X'", "password: your_password", "token=${TOKEN}", "db postgres://u:p4ss@host/db", "mail a@example.com")
+    assert rows(scan.leak_findings(df), "doc_id", "line", "rule") == [(0, 2, "aws_ak"), (1, 1, "generic_secret"), (4, 1, "db_url")]
+
+
+def test_restricted_words(spark):
+    df = docs(spark, "本店销量第一，最好\n第一名的奖品", "最高气温三十度，最佳食用期三天", None, "唯一的首选")
+    assert rows(lexicons.ad_findings(df), "doc_id", "word", "level", "line") == [(0, "最好", "high", 1), (0, "销量第一", "high", 1), (3, "唯一", "medium", 1), (3, "首选", "medium", 1)]
+    assert lexicons.ad_findings(df, allow=("唯一",), min_level="high").count() == 2
+
+
+def test_banned_words_through_disguises(spark):
+    df = docs(spark, "加 我 微❤信\n长按识 别二维码", "ＷＥＩＸＩＮ 号", "w​e.i-x i n", "nothing here", None)
+    got = rows(lexicons.word_spans(df, lexicons.banned_words(spark)), "doc_id", "word", "matched", "line")
+    assert (1, "微信", "ＷＥＩＸＩＮ", 1) in got and (2, "微信", "w​e.i-x i n", 1) in got and (0, "加我", "加 我", 1) in got and (0, "二维码", "二维码", 2) in got
+    assert {g[0] for g in got} == {0, 1, 2}
+
+
+def test_contracts(spark):
+    df = docs(spark, "甲方与乙方就租金达成一致，违约金另计。____ 待填")
+    missing = {r.clause for r in lexicons.contract_clauses(df, "lease").where("missing").collect()}
+    assert "rent" not in missing and "repair" in missing and "breach" not in missing
+    assert rows(lexicons.contract_parties(df)) == [(0, "甲方/乙方", "both")]
+    assert [r.found for r in scan.placeholders(df).collect()] == ["____", "待填"]
+
+
+# --- files -------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def tree(spark, tmp_path_factory):
+    top = tmp_path_factory.mktemp("tree")
+    for name, data in {"a.txt": "same", "sub/b.txt": "same", "sub/c.txt": "diff", "node_modules/d.txt": "same", "e.csv": "姓名;金额\n\"x;y\";1\n\"two\nlines\";2\n;\n", "g.csv": "姓名,金额\n张三,1\n", "bin.dat": "a\0b"}.items():
+        (top / name).parent.mkdir(exist_ok=True)
+        (top / name).write_bytes(data.encode("gb18030" if name == "g.csv" else "utf-8"))
+    return str(top)
+
+
+def test_duplicates_and_manifests(spark, tree):
+    f = sources.files(spark, tree, exclude=("node_modules",))
+    d = files.duplicates(f)
+    assert rows(d, "path", "n", "rank") == [("a.txt", 2, 1), ("sub/b.txt", 2, 2)] and files.reclaimable(d).first().reclaimable == 4
+    assert rows(files.duplicates(f, keep="shortest").where("rank = 1"), "path") == [("a.txt",)]
+    m = files.manifest(f)
+    plain = sorted((r.path, r.bytes, r.hash) for r in m.collect())
+    lines = [f"{p}\0{b}\0{h}\n" for p, b, h in plain]
+    assert files.root_hash(m, buckets=1).first().root == hashlib.sha256("".join(lines).encode()).hexdigest()
+    parts = {}
+    for (p, *_), line in zip(plain, lines, strict=True):
+        parts.setdefault(zlib.crc32(p.encode()) % 1024, []).append(line)
+    want = hashlib.sha256("".join(hashlib.sha256("".join(v).encode()).hexdigest() for _, v in sorted(parts.items())).encode()).hexdigest()
+    assert files.root_hash(m).first().root == want and files.root_hash(m.limit(0)).first().n_files == 0
+    assert {r.status for r in files.compare(m, m).collect()} == {"unchanged"}
+    with pytest.raises(ValueError):
+        files.root_hash(m, buckets=1, max_flat=2)
+    assert {r.path for r in sources.code_files(spark, tree).select("path").collect()} == {"a.txt", "sub/b.txt", "sub/c.txt", "e.csv", "g.csv"}
+
+
+def test_delimited_files(spark, tree):
+    got = {(r.doc_id, r.line): r.cells for r in delimited.records(spark, tree, glob="*.csv").collect()}
+    assert got["e.csv", 2] == ["x;y", "1"] and got["e.csv", 3] == ["two\nlines", "2"] and got["e.csv", 4] == ["", ""]
+    t = delimited.table(delimited.records(spark, tree, glob="e.csv"))
+    assert t.columns == ["line", "姓名", "金额"] and t.where("`金额` = '2'").count() == 1
+    assert delimited.sniff_consistent("a,b;c\nd,e;f\n") in ",;" and delimited.sniff("a\tb,c\td") == "\t"
+
+
+def test_gb18030_and_settings(tree):
+    """Decoding needs a setting that a running session doesn't take: it is read from a fresh one in the source's docs."""
+    from opsdesk.session import SETTINGS
+
+    assert SETTINGS["spark.sql.legacy.javaCharsets"] == "true"
+
+
+def test_writers(spark, tmp_path):
+    df = spark.createDataFrame([("a,b", 'q"q'), ("x", None)], "h1 string, h2 string")
+    sinks.write_csv(df.coalesce(1), f"{tmp_path}/csv")
+    text = "".join(open(f"{tmp_path}/csv/{f}").read() for f in os.listdir(f"{tmp_path}/csv") if f.endswith(".csv"))
+    assert text == 'h1,h2\n"a,b","q""q"\nx,\n'
+    assert delimited.parse(text, ",") == [["h1", "h2"], ["a,b", 'q"q'], ["x", ""]]
+    with pytest.raises(Exception, match="already exists"):
+        sinks.write_csv(df, f"{tmp_path}/csv")
+    sinks.write_report(df, f"{tmp_path}/json")
+    assert spark.read.json(f"{tmp_path}/json").count() == 2
+    assert sinks.console_table(df).split("\n")[0] == "| h1  | h2  |"
+
+
+def test_lists(spark, tmp_path):
+    (tmp_path / "words").write_text("# comment\n导流|微信|wx|\n\nbad\n")
+    (tmp_path / "days").write_text("2024-05-01|holiday\n2024-05-11 | workday\nnonsense\n2024-02-31|holiday\n")
+    assert rows(delimited.word_list(spark, f"{tmp_path}/words")) == [("导流", "微信", ["wx"])]
+    days = delimited.holiday_list(spark, f"{tmp_path}/days")
+    assert rows(days) == [(D(2024, 5, 1), "holiday"), (D(2024, 5, 11), "workday")] and rows(calendars.covered_years(days)) == [(2024, 2)]
+
+
+def test_rename(spark):
+    df = spark.createDataFrame([("d/My File.TXT", 1), ("d/my-file.txt", 2), ("d/.hidden", 3)], "path string, bytes long").withColumn("mtime", F.lit("2024-03-05 06:07:08").cast("timestamp"))
+    got = {r.name: (r.new_name, r.problem) for r in files.rename_plan(df, style="kebab").collect()}
+    assert got["My File.TXT"] == ("my-file.TXT", None)
+    got = [r.new_name for r in files.rename_plan(df, template="{date}_{seq}.{ext}", start=5).orderBy("new_name").collect()]
+    assert got[0].startswith("20240305_005.")
+    assert {r.problem for r in files.rename_plan(df, template="same").collect()} == {"taken"} and {r.problem for r in files.rename_plan(df, find=r"^.*$", replace="a?", regex=True).collect()} == {"forbidden"}
+
+
+# --- calendars ---------------------------------------------------------------------------------------------------
+
+
+def test_deadlines(spark):
+    holidays = spark.createDataFrame([(D(2024, 5, 1), "holiday"), (D(2024, 5, 2), "holiday"), (D(2024, 5, 11), "workday")], "d date, kind string")
+    df = spark.createDataFrame([(1, D(2024, 4, 29)), (2, D(2024, 4, 1)), (3, D(2025, 1, 1))], "k int, s date")
+    got = {r.k: (r.nominal, r.actual, r.postponed, r.uncovered) for r in calendars.deadlines(df, holidays, start="s", key="k", amount=2).collect()}
+    assert got == {1: (D(2024, 5, 1), D(2024, 5, 3), True, False), 2: (D(2024, 4, 3), D(2024, 4, 3), False, False), 3: (D(2025, 1, 3), D(2025, 1, 3), False, True)}
+    assert {r.k: r.actual for r in calendars.nth_workday(df, holidays, start="s", key="k", n=3).collect()}[1] == D(2024, 5, 6)
+    assert calendars.deadlines(df.where("k = 1"), holidays, start="s", key="k", amount=1, unit="years").first().nominal == D(2025, 4, 29)
+
+
+def following(expression, start, n):
+    v = {f: calendars.cron_values(f, t) for f, t in calendars._fields(expression).items()}
+    parts, at, out = expression.split()[-5:], start.replace(second=0), []
+    while len(out) < n:
+        at += datetime.timedelta(minutes=1)
+        dom, dow = at.day in v["day"], at.isoweekday() % 7 in v["dow"]
+        day = (dom or dow) if parts[2] != "*" and parts[4] != "*" else dom and dow
+        if at.minute in v["minute"] and at.hour in v["hour"] and at.month in v["month"] and day:
+            out.append(at)
+    return out
+
+
+@pytest.mark.parametrize("expression", ["*/15 * * * *", "0 9 * * 1-5", "0 0 1 * 1", "30 6,18 10-12 feb,mar *", "5/10 0 * * 7"])
+def test_cron_times(spark, expression):
+    start = datetime.datetime(2024, 2, 28, 23, 50)
+    df = spark.createDataFrame([(1, start)], "k int, s timestamp")
+    got = [r["at"] for r in calendars.cron_next(df, expression, start="s", key="k", n=4).orderBy("nth").collect()]
+    assert got == following(expression, start, 4)
+
+
+def test_cron_texts(spark):
+    df = spark.createDataFrame([(1, datetime.datetime(2026, 3, 5, 8))], "k int, s timestamp")
+    assert [r["at"].second for r in calendars.cron_next(df, "10,40 0 9 * * *", start="s", key="k", n=2).collect()] == [10, 40]
+    zh = {"*/10 * * * *": "每 10 分钟执行一次", "30 7 * * *": "每天 07:30", "0 8 * * 2-4": "周二至周四 08:00", "0 0 15 * *": "每月 15 日 00:00", "0 */3 * * *": "每 3 小时，在第 00 分执行", "0 9 1 * 1": "每月 1 日，或周一 09:00", "15 * * * *": "每天的 每小时第 15 分"}
+    assert {k: calendars.cron_text(k) for k in zh} == zh
+    assert calendars.cron_text("5 10 * * sat,sun", "en") == "At 10:05 Sunday, Saturday" and calendars.cron_text("0 9 * 1-3 *", "en") == "At 09:00 every day in 1-3"
+    for bad in ("* * *", "0 0 * * 9", "5-1 * * * *", "0 0 L * *", "0 0 0 1 1 * 2026"):
+        with pytest.raises(ValueError):
+            calendars.cron_text(bad)
+    assert calendars.named_day("tomorrow", "2024-02-28") == "2024-02-29" and calendars.named_day("03-04", "2024-02-28") == "2024-03-04" and calendars.named_day("??", "2024-02-28") == "2024-02-28"
+
+
+# --- documents ---------------------------------------------------------------------------------------------------
+
+
+def test_markdown_rules(spark):
+    cases = {
+        "# a\n\n### b\n": ["MD001"], "# a\n# b\n": ["MD025"], "- a\n* b\n": ["MD004"], "- a\n\n- b\n": [], "text \nx\n": ["MD009"], "\tx\n": ["MD010"], "#  a\n": ["MD019"], "# a。\n": ["MD026"], "-  a\n": ["MD027"],
+        "see https://x.y here\n": ["MD034"], "[](u)\n": ["MD039"], "```\nx \n```\n": ["MD040"], "```py\n~~~\nx": ["MD031", "MD047"], "a": ["MD047"], "a\n\n": ["MD012"], "": [], "|a|b|\n|-|-|\n|1|\n": ["MD056"], "|a|\n|b|\n": ["MD056"], "|a\\|b|c|\n|-|-|\n|1|2|\n": [],
+    }
+    got = {}
+    for r in documents.lint(docs(spark, *cases)).collect():
+        got.setdefault(r.doc_id, []).append(r.code)
+    assert {t: sorted(got.get(i, [])) for i, t in enumerate(cases)} == cases
+    fence = documents.lint(docs(spark, "a\n```py\nb\nc\n")).where("code = 'MD031'").first()
+    assert fence.line == 2
+
+
+def test_markdown_fix(spark):
+    cases = {"a  \n* b\n\tc": "a\n- b\n  c\n", "```\n* x  \n": "```\n* x  \n```\n", "x\n\n\n": "x\n", "": ""}
+    df = docs(spark, *cases)
+    got = df.select("doc_id", documents.fix("text").alias("text"))
+    assert [r.text for r in got.orderBy("doc_id").collect()] == list(cases.values())
+    assert {r.code for r in documents.lint(got).collect()} <= {"MD040"}
+
+
+def test_links(spark):
+    df = docs(spark, "[a](there.md) [b](gone.md#x) [c](https://x.y) [d](#top)")
+    assert [r.target for r in documents.dead_links(df, spark.createDataFrame([("there.md",)], "path string")).collect()] == ["gone.md"]
+
+
+def test_subtitles(spark):
+    srt = "1\n00:00:01,000 --> 00:00:02,500\nhello\nthere\n\n2\n00:00:03,000 --> 00:00:04,000\nbye\n"
+    c = documents.cues(docs(spark, srt))
+    assert rows(c, "start_ms", "end_ms", "text") == [(1000, 2500, "hello\nthere"), (3000, 4000, "bye")]
+    assert documents.subtitles(c).first().text == srt
+    ass = documents.subtitles(c, "ass")
+    assert rows(documents.ass_cues(ass), "start_ms", "end_ms", "text") == rows(c, "start_ms", "end_ms", "text")
+    assert rows(documents.cues(documents.subtitles(c, "vtt")), "start_ms", "text") == rows(c, "start_ms", "text")
+
+
+def test_json(spark):
+    df = docs(spark, '{"b": 1, "a": [{"x": "s"}]}', '﻿{"a": []}', '{"a": ,}', "", None)
+    assert [r.valid for r in documents.json_validity(df, "text").orderBy("doc_id").collect()][:3] == [True, True, False]
+    bad = {r.doc_id: (r.line, r.column) for r in documents.json_errors(df, "text").collect()}
+    assert bad[2] == (1, 7) and {0, 1} & set(bad) == set()
+    assert documents.json_pretty(df, "text", indent=None, sort_keys=True).orderBy("doc_id").first().text == '{"a":[{"x":"s"}],"b":1}'
+    good = docs(spark, '{"user-name": "a", "items": [{"n": 1}], "ok": true}', '{"user-name": "b", "items": []}')
+    text = documents.interfaces(good, "text", "reply")
+    assert "export interface Reply {" in text and '"user-name": string;' in text and "items: Item[];" in text and "ok?: boolean;" in text and "n: number;" in text
+
+
+# --- timetable ---------------------------------------------------------------------------------------------------
+
+
+def test_timetable(spark):
+    schema = "no string, seq int, station string, arrive string, depart string, type string, workday_only boolean, eff_from date, eff_until date"
+    run = lambda no, *at, kind="slow", only=False, until=None: [(no, k, s, t, t, kind, only, D(2024, 1, 1), until) for k, (s, t) in enumerate(at)]
+    stops = spark.createDataFrame(run("A1", ("x", "23:50"), ("y", "00:05"), ("z", "00:20")) + run("B2", ("x", "08:00"), ("z", "08:30"), kind="fast", only=True) + run("C3", ("x", "09:00"), ("z", "09:30"), until=D(2024, 2, 1)), schema)
+    got = [(r.no, r.minutes) for r in timetable.search(stops, origin="x", to="z", date="2024-05-01").collect()]
+    assert got == [("B2", 30), ("A1", 30)]
+    assert [r.no for r in timetable.search(stops, origin="x", to="z", date="2024-05-01", holiday=True, via="y").collect()] == ["A1"]
+    assert timetable.search(stops, origin="z", to="x", date="2024-05-01").count() == 0
+    off = spark.createDataFrame([(D(2024, 5, 1), "B2"), (D(2024, 5, 2), "*")], "d date, no string")
+    assert [r.no for r in timetable.search(stops, origin="x", to="z", date="2024-05-01", suspended=off).collect()] == ["A1"]
+    assert timetable.search(stops, origin="x", to="z", date="2024-05-02", suspended=off).count() == 0
+    assert [r.effective for r in timetable.stops_of(stops, "C3", "2024-05-01").collect()] == [False, False]
+    prices = spark.createDataFrame([("z", "x", 12)], "a string, b string, price int")
+    assert {r.price for r in timetable.priced(timetable.search(stops, origin="x", to="z", date="2024-05-01"), prices, origin="x", to="z").collect()} == {12}
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "version int, no string")
+    assert rows(timetable.latest_or_fallback(old, old.select("no").where("no = 'a'"))) == [("b",)]
+    assert rows(timetable.latest_or_fallback(old.limit(0), old.select("no").where("no = 'a'"))) == [("a",)]
+
+
+# --- streams -----------------------------------------------------------------------------------------------------
+
+
+def test_stream_gives_what_a_batch_gives(spark, tmp_path):
+    data = "/root/testdata/sf0.001/events.parquet"
+    if not os.path.exists(data):
+        pytest.skip("no test tables")
+    os.makedirs(f"{tmp_path}/in")
+    spark.read.parquet(data).repartition(3).write.mode("overwrite").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(spark.read.parquet(data).schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = live.run_on(stream, lambda b: b.where("value > 50").select("event_id", "value"), f"{tmp_path}/out", f"{tmp_path}/cp")
+    q.awaitTermination()
+    assert rows(spark.read.parquet(f"{tmp_path}/out").select("event_id")) == rows(spark.read.parquet(data).where("value > 50").select("event_id"))
+    q = live.windowed_totals(stream).writeStream.format("memory").queryName("totals").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("totals").agg(F.sum("n")).first()[0] == spark.read.parquet(data).count()
+
+
+def test_partitions_change_nothing(spark):
+    df = docs(spark, *["".join(random.Random(i).choices("最好第一 微信\n", k=30)) for i in range(40)])
+    for f in (lexicons.ad_findings, lambda x: lexicons.word_spans(x, lexicons.banned_words(spark)), documents.lint):
+        assert rows(f(df.coalesce(1))) == rows(f(df.repartition(7)))
+
+
