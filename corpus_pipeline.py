@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsdesk.llm import decontam, linededup, mixing, neardup, toxicity
-from opsdesk.llm.common import crc_mod, cut, read
+from opsdesk.llm.common import crc_mod, cut, read, wide
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     """Of documents linked by a similarity of 0.8 on five-word shingles the one with the smallest doc_id stays. Repeated
     rows of one doc_id stay or go together; of those that stay one is kept."""
     keep = neardup.near_duplicates(docs, words=5, percent=80).where("not kept").select("doc_id").distinct()
-    left = docs.join(cut(keep), "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(wide(cut(keep)), "doc_id", "left_anti").select(*docs.columns)
     twice = cut(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id"))
     if twice.isEmpty():
         return left
@@ -40,8 +40,7 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that cover half of a benchmark item or more go."""
-    leaks = decontam.contaminated(docs, read(spark, sf_dir, "benchmark"), min_match=5, coverage=0.5).select("doc_id").distinct()
-    return docs.join(cut(leaks), "doc_id", "left_anti").select(*docs.columns)
+    return decontam.clean(docs, read(spark, sf_dir, "benchmark"), min_match=5, coverage=0.5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,6 +27,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def wide(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: both sides are dealt by key and merged at every size, so that the plan
+    measured on a small input is the plan of a large one, and AQE can split a hot key."""
+    return df.hint("merge")
+
+
 def crc_mod(col: Column, n: int) -> Column:
     """crc32 of the value as text, modulo n."""
     return F.crc32(col.cast("string").cast("binary")) % F.lit(n)

@@ -23,10 +23,11 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, wide
 
 _WORD = re.compile(r"\w+").findall
 _BASE, _PRIME = 1_000_003, (1 << 61) - 1
@@ -150,18 +151,50 @@ def _pairs(min_match: int, coverage: float) -> Callable:
     return run
 
 
+def _without(items: dict[int, list[str]], min_match: int, coverage: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = Seeds(items, min_match)
+        for batch in batches:
+            keep = []
+            for text in batch.column("text").to_pylist():
+                doc, found = seeds(tokens(text))
+                keep.append(not any(_judged(0, doc, i, seeds.coded[i], min_match, coverage) for i in found))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _held(items: DataFrame, max_broadcast_seeds: int) -> dict[int, list[str]] | None:
+    """The items' tokens, if they are few enough to be sent to the tasks."""
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0  # characters: no fewer than tokens or seeds
+    return {r.item_id: t for r in items.collect() if (t := tokens(r.text))} if size <= max_broadcast_seeds else None
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.where("item_id is not null and text is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text"))
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame, *, min_match: int = 5, coverage: float = 0.5, max_broadcast_seeds: int = 500_000) -> DataFrame:
     """One row for each document and item of which it covers ``coverage`` or more: doc_id, item_id, covered tokens,
     item_tokens, coverage and the number of tiles."""
     docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = benchmark.where("item_id is not null and text is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text"))
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0  # characters: no fewer than tokens or seeds
-    if size <= max_broadcast_seeds:
-        held = {r.item_id: t for r in items.collect() if (t := tokens(r.text))}
+    items = _items(benchmark)
+    held = _held(items, max_broadcast_seeds)
+    if held is not None:
         return docs.mapInPandas(_scan(held, min_match, coverage), OUT)
     seeds = cut(items.select(F.col("item_id").alias("id"), "text").mapInPandas(_seed_rows(min_match, []), "id long, seed long, k int").toDF("item_id", "seed", "k"))
     sizes = sorted(r.k for r in seeds.select("k").distinct().collect())
     of_docs = docs.select(F.col("doc_id").alias("id"), "text").mapInPandas(_seed_rows(None, sizes), "id long, seed long, k int").toDF("doc_id", "seed", "k")
-    pairs = of_docs.join(seeds, ["seed", "k"]).select("doc_id", "item_id").distinct()
-    texts = pairs.join(docs, "doc_id").join(items.withColumnRenamed("text", "item"), "item_id")
+    pairs = of_docs.join(wide(seeds), ["seed", "k"]).select("doc_id", "item_id").distinct()
+    texts = docs.join(wide(pairs), "doc_id").join(items.withColumnRenamed("text", "item"), "item_id")
     return texts.select("doc_id", "text", "item_id", "item").mapInPandas(_pairs(min_match, coverage), OUT)
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, *, min_match: int = 5, coverage: float = 0.5, max_broadcast_seeds: int = 500_000) -> DataFrame:
+    """The documents, with all their columns, that aren't contaminated. With a benchmark that is sent to the tasks each row
+    is judged by its own text in one map; else rows that repeat a doc_id go together, and rows without one stay."""
+    held = _held(_items(benchmark), max_broadcast_seeds)
+    if held is not None:
+        return documents.mapInArrow(_without(held, min_match, coverage), documents.schema)
+    leaks = contaminated(documents, benchmark, min_match=min_match, coverage=coverage, max_broadcast_seeds=max_broadcast_seeds).select("doc_id").distinct()
+    return documents.join(wide(cut(leaks)), "doc_id", "left_anti").select(*documents.columns)

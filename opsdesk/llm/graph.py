@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, wide
 
 
 def _star(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -27,9 +27,9 @@ def components(edges: DataFrame) -> DataFrame:
     e, seen = _seen(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while seen[0]:
         pairs, m = _star(e.union(e.select("v", "u")))
-        large = pairs.where("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = pairs.where("v > u").join(wide(m), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         pairs, m = _star(cut(large))
-        e, now = _seen(pairs.join(m, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(m).distinct())
+        e, now = _seen(pairs.join(wide(m), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(m).distinct())
         if now == seen:
             break
         seen = now
