@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.dates import subtitle_ms, subtitle_time
 from ..functions.text import display_width, markdown_cell, numericish, table_cells
+from ..sources.files import front_matter
 
 _FENCE = r"^\s*(```+|~~~+)"
 
@@ -250,3 +251,12 @@ def interfaces(df: DataFrame, column: str, name: str = "Root") -> str:
 
     root = kind(T.DataType.fromDDL(merged.t.replace("OBJECT<", "STRUCT<")), name, top=True)
     return "\n".join(blocks) + ("" if root == pascal(name) else f"export type {pascal(name)} = {root};\n")
+
+
+def package_findings(documents: DataFrame, required: tuple[str, ...] = ("name", "description", "version")) -> DataFrame:
+    """RUL10: doc_id, field, problem (missing, or no version number) of texts that must begin with such fields."""
+    fields = front_matter(documents).where(F.col("value") != "")
+    wanted = documents.select("doc_id", F.explode(F.array(*map(F.lit, required))).alias("key"))
+    missing = wanted.join(fields, ["doc_id", "key"], "left_anti").select("doc_id", F.col("key").alias("field"), F.lit("missing").alias("problem"))
+    wrong = fields.where("key = 'version'").where(~F.col("value").rlike(r"^\d+\.\d+\.\d+$"))
+    return missing.unionByName(wrong.select("doc_id", F.col("key").alias("field"), F.lit("version").alias("problem")))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import checks, dates, numbers, text
 from ..operators import aggregate, audit, calendars, clean, diff, documents, files, lexicons, quality, reconcile, scan, timetable
+from ..streaming import live
 from . import inputs
 from .inputs import HOLIDAYS_SQL, LEDGERS_SQL, MONEY_SQL, STOPS_SQL, VERSIONS_SQL, read
 
@@ -506,3 +507,96 @@ def text_sizes(spark, d):
     """STR18."""
     x = read(spark, d, "documents").withColumn("n", F.length("text").cast("long"))
     return x.select("doc_id", "n", F.when(F.col("n") < 1024, text.human_size("n")).otherwise("more").alias("size"))
+
+
+# --- scalar functions and streams' batch forms -------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, CASE WHEN len(c_name) <= 8 THEN repeat('*', len(c_name)) ELSE left(c_name, 4) || repeat('*', CAST(least(12, len(c_name) - 8) AS INTEGER)) || right(c_name, 4) END AS masked FROM customer")
+def masked_names(spark, d):
+    """STR7."""
+    return read(spark, d, "customer").select("c_custkey", text.mask("c_name").alias("masked"))
+
+
+@query("""SELECT event_id, CASE WHEN contains(props, '"') OR contains(props, ',') THEN '"' || replace(props, '"', '""') || '"' ELSE props END AS cell FROM events""")
+def csv_cells(spark, d):
+    """STR6, SNK1."""
+    return read(spark, d, "events").select("event_id", text.csv_escape("props").alias("cell"))
+
+
+@query("SELECT p_partkey, lower(replace(p_name, ' ', '_')) AS snake, lower(replace(p_name, ' ', '-')) AS kebab, upper(p_name) AS upper_name FROM part")
+def case_styles(spark, d):
+    """STR9."""
+    return read(spark, d, "part").select("p_partkey", text.case_style("p_name", "snake").alias("snake"), text.case_style("p_name", "kebab").alias("kebab"), text.case_style("p_name", "upper").alias("upper_name"))
+
+
+@query("SELECT o_orderkey, CAST(CAST(floor(o_totalprice * 100 + 0.5) / 100 AS DECIMAL(20,2)) AS VARCHAR) AS amount FROM orders")
+def cents_as_text(spark, d):
+    """MTH2."""
+    return read(spark, d, "orders").select("o_orderkey", numbers.cents_text(F.floor(F.col("o_totalprice") * 100 + 0.5).cast("long")).alias("amount"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(l_tax AS DECIMAL(18,4)) AS rate FROM lineitem")
+def tax_rates(spark, d):
+    """MTH9: rates written as per cents and as fractions."""
+    x = read(spark, d, "lineitem")
+    r = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.round(F.col("l_tax") * 100).cast("int").cast("string"), F.lit("%"))).otherwise(F.round("l_tax", 2).cast("decimal(4,2)").cast("string"))
+    return dec(x.select("l_orderkey", "l_linenumber", numbers.tax_rate(r).alias("rate")))
+
+
+@query("SELECT o_orderkey, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '2000-01-01') AS INTEGER) AS age, CAST(coalesce(abs(date_diff('day', CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END, DATE '1996-06-30')), 0) AS INTEGER) AS gap FROM orders")
+def day_gaps(spark, d):
+    """DT3, DT4: a missing side is no gap."""
+    day = F.to_date("o_orderdate")
+    x = read(spark, d, "orders")
+    return x.select("o_orderkey", F.datediff(F.lit("2000-01-01").cast("date"), day).alias("age"), dates.day_gap(F.when(F.col("o_orderkey") % 7 != 0, day), F.lit("1996-06-30").cast("date")).alias("gap"))
+
+
+@query("SELECT event_id, CAST(((event_id * 7) % 1440 - event_id % 1440 + 1440) % 1440 AS INTEGER) AS minutes FROM events")
+def durations(spark, d):
+    """DT13: over midnight where the end is earlier."""
+    at = lambda m: F.concat_ws(":", F.lpad(F.floor(m / 60).cast("string"), 2, "0"), F.lpad((m % 60).cast("string"), 2, "0"))
+    x = read(spark, d, "events")
+    return x.select("event_id", dates.minutes_between(at(F.col("event_id") % 1440), at(F.col("event_id") * 7 % 1440)).cast("int").alias("minutes"))
+
+
+@query("SELECT event_id, CAST((event_id * 37) % 86400000 AS BIGINT) AS ms, lpad(CAST((event_id * 37) % 86400000 // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST((event_id * 37) % 3600000 // 60000 AS VARCHAR), 2, '0') || ':' || lpad(CAST((event_id * 37) % 60000 // 1000 AS VARCHAR), 2, '0') || ',' || lpad(CAST((event_id * 37) % 1000 AS VARCHAR), 3, '0') AS at FROM events")
+def subtitle_times(spark, d):
+    """DT15: written and read again."""
+    x = read(spark, d, "events").select("event_id", dates.subtitle_time((F.col("event_id") * 37 % 86_400_000).cast("long")).alias("at"))
+    return x.select("event_id", dates.subtitle_ms("at").alias("ms"), "at")
+
+
+@query("SELECT DISTINCT event_type FROM events")
+def distinct_values(spark, d):
+    """SET3."""
+    return read(spark, d, "events").select("event_type").distinct()
+
+
+@query("SELECT n_nationkey, CAST(row_number() OVER (ORDER BY CAST(regexp_extract(n_name, '[0-9]+') AS INTEGER)) AS INTEGER) AS nth FROM nation")
+def natural_order(spark, d):
+    """SRT4: NATION_2 before NATION_10, within the nations' one region table."""
+    w = Window.partitionBy(F.lit(1)).orderBy(text.natural_key("n_name"))  # 25 nations at every scale
+    return read(spark, d, "nation").select("n_nationkey", F.row_number().over(w).alias("nth"))
+
+
+@query("SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '[ \\t]+$', '', 'gm'), chr(10) || '+$', '') || chr(10)) AS digest FROM documents WHERE text <> '' AND NOT regexp_matches(text, '(?m)^\\s*(```|~~~|[*+]\\s|\\t)')")
+def markdown_fix(spark, d):
+    """TXT8 on texts without fences, other list marks and tabs, which tests cover."""
+    x = read(spark, d, "documents").where(r"text <> '' and not text rlike '(?m)^\\s*(```|~~~|[*+]\\s|\\t)'")
+    return x.select("doc_id", F.sha2(documents.fix("text"), 256).alias("digest"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DECIMAL(18,2)) AS total FROM events GROUP BY ALL")
+def hourly_events(spark, d):
+    """An addition: the windowed totals of streaming.live on a table."""
+    x = live.windowed_totals(read(spark, d, "events").withColumn("value", F.col("value").cast("decimal(18,6)")))
+    return x.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.col("total").cast("decimal(18,2)").alias("total"))
+
+
+@query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o)
+    SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, count(*) AS n FROM s GROUP BY user_id, k""")
+def event_sessions(spark, d):
+    """An addition: the sessions of streaming.live on a table."""
+    x = live.sessions(read(spark, d, "events"))
+    return x.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n")

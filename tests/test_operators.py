@@ -319,6 +319,11 @@ def test_json(spark):
     assert "export interface Reply {" in text and '"user-name": string;' in text and "items: Item[];" in text and "ok?: boolean;" in text and "n: number;" in text
 
 
+def test_packages(spark):
+    df = docs(spark, "---\nname: a\ndescription: 'x'\nversion: 1.2.3\n---\nbody", "---\nname: b\nversion: 1.2\n---\n", "none")
+    assert rows(documents.package_findings(df)) == [(1, "description", "missing"), (1, "version", "version"), (2, "description", "missing"), (2, "name", "missing"), (2, "version", "missing")]
+
+
 # --- timetable ---------------------------------------------------------------------------------------------------
 
 
