@@ -70,11 +70,13 @@ def least_budget(tokens: dict, w: dict) -> int:
     return max((math.ceil(t / w[s] - 1e-9) for s, t in tokens.items() if t), default=0)
 
 
-def mix(documents: DataFrame, *, target_entropy: float | None = None, max_repeats: float = 4.0, budget: int | None = None) -> DataFrame:
+def mix(documents: DataFrame, *, target_entropy: float | None = None, max_repeats: float = 4.0, budget: int | None = None, max_sources: int = 100_000) -> DataFrame:
     """doc_id, source, n_tokens, block (from 1), start (tokens of the source's reading before the document, which orders it)
     and weight for each reading of a document."""
     slim = cut(documents.select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens")))
-    by = slim.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()
+    by = slim.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).limit(max_sources + 1).collect()
+    if len(by) > max_sources:
+        raise ValueError(f"more than {max_sources} sources: their table goes to the driver and every task")
     tokens = {r.source: r.t for r in by}
     w = weights(tokens, exponent(tokens, target_entropy=target_entropy, max_repeats=max_repeats, budget=budget))
     total = budget if budget is not None else least_budget(tokens, w)
@@ -83,7 +85,7 @@ def mix(documents: DataFrame, *, target_entropy: float | None = None, max_repeat
         quota = min(round(w[r.source] * total), int(max_repeats * r.t)) if r.t else 0
         full, rest = divmod(quota, r.t) if r.t else (1, 0)
         plan.append((r.source, w[r.source], r.t, full, rest, max(1, -(-r.n // _RANGE))))
-    # One row for each source: a few bytes each, so a broadcast whose size the number of sources bounds.
+    # One row for each source, max_sources at most: a broadcast of a few MB.
     plan = documents.sparkSession.createDataFrame(plan, "s string, weight double, t long, full long, rest long, ranges long")
     each = slim.join(F.broadcast(plan), F.col("s").eqNullSafe(F.col("source").cast("string"))).drop("s")
     n_blocks = F.col("full") + F.when(F.col("rest") > 0, 1).otherwise(0)
