@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import invalid_date, parse_date
 from ..functions.numbers import parse_number
 from ..functions.text import trim_u
+from .aggregate import exact_percentiles
 
 
 def _type(n: Column, dates: Column, shaped: Column, ints: Column, decimals: Column, numbers: Column) -> Column:
@@ -32,18 +33,20 @@ def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         F.count(F.lit(1)).alias("n_rows"), F.count_if(filled).alias("non_blank"), F.count_if(~filled).alias("blank"), F.count_distinct(F.when(filled, F.col("v"))).alias("unique_values"),
         _type(F.count_if(filled), F.count_if(parse_date("v").isNotNull()), F.count_if(filled & (parse_date("v").isNotNull() | invalid_date("v"))), F.count_if(F.col("v").rlike(r"^-?\d+$")), F.count_if(F.col("v").rlike(r"^-?\d+(\.\d+)?$")), F.count("number")).alias("type"),
         F.coalesce(F.bool_or((F.col("raw") != "") & (F.col("raw") != F.col("v"))), F.lit(False)).alias("padded"), F.count_if(invalid_date("raw")).alias("invalid_dates"),
-        F.min("number").alias("min_value"), F.max("number").alias("max_value"), F.count("number").alias("numbers"), F.percentile("number", F.array(F.lit(0.25), F.lit(0.75))).alias("q"),
+        F.min("number").alias("min_value"), F.max("number").alias("max_value"), F.count("number").alias("numbers"),
     )
+    stats = stats.join(exact_percentiles(cells, ["column_name"], "number", {"_q1": 0.25, "_q3": 0.75}), "column_name", "left")
     # One row for each column of the table: bounded by its width.
-    bounds = stats.where((F.col("numbers") >= 4) & (F.col("q")[1] > F.col("q")[0])).select("column_name", (F.col("q")[0] - 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("low"), (F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("high"))
+    spread = F.col("_q3") - F.col("_q1")
+    bounds = stats.where((F.col("numbers") >= 4) & (spread > 0)).select("column_name", (F.col("_q1") - 1.5 * spread).alias("low"), (F.col("_q3") + 1.5 * spread).alias("high"))
     beyond = cells.join(F.broadcast(bounds), "column_name").groupBy("column_name").agg(F.count_if((F.col("number") < F.col("low")) | (F.col("number") > F.col("high"))).alias("outliers"))
-    return stats.join(beyond, "column_name", "left").withColumn("outliers", F.coalesce("outliers", F.lit(0))).drop("q")
+    return stats.join(beyond, "column_name", "left").withColumn("outliers", F.coalesce("outliers", F.lit(0))).drop("_q1", "_q3")
 
 
 def outliers(df: DataFrame, value: str) -> DataFrame:
     """AGG18: rows beyond 1.5 interquartile ranges; none below four values or without spread."""
-    q = df.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count(value).alias("n"))
-    q = q.where((F.col("n") >= 4) & (F.col("q")[1] > F.col("q")[0])).select((F.col("q")[0] - 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("_low"), (F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("_high"))
+    q = df.agg(F.count(value).alias("n")).join(exact_percentiles(df, [], value, {"a": 0.25, "b": 0.75}))  # one row
+    q = q.where("n >= 4 and b > a").select((F.col("a") - 1.5 * (F.col("b") - F.col("a"))).alias("_low"), (F.col("b") + 1.5 * (F.col("b") - F.col("a"))).alias("_high"))
     return df.join(F.broadcast(q), (F.col(value) < F.col("_low")) | (F.col(value) > F.col("_high"))).drop("_low", "_high")  # one row of bounds
 
 

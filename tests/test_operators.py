@@ -35,6 +35,22 @@ def test_aggregate_of_untyped_cells(spark):
         columns.resolve(df, "missing")
 
 
+def test_percentiles_are_exact(spark):
+    r = random.Random(6)
+    data = [(r.choice(["a", "b", None]), r.choice([None, 1.0, 2.5, r.random() * 100, float(r.randrange(5))])) for _ in range(3000)] + [("one", 7.0), ("none", None)]
+    df = spark.createDataFrame(data, "k string, x double").repartition(5)
+    at = {"p0": 0.0, "p25": 0.25, "mid": 0.5, "p90": 0.9, "p95": 0.95, "p100": 1.0}
+    for keys in (["k"], []):
+        want = {tuple(x[: len(keys)]): x[len(keys) :] for x in df.groupBy(*keys).agg(*[F.percentile("x", p).alias(n) for n, p in at.items()]).collect()}
+        for buckets in (4, 64):
+            got = {tuple(x[: len(keys)]): x[len(keys) :] for x in aggregate.exact_percentiles(df, keys, "x", at, buckets=buckets).collect()}
+            assert got.keys() == {k for k, v in want.items() if v[0] is not None}
+            assert all(a == pytest.approx(b, abs=1e-9) for k, v in got.items() for a, b in zip(v, want[k], strict=True))
+    got = {x.k: x for x in aggregate.aggregate(df, ["k"], [("median", "x"), ("sum", "x"), ("p95", "x")]).collect()}
+    assert got["none"].median_x is None and got["one"].p95_x == 7 and got["none"].row_count == 1
+    assert aggregate.exact_percentiles(df.limit(0), [], "x", at).count() == 0
+
+
 def test_quality(spark):
     df = spark.createDataFrame([("1", "a", "2024-01-01"), ("2", " b", "2024-02-30"), ("x", "", "2024-03-01"), ("x", "", "2024-03-01")], "n string, s string, d string")
     codes = {(r.code, r.column_name) for r in quality.findings(df, null_rate=0.2, enums={"s": ["a"]}).collect()}
