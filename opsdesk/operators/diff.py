@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import parse_number
@@ -10,8 +10,12 @@ from ..functions.text import trim_u
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """WIN1."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+    """WIN1: as an aggregate that folds before the exchange, so that a key with many rows costs one row a task."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.select(*keys).distinct()
+    first = F.min_by(F.struct(*rest), F.struct(*order)) if order else F.first(F.struct(*rest))
+    return df.groupBy(*keys).agg(first.alias("_first")).select(*keys, "_first.*").select(*df.columns)
 
 
 def same_cell(a: Column, b: Column, *, exact: bool = False) -> Column:
