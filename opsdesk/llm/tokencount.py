@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_KEEP = 500_000
+_KEEP = 1_000_000
 #: Stands between pieces; no token holds it.
 _GAP = chr(256)
 _SPACE = regex.compile(r"\s")
@@ -66,11 +66,13 @@ class PrefixCounter:
 
     def _merge(self, data: bytes) -> list[bytes]:
         """The encoding of a short byte string by applying the merges in order."""
-        parts = [data[i : i + 1] for i in range(len(data))]
+        parts, rank, none = [data[i : i + 1] for i in range(len(data))], self.rank.get, 1 << 30
         while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.rank.get((parts[i], parts[i + 1]), 1 << 30))
-            if (parts[best], parts[best + 1]) not in self.rank:
+            ranks = [rank(p, none) for p in zip(parts, parts[1:])]
+            least = min(ranks)
+            if least == none:
                 break
+            best = ranks.index(least)
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return parts
 
@@ -132,16 +134,23 @@ class PrefixCounter:
             at = m.end()
         yield text[at:], False
 
-    def count(self, text: str) -> int:
-        if self.special and "<" in text and self.special.search(text):
-            return sum(1 if special else self.count(x) for x, special in self.segments(text) if x)
+    def _counts(self, text: str) -> tuple[list[str], list[int]]:
+        """The pieces of a text without special strings, and their tokens."""
         pieces = self.split(text)
         counts = list(map(self.whole.get, pieces))
         if None in counts:
             known = dict(zip(pieces, counts, strict=True))
             self.learn({p for p, n in known.items() if n is None})
             counts = [self.total(p) if n is None else n for p, n in zip(pieces, counts, strict=True)]
-        return sum(counts)
+        return pieces, counts
+
+    def _has_special(self, text: str) -> bool:
+        return bool(self.special and "<" in text and self.special.search(text))
+
+    def count(self, text: str) -> int:
+        if self._has_special(text):
+            return sum(1 if special else self.count(x) for x, special in self.segments(text) if x)
+        return sum(self._counts(text)[1])
 
     def _plain(self, text: str) -> np.ndarray:
         """Tokens of every prefix of a text without special strings, the empty one first."""
@@ -179,21 +188,28 @@ class PrefixCounter:
                 base, before = base + self.count(x), x
         return np.concatenate(out)
 
-    def cut(self, text: str, limit: int) -> int:
-        """Characters of the longest prefix of at most ``limit`` tokens."""
-        pieces = self.split(text)
-        if self.special and self.special.search(text):
-            return int(np.flatnonzero(self.prefixes(text) <= limit)[-1])
-        sums, ends = np.cumsum(list(map(self.total, pieces))), np.cumsum(list(map(len, pieces)))
-        if len(sums) == 0 or sums[-1] <= limit:
-            return len(text)
-        k = int(np.searchsorted(sums, limit, "right"))  # the piece in which the count passes the limit
+    def count_and_cut(self, text: str, limit: int) -> tuple[int, int]:
+        """Tokens of a text, and the characters of its longest prefix of at most ``limit`` tokens: one split for both."""
+        if self._has_special(text):
+            total = self.count(text)
+            return total, len(text) if total <= limit else int(np.flatnonzero(self.prefixes(text) <= limit)[-1])
+        pieces, counts = self._counts(text)
+        total = sum(counts)
+        if total <= limit:
+            return total, len(text)
+        k, before = 0, 0  # the piece in which the count passes the limit
+        while before + counts[k] <= limit:
+            before += counts[k]
+            k += 1
         # Only the pieces around that place can hold the last such prefix: a few more give their own counts.
         a, b = max(0, k - 2), min(len(pieces), k + 2)
-        start = int(ends[a - 1]) if a else 0
-        base = int(sums[a - 1]) if a else 0
-        near = base + self._plain(text[start : int(ends[b - 1])])
-        return start + int(np.flatnonzero(near <= limit)[-1])
+        start = sum(map(len, pieces[:a]))
+        near = sum(counts[:a]) + self._plain("".join(pieces[a:b]))
+        return total, start + int(np.flatnonzero(near <= limit)[-1])
+
+    def cut(self, text: str, limit: int) -> int:
+        """Characters of the longest prefix of at most ``limit`` tokens."""
+        return self.count_and_cut(text, limit)[1]
 
 
 @lru_cache(maxsize=2)
@@ -212,8 +228,7 @@ def token_counts(documents: DataFrame, path: str, *, limit: int = 1024) -> DataF
         c = counter(path)
         for pdf in frames:
             texts = [t or "" for t in pdf.text]
-            n = np.fromiter(map(c.count, texts), np.int64, len(texts))
-            fit = np.fromiter((c.cut(t, limit) if k > limit else len(t) for t, k in zip(texts, n, strict=True)), np.int64, len(texts))
+            n, fit = np.array([c.count_and_cut(t, limit) for t in texts], np.int64).reshape(-1, 2).T
             yield pd.DataFrame({"doc_id": pdf.doc_id, "n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in texts], "n_tokens": n, "over_limit": n > limit, "fit_chars": fit})
 
     return documents.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
