@@ -6,6 +6,7 @@ a popular amount is cut further where a gap of more than ``days`` separates its
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import pandas as pd
@@ -15,32 +16,50 @@ from pyspark.sql import functions as F
 from ..functions.dates import day_gap
 
 
+def _pairs_of(a: list[tuple], b: list[tuple], days: int) -> Iterator[tuple[int, int, int]]:
+    """In a's order: the unused entry of b with the smallest gap, of equals the first; a missing date is no gap."""
+    free = list(b)
+    for line, day in a:
+        gaps = [(0 if day is None or d is None else abs(day - d), other, k) for k, (other, d) in enumerate(free)]
+        best = min((g for g in gaps if g[0] <= days), default=None)
+        if best:
+            yield line, best[1], best[0]
+            free.pop(best[2])
+
+
 def _greedy(days: int):
-    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        """In a's order: the unused entry of b with the smallest gap, of equals the first; a missing date is no gap."""
-        free, out = list(zip(b.line, b.day, strict=True)), []
-        for line, day in a.sort_values("line")[["line", "day"]].itertuples(index=False):
-            gaps = [(0 if pd.isna(day) or pd.isna(d) else abs(day - d), other, k) for k, (other, d) in enumerate(free)]
-            best = min((g for g in gaps if g[0] <= days), default=None)
-            if best:
-                out.append((line, best[1], best[0]))
-                free.pop(best[2])
-        return pd.DataFrame(out, columns=["line_a", "line_b", "gap"])
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows in the order of group, side and line: one group is held at a time."""
+        group, sides, out = None, ([], []), []
+
+        def done(rows: list) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=["line_a", "line_b", "gap"])
+
+        for pdf in frames:
+            dated = pdf.day.notna().tolist()
+            for cents, part, side, line, day, has in zip(pdf.cents.tolist(), pdf.part.tolist(), pdf.side.tolist(), pdf.line.tolist(), pdf.day.tolist(), dated, strict=True):
+                if (cents, part) != group:
+                    out += _pairs_of(*sides, days)
+                    group, sides = (cents, part), ([], [])
+                sides[side].append((line, int(day) if has else None))
+            yield done(out)
+            out = []
+        yield done(list(_pairs_of(*sides, days)))
 
     return run
 
 
 def match_exact(a: DataFrame, b: DataFrame, *, days: int = 3) -> DataFrame:
     """JN6: line_a, line_b, gap."""
-    both = a.select(F.lit(0).alias("side"), "line", "cents", "d").union(b.select(F.lit(1).alias("side"), "line", "cents", "d"))
+    both = a.select(F.lit(0).alias("side"), "line", "cents", "d").union(b.select(F.lit(1).alias("side"), "line", "cents", "d")).where("cents is not null")
     w = Window.partitionBy("cents").orderBy("d", "side", "line")
     gap = F.datediff("d", F.lag("d").over(w))
     open_dates = F.max(F.col("d").isNull()).over(Window.partitionBy("cents"))  # an undated entry can meet any date
     both = both.withColumn("cut", F.when(~open_dates & (gap > days), 1).otherwise(0)).withColumn("part", F.sum("cut").over(w))
-    both = both.withColumn("day", F.unix_date("d")).select("side", "line", "cents", "part", "day")
-    keys = ["cents", "part"]
-    left, right = both.where("side = 0").toDF("side", "line", "cents", "part", "day"), both.where("side = 1").toDF("side", "line", "cents", "part", "day")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_greedy(days), "line_a long, line_b long, gap int")
+    whole = Window.partitionBy("cents", "part")
+    both = both.withColumns({"day": F.unix_date("d"), "low": F.min("side").over(whole), "high": F.max("side").over(whole)}).where("low <> high")
+    rows = both.select("cents", "part", "side", "line", "day").repartition("cents", "part").sortWithinPartitions("cents", "part", "side", "line")
+    return rows.mapInPandas(_greedy(days), "line_a long, line_b long, gap int")
 
 
 def leftover(side: DataFrame, matched: DataFrame, column: str) -> DataFrame:
