@@ -8,7 +8,13 @@ most others over all its buckets (in a family of variants of one text, the text
 first in a hashed order; these orders are the same in all buckets, so a large group's buckets share their centres and its
 edges repeat. Every candidate is confirmed on the full shingle sets, and the confirmed edges' components are the duplicate
 groups. Buckets whose members are then in different groups go into another round, in which the best connected member
-outside of the earlier centres' groups is the centre, until a round confirms no new edge.
+outside of the earlier centres' groups is the centre, until a round confirms no new edge or ``_ROUNDS`` are done.
+
+Stars alone miss links between two members that are no centres, so the rounds only make the rest small. The members of
+all buckets that still hold several groups are joined on the rare shingles of their prefixes: with shingles ordered by how
+many of these members have them, two sets of percent/100 similarity share one among the first n - ceil(percent * n / 100)
++ 1 of the larger and the first n - ceil(2 * percent * n / (100 + percent)) + 1 of the smaller. Every pair of different groups
+that this leaves is confirmed, so the groups are those of all pairs that share a bucket.
 
 With 32 bands of 4 bins a pair at similarity 0.8 shares no bucket with a chance of about 5e-8. Documents whose words
 are the same are folded into one before banding, so groups of exact copies cost one row each.
@@ -24,13 +30,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, wide
 from .graph import components
 
 BINS, ROWS = 128, 4
+_ROUNDS = 4
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -131,6 +138,27 @@ def _node(x: str = "") -> Column:
     return F.struct(F.col(f"{x}id").alias("id"), F.col(f"{x}n").alias("n"))
 
 
+def _rest(members: DataFrame, groups: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
+    """Candidates a < b of different groups among the members of buckets that hold several, by a prefix-filter join."""
+    rows = cut(members.select("key", "id").join(wide(groups.withColumnRenamed("node", "id")), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    mixed = cut(rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"))
+    nodes = cut(rows.join(wide(mixed), "key", "left_semi").select(F.col("id").alias("doc_id"), "root").distinct())
+    sets = documents.join(wide(nodes.select("doc_id")), "doc_id").mapInPandas(_sets(size), "doc_id long, s array<long>")
+    # A repeated doc_id has a set for each of its texts (v).
+    each = cut(sets.select("doc_id", F.size("s").alias("n"), F.xxhash64("s").alias("v"), "s").distinct().join(wide(nodes), "doc_id").select("doc_id", "root", "n", "v", F.explode("s").alias("x")))
+    shared = cut(each.groupBy("x").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("c > 1"))
+    held = cut(each.join(wide(shared), "x"))  # shingles of one set alone come first in its order: they only take places
+    one = Window.partitionBy("doc_id", "v")
+    placed = held.withColumn("at", F.row_number().over(one.orderBy("c", "x")) + F.col("n") - F.count(F.lit(1)).over(one)).where("low <> high")
+    long = cut(placed.where(F.col("at") <= F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1).select("x", "doc_id", "root", "n", "v", "at"))
+    short = long.where(F.col("at") <= F.col("n") - F.expr(f"(2 * {percent} * n + {99 + percent}) div {100 + percent}") + 1)
+    both = long.toDF("x", "a", "ra", "na", "va", "ia").join(wide(short.toDF("x", "b", "rb", "nb", "vb", "ib")), "x")
+    both = both.where(F.col("ra") != F.col("rb")).where((F.struct("nb", "b") < F.struct("na", "a")) & (100 * F.col("nb") >= percent * F.col("na")))
+    met = both.groupBy("a", "va", "na", "b", "vb", "nb").agg(F.min("ia").alias("ia"), F.min("ib").alias("ib"))
+    most = 1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))  # nothing is shared before the first shared place
+    return met.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _groups(members: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
     """node and root of the components of all confirmed candidates."""
     best = F.max(F.struct("d", "id", "n")).alias("best")
@@ -142,7 +170,10 @@ def _groups(members: DataFrame, documents: DataFrame, size: int, percent: int) -
     seen = cut(centres.select("key", F.explode("c.id").alias("id")))
     # In a bucket with as many centres as members, or one less, every pair is tested.
     left = cut(members.join(wide(centres.select("key", F.size("c").alias("k"))), "key").where("c > k + 1").select("key", "id", "n", "d"))
-    while not left.isEmpty():
+    untested = left
+    for _ in range(_ROUNDS):
+        if left.isEmpty():
+            break
         named = wide(groups.withColumnRenamed("node", "id"))
         left = cut(left.join(named, "id", "left").withColumn("root", F.coalesce("root", "id")))
         taken = cut(seen.join(named, "id", "left").select("key", F.coalesce("root", "id").alias("root")).distinct())
@@ -157,7 +188,8 @@ def _groups(members: DataFrame, documents: DataFrame, size: int, percent: int) -
         groups = cut(components(links))
         seen = seen.union(centre.select("key", F.col("c.id").alias("id")))
         left = cut(left.join(wide(centre.select("key")), "key", "left_semi").select("key", "id", "n", "d"))
-    return groups
+    pairs = cut(_rest(untested, groups, documents, size, percent).join(wide(tested), ["a", "b"], "left_anti"))
+    return groups if pairs.isEmpty() else cut(components(links.union(_confirmed(pairs, documents, size, percent))))
 
 
 def near_duplicates(documents: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:

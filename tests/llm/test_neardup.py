@@ -73,6 +73,15 @@ def test_variants_of_one_text_that_are_not_near_each_other(spark):
     assert got == want
 
 
+def test_family_without_a_central_text(spark):
+    """Samples of one pool of passages: most pairs are below the threshold, links join any two of them, and the rounds of
+    stars leave some out."""
+    r = random.Random(3)
+    passages = [" ".join(f"p{k}w{i}" for i in range(14)) for k in range(60)]
+    rows = [(i, " ".join(passages[k] for k in sorted(r.sample(range(60), 51)))) for i in range(250)]
+    assert {x.doc_id: x.component_id for x in result(spark, rows, 4)} == brute(rows, 4, 80)
+
+
 def test_edge_cases(spark):
     long = " ".join(f"t{i % 977}" for i in range(60_000))
     rows = [(1, long), (2, long + " end"), (3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (4, "a b c d e f"), (5, None)]
