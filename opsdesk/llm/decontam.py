@@ -192,9 +192,10 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, *, min_match: int =
 
 def clean(documents: DataFrame, benchmark: DataFrame, *, min_match: int = 5, coverage: float = 0.5, max_broadcast_seeds: int = 500_000) -> DataFrame:
     """The documents, with all their columns, that aren't contaminated. With a benchmark that is sent to the tasks each row
-    is judged by its own text in one map; else rows that repeat a doc_id go together, and rows without one stay."""
+    is judged by its own text in one map; else by a key of doc_id and text, so that both ways keep the same rows."""
     held = _held(_items(benchmark), max_broadcast_seeds)
     if held is not None:
         return documents.mapInArrow(_without(held, min_match, coverage), documents.schema)
-    leaks = contaminated(documents, benchmark, min_match=min_match, coverage=coverage, max_broadcast_seeds=max_broadcast_seeds).select("doc_id").distinct()
-    return documents.join(wide(cut(leaks)), "doc_id", "left_anti").select(*documents.columns)
+    keyed = documents.withColumn("_row", F.xxhash64("doc_id", "text"))
+    leaks = contaminated(keyed.select(F.col("_row").alias("doc_id"), "text"), benchmark, min_match=min_match, coverage=coverage, max_broadcast_seeds=max_broadcast_seeds).select(F.col("doc_id").alias("_row")).distinct()
+    return keyed.join(wide(cut(leaks)), "_row", "left_anti").select(*documents.columns)

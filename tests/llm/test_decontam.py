@@ -69,3 +69,10 @@ def test_both_ways_agree(spark):
     docs, bench = tables(spark, rows, items)
     one, two = (sorted(map(tuple, decontam.contaminated(docs, bench, min_match=3, max_broadcast_seeds=m).collect())) for m in (500_000, 1))
     assert one == two and len(one) > 5
+
+
+def test_clean_keeps_the_same_rows_both_ways(spark):
+    rows = [(None, ITEM), (None, "nothing of it"), (None, None), (1, ITEM), (1, "nothing of it"), (1, None), (2, "nothing of it"), (2, "nothing of it"), (3, ITEM), (3, ITEM)]
+    docs, bench = tables(spark, rows, [(100, ITEM)])
+    one, two = (sorted(((r.doc_id, r.text) for r in decontam.clean(docs, bench, max_broadcast_seeds=m).collect()), key=str) for m in (500_000, 0))
+    assert one == two == sorted((x for x in rows if x[1] != ITEM), key=str)
