@@ -23,7 +23,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of lines within one edit of each other only the first stays; a document without any line left goes."""
+    """Of lines within one edit of each other only the first stays; a document without any line left goes.
+    Lines under 20 characters stay, repeated or not (README: how many)."""
     return linededup.dedup_lines(docs, max_edits=1, min_chars=20)
 
 

@@ -10,11 +10,11 @@ Keys that more than ``_GROUP`` lines share (a common beginning with many endings
 lines without the shared segment must still be within t edits, so it is split and keyed again, group by group, until the
 groups are small or nothing but t characters is left; lines of the latter kind get star-shaped edges.
 
-Lines are compared without blanks at both ends. Lines under ``min_chars`` characters (brackets, single words) are
-neither compared nor dropped. Classes are the connected components of the verified pairs, and a class's first
+Lines are compared without blanks at both ends. Lines under ``min_chars`` characters, or of no more than ``max_edits``
+(edits make any of them out of any other), are in one class with their exact copies only. Classes are the connected components of the verified pairs, and a class's first
 occurrence (by doc_id, then line number) is kept.
 
-Defined results: null texts have no lines; empty texts have one empty line, too short to be compared; occurrences in
+Defined results: null texts have no lines; empty texts have one blank line, and blank lines take no part; occurrences in
 rows that repeat a doc_id are told apart by nothing, and so share their decision; rows without doc_id are left as they are.
 """
 
@@ -125,11 +125,11 @@ def links(documents: DataFrame, *, max_edits: int = 1, min_chars: int = 20) -> D
     return cut(both.where(edit_within("x", "y", max_edits)).select("a", "b"))
 
 
-def line_classes(documents: DataFrame, *, max_edits: int = 1, min_chars: int = 20) -> DataFrame:
+def line_classes(documents: DataFrame, *, max_edits: int = 1, min_chars: int = 20, shortest: int = 1) -> DataFrame:
     """doc_id, line, class_doc_id and class_line (the class's first occurrence), n_links (different lines within max_edits
-    of this one) and kept, for each line of min_chars characters or more."""
+    of this one) and kept, for each line of ``shortest`` characters or more: each that isn't blank, by default."""
     near = links(documents, max_edits=max_edits, min_chars=min_chars)
-    where = cut(lines_of(documents, max(min_chars, max_edits + 1)).select("doc_id", "line", "id"))
+    where = cut(lines_of(documents, max(shortest, 1)).select("doc_id", "line", "id"))
     root = components(near)
     degree = near.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     known = cut(root.join(wide(degree), "node", "full"))  # lines with a link: the root has none of its own in root
@@ -142,8 +142,9 @@ def line_classes(documents: DataFrame, *, max_edits: int = 1, min_chars: int = 2
 
 
 def dedup_lines(documents: DataFrame, *, max_edits: int = 1, min_chars: int = 20) -> DataFrame:
-    """The documents without the lines that line_classes doesn't keep; a document that loses its last line goes."""
-    gone = line_classes(documents, max_edits=max_edits, min_chars=min_chars).where("not kept")
+    """The documents without the lines that line_classes doesn't keep; a document that loses its last line goes. Shorter
+    lines than min_chars (brackets, single words) stay, repeated or not: they are part of what is around them."""
+    gone = line_classes(documents, max_edits=max_edits, min_chars=min_chars, shortest=min_chars).where("not kept")
     gone = cut(gone.groupBy("doc_id").agg(F.collect_set("line").alias("_gone")))
     left = documents.join(wide(gone), "doc_id", "left").withColumn("_lines", F.split("text", "\n"))
     kept = F.expr("transform(array_except(sequence(0, size(_lines) - 1), _gone), i -> get(_lines, i))")

@@ -57,7 +57,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.line_classes(read(spark, sf_dir, "documents"), max_edits=1, min_chars=20)
+    return linededup.line_classes(read(spark, sf_dir, "documents"), max_edits=1, min_chars=2)
 
 
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_vector_search": op2_vector_search, "op3_decontamination": op3_decontamination, "op4_quotation_linking": op4_quotation_linking, "op5_language_id": op5_language_id, "op6_token_counts": op6_token_counts, "op7_near_dedup": op7_near_dedup, "op8_secret_scan": op8_secret_scan, "op9_mixing": op9_mixing, "op10_line_dedup": op10_line_dedup}

@@ -75,3 +75,13 @@ def test_documents(spark):
     assert {(x.class_doc_id, x.class_line) for x in classes.where("doc_id in (1, 2, 3, 6) and line = 0").collect()} == {(1, 0)}
     assert classes.where("doc_id = 2 and line = 0").first().n_links == 1
     assert linededup.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_short_lines_have_classes(spark):
+    rows = [(1, "}\nshort\n\nx"), (2, " }\nshort \nsharp\n \t"), (3, "shorts\ny")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    exact = {(x.doc_id, x.line): (x.class_doc_id, x.class_line, x.n_links, x.kept) for x in linededup.line_classes(df).collect()}
+    own = {k: (*k, 0, True) for k in [(1, 0), (1, 1), (1, 3), (2, 2), (3, 0), (3, 1)]}
+    assert exact == own | {(2, 0): (1, 0, 0, False), (2, 1): (1, 1, 0, False)}
+    near = {(x.doc_id, x.line): (x.class_doc_id, x.class_line, x.n_links, x.kept) for x in linededup.line_classes(df, min_chars=2).collect()}
+    assert near == exact | {(1, 1): (1, 1, 1, True), (2, 1): (1, 1, 1, False), (3, 0): (1, 1, 1, False)}
