@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import hash_below
-from .ngrams import Distinct, hashed
+from .ngrams import Distinct, hashed, slices
 
 SIZES = (3, 6)
 BITS = 22
@@ -64,18 +64,31 @@ def _features(buckets: np.ndarray) -> Callable:
             rows = []
             for text in pdf.text:
                 f = lut[hashed(normal(text), SIZES, BITS)]
-                rows.append(distinct(f[f >= 0]).astype(np.int32))
+                rows.append(distinct(f[f >= 0]).astype(np.int16).tobytes())
             yield pd.DataFrame({"toxic": pdf.toxic, "features": rows})
 
     return run
 
 
-def _logistic(rows: np.ndarray, features: np.ndarray, y: np.ndarray, scale: np.ndarray, l2: float, steps: int = 12) -> tuple[np.ndarray, float]:
-    """Newton's method, each step solved by conjugate gradients, on the mean log loss plus a ridge (not on the intercept)."""
+def _logistic(sizes: np.ndarray, features: np.ndarray, y: np.ndarray, scale: np.ndarray, l2: float, steps: int = 12) -> tuple[np.ndarray, float]:
+    """Newton's method, each step solved by conjugate gradients, on the mean log loss plus a ridge (not on the intercept).
+    The rows' features stay packed one after another (sizes: how many each row has) and are widened a block of rows at a time."""
     n, d = len(y), len(scale)
-    weight, x, ridge = np.full(n, 1 / max(1, n)), scale[features], np.append(np.full(d, l2), 0.0)
-    times = lambda v: np.bincount(rows, x * v[features], minlength=n) + v[d]
-    back = lambda g: np.append(np.bincount(features, g[rows] * x, minlength=d), g.sum())
+    weight, ridge = np.full(n, 1 / max(1, n)), np.append(np.full(d, l2), 0.0)
+    at = np.append(0, np.cumsum(sizes))
+
+    def times(v: np.ndarray) -> np.ndarray:
+        out, x = np.empty(n), v[:d] * scale
+        for s in slices(n, 256):
+            out[s] = np.bincount(np.repeat(np.arange(s.stop - s.start), sizes[s]), x[features[at[s.start] : at[s.stop]]], minlength=s.stop - s.start)
+        return out + v[d]
+
+    def back(g: np.ndarray) -> np.ndarray:
+        out = np.zeros(d)
+        for s in slices(n, 256):
+            out += np.bincount(features[at[s.start] : at[s.stop]], np.repeat(g[s], sizes[s]), minlength=d)
+        return np.append(out * scale, g.sum())
+
     loss = lambda v, m: (weight * (np.logaddexp(0, m) - y * m)).sum() + 0.5 * (ridge * v * v).sum()
     w = np.zeros(d + 1)
     m = times(w)
@@ -101,7 +114,7 @@ def _logistic(rows: np.ndarray, features: np.ndarray, y: np.ndarray, scale: np.n
     return w[:d], float(w[d])
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, learn: Column | None = None, max_fit_rows: int = 12_000, n_features: int = 4_096, smooth: float = 1.0, l2: float = 1e-4) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, *, learn: Column | None = None, max_fit_rows: int = 20_000, n_features: int = 8_192, smooth: float = 1.0, l2: float = 1e-4) -> Model:
     """learn: which labelled rows may be learned from (a condition on doc_id)."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known if learn is None else known.where(learn)
@@ -122,10 +135,10 @@ def fit(documents: DataFrame, labels: DataFrame, *, learn: Column | None = None,
     buckets = best.bucket.to_numpy(np.int32)
     pos, neg = best.pos.to_numpy(float) + smooth, best.neg.to_numpy(float) + smooth
     ratio = np.log(pos / (n1 + 2 * smooth)) - np.log(neg / (n0 + 2 * smooth))
-    got = sample.mapInPandas(_features(buckets), "toxic int, features array<int>").toPandas()
-    sizes = got.features.map(len).to_numpy()
-    flat = np.concatenate([np.zeros(0, np.int32), *got.features]).astype(np.int64)
-    w, b = _logistic(np.repeat(np.arange(len(got)), sizes), flat, got.toxic.to_numpy(float), ratio, l2)
+    got = sample.mapInPandas(_features(buckets), "toxic int, features binary").toPandas()
+    sizes = got.features.map(len).to_numpy() // 2
+    flat = np.frombuffer(b"".join(got.pop("features")), np.int16)
+    w, b = _logistic(sizes, flat, got.toxic.to_numpy(float), ratio, l2)
     return Model(buckets, w * ratio, b)
 
 

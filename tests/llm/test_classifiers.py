@@ -94,3 +94,22 @@ def test_kernel_is_the_string_kernel():
     got = langid.Kernel(vocabulary, presence, root)(texts)
     want = [[len(set(a) & set(b)) / np.sqrt(len(a) * len(b)) for b in grams] for a in grams]
     assert np.allclose(got, want, atol=1e-5)
+
+
+def test_toxicity_fit_holds_packed_features():
+    import inspect
+    import tracemalloc
+
+    import numpy as np
+    from opsdesk.llm import toxicity
+
+    given = inspect.signature(toxicity.fit).parameters
+    assert given["max_fit_rows"].default == 20_000 and given["n_features"].default == 8_192
+    r, n, d = np.random.default_rng(1), 4_000, 8_192
+    sizes = r.integers(0, 800, n)
+    y, features = (r.random(n) < 0.5).astype(float), r.integers(0, d, sizes.sum()).astype(np.int16)
+    tracemalloc.start()
+    w, _ = toxicity._logistic(sizes, features, y, r.normal(size=d), 1e-4, steps=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert w.any() and peak < 4 * features.nbytes
