@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
+    """The cluster's shared folder: spark.checkpoint.dir, or a temporary one where that is unset and the session is local
+    (tests). Elsewhere executors would write to their own disks, so that an unset one is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -20,11 +23,23 @@ def shared_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it again: the lineage ends there, and a lost executor
-    costs no recomputation. The cluster's own policy for spark.checkpoint.dir clears these tables."""
+    costs no recomputation. Steps drop() what they no longer need; what a result still reads stays until the
+    cluster's own policy for spark.checkpoint.dir clears it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/opsdesk-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of cut() that nothing will read again. Others are left alone."""
+    for df in tables:
+        path = df.__dict__.pop("_written", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def wide(df: DataFrame) -> DataFrame:

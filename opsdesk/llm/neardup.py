@@ -3,18 +3,19 @@
 One hash of each word shingle gives the whole signature: its high bits choose one of ``BINS`` bins, each bin keeps its
 smallest value, and an empty bin borrows from a bin that a hash of its own number picks (optimal densification).
 ``ROWS`` bins make a band, and documents that agree in a band share a bucket. A bucket gives star-shaped candidate
-edges, from a few centres to each member, so that their number is linear in its size. The centres are the member that meets
-most others over all its buckets (in a family of variants of one text, the text itself), the first and last id, and the
-first in a hashed order; these orders are the same in all buckets, so a large group's buckets share their centres and its
-edges repeat. Every candidate is confirmed on the full shingle sets, and the confirmed edges' components are the duplicate
-groups. Buckets whose members are then in different groups go into another round, in which the best connected member
-outside of the earlier centres' groups is the centre, until a round confirms no new edge or ``_ROUNDS`` are done.
-
-Stars alone miss links between two members that are no centres, so the rounds only make the rest small. The members of
-all buckets that still hold several groups are joined on the rare shingles of their prefixes: with shingles ordered by how
-many of these members have them, two sets of percent/100 similarity share one among the first n - ceil(percent * n / 100)
-+ 1 of the larger and the first n - ceil(2 * percent * n / (100 + percent)) + 1 of the smaller. Every pair of different groups
-that this leaves is confirmed, so the groups are those of all pairs that share a bucket.
+edges, from one centre to each member, so that their number is linear in its size. The centre is the member that meets
+most others over all its buckets (in a family of variants of one text, the text itself or the least altered variant); this
+order is the same in all buckets, so a large family's buckets share their centres and its edges repeat. Every edge is
+confirmed on the full shingle sets, and the components of the confirmed ones are the groups so far.
+
+Stars alone miss links between two members that are no centres, so buckets that still hold several groups are closed:
+each member outside of a bucket's largest group (a stranger) is held against the members of other groups there, and a pair
+becomes a candidate unless bounds rule it out. They need three numbers of each member: its set's size n, how far it is from
+the centre (d, the size of the symmetric difference, known from its edge), and how many of its shingles no other of these
+members has (u). Two sets share at most min(n - u) shingles, and as the centre is the same for both, what they differ in is
+at least d + d' - 2 min(d - u, d' - u). The bounds are part of the join's condition: pairs are counted, not made, until one
+survives, and survivors are confirmed in full. No bucket or candidate is left out, so the groups are those of all pairs
+that share a bucket.
 
 With 32 bands of 4 bins a pair at similarity 0.8 shares no bucket with a chance of about 5e-8. Documents whose words
 are the same are folded into one before banding, so groups of exact copies cost one row each.
@@ -30,14 +31,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, wide
+from .common import cut, drop, wide
 from .graph import components
 
 BINS, ROWS = 128, 4
-_ROUNDS = 4
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -108,88 +108,84 @@ def _sets(size: int):
     return run
 
 
-def _confirmed(edges: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the edges a, b whose sets have at least percent/100 of their union in common."""
-    ends = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = cut(documents.join(wide(ends), "doc_id").mapInPandas(_sets(size), "doc_id long, s array<long>"))
-    both = edges.join(wide(sets.toDF("a", "sa")), "a").join(wide(sets.toDF("b", "sb")), "b")
-    both = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("x"))
-    return cut(both.where(100 * F.col("x") >= percent * (F.col("n") - F.col("x"))).select("a", "b"))
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, n (sum of the sizes) and x (shared shingles) of each pair of sets of the pairs a, b of documents."""
+    both = pairs.join(wide(sets.toDF("a", "sa")), "a").join(wide(sets.toDF("b", "sb")), "b")
+    return cut(both.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("x")))
+
 
+def _linked(compared: DataFrame, percent: int) -> DataFrame:
+    return compared.where(100 * F.col("x") >= percent * (F.col("n") - F.col("x"))).select("a", "b")
 
-def _buckets(folded: DataFrame) -> DataFrame:
-    """key, id, n (set size), c (bucket size) and d (sum of its buckets' sizes) of each document in each bucket that several
-    share."""
+
+def _members(folded: DataFrame) -> DataFrame:
+    """key, id, low and high (smallest and largest set of the document) and centre, centre_low, centre_high of each document
+    in each bucket that several share."""
     rows = folded.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
-    shared = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
-    members = cut(rows.join(wide(shared), "key"))
-    meets = cut(members.groupBy("id").agg(F.sum("c").alias("d")))
-    return cut(members.join(wide(meets), "id").select("key", "id", "n", "c", "d"))
-
-
-def _stars(members: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
-    """Candidates a < b from the centres (key, c: array of id and n) to the members of their buckets."""
-    pairs = members.select("key", "id", "n").join(wide(centres), "key").select("id", "n", F.explode("c").alias("c"))
-    fits = 100 * F.least("c.n", "n") >= percent * F.greatest("c.n", "n")  # sizes alone rule out the others
-    return pairs.where(fits & (F.col("c.id") != F.col("id"))).select(F.least("c.id", "id").alias("a"), F.greatest("c.id", "id").alias("b")).distinct()
-
-
-def _node(x: str = "") -> Column:
-    return F.struct(F.col(f"{x}id").alias("id"), F.col(f"{x}n").alias("n"))
-
-
-def _rest(members: DataFrame, groups: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
-    """Candidates a < b of different groups among the members of buckets that hold several, by a prefix-filter join."""
-    rows = cut(members.select("key", "id").join(wide(groups.withColumnRenamed("node", "id")), "id", "left").withColumn("root", F.coalesce("root", "id")))
-    mixed = cut(rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"))
-    nodes = cut(rows.join(wide(mixed), "key", "left_semi").select(F.col("id").alias("doc_id"), "root").distinct())
-    sets = documents.join(wide(nodes.select("doc_id")), "doc_id").mapInPandas(_sets(size), "doc_id long, s array<long>")
-    # A repeated doc_id has a set for each of its texts (v).
-    each = cut(sets.select("doc_id", F.size("s").alias("n"), F.xxhash64("s").alias("v"), "s").distinct().join(wide(nodes), "doc_id").select("doc_id", "root", "n", "v", F.explode("s").alias("x")))
-    shared = cut(each.groupBy("x").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("c > 1"))
-    held = cut(each.join(wide(shared), "x"))  # shingles of one set alone come first in its order: they only take places
-    one = Window.partitionBy("doc_id", "v")
-    placed = held.withColumn("at", F.row_number().over(one.orderBy("c", "x")) + F.col("n") - F.count(F.lit(1)).over(one)).where("low <> high")
-    long = cut(placed.where(F.col("at") <= F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1).select("x", "doc_id", "root", "n", "v", "at"))
-    short = long.where(F.col("at") <= F.col("n") - F.expr(f"(2 * {percent} * n + {99 + percent}) div {100 + percent}") + 1)
-    both = long.toDF("x", "a", "ra", "na", "va", "ia").join(wide(short.toDF("x", "b", "rb", "nb", "vb", "ib")), "x")
-    both = both.where(F.col("ra") != F.col("rb")).where((F.struct("nb", "b") < F.struct("na", "a")) & (100 * F.col("nb") >= percent * F.col("na")))
-    met = both.groupBy("a", "va", "na", "b", "vb", "nb").agg(F.min("ia").alias("ia"), F.min("ib").alias("ib"))
-    most = 1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))  # nothing is shared before the first shared place
-    return met.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    shared = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("key", "c"))
+    held = cut(rows.join(wide(shared), "key"))
+    meets = cut(held.groupBy("id").agg(F.sum("c").alias("d"), F.min("n").alias("low"), F.max("n").alias("high")))
+    members = cut(held.select("key", "id").distinct().join(wide(meets), "id"))
+    best = F.max(F.struct("d", "id", "low", "high")).alias("c")
+    centre = cut(members.groupBy("key").agg(best).select("key", F.col("c.id").alias("centre"), F.col("c.low").alias("centre_low"), F.col("c.high").alias("centre_high")))
+    out = cut(members.join(wide(centre), "key").drop("d"))
+    drop(shared, held, meets, members, centre)
+    return out
+
+
+def _fit(low: str, high: str, other_low: str, other_high: str, percent: int) -> Column:
+    """Sizes alone don't rule out the pair."""
+    return (100 * F.col(high) >= percent * F.col(other_low)) & (100 * F.col(other_high) >= percent * F.col(low))
+
+
+def _own(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """id and own (shingles that no other node has; null for a document with several sets) of each node."""
+    held = cut(sets.join(wide(nodes), sets["doc_id"] == nodes["id"], "left_semi"))
+    one = held.select(F.explode("s").alias("x"), "doc_id").groupBy("x").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low = high")
+    own = one.groupBy(F.col("low").alias("id")).agg(F.count(F.lit(1)).alias("own"))
+    several = held.groupBy(F.col("doc_id").alias("id")).agg((F.min(F.xxhash64("s")) < F.max(F.xxhash64("s"))).alias("several"))
+    return cut(several.join(wide(cut(own)), "id", "left").select("id", F.when(~F.col("several"), F.coalesce("own", F.lit(0))).alias("own")))
+
+
+def _rest(members: DataFrame, groups: DataFrame, tested: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs a < b of different groups that share a bucket, were not tested, and pass the bounds."""
+    rows = cut(members.join(wide(groups.toDF("id", "root")), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    per = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    mixed = cut(per.groupBy("key").agg(F.max(F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("c")).where("k > 1 and c > 2").select("key", F.col("main.root").alias("main")))
+    rows = cut(rows.join(wide(mixed), "key").where("id <> centre"))  # a centre's pairs are tested
+    own = _own(cut(rows.select("id").distinct()), sets)
+    far = tested.select(F.col("a").alias("centre"), F.col("b").alias("id"), (F.col("n") - 2 * F.col("x")).alias("d"))
+    nodes = rows.join(wide(own), "id").where(f"own is null or 100 * own <= {100 - percent} * high")
+    nodes = cut(nodes.join(wide(cut(far)), ["centre", "id"], "left").select("key", "id", "root", "main", "low", "high", "own", F.when(F.col("own").isNotNull(), F.col("d")).alias("d")).distinct())
+    x = nodes.where("root <> main").select("key", *[F.col(c).alias(f"x_{c}") for c in ("id", "root", "low", "high", "own", "d")])
+    y = nodes.select("key", "main", *[F.col(c).alias(f"y_{c}") for c in ("id", "root", "low", "high", "own", "d")])
+    n = F.col("x_low") + F.col("y_low")  # bounds are for documents with one set
+    share = (100 + percent) * F.least(F.col("x_low") - F.col("x_own"), F.col("y_low") - F.col("y_own")) >= percent * n
+    apart = F.col("x_d") + F.col("y_d") - 2 * F.least(F.col("x_d") - F.col("x_own"), F.col("y_d") - F.col("y_own"))
+    near = (100 + percent) * apart <= (100 - percent) * n
+    once = (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("main")) | (F.col("x_id") < F.col("y_id")))
+    fits = _fit("x_low", "x_high", "y_low", "y_high", percent) & F.coalesce(share, F.lit(True)) & F.coalesce(near, F.lit(True))
+    pairs = x.join(wide(y), "key").where(once & fits).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
+    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    out = cut(cut(pairs.distinct()).join(wide(cut(known)), ["a", "b"], "left_anti"))
+    drop(rows, mixed, own, nodes)
+    return out
 
 
 def _groups(members: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
     """node and root of the components of all confirmed candidates."""
-    best = F.max(F.struct("d", "id", "n")).alias("best")
-    ends = members.groupBy("key").agg(best, F.min(_node()).alias("low"), F.max(_node()).alias("high"), F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n")).alias("any"))
-    centres = cut(ends.select("key", F.array_distinct(F.array(*[_node(f"{x}.") for x in ("best", "low", "high", "any")])).alias("c")))
-    tested = cut(_stars(members, centres, percent))
-    links = _confirmed(tested, documents, size, percent)
+    ends = cut(members.select(F.col("id").alias("doc_id")).distinct())
+    sets = cut(documents.join(wide(ends), "doc_id").mapInPandas(_sets(size), "doc_id long, s array<long>"))
+    fits = _fit("low", "high", "centre_low", "centre_high", percent)
+    stars = cut(members.where((F.col("id") != F.col("centre")) & fits).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
+    tested = _compared(stars, sets)
+    links = _linked(tested, percent)
     groups = cut(components(links))
-    seen = cut(centres.select("key", F.explode("c.id").alias("id")))
-    # In a bucket with as many centres as members, or one less, every pair is tested.
-    left = cut(members.join(wide(centres.select("key", F.size("c").alias("k"))), "key").where("c > k + 1").select("key", "id", "n", "d"))
-    untested = left
-    for _ in range(_ROUNDS):
-        if left.isEmpty():
-            break
-        named = wide(groups.withColumnRenamed("node", "id"))
-        left = cut(left.join(named, "id", "left").withColumn("root", F.coalesce("root", "id")))
-        taken = cut(seen.join(named, "id", "left").select("key", F.coalesce("root", "id").alias("root")).distinct())
-        rest = cut(left.join(wide(taken), ["key", "root"], "left_anti"))
-        centre = cut(rest.groupBy("key").agg(F.max(F.struct("d", "id", "n", "root")).alias("best")).select("key", _node("best.").alias("c"), F.col("best.root").alias("of")))
-        other = left.join(wide(centre.select("key", "of")), "key").where("root <> of").select("key", "id", "n")
-        pairs = cut(_stars(cut(other), centre.select("key", F.array("c").alias("c")), percent).join(wide(tested), ["a", "b"], "left_anti"))
-        found = _confirmed(pairs, documents, size, percent)
-        if found.isEmpty():
-            break
-        tested, links = tested.union(pairs), links.union(found)
-        groups = cut(components(links))
-        seen = seen.union(centre.select("key", F.col("c.id").alias("id")))
-        left = cut(left.join(wide(centre.select("key")), "key", "left_semi").select("key", "id", "n", "d"))
-    pairs = cut(_rest(untested, groups, documents, size, percent).join(wide(tested), ["a", "b"], "left_anti"))
-    return groups if pairs.isEmpty() else cut(components(links.union(_confirmed(pairs, documents, size, percent))))
+    pairs = _rest(members, groups, tested, sets, percent)
+    if not pairs.isEmpty():
+        groups = cut(components(cut(links.union(_linked(_compared(pairs, sets), percent)))))
+    drop(ends, sets, stars, tested, pairs, members)
+    return groups
 
 
 def near_duplicates(documents: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
@@ -201,7 +197,7 @@ def near_duplicates(documents: DataFrame, *, words: int = 5, percent: int = 80)
     part = signed.where("n_shingles > 0 and doc_id is not null")
     copies = cut(part.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     folded = part.join(wide(copies), ["k1", "k2"], "left").where("rep is null or rep = doc_id")
-    groups = _groups(_buckets(folded), known, words, percent)
+    groups = _groups(_members(folded), known, words, percent)
     rep = F.coalesce("rep", "doc_id")
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(wide(copies), ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), rep).otherwise(F.col("doc_id")).alias("rep"))
     out = out.join(wide(groups.withColumnRenamed("node", "rep")), "rep", "left")

@@ -73,6 +73,28 @@ def test_variants_of_one_text_that_are_not_near_each_other(spark):
     assert got == want
 
 
+def test_altered_copies_without_their_base(spark):
+    """Around the threshold: most copies are linked to a few others only, and no copy is near all."""
+    r, rows = random.Random(6), []
+    for altered in (6, 7, 8, 9):
+        base = [f"w{i}f{altered}" for i in range(400)]
+        for _ in range(250):
+            words = list(base)
+            for at in r.sample(range(400), altered):
+                words[at] = f"x{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    assert {x.doc_id: x.component_id for x in result(spark, rows, 4)} == {k: v for i in range(0, 1000, 250) for k, v in brute(rows[i : i + 250], 4, 80).items()}
+
+
+def test_repeated_ids_with_different_texts(spark):
+    """Rows of one doc_id are one node: it is linked if one of its texts is."""
+    r = random.Random(5)
+    a, b, c = ([f"{x}{i}" for i in range(200)] for x in "abc")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (7, " ".join(mutated(r, a, 3))), (5, " ".join(mutated(r, b, 3))), (9, " ".join(c)), (1, " ".join(a)), (8, " ".join(b[:170]))]
+    rows += [(20 + i, " ".join(mutated(r, (a, b, c)[i % 3], 9))) for i in range(60)]
+    assert {x.doc_id: x.component_id for x in result(spark, rows, 4)} == brute(rows, 4, 80)
+
+
 def test_family_without_a_central_text(spark):
     """Samples of one pool of passages: most pairs are below the threshold, links join any two of them, and the rounds of
     stars leave some out."""
