@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from opsdesk.llm import linededup
@@ -37,16 +38,43 @@ def test_edit_distance(spark):
             assert x.ok == (distance(x.a, x.b) <= t), (x, t)
 
 
+def found(spark, lines, t, min_chars=8):
+    """Pairs of texts by links(), cliques written out, and the degrees and number of classes by line_classes()."""
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    name = {x.id: x.text for x in linededup.lines_of(df, 1).collect()}
+    pairs, cliques = linededup.links(df, max_edits=t, min_chars=min_chars)
+    got, held = {tuple(sorted((name[x.a], name[x.b]))) for x in pairs.collect()}, {}
+    for x in cliques.collect():
+        held.setdefault(x.clique, set()).add(name[x.id])
+    got |= {(a, b) for c in held.values() for a in c for b in c if a < b}
+    rows = linededup.line_classes(df, max_edits=t, min_chars=min_chars).collect()
+    return got, {lines[x.doc_id]: x.n_links for x in rows}, len({(x.class_doc_id, x.class_line) for x in rows})
+
+
+def check(spark, lines, t, min_chars=8):
+    lines = sorted(set(lines))
+    want = brute(lines, t)
+    got, degree, classes = found(spark, lines, t, min_chars)
+    assert got == want
+    assert degree == {x: sum(x in p for p in want) for x in lines}
+    root = {x: x for x in lines}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in want:
+        root[find(b)] = find(a)
+    assert classes == len({find(x) for x in lines})
+
+
 def test_links_match_brute_force(spark):
     r = random.Random(7)
     base = ["".join(r.choice("abcdefgh ") for _ in range(r.randint(10, 40))).strip() + "end" for _ in range(40)]
     lines = {x.strip() for b in base for x in [b, *[mutated(r, b, r.randint(1, 3)) for _ in range(4)]]}
-    lines = sorted(x for x in lines if len(x) >= 8)
-    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    name = {x.id: x.text for x in linededup.lines_of(df, 8).collect()}
     for t in (1, 2):
-        got = {tuple(sorted((name[x.a], name[x.b]))) for x in linededup.links(df, max_edits=t, min_chars=8).collect()}
-        assert got == brute(lines, t)
+        check(spark, [x for x in lines if len(x) >= 8], t)
 
 
 def test_large_groups_are_split(spark):
@@ -55,11 +83,23 @@ def test_large_groups_are_split(spark):
     for _ in range(150):
         tail = "".join(r.choice("abcdefgh") for _ in range(len(head)))
         lines |= {head + tail, head + mutated(r, tail, 1)}
-    lines = sorted(lines)
-    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    name = {x.id: x.text for x in linededup.lines_of(df, 8).collect()}
-    got = {tuple(sorted((name[x.a], name[x.b]))) for x in linededup.links(df, max_edits=1, min_chars=8).collect()}
-    assert got == brute(lines, 1)
+    check(spark, lines, 1)
+
+
+@pytest.mark.parametrize("t", [1, 2])
+def test_many_lines_around_one_text(spark, t):
+    """Groups above the limit for pairs: one character at the end, at the beginning, none, two, and in the middle."""
+    head = "the same text in each of the lines"
+    marks = [chr(0x4E00 + i) for i in range(70)]
+    lines = [head + c for c in marks] + [c + head for c in marks[:66]] + [head] + [head + c + d for c in marks[:3] for d in marks[:3]]
+    check(spark, lines, t)
+
+
+def test_short_lines_against_brute_force(spark):
+    """Lines of 2 to 4 characters, where segments are one character or none."""
+    r = random.Random(2)
+    lines = {"".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 4))) for _ in range(500)}
+    check(spark, lines, 1, min_chars=2)
 
 
 def test_documents(spark):
