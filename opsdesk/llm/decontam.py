@@ -11,7 +11,8 @@ of the documents with seeds of the items, and the texts to the pairs found. Both
 
 Defined results: tokens are runs of letters, digits and underscores in lower case; null and empty texts match nothing;
 an item with fewer than ``min_match`` tokens is matched as one run of its own length, and one without tokens by nothing;
-repeated documents are judged each.
+repeated documents are judged each; an item_id with several texts has one row at most, for the text that is covered best
+(by share, then by tokens).
 """
 
 from __future__ import annotations
@@ -79,24 +80,29 @@ def tile(doc: list, item: list, min_match: int) -> list[tuple[int, int, int]]:
                 tiles.append((i, j, n))
 
 
-def _judged(doc_id: int, doc: list, item_id: int, item: list, min_match: int, coverage: float) -> tuple | None:
+def _judged(doc: list, item: list, min_match: int, coverage: float) -> tuple | None:
+    """covered, item_tokens, coverage and tiles, if that is enough."""
     found = tile(doc, item, min(min_match, len(item)))
     covered = sum(n for _, _, n in found)
-    return (doc_id, item_id, covered, len(item), covered / len(item), len(found)) if covered >= coverage * len(item) else None
+    return (covered, len(item), covered / len(item), len(found)) if covered >= coverage * len(item) else None
+
+
+def _best(doc: list, texts: list[list], min_match: int, coverage: float) -> tuple | None:
+    return max((r for x in texts if (r := _judged(doc, x, min_match, coverage))), key=lambda r: (r[2], r[0], -r[3]), default=None)
 
 
 class Seeds:
     """Which items share a seed with a document: one dictionary look-up for each token, the rest in numpy."""
 
-    def __init__(self, items: dict[int, list[str]], min_match: int):
-        self.items, self.min_match = items, min_match
-        self.ids = {w: k + 1 for k, w in enumerate(sorted({w for t in items.values() for w in t}))}
+    def __init__(self, items: dict[int, list[list[str]]], min_match: int):
+        self.ids = {w: k + 1 for k, w in enumerate(sorted({w for texts in items.values() for t in texts for w in t}))}
         self.by: dict[int, dict[tuple, set[int]]] = defaultdict(lambda: defaultdict(set))
-        self.coded = {i: [self.ids[w] for w in t] for i, t in items.items()}
-        for i, t in self.coded.items():
-            k = min(min_match, len(t))
-            for a in range(len(t) - k + 1 if k else 0):
-                self.by[k][tuple(t[a : a + k])].add(i)
+        self.coded = {i: [[self.ids[w] for w in t] for t in texts] for i, texts in items.items()}
+        for i, texts in self.coded.items():
+            for t in texts:
+                k = min(min_match, len(t))
+                for a in range(len(t) - k + 1):
+                    self.by[k][tuple(t[a : a + k])].add(i)
         self.firsts = {k: np.isin(np.arange(len(self.ids) + 1), [s[0] for s in seeds]) for k, seeds in self.by.items()}
 
     def __call__(self, words: list[str]) -> tuple[list[int], list[int]]:
@@ -113,14 +119,14 @@ class Seeds:
         return np.where(x[keep] > 0, x[keep], -1).tolist(), sorted(found)
 
 
-def _scan(items: dict[int, list[str]], min_match: int, coverage: float) -> Callable:
+def _scan(items: dict[int, list[list[str]]], min_match: int, coverage: float) -> Callable:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seeds = Seeds(items, min_match)
         for pdf in frames:
             rows = []
             for doc_id, text in zip(pdf.doc_id, pdf.text, strict=True):
                 doc, found = seeds(tokens(text))
-                rows += [r for i in found if (r := _judged(doc_id, doc, i, seeds.coded[i], min_match, coverage))]
+                rows += [(doc_id, i, *r) for i in found if (r := _best(doc, seeds.coded[i], min_match, coverage))]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
 
     return run
@@ -145,33 +151,41 @@ def _seed_rows(min_match: int | None, sizes: list[int]) -> Callable:
 def _pairs(min_match: int, coverage: float) -> Callable:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = [r for d, t, i, x in zip(pdf.doc_id, pdf.text, pdf.item_id, pdf.item, strict=True) if (r := _judged(d, tokens(t), i, tokens(x), min_match, coverage))]
+            pairs = zip(pdf.doc_id, pdf.text, pdf.item_id, pdf["items"], strict=True)
+            rows = [(d, i, *r) for d, t, i, texts in pairs if (r := _best(tokens(t), [w for x in texts if (w := tokens(x))], min_match, coverage))]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
 
     return run
 
 
-def _without(items: dict[int, list[str]], min_match: int, coverage: float) -> Callable:
+def _without(items: dict[int, list[list[str]]], min_match: int, coverage: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = Seeds(items, min_match)
         for batch in batches:
             keep = []
             for text in batch.column("text").to_pylist():
                 doc, found = seeds(tokens(text))
-                keep.append(not any(_judged(0, doc, i, seeds.coded[i], min_match, coverage) for i in found))
+                keep.append(not any(_best(doc, seeds.coded[i], min_match, coverage) for i in found))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _held(items: DataFrame, max_broadcast_seeds: int) -> dict[int, list[str]] | None:
+def _held(items: DataFrame, max_broadcast_seeds: int) -> dict[int, list[list[str]]] | None:
     """The items' tokens, if they are few enough to be sent to the tasks."""
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0  # characters: no fewer than tokens or seeds
-    return {r.item_id: t for r in items.collect() if (t := tokens(r.text))} if size <= max_broadcast_seeds else None
+    if size > max_broadcast_seeds:
+        return None
+    held: dict[int, list[list[str]]] = defaultdict(list)
+    for r in items.orderBy("item_id", "text").collect():
+        if t := tokens(r.text):
+            held[r.item_id].append(t)
+    return dict(held)
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    return benchmark.where("item_id is not null and text is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text"))
+    """Each different text of each item."""
+    return benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, *, min_match: int = 5, coverage: float = 0.5, max_broadcast_seeds: int = 500_000) -> DataFrame:
@@ -182,12 +196,13 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, *, min_match: int =
     held = _held(items, max_broadcast_seeds)
     if held is not None:
         return docs.mapInPandas(_scan(held, min_match, coverage), OUT)
-    seeds = cut(items.select(F.col("item_id").alias("id"), "text").mapInPandas(_seed_rows(min_match, []), "id long, seed long, k int").toDF("item_id", "seed", "k"))
+    seeds = cut(items.select(F.col("item_id").alias("id"), "text").mapInPandas(_seed_rows(min_match, []), "id long, seed long, k int").toDF("item_id", "seed", "k").distinct())
     sizes = sorted(r.k for r in seeds.select("k").distinct().collect())
     of_docs = docs.select(F.col("doc_id").alias("id"), "text").mapInPandas(_seed_rows(None, sizes), "id long, seed long, k int").toDF("doc_id", "seed", "k")
     pairs = of_docs.join(wide(seeds), ["seed", "k"]).select("doc_id", "item_id").distinct()
-    texts = docs.join(wide(pairs), "doc_id").join(items.withColumnRenamed("text", "item"), "item_id")
-    return texts.select("doc_id", "text", "item_id", "item").mapInPandas(_pairs(min_match, coverage), OUT)
+    whole = items.groupBy("item_id").agg(F.collect_set("text").alias("items"))
+    texts = docs.join(wide(pairs), "doc_id").join(wide(whole), "item_id")
+    return texts.select("doc_id", "text", "item_id", "items").mapInPandas(_pairs(min_match, coverage), OUT)
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, *, min_match: int = 5, coverage: float = 0.5, max_broadcast_seeds: int = 500_000) -> DataFrame:
