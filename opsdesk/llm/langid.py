@@ -5,8 +5,8 @@ root of the product of their numbers of distinct n-grams. ``n_landmarks`` texts,
 Nyström approximation; one-versus-rest ridge regression on it is solved from sums that each task adds up. A batch is
 scored by two matrix products: presence x landmarks, then kernel x coefficients.
 
-Learned from a bounded, hash-chosen sample of ``max_fit_rows`` rows in expectation. Landmarks are taken from texts of
-``landmark_chars`` letters, so that a few enormous texts don't fill the vocabulary; every text is scored whole.
+Learned from a bounded, hash-chosen sample of ``max_fit_rows`` rows in expectation. The landmarks of each language are the
+first of its texts in a hashed order, whatever their length; every text is read whole.
 
 Defined results: null texts and texts without a letter give ``und`` with score 0; rows without a language aren't
 learned from; without any learnable row every text is ``und``; repeated rows are scored each.
@@ -14,13 +14,13 @@ learned from; without any learnable row every text is ``und``; repeated rows are
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hash_below
@@ -29,7 +29,7 @@ from .ngrams import Distinct, hashed, slices
 SPECTRUM = (1, 3)
 BITS = 20
 ROWS = 256  # of one matrix product
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER, _LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 
 
 @dataclass
@@ -44,7 +44,7 @@ class Model:
 def normal(text: str | None) -> str:
     """Letters only, in lower case, with single spaces around the words; empty if there is no letter."""
     words = _OTHER.sub(" ", (text or "").lower()).strip()
-    return f" {words} " if words else ""
+    return f" {words} " if _LETTER.search(words) else ""
 
 
 class Kernel:
@@ -81,7 +81,7 @@ def _sums(kernel_of: Callable[[], Kernel], whiten: np.ndarray, languages: list[s
     return run
 
 
-def fit(documents: DataFrame, *, learn: Column | None = None, n_landmarks: int = 96, landmark_chars: tuple[int, int] = (100, 10_000), max_fit_rows: int = 20_000, ridge: float = 1e-3) -> Model:
+def fit(documents: DataFrame, *, learn: Column | None = None, n_landmarks: int = 96, max_fit_rows: int = 20_000, ridge: float = 1e-3) -> Model:
     """learn: which rows may be learned from (a condition on doc_id)."""
     rows = documents.select("doc_id", "text", "lang").where("text is not null and lang is not null")
     rows = rows if learn is None else rows.where(learn)
@@ -91,18 +91,16 @@ def fit(documents: DataFrame, *, learn: Column | None = None, n_landmarks: int =
         return Model(np.zeros(0, np.int32), np.zeros((0, 0), np.float32), np.zeros(0), np.zeros((0, 0)), [])
     each = -(-n_landmarks // len(languages))
 
-    def sampled(per_language: float, seed: int, where: Column | None = None) -> DataFrame:
-        of = rows if where is None else rows.where(where)
+    def sampled(per_language: float, seed: int) -> DataFrame:
         test = F.lit(False)
         for lang in languages:
             test = test | ((F.col("lang") == lang) & hash_below(F.col("doc_id"), per_language / n[lang], seed))
-        return of.where(test)
+        return rows.where(test)
 
-    size = F.length("text").between(*landmark_chars)
-    few = sampled(4 * each, 7, size).select("lang", "text", F.xxhash64("doc_id").alias("h")).orderBy("lang", "h").limit(6 * n_landmarks + 6 * len(languages)).toPandas()
-    if len(few) == 0:
-        few = sampled(4 * each, 7).select("lang", F.substring("text", 1, landmark_chars[1]).alias("text"), F.xxhash64("doc_id").alias("h")).limit(2 * n_landmarks).toPandas()
-    texts = [t for _, part in few.groupby("lang") for t in list(filter(None, map(normal, part.text)))[:each]] or [" a "]
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "text")
+    letter = F.col("text").rlike(r"\p{L}")
+    few = sampled(4 * each + 20, 7).where(letter).select("lang", "text", F.row_number().over(order).alias("k")).where(F.col("k") <= each).orderBy("lang", "k").toPandas()
+    texts = list(filter(None, map(normal, few.text))) or [" a "]
     grams = [np.unique(hashed(t, SPECTRUM, BITS)) for t in texts]
     vocabulary = np.unique(np.concatenate(grams))
     presence = np.zeros((len(vocabulary), len(texts)), np.float32)
