@@ -3,11 +3,13 @@
 A sequence of byte-pair tokens is the encoding of its bytes exactly if each pair of neighbours is the encoding of its
 own bytes. So the last token of each prefix of a piece (a stretch between the pre-tokeniser's cuts) is the one token
 that ends there and may follow the last token of what precedes it, and its count is one more than theirs. Pieces recur:
-each is worked out once for each Python worker and kept, up to ``_KEEP`` pieces.
+the counts at all prefixes of each are worked out once for each Python worker and kept, up to ``_KEEP`` pieces; those
+of a text are put together from its pieces'.
 
-The counts are those of the tokenizers library for the same file, without added special tokens; a special string inside
-a text counts as one token, as by the library's default. Truncation and budget questions are answered from the
-stored counts.
+The counts are those of the tokenizers library for the same file, without added special tokens; an added string inside
+a text counts as one token, as by the library's default. ``prefix_counts`` gives the counts at every prefix of every
+text, and ``token_counts`` answers size, truncation and budget from them, without splitting or encoding anything again.
+A file with another pre-tokeniser, a normaliser or added strings with rules of their own is refused.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated rows are counted each; texts of any length
 are processed whole.
@@ -23,13 +25,16 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _KEEP = 1_000_000
 #: Stands between pieces; no token holds it.
 _GAP = chr(256)
 _SPACE = regex.compile(r"\s")
+#: Common last characters of pieces that are no blanks.
+_BLACK = frozenset("abcdefghijklmnopqrstuvwxyz.,")
+_ROWS = 256  # of one frame with counts for every character
 
 
 def _byte_of() -> dict[str, int]:
@@ -57,12 +62,16 @@ class PrefixCounter:
         for t, i in self.tokens.items():
             self.ending.add_word(t.decode("latin-1"), (len(t), i))
         self.ending.make_automaton()
-        special = [t["content"] for t in spec.get("added_tokens", []) if t.get("special")]
+        before, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens", [])
+        if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or spec.get("normalizer"):
+            raise ValueError(f"{path}: only byte-level files with the usual pattern and no normaliser are counted")
+        if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"{path}: added strings with rules of their own")
+        special = sorted((t["content"] for t in added), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.split = regex.compile(self.PATTERN).findall
         self.pairs: dict[int, bool] = {}
-        self.kept: dict[str, np.ndarray] = {}
-        self.whole: dict[str, int] = {}
+        self.kept: dict[str, bytes | list[int]] = {}
 
     def _merge(self, data: bytes) -> list[bytes]:
         """The encoding of a short byte string by applying the merges in order."""
@@ -104,26 +113,20 @@ class PrefixCounter:
         return out
 
     def learn(self, pieces: set[str]) -> None:
-        if len(self.whole) > _KEEP:
-            self.whole.clear()
+        """Tokens of the first 1, 2, ... characters of each piece: as bytes, or a list where 255 is too little."""
+        if len(self.kept) > _KEEP:
+            self.kept.clear()
         order = list(pieces)
-        self.whole.update((p, c[-1]) for p, c in zip(order, self.pieces(order), strict=True))
+        for piece, counts in zip(order, self.pieces(order), strict=True):
+            if len(counts) > len(piece) + 1:  # at the ends of characters only
+                counts = [0, *np.array(counts)[np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in piece])].tolist()]
+            self.kept[piece] = bytes(counts[1:]) if counts[-1] < 256 else counts[1:]
 
     def total(self, piece: str) -> int:
-        """Tokens of a whole piece; its prefixes are worked out on the way."""
-        if piece not in self.whole:
+        """Tokens of a whole piece."""
+        if piece not in self.kept:
             self.learn({piece})
-        return self.whole[piece]
-
-    def _chars(self, piece: str) -> np.ndarray:
-        """Tokens of the first 1, 2, ... characters of a piece."""
-        counts = self.kept.get(piece)
-        if counts is None:
-            if len(self.kept) > _KEEP:
-                self.kept.clear()
-            by_byte, ends = self.pieces([piece])[0], np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in piece])
-            counts = self.kept[piece] = np.array(by_byte)[ends]
-        return counts
+        return int(self.kept[piece][-1])
 
     def segments(self, text: str) -> Iterator[tuple[str, bool]]:
         """Stretches of a text, and whether each is a special string."""
@@ -134,83 +137,51 @@ class PrefixCounter:
             at = m.end()
         yield text[at:], False
 
-    def _counts(self, text: str) -> tuple[list[str], list[int]]:
-        """The pieces of a text without special strings, and their tokens."""
-        pieces = self.split(text)
-        counts = list(map(self.whole.get, pieces))
-        if None in counts:
-            known = dict(zip(pieces, counts, strict=True))
-            self.learn({p for p, n in known.items() if n is None})
-            counts = [self.total(p) if n is None else n for p, n in zip(pieces, counts, strict=True)]
-        return pieces, counts
-
-    def _has_special(self, text: str) -> bool:
-        return bool(self.special and "<" in text and self.special.search(text))
-
-    def count(self, text: str) -> int:
-        if self._has_special(text):
-            return sum(1 if special else self.count(x) for x, special in self.segments(text) if x)
-        return sum(self._counts(text)[1])
-
     def _plain(self, text: str) -> np.ndarray:
-        """Tokens of every prefix of a text without special strings, the empty one first."""
-        out, at, base, other = np.zeros(len(text) + 1, np.int64), 0, 0, {}
+        """Tokens of every prefix of a text without added strings, the empty one first."""
         pieces = self.split(text)
-        for piece, after in zip(pieces, [*pieces[1:], "."], strict=False):
-            n = len(piece)
-            out[at + 1 : at + n + 1] = base + self._chars(piece)
+        if not pieces:
+            return np.zeros(1, np.int64)
+        parts = list(map(self.kept.get, pieces))
+        if None in parts:
+            self.learn({p for p, known in zip(pieces, parts, strict=True) if known is None})
+            parts = [self.kept[p] if known is None else known for p, known in zip(pieces, parts, strict=True)]
+        try:
+            inside = np.frombuffer(b"".join(parts), np.uint8)
+        except TypeError:
+            inside = np.concatenate([np.frombuffer(x, np.uint8) if isinstance(x, bytes) else np.array(x) for x in parts])
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        end = np.cumsum(size)
+        total = inside[end - 1].astype(np.int64)
+        base = np.cumsum(total) - total
+        out = np.empty(len(text) + 1, np.int64)
+        out[0], out[1:] = 0, inside + np.repeat(base, size)
+        for k, piece in enumerate(pieces):
             if piece[0] == "'" and piece[1:2].isalpha():
                 # A cut contraction is a quote mark and letters of their own.
-                for j in range(2, n):
-                    other[at + j] = base + self.total("'") + self.total(piece[1:j])
-            if _SPACE.match(piece[-1]) and _SPACE.match(after[0]):
+                for j in range(2, len(piece)):
+                    out[end[k] - size[k] + j] = base[k] + self.total("'") + self.total(piece[1:j])
+            if piece[-1] not in _BLACK and k + 1 < len(pieces) and _SPACE.match(piece[-1]) and _SPACE.match(pieces[k + 1][0]):
                 # The last blank of a run belongs to the piece that follows, unless the text ends right after it.
-                other[at + n + 1] = base + self.total(piece + after[0])
-            base += self.total(piece)
-            at += n
-        for k, n in other.items():
-            out[k] = n
+                out[end[k] + 1] = base[k] + self.total(piece + pieces[k + 1][0])
         return out
 
     def prefixes(self, text: str) -> np.ndarray:
         """counts[k]: tokens of the first k characters, as the library gives them for that prefix alone."""
-        parts = list(self.segments(text))
+        if not (self.special and self.special.search(text)):
+            return self._plain(text)
         out, base, before = [np.zeros(1, np.int64)], 0, ""
-        for x, special in parts:
+        for x, special in self.segments(text):
             if special:
-                partial = self._plain(before + x[:-1])[len(before) + 1 :]
-                start = base - self.count(before)
-                out.append(np.append(start + partial, base + 1))
+                partial = self._plain(before + x[:-1])
+                out.append(np.append(base - partial[len(before)] + partial[len(before) + 1 :], base + 1))
                 base, before = base + 1, ""
             else:
-                counts = self._plain(x)[1:]
-                out.append(base + counts)
-                base, before = base + self.count(x), x
+                counts = self._plain(x)
+                out.append(base + counts[1:])
+                base, before = base + int(counts[-1]), x
         return np.concatenate(out)
 
-    def count_and_cut(self, text: str, limit: int) -> tuple[int, int]:
-        """Tokens of a text, and the characters of its longest prefix of at most ``limit`` tokens: one split for both."""
-        if self._has_special(text):
-            total = self.count(text)
-            return total, len(text) if total <= limit else int(np.flatnonzero(self.prefixes(text) <= limit)[-1])
-        pieces, counts = self._counts(text)
-        total = sum(counts)
-        if total <= limit:
-            return total, len(text)
-        k, before = 0, 0  # the piece in which the count passes the limit
-        while before + counts[k] <= limit:
-            before += counts[k]
-            k += 1
-        # Only the pieces around that place can hold the last such prefix: a few more give their own counts.
-        a, b = max(0, k - 2), min(len(pieces), k + 2)
-        start = sum(map(len, pieces[:a]))
-        near = sum(counts[:a]) + self._plain("".join(pieces[a:b]))
-        return total, start + int(np.flatnonzero(near <= limit)[-1])
-
-    def cut(self, text: str, limit: int) -> int:
-        """Characters of the longest prefix of at most ``limit`` tokens."""
-        return self.count_and_cut(text, limit)[1]
-
 
 @lru_cache(maxsize=2)
 def counter(path: str) -> PrefixCounter:
@@ -218,8 +189,9 @@ def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
-def token_counts(documents: DataFrame, path: str, *, limit: int = 1024) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit and fit_chars (characters of the longest prefix within the limit).
+def prefix_counts(documents: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_bytes and counts, the tokens of the first 0, 1, 2, ... characters of each text. Written as a table, it
+    answers any later question on truncation and budgets.
 
     path: a byte-level tokenizers file at the same place on every machine."""
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -227,26 +199,21 @@ def token_counts(documents: DataFrame, path: str, *, limit: int = 1024) -> DataF
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = counter(path)
         for pdf in frames:
-            texts = [t or "" for t in pdf.text]
-            n, fit = np.array([c.count_and_cut(t, limit) for t in texts], np.int64).reshape(-1, 2).T
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in texts], "n_tokens": n, "over_limit": n > limit, "fit_chars": fit})
+            for a in range(0, len(pdf), _ROWS):
+                part = pdf[a : a + _ROWS]
+                texts = [t or "" for t in part.text]
+                yield pd.DataFrame({"doc_id": part.doc_id, "n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in texts], "counts": [c.prefixes(t).astype(np.int32) for t in texts]})
 
-    return documents.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+    return documents.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_bytes long, counts array<int>")
 
 
-def prefix_counts(documents: DataFrame, path: str) -> DataFrame:
-    """doc_id and counts, the tokens of the first 0, 1, 2, ... characters of each text: the stored table that
-    ``tokens_between`` answers from."""
-    kind = documents.schema["doc_id"].dataType.simpleString()
+def fitting_chars(limit: int) -> Column:
+    """Over prefix_counts: the characters of the longest prefix of at most ``limit`` tokens."""
+    return F.expr(f"if(element_at(counts, -1) <= {int(limit)}, size(counts) - 1, array_max(transform(counts, (x, i) -> if(x <= {int(limit)}, i, 0))))")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = counter(path)
-        for pdf in frames:
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "counts": [c.prefixes(t or "").astype(np.int32) for t in pdf.text]})
 
-    return documents.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, counts array<int>")
-
-
-def fitting_chars(stored: DataFrame, limit: int) -> DataFrame:
-    """From prefix_counts: doc_id and the characters of the longest prefix of at most ``limit`` tokens."""
-    return stored.select("doc_id", F.expr(f"array_max(transform(counts, (x, i) -> if(x <= {int(limit)}, i, 0)))").alias("fit_chars"))
+def token_counts(documents: DataFrame, path: str, *, limit: int = 1024) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit and fit_chars (characters of the longest prefix within the limit), all from
+    prefix_counts."""
+    n = F.element_at("counts", -1).cast("long")
+    return prefix_counts(documents, path).select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"), fitting_chars(limit).cast("long").alias("fit_chars"))

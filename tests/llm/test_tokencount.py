@@ -22,15 +22,11 @@ def library(text):
 def test_every_prefix_counts_as_the_library_counts_it(text):
     counts = OWN.prefixes(text)
     assert counts.tolist() == [library(text[:k]) for k in range(len(text) + 1)]
-    assert OWN.count(text) == counts[-1]
-    for limit in (0, 3, 7):
-        assert OWN.cut(text, limit) == max(k for k, n in enumerate(counts) if n <= limit)
 
 
 @settings(max_examples=80, deadline=None)
 @given(st.text(max_size=60))
 def test_any_text(text):
-    assert OWN.count(text) == library(text)
     assert OWN.prefixes(text).tolist() == [library(text[:k]) for k in range(len(text) + 1)]
 
 
@@ -41,6 +37,20 @@ def test_table(spark):
     assert [r[:4] for r in got] == sorted((i, len((t or "").encode()), library(t or ""), library(t or "") > 100) for i, t in rows)
     cut = dict((r[0], r[4]) for r in got)[4]
     assert library(rows[4][1][:cut]) <= 100 < library(rows[4][1][: cut + 5])
-    stored = tokencount.prefix_counts(df.where("doc_id = 4"), PATH)
-    assert tokencount.fitting_chars(stored, 100).collect()[0].fit_chars == cut
+    stored = tokencount.prefix_counts(df, PATH)
+    for limit in (0, 1, 2, 50):
+        fits = dict(stored.select("doc_id", tokencount.fitting_chars(limit)).collect())
+        assert all(fits[i] == max(k for k in range(min(len(t or ""), 400) + 1) if library((t or "")[:k]) <= limit) for i, t in rows)
     assert tokencount.token_counts(df.limit(0), PATH).count() == 0
+
+
+def test_long_pieces_and_refused_files(spark, tmp_path):
+    import json
+
+    text = "a" * 3000 + " " + "=" * 700 + "é" * 300
+    assert OWN.prefixes(text)[[0, 100, 2999, 3001, 3500, len(text)]].tolist() == [library(text[:k]) for k in (0, 100, 2999, 3001, 3500, len(text))]
+    spec = json.load(open(PATH, encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        (tmp_path / "other.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            tokencount.PrefixCounter(str(tmp_path / "other.json"))
