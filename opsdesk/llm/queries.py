@@ -49,7 +49,7 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = secrets.fit(secrets.labelled_findings(spark))
-    return secrets.scan(read(spark, sf_dir, "documents"), model, path="source", min_chars=16, threshold=0.5)
+    return secrets.scan(read(spark, sf_dir, "documents"), model, path="source", min_chars=16, min_named=6, threshold=0.5)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Secret scans: candidate strings judged by a random forest, in DataFrame and Spark ML functions only.
 
-A candidate is a blank-free token of ``min_chars`` characters or more; a name before ``=`` or ``:`` and quotes around the
-value are taken off. Its features are length, character transitions (between lower case, upper case, digits and other
+A candidate is a blank-free token of ``min_chars`` characters or more, or of ``min_named`` or more where a name with ``=`` or
+``:`` stands before it, in the token or as the word before; the name and quotes around the value are taken off. Its features are length, character transitions (between lower case, upper case, digits and other
 characters, and between vowels and consonants), shares of character kinds, dictionary coverage, what its path says
 (tests, examples, documentation) and what the neighbouring words and the name say (words for credentials, words for
 checksums and identifiers). The forest is trained from labelled findings: a table of token, before, path and label.
@@ -45,9 +45,11 @@ DICTIONARY = (
 FEATURES = ("length", "transitions", "vowel_changes", "digits", "uppers", "others", "distinct", "longest_lower", "hex", "covered", "placeholder", "path_like", "sample_path", "credential_near", "identifier_near", "named")
 
 
-def candidates(documents: DataFrame, *, path: str = "source", min_chars: int = 16) -> DataFrame:
+def candidates(documents: DataFrame, *, path: str = "source", min_chars: int = 16, min_named: int = 6) -> DataFrame:
     """doc_id, nth (from 0), token, before (up to two short words), path of every candidate."""
-    pattern = rf"(?<!\S)(?:\S{{1,{min_chars - 1}}}[ \t]+){{0,2}}\S{{{min_chars},}}"
+    named = rf"[A-Za-z_][\w.\-]*[\"']?[:=][\"']?[^\s:=/]{{{min_named},}}"
+    after = rf"(?<=[:=][ \t]{{1,2}})[\"']?[^\s:=]{{{min_named},}}"
+    pattern = rf"(?<!\S)(?:\S{{1,{min_chars - 1}}}[ \t]+){{0,2}}?(?:\S{{{min_chars},}}|{named}|{after})"
     found = documents.where("text is not null").select("doc_id", F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("nth", "found"))
     return found.select("doc_id", "nth", "path", F.regexp_extract("found", r"(\S+)$", 1).alias("token"), F.regexp_extract("found", r"^(.*?)\S+$", 1).alias("before"))
 
@@ -94,7 +96,7 @@ def featured(found: DataFrame) -> DataFrame:
     return x.withColumns({k: F.coalesce(c, F.lit(0.0)) for k, c in columns.items()}).drop("kinds", "sound")
 
 
-def labelled_findings(spark: SparkSession, n: int = 6_000) -> DataFrame:
+def labelled_findings(spark: SparkSession, n: int = 8_000) -> DataFrame:
     """token, before, path, label: n findings made by rule, half of them secrets."""
     h = lambda k: F.sha2(F.concat_ws(":", F.col("id"), F.lit(k)), 512)
     b64 = lambda k: F.regexp_replace(F.base64(F.unhex(h(k))), r"[^A-Za-z0-9]", "x")
@@ -108,13 +110,20 @@ def labelled_findings(spark: SparkSession, n: int = 6_000) -> DataFrame:
     place = pick(7, "src/app.py", "config/prod.yml", "src3", "forum", "deploy/.env", "notes.txt")
     sample = pick(8, "tests/fixtures/keys.py", "docs/README.md", "examples/demo.yml", "src3", "src/app.py")
     quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    digits = F.substring(F.regexp_replace(h(31), "[a-f]", ""), F.lit(1), (F.pmod(F.xxhash64("id", F.lit(32)), F.lit(3)) + 1).cast("int"))
+    short = F.concat(F.initcap(F.substring(word, 1, 6)), digits, pick(33, "!", "#", "&3", "", "_x"))
+    tiny = F.substring(b64(34), F.lit(1), (F.pmod(F.xxhash64("id", F.lit(35)), F.lit(8)) + 7).cast("int"))
+    field = pick(36, "note: ", "color = ", "title: ", "status: ", "city: ", "name: ", "the following: ", "date: ")
     yes = [
+        (short, F.concat(pick(37, "password", "passwd", "secret", "pwd"), F.lit(": "))), (F.concat(pick(38, "password", "pwd", "secret"), F.lit("="), short), prose), (tiny, F.concat(name, F.lit(" = "))), (F.concat(name, F.lit(":"), tiny), prose),
         (quoted(hexes), F.concat(name, F.lit(" = "))), (F.concat(name, F.lit("="), hexes), prose), (F.concat(name, F.lit(":"), mixed), prose), (quoted(mixed), F.concat(name, F.lit(" : "))),
         (F.concat(F.lit("AKIA"), F.upper(F.substring(b64(9), 1, 16))), prose), (F.concat(pick(10, "ghp_", "sk_live_", "xoxb-", "glpat-"), F.substring(b64(11), 1, 36)), prose),
         (F.concat(F.lit("eyJ"), F.substring(b64(12), 1, 30), F.lit("."), F.substring(b64(13), 1, 40), F.lit("."), F.substring(b64(14), 1, 40)), F.lit("bearer ")),
         (F.substring(b64(15), 1, 40), F.concat(name, F.lit(" is "))),
     ]
     no = [
+        (F.substring(word, 1, 9), field), (F.concat(F.initcap(F.substring(word, 1, 8)), F.lit(",")), field), (F.concat(pick(39, "color", "title", "lang", "mode"), F.lit("="), F.substring(word, 1, 8)), prose), (pick(41, "2024-01-05", "12:30:45", "1,250.00", "v1.2.13", "#ff8800", "true;", "localhost:8080"), field),
+        (F.substring(word, 1, 9), F.concat(name, F.lit(": "))), (F.concat(F.lit("("), F.substring(word, 1, 8), F.lit(")")), F.concat(name, F.lit(" = "))),
         (word, prose), (F.upper(word), prose), (F.concat(F.upper(word), F.lit("!!")), prose), (F.concat(word, F.lit("&amp;"), word), prose), (F.concat_ws("-", word, F.lit("und"), word), prose), (F.concat(F.initcap(word), F.lit(",")), prose), (F.concat(word, F.lit("="), word), prose),
         (F.substring(h(16), 1, 40), odd), (F.substring(h(17), 1, 32), odd), (F.regexp_replace(F.substring(h(18), 1, 32), r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), pick(19, "request id", "uuid", "the new", "trace")),
         (F.concat(pick(20, "https://", "http://www."), word, F.lit(".example.com/"), F.substring(h(21), 1, 12)), prose), (F.concat(word, F.lit(".12@mail."), word, F.lit(".com")), prose),
@@ -137,9 +146,9 @@ def fit(findings: DataFrame, *, trees: int = 40, depth: int = 8, seed: int = 7)
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=32).fit(vectors).copy()  # without the training summary, which holds the session
 
 
-def scan(documents: DataFrame, model: RandomForestClassificationModel, *, path: str = "source", min_chars: int = 16, threshold: float = 0.5) -> DataFrame:
+def scan(documents: DataFrame, model: RandomForestClassificationModel, *, path: str = "source", min_chars: int = 16, min_named: int = 6, threshold: float = 0.5) -> DataFrame:
     """doc_id, nth, name, masked, digest, length, score (0 to 1) and secret (score >= threshold) of every candidate."""
-    found = featured(candidates(documents, path=path, min_chars=min_chars))
+    found = featured(candidates(documents, path=path, min_chars=min_chars, min_named=min_named))
     scored = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found))
     score: Column = F.element_at(vector_to_array("probability"), 2)
     masked = F.concat(F.substring("value", 1, 3), F.lit("***"))

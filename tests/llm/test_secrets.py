@@ -17,12 +17,13 @@ def test_forest_tells_secrets_from_the_usual_false_positives(spark):
         (1, f'set api_key = "{real}" before the start', "src/app.py"), (2, f"password={real} done", None), (3, "a very ordinary Verantwortungsbewusstsein of the people", "forum"),
         (4, "see commit 3f2a9c1b7d4e5f60718293a4b5c6d7e8f9012345 for it", "notes.txt"), (5, "visit https://www.example.com/path/to/page.html now", "forum"), (6, "api_key=your_api_key_here_please", "docs/README.md"),
         (7, None, "x"), (8, "", "x"), (9, "word " * 40_000 + f"token: ghp_{real}{real[:4]} end", "deploy/.env"), (10, f"password={real} done", "x"), (10, f"password={real} done", "x"), (None, f"password={real} done", "x"),
+        (11, "password: Tr0ub4dor&3 is what it was", "notes.txt"), (12, 'the secret = "hunter2!"', "notes.txt"), (13, "note: whatever, title: ordinary words and color=lightblue", "forum"),
     ]
     docs = spark.createDataFrame(texts, "doc_id long, text string, source string").selectExpr("*", "'x' as value", "1 as features", "2.0 as probability", "3 as length")
     got = secrets.scan(docs, model)
     assert got.columns == ["doc_id", "nth", "name", "masked", "digest", "length", "score", "secret"]
     rows = got.collect()
-    assert {r.doc_id for r in rows if r.secret} == {1, 2, 9, 10, None}
+    assert {r.doc_id for r in rows if r.secret} == {1, 2, 9, 10, 11, 12, None}
     assert sum(r.doc_id == 10 for r in rows if r.secret) == 2
     assert {r.name for r in rows if r.doc_id == 2} == {"password"}
     assert not any(real in r.masked for r in rows) and all(0 <= r.score <= 1 for r in rows)
