@@ -8,7 +8,7 @@ the last return the columns of documents. Empty input gives empty output at ever
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opsdesk.llm import decontam, linededup, mixing, neardup, toxicity
@@ -30,13 +30,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a similarity of 0.8 on five-word shingles the one with the smallest doc_id stays. Repeated
-    rows of one doc_id stay or go together; of those that stay one is kept."""
+    rows of one doc_id stay or go together; of those that stay the one with the smallest text is kept (nulls first)."""
     keep = neardup.near_duplicates(docs, words=5, percent=80).where("not kept").select("doc_id").distinct()
     left = docs.join(wide(cut(keep)), "doc_id", "left_anti").select(*docs.columns)
     twice = cut(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id"))
     if twice.isEmpty():
         return left
-    return left.join(twice, "doc_id", "left_anti").unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    order = Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*left.columns))
+    first = left.join(wide(twice), "doc_id", "left_semi").withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    return left.join(wide(twice), "doc_id", "left_anti").unionByName(first).select(*docs.columns)
 
 
 def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
