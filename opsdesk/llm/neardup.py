@@ -8,8 +8,9 @@ most others over all its buckets (in a family of variants of one text, the text
 order is the same in all buckets, so a large family's buckets share their centres and its edges repeat. Every edge is
 confirmed on the full shingle sets, and the components of the confirmed ones are the groups so far.
 
-Stars alone miss links between two members that are no centres, so buckets that still hold several groups are closed:
-each member outside of a bucket's largest group (a stranger) is held against the members of other groups there, and a pair
+Stars alone miss links between two members that are no centres, so stars (all that share a bucket with one centre, each
+once) that still hold several groups are closed:
+each member outside of a star's largest group (a stranger) is held against the members of other groups there, and a pair
 becomes a candidate unless bounds rule it out. They need three numbers of each member: its set's size n, how far it is from
 the centre (d, the size of the symmetric difference, known from its edge), and how many of its shingles no other of these
 members has (u). Two sets share at most min(n - u) shingles, and as the centre is the same for both, what they differ in is
@@ -148,24 +149,25 @@ def _own(nodes: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _rest(members: DataFrame, groups: DataFrame, tested: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs a < b of different groups that share a bucket, were not tested, and pass the bounds."""
-    rows = cut(members.join(wide(groups.toDF("id", "root")), "id", "left").withColumn("root", F.coalesce("root", "id")))
-    per = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    mixed = cut(per.groupBy("key").agg(F.max(F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("c")).where("k > 1 and c > 2").select("key", F.col("main.root").alias("main")))
-    rows = cut(rows.join(wide(mixed), "key").where("id <> centre"))  # a centre's pairs are tested
+    """Pairs a < b of different groups that share a centre (so all that share a bucket), were not tested, and pass the bounds."""
+    star = members.select("centre", "id", "low", "high").distinct()
+    rows = cut(star.join(wide(groups.toDF("id", "root")), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    per = rows.groupBy("centre", "root").agg(F.count(F.lit(1)).alias("c"))
+    mixed = cut(per.groupBy("centre").agg(F.max(F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("c")).where("k > 1 and c > 2").select("centre", F.col("main.root").alias("main")))
+    rows = cut(rows.join(wide(mixed), "centre").where("id <> centre"))  # a centre's pairs are tested
     own = _own(cut(rows.select("id").distinct()), sets)
     far = tested.select(F.col("a").alias("centre"), F.col("b").alias("id"), (F.col("n") - 2 * F.col("x")).alias("d"))
     nodes = rows.join(wide(own), "id").where(f"own is null or 100 * own <= {100 - percent} * high")
-    nodes = cut(nodes.join(wide(cut(far)), ["centre", "id"], "left").select("key", "id", "root", "main", "low", "high", "own", F.when(F.col("own").isNotNull(), F.col("d")).alias("d")).distinct())
-    x = nodes.where("root <> main").select("key", *[F.col(c).alias(f"x_{c}") for c in ("id", "root", "low", "high", "own", "d")])
-    y = nodes.select("key", "main", *[F.col(c).alias(f"y_{c}") for c in ("id", "root", "low", "high", "own", "d")])
+    nodes = cut(nodes.join(wide(cut(far)), ["centre", "id"], "left").select("centre", "id", "root", "main", "low", "high", "own", F.when(F.col("own").isNotNull(), F.col("d")).alias("d")).distinct())
+    x = nodes.where("root <> main").select("centre", *[F.col(c).alias(f"x_{c}") for c in ("id", "root", "low", "high", "own", "d")])
+    y = nodes.select("centre", "main", *[F.col(c).alias(f"y_{c}") for c in ("id", "root", "low", "high", "own", "d")])
     n = F.col("x_low") + F.col("y_low")  # bounds are for documents with one set
     share = (100 + percent) * F.least(F.col("x_low") - F.col("x_own"), F.col("y_low") - F.col("y_own")) >= percent * n
     apart = F.col("x_d") + F.col("y_d") - 2 * F.least(F.col("x_d") - F.col("x_own"), F.col("y_d") - F.col("y_own"))
     near = (100 + percent) * apart <= (100 - percent) * n
     once = (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("main")) | (F.col("x_id") < F.col("y_id")))
     fits = _fit("x_low", "x_high", "y_low", "y_high", percent) & F.coalesce(share, F.lit(True)) & F.coalesce(near, F.lit(True))
-    pairs = x.join(wide(y), "key").where(once & fits).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
+    pairs = x.join(wide(y), "centre").where(once & fits).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
     known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     out = cut(cut(pairs.distinct()).join(wide(cut(known)), ["a", "b"], "left_anti"))
     drop(rows, mixed, own, nodes)
