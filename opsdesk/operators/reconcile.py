@@ -6,6 +6,7 @@ a popular amount is cut further where a gap of more than ``days`` separates its
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -93,20 +94,22 @@ def match_split(a: DataFrame, b: DataFrame, *, days: int = 3, parts: int = 3, po
 
 
 def near_misses(a: DataFrame, b: DataFrame, *, days: int = 3, ratio: float = 0.01) -> DataFrame:
-    """JN9: pairs of one sign, within days, that differ by at most max(100, ratio * |a|) cents but not by nothing. Days are
-    buckets: each entry of a is repeated for the days around it, so the join has a key; undated entries have a branch
-    of their own, in which the amount's size is the key."""
+    """JN9: pairs of one sign, within days, that differ by at most max(100, ratio * |a|) cents but not by nothing. Two sizes
+    of amounts that may meet are in the same or neighbouring buckets of a logarithmic scale, two dates in those of a scale of
+    days + 1; each entry of a is repeated for the neighbours, so both are keys of the join. Undated entries meet any date:
+    they are joined by the amount's bucket alone, each side's with the other's."""
     tolerance = F.greatest(F.lit(100), F.round(F.abs("cents_a") * ratio)).cast("long")
     fits = (F.signum("cents_a") == F.signum("cents_b")) & (F.abs(F.col("cents_a") - F.col("cents_b")) <= tolerance) & (F.col("cents_a") != F.col("cents_b"))
-    left, right = a.select(F.col("line").alias("line_a"), F.col("cents").alias("cents_a"), F.col("d").alias("d_a")), b.select(F.col("line").alias("line_b"), F.col("cents").alias("cents_b"), F.col("d").alias("d_b"))
-    around = F.explode(F.sequence(F.date_sub("d_a", days), F.date_add("d_a", days)))
-    dated = left.where("d_a is not null").withColumn("d_b", around).join(right.where("d_b is not null"), "d_b").where(fits)
-    step = F.log(F.lit(1 + ratio))
-    size = lambda c: F.floor(F.log(F.greatest(F.abs(F.col(c)), F.lit(1)) + 100 / ratio) / step).cast("long")
-    spread = left.withColumn("s", F.explode(F.sequence(size("cents_a") - 2, size("cents_a") + 2)))
-    undated = spread.join(right.withColumn("s", size("cents_b")), "s").where(fits & (F.col("d_a").isNull() | F.col("d_b").isNull()))
+    step = 2 * math.log1p(ratio)  # a difference within the tolerance is half of it, about
+    size = lambda c: F.floor(F.log(F.abs(F.col(c)) + 100 / ratio) / step).cast("long")
+    week = lambda c: F.floor(F.unix_date(c) / (days + 1)).cast("long")
+    left = a.select(F.col("line").alias("line_a"), F.col("cents").alias("cents_a"), F.col("d").alias("d_a")).withColumn("s", F.explode(F.sequence(size("cents_a") - 1, size("cents_a") + 1)))
+    right = b.select(F.col("line").alias("line_b"), F.col("cents").alias("cents_b"), F.col("d").alias("d_b")).withColumn("s", size("cents_b"))
     cols = ["line_a", "line_b", "cents_a", "cents_b"]
-    return dated.select(*cols, day_gap(F.col("d_a"), F.col("d_b")).alias("gap")).union(undated.select(*cols, F.lit(0).alias("gap")))
+    around = left.where("d_a is not null").withColumn("w", F.explode(F.sequence(week("d_a") - 1, week("d_a") + 1)))
+    dated = around.join(right.where("d_b is not null").withColumn("w", week("d_b")), ["s", "w"]).where(fits & (F.abs(F.datediff("d_a", "d_b")) <= days))
+    any_date = left.where("d_a is null").join(right, "s").where(fits).union(left.where("d_a is not null").join(right.where("d_b is null"), "s").where(fits))
+    return dated.select(*cols, day_gap(F.col("d_a"), F.col("d_b")).alias("gap")).union(any_date.select(*cols, F.lit(0).alias("gap")))
 
 
 def totals(side: DataFrame) -> DataFrame:

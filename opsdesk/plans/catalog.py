@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import checks, dates, numbers, text
 from ..operators import aggregate, audit, calendars, clean, diff, documents, files, lexicons, quality, reconcile, scan, timetable
+from ..sources import delimited
+from ..sources import files as sources
 from ..streaming import live
 from . import inputs
-from .inputs import HOLIDAYS_SQL, LEDGERS_SQL, MONEY_SQL, STOPS_SQL, VERSIONS_SQL, read
+from .inputs import HOLIDAYS_SQL, LEDGERS_SQL, MONEY_SQL, NUMBERS_SQL, STOPS_SQL, VERSIONS_SQL, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -444,7 +446,7 @@ def day_list(spark, d):
     SELECT event_id, CAST(nth AS INTEGER) AS nth, t AS "at" FROM n WHERE nth <= 3""")
 def cron_next(spark, d):
     """DT9, DT10, SET6."""
-    return calendars.cron_next(read(spark, d, "events"), "30-59/15 8,17 * * mon-fri", start="ts", key="event_id", n=3, days=30)
+    return calendars.cron_next(read(spark, d, "events"), "30-59/15 8,17 * * mon-fri", start="ts", key="event_id", n=3)
 
 
 @query(f"""WITH {STOPS_SQL}, e AS (SELECT * FROM stops WHERE eff_until IS NULL OR eff_until >= DATE '2024-05-01') SELECT a.no, a.type, a.depart, b.arrive, CAST(date_diff('minute', CAST(a.depart AS TIME), CAST(b.arrive AS TIME)) AS INTEGER) AS minutes
@@ -600,3 +602,93 @@ def event_sessions(spark, d):
     """An addition: the sessions of streaming.live on a table."""
     x = live.sessions(read(spark, d, "events"))
     return x.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n")
+
+
+# --- check digits, sources, stations -----------------------------------------------------------------------------
+
+
+@query(f"""WITH {NUMBERS_SQL}, s AS (SELECT *, list_sum(list_transform(range(1, 18), lambda i: CAST(substr(id, i, 1) AS INTEGER) * [7,9,10,5,8,4,2,1,6,3,7,9,10,5,8,4,2][i])) % 11 AS r,
+    list_sum(list_transform(range(1, 18), lambda i: (instr('0123456789ABCDEFGHJKLMNPQRTUWXY', substr(code, i, 1)) - 1) * [1,3,9,27,19,26,16,17,20,29,25,13,8,24,10,30,28][i])) % 31 AS q FROM n)
+    SELECT k, r <> 10 AND substr('10X98765432', CAST(r AS INTEGER) + 1, 1) = right(id, 1) AND try_strptime(substr(id, 7, 8), '%Y%m%d') IS NOT NULL AS id_ok,
+    substr('0123456789ABCDEFGHJKLMNPQRTUWXY', CAST((31 - q) % 31 AS INTEGER) + 1, 1) = right(code, 1) AS code_ok, CASE WHEN length(old) = 15 THEN regexp_full_match(old, '[0-9]{{15}}') END AS old_ok FROM s""")
+def check_digits(spark, d):
+    """MTH4, MTH5, MTH7, RUL4."""
+    x = inputs.numbers_with_checks(spark, d)
+    return x.select("k", checks.id_number("id").alias("id_ok"), checks.credit_code("code").alias("code_ok"), checks.old_tax_number("old").alias("old_ok"))
+
+
+@query(f"""WITH {NUMBERS_SQL}, s AS (SELECT k, id, list_sum(list_transform(range(1, 18), lambda i: CAST(substr(id, i, 1) AS INTEGER) * [7,9,10,5,8,4,2,1,6,3,7,9,10,5,8,4,2][i])) % 11 AS r FROM n)
+    SELECT k AS doc_id, 'id ' || repeat('*', 14) || right(id, 4) || '; x***@y.org' AS text FROM s WHERE r <> 10 AND substr('10X98765432', CAST(r AS INTEGER) + 1, 1) = right(id, 1) AND try_strptime(substr(id, 7, 8), '%Y%m%d') IS NOT NULL""")
+def redact_id_numbers(spark, d):
+    """RUL4, TXT1, TXT5, SNK9: the texts in which a real personal number was masked."""
+    x = inputs.numbers_with_checks(spark, d).select(F.col("k").alias("doc_id"), F.concat(F.lit("id "), "id", F.lit("; xy@y.org")).alias("text"))
+    return scan.redacted(x, ("idcard", "email")).where(F.substring("text", 4, 14) == "*" * 14)
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS "客户号", c_name AS "名称", CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS VARCHAR) AS "余额",
+    CASE WHEN c_custkey % 5 = 0 THEN 'said "' || c_mktsegment || '"' || chr(10) || 'and left' ELSE '客户；' || c_mktsegment END AS "备注" FROM customer""")
+def customer_tables(spark, d):
+    """SRC1-SRC3, SRC5-SRC7, SRC9, PRJ1: tables in two encodings and two dialects, found by a walk, decoded, sniffed and parsed."""
+    rows = delimited.records(spark, inputs.customer_files(spark, d), glob="*.csv")
+    return delimited.table(rows).drop("line")
+
+
+@query("SELECT c_mktsegment AS category, c_name AS word, [CAST(c_custkey AS VARCHAR)] AS variants FROM customer")
+def word_file(spark, d):
+    """SRC10: a word list read from lines with variants and comments."""
+    path, x = inputs.scratch(spark, "words"), read(spark, d, "customer")
+    x.select(F.concat_ws("|", "c_mktsegment", "c_name", F.concat(F.lit(" "), "c_custkey", F.lit(" ")))).union(spark.createDataFrame([("# a comment",), ("",)], "value string")).write.text(path)
+    return delimited.word_list(spark, path)
+
+
+@query("SELECT CAST(o_orderdate AS DATE) AS d, 'holiday' AS kind FROM orders WHERE o_orderkey % 2 = 0")
+def holiday_file(spark, d):
+    """SRC11."""
+    path, x = inputs.scratch(spark, "days"), read(spark, d, "orders")
+    day = F.to_date("o_orderdate").cast("string")
+    x.select(F.concat(day, F.when(F.col("o_orderkey") % 2 == 0, "|Holiday").otherwise("|half"))).write.text(path)
+    return delimited.holiday_list(spark, path)
+
+
+@query("SELECT CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR) AS amount FROM orders")
+def amount_file(spark, d):
+    """SRC15."""
+    path, x = inputs.scratch(spark, "amounts"), read(spark, d, "orders")
+    x.select(F.concat_ws(",", "o_orderkey", F.col("o_totalprice").cast("decimal(12,2)"), F.lit("CNY"))).write.text(path)
+    return sources.amount_lines(spark, path, 2)
+
+
+@query("SELECT p_brand AS type, CAST(max(p_partkey) * 100 AS BIGINT) AS cents FROM part GROUP BY 1")
+def limit_rows(spark, d):
+    """SRC12, JN12: of a type's limits the last counts."""
+    x = read(spark, d, "part").select(F.col("p_partkey").alias("line"), F.array("p_brand", F.concat(F.lit("¥"), F.format_number("p_partkey", 2))).alias("cells"))
+    return delimited.limit_list(x.union(spark.createDataFrame([(0, ["type", "limit"])], "line bigint, cells array<string>")))
+
+
+@query("SELECT c_custkey AS doc_id, 'name' AS key, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'market-no', c_mktsegment FROM customer")
+def front_matter(spark, d):
+    """SRC19."""
+    x = read(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("---\nname: "), "c_name", F.lit('\nmarket-no: "'), "c_mktsegment", F.lit('"\n---\nbody: none')).alias("text"))
+    return sources.front_matter(x)
+
+
+@query(f"WITH {STOPS_SQL} SELECT CAST(seq AS INTEGER) AS seq, station, CASE WHEN seq > 1 THEN arrive END AS arrive, CASE WHEN seq < 6 THEN depart END AS depart, false AS effective FROM stops WHERE no = 'S5'")
+def timetable_stops(spark, d):
+    """TT3, WIN4: a train whose version is no longer in force."""
+    return timetable.stops_of(inputs.stops(spark), "S5", "2024-05-01")
+
+
+@query(f"""WITH {STOPS_SQL}, e AS (SELECT * FROM stops WHERE eff_until IS NULL OR eff_until >= DATE '2024-05-01') SELECT a.no, a.type, a.depart, b.arrive, CAST(date_diff('minute', CAST(a.depart AS TIME), CAST(b.arrive AS TIME)) AS INTEGER) AS minutes,
+    12.5 AS price FROM e a JOIN e b ON a.no = b.no AND a.seq < b.seq WHERE a.station = 'station 2' AND b.station = 'station 5' AND a.type = 'slow' AND a.depart > '09:00'""")
+def timetable_price(spark, d):
+    """TT5, JN16, PRJ12."""
+    trips = timetable.search(inputs.stops(spark), origin="station 2", to="station 5", date="2024-05-01", kind="slow", after="09:00")
+    prices = spark.createDataFrame([("station 5", "station 2", 12.5), ("station 1", "station 2", 3.0)], "a string, b string, price double").withColumn("price", F.col("price").cast("decimal(3,1)"))
+    return timetable.priced(trips, prices, origin="station 2", to="station 5")
+
+
+@query(f"WITH {STOPS_SQL} SELECT no, station FROM stops WHERE (eff_until IS NULL OR eff_until >= DATE '2024-05-01') AND NOT workday_only AND no <> 'S7'")
+def timetable_in_force(spark, d):
+    """PRJ9-PRJ11: a holiday with one train suspended."""
+    off = spark.sql("SELECT date'2024-05-01' AS d, 'S7' AS no UNION ALL SELECT date'2024-05-02', '*'")
+    return timetable.effective(inputs.stops(spark), "2024-05-01", holiday=True, suspended=off).select("no", "station")

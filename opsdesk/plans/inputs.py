@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,3 +110,44 @@ CLAUSES = [("rights", True, ["rights reserved", "licensed"]), ("contact", True,
 
 def clauses(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CLAUSES, "clause string, required boolean, keywords array<string>")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors share: below spark.checkpoint.dir, or a temporary one in local mode."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="spark-shared-")
+    return f"{root.rstrip('/')}/opsdesk-{name}-{uuid.uuid4().hex}"
+
+
+def numbers_with_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k, id (18 characters of a personal number), code (18 of a credit code), old (an old tax number or none); about one in
+    eleven or thirty-one has the right check character."""
+    o = read(spark, sf_dir, "orders")
+    born = F.when(F.col("o_orderkey") % 13 == 0, "19990230").otherwise(F.date_format("o_orderdate", "yyyyMMdd"))
+    person = F.concat(F.lpad((F.col("o_orderkey") % 999983).cast("string"), 6, "1"), born, F.lpad((F.col("o_custkey") % 1000).cast("string"), 3, "0"), F.expr("substr('10X98765432', cast(o_orderkey % 11 as int) + 1, 1)"))
+    code = F.concat(F.lit("9135"), F.lpad((F.col("o_orderkey") * 7919 % 9999991).cast("string"), 7, "2"), F.lit("MA"), F.lpad((F.col("o_custkey") % 9973).cast("string"), 4, "X"), F.expr("substr('0123456789ABCDEFGHJKLMNPQRTUWXY', cast(o_orderkey % 31 as int) + 1, 1)"))
+    old = F.concat(F.lpad(F.col("o_custkey").cast("string"), 14, "3"), F.when(F.col("o_orderkey") % 3 == 0, "A").when(F.col("o_orderkey") % 3 == 1, "7").otherwise(""))
+    return o.select(F.col("o_orderkey").alias("k"), person.alias("id"), code.alias("code"), old.alias("old"))
+
+
+NUMBERS_SQL = """n AS (SELECT o_orderkey AS k, lpad(CAST(o_orderkey % 999983 AS VARCHAR), 6, '1') || CASE WHEN o_orderkey % 13 = 0 THEN '19990230' ELSE strftime(o_orderdate, '%Y%m%d') END || lpad(CAST(o_custkey % 1000 AS VARCHAR), 3, '0')
+      || substr('10X98765432', CAST(o_orderkey % 11 AS INTEGER) + 1, 1) AS id,
+    '9135' || lpad(CAST(o_orderkey * 7919 % 9999991 AS VARCHAR), 7, '2') || 'MA' || lpad(CAST(o_custkey % 9973 AS VARCHAR), 4, 'X') || substr('0123456789ABCDEFGHJKLMNPQRTUWXY', CAST(o_orderkey % 31 AS INTEGER) + 1, 1) AS code,
+    lpad(CAST(o_custkey AS VARCHAR), 14, '3') || CASE o_orderkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN '7' ELSE '' END AS old FROM orders)"""
+
+
+def customer_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of customer tables as other tools export them: one file with semicolons and quotes in UTF-8, one with tabs in
+    GB18030; line breaks and quotes inside cells."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    c = read(spark, sf_dir, "customer")
+    note = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit('said "'), F.col("c_mktsegment"), F.lit('"\nand left'))).otherwise(F.concat(F.lit("客户；"), F.col("c_mktsegment")))
+    rows = c.select(F.col("c_custkey").cast("string").alias("客户号"), F.col("c_name").alias("名称"), F.col("c_acctbal").cast("decimal(12,2)").cast("string").alias("余额"), note.alias("备注"))
+    folder = scratch(spark, "customers")
+    even = F.col("客户号").cast("long") % 2 == 0
+    for part, sep, encoding in ((rows.where(even), ";", "UTF-8"), (rows.where(~even), "\t", "GB18030")):
+        part.write.mode("append").options(sep=sep, encoding=encoding, header="true", quoteAll="true", escape='"').csv(folder)
+    return folder

@@ -80,7 +80,7 @@ def _marked_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def word_list(spark: SparkSession, path: str) -> DataFrame:
     """SRC10: category, word, variants of lines category|word|variant...; # starts a comment."""
-    return _marked_lines(spark, path).where(F.size("x") >= 2).select(F.trim(F.col("x")[0]).alias("category"), F.trim(F.col("x")[1]).alias("word"), F.filter(F.transform(F.slice("x", 3, 1000), F.trim), lambda v: v != "").alias("variants"))
+    return _marked_lines(spark, path).where(F.size("x") >= 2).select(F.trim(F.col("x")[0]).alias("category"), F.trim(F.col("x")[1]).alias("word"), F.filter(F.transform(F.slice("x", F.lit(3), F.size("x")), lambda v: F.trim(v)), lambda v: v != "").alias("variants"))
 
 
 def holiday_list(spark: SparkSession, path: str) -> DataFrame:

@@ -386,3 +386,53 @@ def test_partitions_change_nothing(spark):
         assert rows(f(df.coalesce(1))) == rows(f(df.repartition(7)))
 
 
+
+
+def test_spans_need_check_digits_and_dates(spark):
+    """Every type against a plain version: valid and invalid numbers, one inside another."""
+    from datetime import date as day
+
+    from opsdesk.functions.checks import id_number
+
+    weights, checks = (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2), "10X98765432"
+    with_check = lambda s: s + checks[sum(int(c) * w for c, w in zip(s, weights, strict=True)) % 11]
+    good = [x for k in range(40) if (x := with_check(f"11010519{50 + k}0203{100 + k}"))[-1] != "2"]
+    bad = [x[:17] + ("1" if x[17] != "1" else "3") for x in good[:5]] + [with_check("11010519500230100"), with_check("11010530010203100")]
+    df = spark.createDataFrame([(k, f"no {x}, or 13812345678 and a@b.io") for k, x in enumerate(good + bad)], "doc_id long, text string")
+    spans = scan.pii_spans(df, ("idcard", "phone", "email")).collect()
+    assert sorted(r.doc_id for r in spans if r.type == "idcard") == list(range(len(good)))
+    assert all(r.masked == "*" * 14 + good[r.doc_id][-4:] for r in spans if r.type == "idcard") and day.today().year < 3001
+    texts = {r.doc_id: r.text for r in scan.redacted(df).collect()}
+    assert texts[0] == f"no {'*' * 14}{good[0][-4:]}, or 138****5678 and a***@b.io"
+    jvm = {r.doc_id: r.ok for r in df.select("doc_id", id_number(F.substring("text", 4, 18)).alias("ok")).collect()}
+    assert [jvm[k] for k in range(len(good + bad))] == [True] * len(good) + [False] * len(bad)
+    codes = ["91350100M000100Y43", "91350100M000100Y44"]
+    got = scan.pii_spans(spark.createDataFrame(list(enumerate(codes)), "doc_id long, text string"), ("uscc",)).collect()
+    assert [r.doc_id for r in got] == [0] and got[0].masked == "91" + "*" * 12 + "0Y43"
+    with pytest.raises(ValueError):
+        scan.redact("text", ("idcard",))
+
+
+def test_cron_meets_rare_days_and_refuses_none(spark):
+    df = spark.sql("SELECT 1 AS k, timestamp'2025-01-01' AS s")
+    got = [str(r["at"].date()) for r in calendars.cron_next(df, "0 0 29 2 *", start="s", key="k", n=3).orderBy("nth").collect()]
+    assert got == ["2028-02-29", "2032-02-29", "2036-02-29"]
+    with pytest.raises(ValueError):
+        calendars.cron_next(df, "0 0 30 2 *", start="s", key="k")
+
+
+def test_near_misses_against_every_pair(spark):
+    import random
+    from datetime import date as day
+    from datetime import timedelta
+
+    r = random.Random(1)
+    side = lambda n: [(k, r.choice([-1, 1]) * r.choice([0, 50, 120, 5000, 19_990, 20_000, 20_150, 1_000_000, 1_009_900]) + r.randint(-60, 60), None if r.random() < 0.1 else day(2024, 1, 1) + timedelta(r.randint(0, 15))) for k in range(n)]
+    a, b = side(150), side(150)
+    want = {
+        (x, y) for x, ca, da in a for y, cb, db in b
+        if ca * cb > 0 and ca != cb and abs(ca - cb) <= max(100, int(abs(ca) * 0.01 + 0.5)) and (da is None or db is None or abs((da - db).days) <= 3)
+    }
+    schema = "line long, cents long, d date"
+    got = [(x.line_a, x.line_b) for x in reconcile.near_misses(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
