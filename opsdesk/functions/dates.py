@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,3 +58,11 @@ def subtitle_time(ms: Column | str, style: str = "srt") -> Column:
     if style == "ass":
         return F.format_string("%d:%02d:%02d.%02d", h, m, s, F.floor(x / 10))
     return F.format_string("%02d:%02d:%02d" + ("," if style == "srt" else ".") + "%03d", h, m, s, x.cast("long"))
+
+
+def time_text(c: Column | str, pattern: str = "YYYY-MM-DD HH:mm:ss") -> Column:
+    """DT12: a time in a pattern of YYYY, MM, DD, HH, mm and ss; anything else stands for itself."""
+    tokens = {"YYYY": "yyyy", "MM": "MM", "DD": "dd", "HH": "HH", "mm": "mm", "ss": "ss"}
+    parts = [p for p in re.split("(YYYY|MM|DD|HH|mm|ss)", pattern) if p]
+    c = F.col(c) if isinstance(c, str) else c
+    return F.concat(*[F.date_format(c, tokens[p]) if p in tokens else F.lit(p) for p in parts])

@@ -112,6 +112,14 @@ def duplicate_keys(df: DataFrame, keys: list[str], line: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(line).alias("first_line"), F.max(line).alias("last_line")).where("n > 1")
 
 
+def duplicate_lines(df: DataFrame, keys: list[str], line: str) -> DataFrame:
+    """AGG14: every line of the keys of several rows: keys, n, line. Rows instead of a list, so that no key's lines have to fit in
+    a task; a null is a key like any other."""
+    several = duplicate_keys(df, keys, line).select(*[F.col(k).alias(f"_{k}") for k in keys], "n")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return df.select(*keys, line).join(several, same).select(*keys, "n", line)
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """AGG15: one row: repeats beyond the first occurrence, and groups of equal rows."""
     return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n")).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("repeats"), F.count_if(F.col("_n") > 1).alias("groups"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,91 +13,145 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import subtitle_ms, subtitle_time
-from ..functions.text import display_width, markdown_cell, numericish, table_cells
+from ..functions.text import WIDE, display_width, markdown_cell, numericish
 from ..sources.files import front_matter
 
-_FENCE = r"^\s*(```+|~~~+)"
+_FENCE = re.compile(r"\s*(```+|~~~+)(.*)", re.S)
+#: What a line outside of fences is tested for; headings, list items and other lines each have their own rules.
+_ANY_LINE = {"MD009": r"[ \t]+$", "MD010": r"^\t"}
+_HEADING = {"MD019": r"^#{1,6}\s{2,}", "MD021": r"^#{1,6}\s+$", "MD026": r"^#{1,6}\s.*[。！？，；：]\s*$"}
+_ITEM = {"MD027": r"^\s*[-*+]\s{2,}\S"}
+_OTHER = {"MD039": r"\[\s*\]\([^)]*\)|\[\s+[^\]]|\S[^\]]*\s+\]\(", "MD034": r"(?s)^(?!.*<https?://)(?!.*\]\(https?:).*(?:^|[\s(])https?://\S"}
+_RULES = {k: [(code, re.compile(p)) for code, p in rules.items()] for k, rules in (("any", _ANY_LINE), ("heading", _HEADING), ("item", _ITEM), ("other", _OTHER))}
+_MARK = re.compile(r"(\s*)([-*+])(\s+)(\S.*)", re.S)
+
+
+def _states(rows: list[str]) -> Iterator[tuple[str, bool, str]]:
+    """Each line with whether it belongs to a code fence and what it does to it: opens, closes or nothing."""
+    mark = ""
+    for row in rows:
+        m = _FENCE.match(row)
+        if m and not mark:
+            mark = m[1][0]
+            yield row, True, "opens"
+        elif m and m[1][0] == mark:
+            mark = ""
+            yield row, True, "closes"
+        else:
+            yield row, bool(mark), ""
+
+
+def _cells(row: str) -> list[str]:
+    """table_cells() for the Arrow path."""
+    return [c.strip(" \t\r") for c in re.split(r"(?<!\\)\|", re.sub(r"^\||(?<!\\)\|$", "", row.strip()))]
+
+
+def _ruled(cells: list[str]) -> bool:
+    return all(re.fullmatch(":?-+:?", c) for c in cells)
+
+
+def _tables(rows: list[str]) -> list[tuple[int, list[list[str]]]]:
+    """First line (from 0) and cells of each run of two lines or more that begin with a pipe."""
+    runs = [(piped, [k for k, _ in group]) for piped, group in groupby(enumerate(rows), lambda x: x[1].lstrip().startswith("|"))]
+    return [(ks[0], [_cells(rows[k]) for k in ks]) for piped, ks in runs if piped and len(ks) > 1]
+
+
+def _lint(text: str) -> list[tuple[int, str]]:
+    rows, out = text.split("\n"), []
+    level, titled, item, fence = 0, False, "", 0
+    for line, (row, inside, does) in enumerate(_states(rows), 1):
+        if inside:
+            fence = line if does == "opens" else 0 if does == "closes" else fence
+            if does == "opens" and not _FENCE.match(row)[2].strip():
+                out.append((line, "MD040"))
+            continue
+        head, mark = re.match(r"(#{1,6})\s", row), _MARK.match(row)
+        kind = "heading" if head else "item" if mark else "other"
+        out += [(line, code) for code, p in (*_RULES["any"], *_RULES[kind]) if p.search(row)]
+        if head:
+            now = len(head[1])
+            out += [(line, "MD001")] * (0 < level < now - 1) + [(line, "MD025")] * (titled and now == 1)
+            level, titled = now, titled or now == 1
+        elif mark:
+            out += [(line, "MD004")] * (item not in ("", mark[2]))
+            item = mark[2]
+        elif row.strip() and not re.match(r"\s*[0-9]", row):
+            item = ""
+    out += [(fence, "MD031")] * (fence > 0)
+    for first, cells in _tables(rows):
+        ruled = _ruled(cells[1])
+        wrong = [first] * (not ruled) + [first + k for k, c in enumerate(cells) if k > ruled and len(c) != len(cells[0])]
+        out += [(k + 1, "MD056") for k in wrong]
+    if text:
+        out += [(len(rows), "MD012")] * text.endswith("\n\n") + [(len(rows), "MD047")] * (not text.endswith("\n"))
+    return sorted(out)
+
+
+def _each_text(documents: DataFrame, rows_of: Callable[[str], list[tuple]], schema: str) -> DataFrame:
+    """doc_id and the rows that a function finds in each text, in one pass of Arrow batches."""
+    names = ["doc_id", *[f.split()[0] for f in schema.split(", ")]]
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pd.DataFrame([(d, *x) for d, t in zip(pdf.doc_id, pdf.text, strict=True) for x in rows_of(t or "")], columns=names)
 
-def markdown_lines(documents: DataFrame) -> DataFrame:
-    """doc_id, line (from 1), row, in_fence, opens, closes. The fence state is a fold over the lines of a text, inside its row."""
-    rows = F.split("text", "\n")
-    start = F.expr("named_struct('open', '', 'out', cast(array() as array<struct<row:string,in_fence:boolean,opens:boolean,closes:boolean>>))")
+    return documents.select("doc_id", "text").mapInPandas(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, {schema}")
 
-    def step(s: Column, row: Column) -> Column:
-        mark = F.substring(F.regexp_extract(row, _FENCE, 1), 1, 1)
-        opens, closes = (mark != "") & (s.open == ""), (mark != "") & (s.open == mark)
-        state = F.when(opens, mark).when(closes, "").otherwise(s.open)
-        return F.struct(state.alias("open"), F.concat(s.out, F.array(F.struct(row.alias("row"), ((s.open != "") | opens).alias("in_fence"), opens.alias("opens"), closes.alias("closes")))).alias("out"))
 
-    folded = documents.select("doc_id", F.aggregate(rows, start, step, lambda s: s.out).alias("x"))
-    return folded.select("doc_id", F.posexplode("x").alias("pos", "x")).select("doc_id", (F.col("pos") + 1).alias("line"), "x.*")
+def markdown_lines(documents: DataFrame) -> DataFrame:
+    """WIN6: doc_id, line (from 1), row, in_fence, opens, closes."""
+    return _each_text(documents, lambda t: [(k, row, inside, does == "opens", does == "closes") for k, (row, inside, does) in enumerate(_states(t.split("\n")), 1)], "line int, row string, in_fence boolean, opens boolean, closes boolean")
 
 
 def lint(documents: DataFrame) -> DataFrame:
-    """RUL9: doc_id, line, code of the line rules, of heading levels (MD001, MD025), list marks (MD004), fences (MD031, MD040)
-    and the end of the text (MD012, MD047). Nothing inside a fence is judged."""
-    x = markdown_lines(documents)
-    row, free = F.col("row"), x.where("not in_fence")
-    heading = r"^#{1,6}\s+"
-    rules = [
-        (row.rlike(r"[ \t]+$"), "MD009"), (row.rlike(r"^\t"), "MD010"), (row.rlike(r"^#{1,6}\s{2,}\S"), "MD019"), (row.rlike(r"^#{1,6}\s+$"), "MD021"), (row.rlike(r"^#{1,6}\s.*[。！？，；：]\s*$"), "MD026"),
-        (row.rlike(r"^\s*[-*+]\s{2,}\S"), "MD027"), (~row.rlike(heading) & row.rlike(r"\[\s*\]\([^)]*\)|\[(\s+[^\]]*|[^\]]*\s+)\]\([^)]*\)"), "MD039"), (~row.rlike(heading) & ~row.rlike(r"^\s*[-*+]\s+\S") & row.rlike(r"(?<![(<\[\"'])https?://\S+") & ~row.rlike(r"\]\(https?://|<https?://"), "MD034"),
-    ]
-    found = F.filter(F.array(*[F.when(w, F.lit(c)) for w, c in rules]), lambda c: c.isNotNull())
-    parts = [free.select("doc_id", "line", F.explode(found).alias("code"))]
-    w = Window.partitionBy("doc_id").orderBy("line")
-    heads = free.where(row.rlike(heading)).withColumn("level", F.length(F.regexp_extract("row", "^(#+)", 1))).withColumn("before", F.lag("level").over(w))
-    parts.append(heads.where("level > before + 1").select("doc_id", "line", F.lit("MD001").alias("code")))
-    tops = heads.where("level = 1").withColumn("n", F.row_number().over(w)).where("n > 1")
-    parts.append(tops.select("doc_id", "line", F.lit("MD025").alias("code")))
-    item = F.regexp_extract("row", r"^\s*([-*+])\s+\S", 1)
-    blocks = free.withColumn("item", item).where((F.trim("row") != "") & (~row.rlike(r"^\s*[0-9]") | (F.col("item") != ""))).withColumn("before", F.lag("item").over(w))
-    parts.append(blocks.where("item <> '' and before <> '' and item <> before").select("doc_id", "line", F.lit("MD004").alias("code")))
-    parts.append(x.where(F.col("opens") & F.trim(F.regexp_replace("row", _FENCE, "")).eqNullSafe("")).select("doc_id", "line", F.lit("MD040").alias("code")))
-    fences = x.groupBy("doc_id").agg(F.max(F.when(F.col("opens"), F.col("line"))).alias("line"), F.count_if("opens").alias("a"), F.count_if("closes").alias("b"))
-    parts.append(fences.where("a > b").select("doc_id", "line", F.lit("MD031").alias("code")))
-    parts.append(table_findings(x))
-    end = documents.where("text is not null and text <> ''").select("doc_id", (F.size(F.split("text", "\n"))).alias("line"), F.when(~F.col("text").endswith("\n"), "MD047").when(F.col("text").endswith("\n\n"), "MD012").alias("code"))
-    parts.append(end.where("code is not null"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def table_findings(lines: DataFrame) -> DataFrame:
-    """RUL9: MD056 at the first line of a table without a separator in its second line, and at rows of another width than the
-    first. A table is a run of two lines or more that begin with a pipe."""
-    w = Window.partitionBy("doc_id").orderBy("line")
-    rows = lines.where(F.col("row").rlike(r"^\s*\|")).select("doc_id", "line", table_cells("row").alias("cells"))
-    rows = rows.withColumn("table", F.col("line") - F.row_number().over(w))
-    t = Window.partitionBy("doc_id", "table").orderBy("line")
-    whole = t.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rule = F.forall(F.coalesce(F.nth_value("cells", 2).over(whole), F.array()), lambda c: c.rlike("^:?-+:?$"))
-    rows = rows.withColumns({"n": F.row_number().over(t), "size": F.count(F.lit(1)).over(whole), "width": F.size(F.first("cells").over(whole)), "ruled": rule}).where("size > 1")
-    wrong = F.when(F.col("n") == 1, ~F.col("ruled")).otherwise((F.size("cells") != F.col("width")) & ~((F.col("n") == 2) & F.col("ruled")))
-    return rows.where(wrong).select("doc_id", "line", F.lit("MD056").alias("code"))
+    """RUL9, WIN5: doc_id, line, code of the line rules, of heading levels (MD001, MD025), list marks (MD004), fences (MD031,
+    MD040), tables (MD056: no separator in the second line, or a row of another width) and the end of the text (MD012, MD047).
+    But for tables nothing inside a fence is judged. One pass over each text, linear in its lines."""
+    return _each_text(documents, _lint, "line int, code string")
+
+
+def _width(cell: str) -> int:
+    return len(cell) + len(re.findall(WIDE, cell))
+
+
+def _rebuilt(cells: list[list[str]]) -> list[str]:
+    """The lines of a table with its separator, all rows filled up and aligned."""
+    size = max(map(len, cells))
+    body = [c + [""] * (size - len(c)) for k, c in enumerate(cells) if k != 1 or not _ruled(c)]
+    widths = [max(3, *map(_width, column)) for column in zip(*body, strict=True)]
+    line = lambda row: f"| {' | '.join(c + ' ' * (w - _width(c)) for c, w in zip(row, widths, strict=True))} |"
+    return [line(body[0]), line(["-" * w for w in widths]), *map(line, body[1:])]
+
+
+def _fixed(text: str) -> str:
+    if not text:
+        return text
+    rows, free, usual, closed, opened = [], [], "", True, ""
+    for row, inside, does in _states(text.split("\n")):
+        if not inside:
+            row = re.sub(r"^\t+", lambda m: "  " * len(m[0]), row.rstrip(" \t"))
+            if mark := _MARK.fullmatch(row):
+                usual = usual or mark[2]
+                row = f"{mark[1]}{usual} {mark[4]}"
+        if does:
+            closed, opened = does == "closes", _FENCE.match(row)[1][0] * 3
+        rows.append(row)
+        free.append(row if not inside else "")
+    for first, cells in reversed(_tables(free)):
+        rows[first : first + len(cells)] = _rebuilt(cells)
+    return "\n".join(rows).rstrip("\n") + "\n" + ("" if closed else f"{opened}\n")
 
 
 def fix(text: Column | str) -> Column:
-    """TXT8: outside of code fences blanks at line ends go, leading tabs become two blanks and list marks become one; a fence
-    left open is closed; one line end at the end. A text's lines are folded inside its row, like in markdown_lines."""
-    c = F.col(text) if isinstance(text, str) else text
+    """TXT8: outside of code fences blanks at line ends go, leading tabs become two blanks each, list marks become the first
+    one that the text uses, tables get their separator, full rows and aligned columns; a fence left open is closed; one line
+    end at the end. Linear in the lines of a text, in Arrow batches."""
 
-    def step(s: Column, row: Column) -> Column:
-        mark = F.regexp_extract(row, _FENCE, 1)
-        first = F.substring(mark, 1, 1)
-        opens, closes = (first != "") & (s.open == ""), (first != "") & (F.substring(s.open, 1, 1) == first)
-        plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(row, r"[ \t]+$", ""), r"^\t", "  "), r"^(\s*)[*+](\s+\S)", "$1-$2")
-        return F.struct(F.when(opens, mark).when(closes, "").otherwise(s.open).alias("open"), F.concat(s.out, F.array(F.when((s.open != "") | opens, row).otherwise(plain))).alias("out"))
-
-    def whole(s: Column) -> Column:
-        body = F.regexp_replace(F.array_join(s.out, "\n"), r"\n+$", "")
-        return F.concat(body, F.lit("\n"), F.when(s.open != "", F.concat(s.open, F.lit("\n"))).otherwise(""))
+    @F.pandas_udf("string")
+    def fixed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None else _fixed(t))
 
-    start = F.expr("named_struct('open', '', 'out', cast(array() as array<string>))")
-    return F.when(c == "", c).otherwise(F.aggregate(F.split(c, "\n"), start, step, whole))
+    return fixed(F.col(text) if isinstance(text, str) else text)
 
 
 def links(documents: DataFrame) -> DataFrame:
@@ -143,21 +198,42 @@ def cues(documents: DataFrame) -> DataFrame:
 
 
 def ass_cues(documents: DataFrame) -> DataFrame:
-    """SRC18, STR21: the cues of ASS texts, by the usual field order; tags off, line breaks as such."""
-    lines = documents.select("doc_id", F.posexplode(F.split(F.regexp_replace("text", "\r", ""), "\n")).alias("nth", "row")).where(F.col("row").startswith("Dialogue:"))
-    f = F.split(F.regexp_replace("row", r"^Dialogue:\s*", ""), ",", 10)
-    body = F.regexp_replace(F.regexp_replace(f[9], r"\{[^}]*\}", ""), r"\\[Nn]", "\n")
-    return lines.select("doc_id", "nth", subtitle_ms(F.trim(f[1])).alias("start_ms"), subtitle_ms(F.trim(f[2])).alias("end_ms"), body.alias("text"))
+    """SRC18, STR21: doc_id, nth, start_ms, end_ms, text, style of the [Events] of ASS texts, by the fields that their Format line
+    names; tags off, \\N as line ends. Cues before a Format line or without times are left out."""
+
+    def events(text: str) -> list[tuple]:
+        out, on, at = [], False, {}
+        for k, row in enumerate(map(str.strip, text.splitlines())):
+            name, _, rest = row.partition(":")
+            if row.startswith("[") and row.endswith("]"):
+                on, at = row.lower() == "[events]", {}
+            elif on and name.lower() == "format":
+                at = {f.strip().lower(): n for n, f in enumerate(rest.split(","))}
+            elif on and name.lower() == "dialogue" and at:
+                cell = rest.split(",", len(at) - 1)
+                get = lambda f: cell[at[f]].strip() if at.get(f, len(cell)) < len(cell) else ""  # noqa: B023, E731
+                out.append((k, get("start"), get("end"), re.sub(r"\\[Nn]", "\n", re.sub(r"\{[^}]*\}", "", get("text"))), get("style") or None))
+        return out
+
+    x = _each_text(documents, events, "nth int, a string, b string, text string, style string")
+    return x.select("doc_id", "nth", subtitle_ms("a").alias("start_ms"), subtitle_ms("b").alias("end_ms"), "text", "style").where("start_ms is not null and end_ms is not null")
+
+
+#: The head of an ASS text and its one style.
+ASS_STYLES = "Format: Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding\nStyle: Default,Arial,20,&H00FFFFFF,&H000000FF,&H00000000,&H00000000,0,0,0,0,100,100,0,0,1,2,2,2,10,10,10,1"
+ASS_HEAD = f"[Script Info]\nScriptType: v4.00+\nWrapStyle: 0\nScaledBorderAndShadow: yes\n\n[V4+ Styles]\n{ASS_STYLES}\n\n[Events]\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text\n"
 
 
 def subtitles(cue_rows: DataFrame, style: str = "srt") -> DataFrame:
-    """SNK8, TXT9: doc_id and text in srt, vtt or ass; cues in time order, numbered anew in srt. ass keeps centiseconds."""
-    one = F.struct("start_ms", "end_ms", "nth", "text")
+    """SNK8, TXT9: doc_id and text in srt, vtt or ass; cues in time order, numbered anew in srt. ass keeps centiseconds and the
+    styles of its cues."""
+    named = F.coalesce("style", F.lit("Default")) if "style" in cue_rows.columns else F.lit("Default")
+    one = F.struct("start_ms", "end_ms", "nth", "text", named.alias("style"))
     listed = cue_rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(one)).alias("c"))  # of one film
     t = lambda x: subtitle_time(x, style)
     if style == "ass":
-        block = lambda x, i: F.concat(F.lit("Dialogue: 0,"), t(x.start_ms), F.lit(","), t(x.end_ms), F.lit(",Default,,0,0,0,,"), F.replace(x.text, F.lit("\n"), F.lit("\\N")))
-        head, gap = "[Script Info]\nScriptType: v4.00+\n\n[Events]\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text\n", "\n"
+        block = lambda x, i: F.concat(F.lit("Dialogue: 0,"), t(x.start_ms), F.lit(","), t(x.end_ms), F.lit(","), x.style, F.lit(",,0,0,0,,"), F.replace(x.text, F.lit("\n"), F.lit("\\N")))
+        head, gap = ASS_HEAD, "\n"
     else:
         number = (lambda i: F.concat((i + 1).cast("string"), F.lit("\n"))) if style == "srt" else (lambda i: F.lit(""))
         block = lambda x, i: F.concat(number(i), t(x.start_ms), F.lit(" --> "), t(x.end_ms), F.lit("\n"), x.text)
@@ -165,6 +241,13 @@ def subtitles(cue_rows: DataFrame, style: str = "srt") -> DataFrame:
     return listed.select("doc_id", F.concat(F.lit(head), F.array_join(F.transform("c", block), gap), F.lit("\n")).alias("text"))
 
 
+def subtitle_losses(cue_rows: DataFrame, style: str = "srt") -> DataFrame:
+    """TXT9: doc_id, cues, and how many of them lose a style (srt, vtt) or milliseconds (ass) in the form to be written."""
+    styled = F.col("style").isNotNull() & (F.col("style") != "Default") if "style" in cue_rows.columns else F.lit(False)
+    cut = (F.col("start_ms") % 10 != 0) | (F.col("end_ms") % 10 != 0)
+    return cue_rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("cues"), F.count_if(styled if style != "ass" else F.lit(False)).alias("styles_lost"), F.count_if(cut if style == "ass" else F.lit(False)).alias("times_cut"))
+
+
 def json_validity(df: DataFrame, column: str) -> DataFrame:
     """JSN2: the rows with valid, true if the text is JSON (a byte-order mark is tolerated)."""
     return df.withColumn("valid", F.expr(f"try_parse_json(regexp_replace({column}, '^\\uFEFF', '')) is not null"))
@@ -260,3 +343,14 @@ def package_findings(documents: DataFrame, required: tuple[str, ...] = ("name",
     missing = wanted.join(fields, ["doc_id", "key"], "left_anti").select("doc_id", F.col("key").alias("field"), F.lit("missing").alias("problem"))
     wrong = fields.where("key = 'version'").where(~F.col("value").rlike(r"^\d+\.\d+\.\d+$"))
     return missing.unionByName(wrong.select("doc_id", F.col("key").alias("field"), F.lit("version").alias("problem")))
+
+
+def package_tree_findings(files: DataFrame, versions: DataFrame | None = None) -> DataFrame:
+    """RUL10: package, problem of the file lists (package, path within it) of packages: deep (more than one folder below the
+    root), junk (.DS_Store); with versions (package, version, old_version, altered) also stale: altered without a new version."""
+    deep = files.where(F.size(F.split("path", "/")) > 2).select("package", F.lit("deep").alias("problem"))
+    junk = files.where(F.col("path").rlike(r"(^|/)\.DS_Store$")).select("package", F.lit("junk").alias("problem"))
+    out = deep.union(junk)
+    if versions is not None:
+        out = out.union(versions.where(F.col("altered") & F.col("version").eqNullSafe(F.col("old_version"))).select("package", F.lit("stale").alias("problem")))
+    return out.distinct()

@@ -6,15 +6,17 @@ be settled, come from a small Arrow function for each batch of texts."""
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Iterator
 from datetime import date
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.checks import CREDIT_ALPHABET, ID_CHECKS, ID_WEIGHTS, credit_code, id_number, ipv4, luhn
-from ..functions.text import half_width, mask
+from ..functions.text import FULL, HALF, half_width, line_of
 
 _A, _Z = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
 #: Shapes of personal data, and what decides about a match.
@@ -28,22 +30,24 @@ PII = {
     "ipv4": (_A + r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}" + _Z, ipv4),
 }
 DEFAULT_PII = ("idcard", "phone", "bank", "email", "plate", "ipv4")
-_PLACEHOLDER = r"(?i)^(x{3,}|\*{3,}|\.{3,}|(your|my|the|some)[-_ ].*|.*example.*|placeholder|change_?me|<.*>|\{\{.*\}\}|todo|null|none|test|dummy|sample|\$\{.*\}|\$[A-Z_]+|process\.env.*)$"
-#: rule: shape, group that holds the value, level.
+#: What stands for a secret without being one.
+_PLACEHOLDER = re.compile(r"(?:x{3,}|\*{3,}|(?:your|my|the|some)(?:[-_]\w*)?|example\w*|placeholder|changeme|<[^>]*>|\{\{?\w*\}?\}?|todo|\.{3,}|null|none|test|dummy|sample|\$\{[^}]*\}|\$[A-Z_]+|process\.env\S*)", re.I | re.A)
+_B = r"(?a:\b)"
+#: Fixed values, rule: shape, level, and a cheap pattern that every text with a match has.
 LEAKS = {
-    "aws_ak": (_A + r"(?:AKIA|ASIA)[0-9A-Z]{16}" + _Z, 0, "high"),
-    "aliyun_ak": (_A + r"LTAI[0-9A-Za-z]{16,24}" + _Z, 0, "high"),
-    "tencent_ak": (_A + r"AKID[0-9A-Za-z]{32}" + _Z, 0, "high"),
-    "github_token": (_A + r"gh[pousr]_[0-9A-Za-z]{36,255}" + _Z, 0, "high"),
-    "slack_token": (_A + r"xox[baprs]-[0-9A-Za-z-]{10,}", 0, "high"),
-    "private_key": (r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, "high"),
-    "jwt": (_A + r"eyJ[0-9A-Za-z_-]{5,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}", 0, "medium"),
-    "db_url": (r"[a-z][a-z0-9+.-]*://[^\s:/@]+:([^\s@/]+)@", 1, "high"),
-    "generic_secret": (r"(?i)(?<![0-9A-Za-z])(?:password|passwd|secret|api[_-]?key|access[_-]?key|secret[_-]?key|token|auth)[\"']?\s*[:=]\s*[\"']?([^\s\"',;]{6,64})", 1, "medium"),
-    "idcard": (PII["idcard"][0], 0, "high"),
-    "phone": (_A + PII["phone"][0] + _Z, 0, "medium"),
-    "bank": (PII["bank"][0], 0, "high"),
-    "email": (PII["email"][0], 0, "low"),
+    "aws_ak": (_B + r"(?:AKIA|ASIA)[0-9A-Z]{16}" + _B, "high", "AKIA|ASIA"),
+    "aliyun_ak": (_B + r"LTAI[A-Za-z0-9]{16,24}" + _B, "high", "LTAI"),
+    "tencent_ak": (_B + r"AKID[A-Za-z0-9]{32}" + _B, "high", "AKID"),
+    "github_token": (_B + r"gh[pousr]_[A-Za-z0-9]{36,255}" + _B, "high", "gh[pousr]_"),
+    "slack_token": (_B + r"xox[baprs]-[A-Za-z0-9-]{10,}" + _B, "high", "xox[baprs]-"),
+    "private_key": (r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY-----", "high", "PRIVATE KEY-----"),
+    "jwt": (_B + r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}" + _B, "medium", "eyJ"),
+    "db_url": (_B + r"(?i:[a-z][a-z0-9+.-]*://[^\s:@/]+:[^\s@/]+@[^\s/]+)", "high", "://"),
+    "generic_secret": (_B + r"(?i:password|passwd|secret|api[_-]?key|apikey|access[_-]?key|secret[_-]?key|token|auth)" + _B + r"\s*[:=]\s*[\"']?[^\s\"'`,;)]{6,64}", "medium", "(?i:password|passwd|secret|key|token|auth)\\s*[:=]"),
+    "idcard": (_B + r"[0-9]{17}[0-9Xx]" + _B, "high", "[0-9]{17}"),
+    "phone": (_B + r"1[3-9][0-9]{9}" + _B, "medium", "1[3-9][0-9]{9}"),
+    "bank": (_B + r"[0-9]{16,19}" + _B, "high", "[0-9]{16}"),
+    "email": (_B + r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}" + _B, "low", "@"),
 }
 
 
@@ -154,30 +158,60 @@ def redact(text: Column | str, types: tuple[str, ...] = ("email", "phone", "ipv4
     return c
 
 
-def _leak_kept(rule: str) -> Callable[[Column], Column]:
-    """What a match of a rule must be to count."""
-    if rule == "private_key":
-        return lambda x: F.lit(True)
-    if rule == "generic_secret":
-        return lambda x: ~x.rlike(_PLACEHOLDER) & ~x.rlike(r"[:=]$") & ~x.rlike(r"^[0-9]+$") & ~(x.rlike(r"^[a-z]+$") & (F.length(x) < 12))
-    if rule == "email":
-        return lambda x: ~x.rlike(r"(?i)@(.*\.)?(example|test|localhost|domain)\.")
-    if rule in ("idcard", "bank"):
-        return lambda x: F.coalesce(PII[rule][1](x), F.lit(False))
-    return lambda x: ~x.rlike(_PLACEHOLDER)
+def _secret(match: str) -> str:
+    """The value of an assignment."""
+    return re.split(r"[:=]\s*[\"']?", match, maxsplit=1)[1]
 
 
-def _leak_hits(rule: str) -> Column:
-    shape, group, level = LEAKS[rule]
-    values = F.filter(F.regexp_extract_all("row", F.lit(shape), F.lit(group)), _leak_kept(rule))
-    return F.transform(values, lambda x: F.struct(F.lit(rule).alias("rule"), F.lit(level).alias("level"), mask(x).alias("masked")))
+def _generic(match: str) -> bool:
+    v = _secret(match)
+    return not (_PLACEHOLDER.fullmatch(v) or v[-1] in ":=" or re.fullmatch(r"[0-9]+", v) or (re.fullmatch("[a-z]+", v) and len(v) < 12))
+
+
+#: Which matches of a rule count; of other rules all do.
+_LEAK_KEPT = {
+    "db_url": lambda m: not _PLACEHOLDER.fullmatch(m.split("@")[0].split("//", 1)[1].split(":", 1)[1]),
+    "generic_secret": _generic,
+    "idcard": _id_number,
+    "bank": _luhn,
+    "email": lambda m: not re.search(r"@(?:example|test|localhost|domain)\.", m, re.I),
+}
+
+
+def _starred(s: str) -> str:
+    """mask() for the Arrow path."""
+    return "*" * len(s) if len(s) <= 8 else s[:4] + "*" * min(12, len(s) - 8) + s[-4:]
 
 
 def leak_findings(documents: DataFrame, rules: tuple[str, ...] = tuple(LEAKS), *, id_column: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """TXT2, TXT7: doc_id (and the columns to keep), line (from 1), rule, level, masked for each match; placeholders and
-    impossible numbers are left out."""
-    lines = documents.select(id_column, *keep, F.posexplode(F.split("text", "\n")).alias("pos", "row"))
-    return lines.select(id_column, *keep, (F.col("pos") + 1).alias("line"), F.explode(F.concat(*map(_leak_hits, rules))).alias("x")).select(id_column, *keep, "line", "x.*")
+    """TXT2, TXT7, RUL5, SRT7: id_column (and the columns to keep), line and column (from 1), nth (of the rule, in whose order
+    findings are listed), rule, level, masked for each match; placeholders and impossible numbers are left out. Texts without a
+    trace of any rule stay in the JVM; in the others each rule looks only at the lines around its traces."""
+    shapes = [(k, rule, re.compile(LEAKS[rule][0]), LEAKS[rule][1], _LEAK_KEPT.get(rule)) for k, rule in enumerate(rules, 1)]
+    hints = [re.compile(LEAKS[rule][2]) for rule in rules]
+
+    def found(text: str) -> Iterator[tuple]:
+        for (k, rule, shape, level, kept), hint in zip(shapes, hints, strict=True):
+            line, seen, at = 1, 0, hint.search(text)
+            while at:  # from trace to trace, a line at a time
+                start, stop = text.rfind("\n", 0, at.start()) + 1, text.find("\n", at.start())
+                stop = len(text) if stop < 0 else stop
+                line, seen = line + text.count("\n", seen, start), start
+                for m in shape.finditer(text[start:stop]):
+                    if kept is None or kept(m[0]):
+                        yield line, m.start() + 1, k, rule, level, _starred(m[0])
+                at = hint.search(text, stop)
+
+    names = [id_column, *keep]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = [(*ids, *x) for *ids, t in pdf.itertuples(index=False, name=None) for x in found(t)]
+            yield pd.DataFrame(rows, columns=[*names, "line", "column", "nth", "rule", "level", "masked"])
+
+    traced = documents.where(F.col("text").rlike("|".join(f"(?:{LEAKS[r][2]})" for r in rules)))
+    kinds = "".join(f"`{c}` {documents.schema[c].dataType.simpleString()}, " for c in names)
+    return traced.select(*names, "text").mapInPandas(run, f"{kinds}line int, column int, nth int, rule string, level string, masked string")
 
 
 #: Characters that don't keep a word from being found, and characters of no width.
@@ -185,30 +219,63 @@ IGNORED = r"[\s　·•●◆★☆▪▫◾◽。．.,、，;；:：!！?？~
 ZERO_WIDTH = r"[\u200B-\u200F\u202A-\u202E\uFEFF]"
 
 
-def plain_text(text: Column | str) -> Column:
-    """STR23: half-width, lower case, without ignorable and zero-width characters."""
-    c = F.col(text) if isinstance(text, str) else text
-    return F.regexp_replace(F.lower(half_width(F.regexp_replace(c, ZERO_WIDTH, ""))), IGNORED, "")
+_DROPPED = "".join(c for c in map(chr, range(0x10000)) if not 0xD800 <= ord(c) < 0xE000 and c not in "\x1c\x1d\x1e\x1f\x85\xa0" and (re.match(ZERO_WIDTH, c) or re.match(IGNORED.replace(r"\s", " \\t\\n\\x0b\\f\\r"), c)))
 
 
-def word_hits(documents: DataFrame, words: DataFrame, *, normalise: bool = True) -> DataFrame:
-    """TXT3, TXT4, JN13: doc_id, category, word, n for each entry (category, word, variants) of a list that a text holds,
-    under any of its variants. The list is broadcast after a check of its size (at most 100,000 entries)."""
-    if words.limit(100_001).count() > 100_000:
-        raise ValueError("a word list of more than 100,000 entries; split it")
-    prepare = plain_text if normalise else (lambda c: F.col(c) if isinstance(c, str) else c)
-    entries = words.select("category", "word", F.explode(F.array_union(F.array("word"), "variants")).alias("v")).withColumn("v", prepare(F.col("v"))).where("v <> ''").distinct()
-    texts = documents.select("doc_id", prepare(F.col("text")).alias("t"))
-    hits = texts.join(F.broadcast(entries), F.contains("t", "v"))
-    count = (F.length("t") - F.length(F.replace("t", "v", F.lit("")))) / F.length("v")
-    return hits.groupBy("doc_id", "category", "word").agg(F.sum(count).cast("long").alias("n"))
-
+def plain_text(text: Column | str) -> Column:
+    """STR23: half-width, lower case, without ignorable and zero-width characters; one table for all of it."""
+    pairs = [(f, h) for f, h in zip(FULL, HALF, strict=True) if f not in _DROPPED and h not in _DROPPED]
+    gone = _DROPPED + "".join(f for f, h in zip(FULL, HALF, strict=True) if h in _DROPPED and f not in _DROPPED)
+    c = F.col(text) if isinstance(text, str) else text
+    return F.lower(F.translate(c, "".join(f for f, _ in pairs) + gone, "".join(h for _, h in pairs)))
+
+
+def word_hits(documents: DataFrame, words: DataFrame, *, normalise: bool = True, max_entries: int = 100_000) -> DataFrame:
+    """TXT3, TXT4, JN13: doc_id, category, word, n for each entry (category, word, variants) of a list that a text holds, under
+    any of its variants; n adds up the places of each variant that don't overlap. The list goes to the tasks after a check of
+    its size; there one automaton finds all variants in one pass over a text, however long the list."""
+    prepare = plain_text if normalise else (lambda c: c)
+    variants = words.select("category", "word", F.explode(F.array_union(F.array("word"), F.coalesce("variants", F.array()))).alias("v")).withColumn("v", prepare(F.col("v"))).where("v <> ''").distinct()
+    listed = variants.limit(max_entries + 1).collect()
+    if len(listed) > max_entries:
+        raise ValueError(f"a word list of more than {max_entries} entries; split it")
+    owners: dict[str, list[tuple[str, str]]] = {}
+    for r in listed:
+        owners.setdefault(r.v, []).append((r.category, r.word))
 
-def clause_coverage(documents: DataFrame, clauses: DataFrame) -> DataFrame:
-    """AGG22: doc_id, clause, required, hits, missing for each clause (clause, required, keywords) of a contract profile."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = ahocorasick.Automaton()
+        for v in owners:
+            automaton.add_word(v, v)
+        if owners:
+            automaton.make_automaton()
+        for pdf in frames:
+            rows = []
+            for d, t in zip(pdf.doc_id, pdf.t, strict=True):
+                free: dict[str, int] = {}
+                counts: Counter = Counter()
+                for stop, v in automaton.iter(t) if owners else ():
+                    if stop - len(v) >= free.get(v, -1):
+                        free[v] = stop
+                        counts.update(owners[v])
+                rows += [(d, *owner, n) for owner, n in counts.items()]
+            yield pd.DataFrame(rows, columns=["doc_id", "category", "word", "n"])
+
+    texts = documents.select("doc_id", prepare(F.col("text")).alias("t")).where("t is not null")
+    return texts.mapInPandas(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, category string, word string, n long")
+
+
+def clause_coverage(documents: DataFrame, clauses: DataFrame, *, max_clauses: int = 10_000) -> DataFrame:
+    """AGG22: doc_id, clause, required, hits, line (of the first hit), sample (up to three keywords that are there), missing for
+    each clause (clause, required, keywords) of a contract profile, which goes to the tasks after a check of its size."""
+    if clauses.limit(max_clauses + 1).count() > max_clauses:
+        raise ValueError(f"a profile of more than {max_clauses} clauses; split it")
     texts = documents.select("doc_id", half_width("text").alias("t"))
     n = F.aggregate("keywords", F.lit(0).cast("long"), lambda a, k: a + ((F.length("t") - F.length(F.replace("t", k, F.lit("")))) / F.length(k)).cast("long"))
-    return texts.join(F.broadcast(clauses)).select("doc_id", "clause", "required", n.alias("hits")).withColumn("missing", F.col("required") & (F.col("hits") == 0))  # a profile has some ten clauses
+    first = F.array_min(F.transform("there", lambda k: F.position(k, F.col("t"))))
+    x = texts.join(F.broadcast(clauses)).withColumn("there", F.filter("keywords", lambda k: F.contains("t", k)))
+    x = x.select("doc_id", "clause", "required", n.alias("hits"), F.when(F.size("there") > 0, line_of("t", first - 1)).cast("int").alias("line"), F.slice("there", 1, 3).alias("sample"))
+    return x.withColumn("missing", F.col("required") & (F.col("hits") == 0))
 
 
 def placeholders(documents: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import checks, dates, numbers, text
-from ..operators import aggregate, audit, calendars, clean, diff, documents, files, lexicons, quality, reconcile, scan, timetable
-from ..sources import delimited
+from ..operators import aggregate, audit, calendars, clean, columns, diff, documents, files, lexicons, quality, reconcile, scan, timetable
+from ..sources import delimited, sinks
 from ..sources import files as sources
 from ..streaming import live
 from . import inputs
@@ -101,6 +101,12 @@ def dup_keys(spark, d):
     return aggregate.duplicate_keys(read(spark, d, "events"), ["user_id", "event_type"], "event_id")
 
 
+@query("SELECT user_id, event_type, n, event_id FROM (SELECT *, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events) WHERE n > 1")
+def dup_lines(spark, d):
+    """AGG14: each line of the keys that repeat."""
+    return aggregate.duplicate_lines(read(spark, d, "events"), ["user_id", "event_type"], "event_id")
+
+
 @query("SELECT CAST(sum(n - 1) AS BIGINT) AS repeats, count_if(n > 1) AS groups FROM (SELECT count(*) AS n FROM events GROUP BY user_id, event_type)")
 def dup_rows(spark, d):
     """AGG15."""
@@ -144,8 +150,11 @@ def clean_counts(spark, d):
 
 def _profile_sql() -> str:
     head = """SELECT '{c}' AS column_name, count(*) AS n_rows, count_if(trim(v) <> '') AS non_blank, count_if(trim(v) = '') AS blank, count(DISTINCT nullif(trim(v), '')) AS unique_values, '{t}' AS type,
-        bool_or(v <> '' AND v <> trim(v)) AS padded, CAST(0 AS BIGINT) AS invalid_dates, CAST(min(n) AS DECIMAL(18,4)) AS min_value, CAST(max(n) AS DECIMAL(18,4)) AS max_value, count(n) AS numbers FROM c"""
-    parts = [head.format(c=c, t=t).replace(" FROM c", f" FROM (SELECT {c} AS v, TRY_CAST(trim({c}) AS DOUBLE) AS n FROM c)") for c, t in (("c_custkey", "integer"), ("c_mktsegment", "string"), ("c_acctbal", "decimal"))]
+        bool_or(v <> '' AND v <> trim(v)) AS padded, CAST(0 AS BIGINT) AS invalid_dates, CAST(min(n) AS DECIMAL(18,4)) AS min_value, CAST(max(n) AS DECIMAL(18,4)) AS max_value, count(n) AS numbers, CAST(avg(n) AS DECIMAL(18,2)) AS avg_value,
+        CAST(count_if(trim(v) = '') / count(*) AS DECIMAL(18,4)) AS null_rate, array_to_string(list_slice(list_sort(list_distinct(list(nullif(trim(v), '')))), 1, 3), '|') AS samples,
+        count(*) FILTER (n < lo OR n > hi) AS outliers FROM c"""
+    inner = """ FROM (SELECT v, n, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM (SELECT v, n, quantile_cont(n, 0.25) OVER () AS q1, quantile_cont(n, 0.75) OVER () AS q3 FROM (SELECT {c} AS v, TRY_CAST(trim({c}) AS DOUBLE) AS n FROM c)))"""
+    parts = [(head.removesuffix(" FROM c") + inner).format(c=c, t=t) for c, t in (("c_custkey", "integer"), ("c_mktsegment", "string"), ("c_acctbal", "decimal"))]
     return "WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CASE WHEN c_custkey % 7 = 0 THEN '' WHEN c_custkey % 5 = 0 THEN ' ' || c_mktsegment ELSE c_mktsegment END AS c_mktsegment, CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) AS c_acctbal FROM customer) " + " UNION ALL ".join(parts)
 
 
@@ -157,15 +166,19 @@ def _untidy_customers(spark, d):
 @query(_profile_sql())
 def profile_columns(spark, d):
     """AGG16, AGG17."""
-    return dec(quality.profile(_untidy_customers(spark, d)).drop("outliers", "avg_value"))
+    x = quality.profile(_untidy_customers(spark, d)).withColumns({"avg_value": F.col("avg_value").cast("decimal(18,2)"), "samples": F.array_join("samples", "|")})
+    return dec(x)
 
 
-@query("""WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN '' WHEN c_custkey % 5 = 0 THEN ' ' || c_mktsegment ELSE c_mktsegment END AS s FROM customer)
-    SELECT 'E' AS level, 'Q001' AS code, 'c_mktsegment' AS column_name, count_if(s = '') AS n FROM c UNION ALL SELECT 'E', 'Q006', 'c_mktsegment', CAST(1 AS BIGINT) UNION ALL
-    SELECT 'E', 'Q005', 'c_mktsegment', CAST(count(DISTINCT trim(s)) AS BIGINT) FROM c WHERE trim(s) NOT IN ('', 'BUILDING', 'MACHINERY') UNION ALL SELECT 'W', 'W102', 'c_custkey', count(*) FROM customer""")
+@query("""WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN '' WHEN c_custkey % 5 = 0 THEN ' ' || c_mktsegment ELSE c_mktsegment END AS s, CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DOUBLE) AS n FROM customer),
+    q AS (SELECT quantile_cont(n, 0.25) AS a, quantile_cont(n, 0.75) AS b FROM c)
+    SELECT 'E' AS level, 'Q001' AS code, 'c_mktsegment' AS column_name, count_if(s = '') AS n, CAST(NULL AS VARCHAR) AS shown FROM c UNION ALL SELECT 'E', 'Q006', 'c_mktsegment', CAST(1 AS BIGINT), NULL UNION ALL
+    SELECT 'E', 'Q005', 'c_mktsegment', CAST(count(DISTINCT trim(s)) AS BIGINT), string_agg(DISTINCT trim(s), '|' ORDER BY trim(s)) FROM c WHERE trim(s) NOT IN ('', 'BUILDING', 'MACHINERY') UNION ALL SELECT 'W', 'W102', 'c_custkey', count(*), NULL FROM customer
+    UNION ALL SELECT 'W', 'W104', 'c_acctbal', count(*), NULL FROM c, q WHERE c.n < a - 1.5 * (b - a) OR c.n > b + 1.5 * (b - a) HAVING count(*) > 0""")
 def quality_findings(spark, d):
     """RUL1, PRJ8."""
-    return quality.findings(_untidy_customers(spark, d), null_rate=0.1, enums={"c_mktsegment": ["BUILDING", "MACHINERY"]}, columns=["c_custkey", "c_mktsegment"])
+    x = quality.findings(_untidy_customers(spark, d), null_rate=0.1, enums={"c_mktsegment": ["BUILDING", "MACHINERY"]})
+    return x.withColumn("shown", F.array_join("shown", "|"))
 
 
 @query("""WITH q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events)
@@ -284,11 +297,16 @@ def finding_tally(spark, d):
 # --- scans -------------------------------------------------------------------------------------------------------
 
 
-@query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS INTEGER) AS email,
-    CAST(len(list_filter(regexp_extract_all(text, '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b'), lambda x: list_max(list_transform(string_split(x, '.'), lambda y: CAST(y AS INTEGER))) <= 255)) AS INTEGER) AS ipv4 FROM documents""")
+_LUHN_SQL = "list_sum(list_transform(range(1, len({x}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr({x}, len({x}) - i + 1, 1) AS INTEGER) ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][CAST(substr({x}, len({x}) - i + 1, 1) AS INTEGER) + 1] END)) % 10 = 0"
+
+
+@query(rf"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}')) AS INTEGER) AS email,
+    CAST(len(list_filter(regexp_extract_all(text, '\b(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}\b'), lambda x: list_max(list_transform(string_split(x, '.'), lambda y: CAST(y AS INTEGER))) <= 255)) AS INTEGER) AS ipv4,
+    CAST(len(regexp_extract_all(text, '1[3-9][0-9]{{9}}')) AS INTEGER) AS phone, CAST(len(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: len(x) BETWEEN 16 AND 19 AND {_LUHN_SQL.format(x="x")})) AS INTEGER) AS bank,
+    CAST(len(regexp_extract_all(text, '{scan.PII["plate"][0]}')) AS INTEGER) AS plate FROM documents""")
 def pii_counts(spark, d):
     """TXT1, MTH11."""
-    return scan.pii_counts(read(spark, d, "documents"), ("email", "ipv4"))
+    return scan.pii_counts(read(spark, d, "documents"), ("email", "ipv4", "phone", "bank", "plate"))
 
 
 @query(r"""WITH n AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b[0-9]{16,19}\b')) AS v FROM documents), s AS (SELECT doc_id, v, list_sum(list_transform(range(1, len(v) + 1), lambda i: CASE WHEN (i % 2) = 1 THEN CAST(substr(v, len(v) - i + 1, 1) AS INTEGER)
@@ -311,12 +329,35 @@ def pii_spans(spark, d):
     return scan.pii_spans(read(spark, d, "documents"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS v, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
-    m AS (SELECT doc_id, line, unnest(regexp_extract_all(v, '\b(?:AKIA|ASIA)[0-9A-Z]{16}\b')) AS x FROM l)
-    SELECT doc_id, CAST(line AS INTEGER) AS line, 'aws_ak' AS rule, 'high' AS level, substr(x, 1, 4) || repeat('*', 12) || right(x, 4) AS masked FROM m""")
+@query(f"""WITH {inputs.LEAKY_SQL} SELECT doc_id, 2 AS line, pos AS "column", 1 AS nth, rule, level, masked FROM k WHERE rule = 'aws_ak'""")
 def leak_aws(spark, d):
     """TXT2, STR7, SRT7."""
-    return scan.leak_findings(read(spark, d, "documents"), ("aws_ak",))
+    return scan.leak_findings(inputs.leaky_texts(spark, d), ("aws_ak",))
+
+
+@query(f"""WITH {inputs.LEAKY_SQL} SELECT doc_id, 2 AS line, pos AS "column", CAST(list_position({list(scan.LEAKS)}, rule) AS INTEGER) AS nth, rule, level, masked FROM k WHERE rule <> ''""")
+def leak_rules(spark, d):
+    """RUL5, TXT2, SRT7: planted keys of eight kinds and what only looks like one."""
+    return scan.leak_findings(inputs.leaky_texts(spark, d))
+
+
+def _leak_sql() -> str:
+    secret = r"""regexp_replace(x, '^[^:=]*[:=]\s*["'']?', '')"""
+    fits = lambda v: f"regexp_full_match({v}, '(?i){scan._PLACEHOLDER.pattern}')"
+    person = "substr('10X98765432', CAST(list_sum(list_transform(range(1, 18), lambda i: CAST(substr(x, i, 1) AS INTEGER) * [7,9,10,5,8,4,2,1,6,3,7,9,10,5,8,4,2][i])) % 11 AS INTEGER) + 1, 1) = upper(right(x, 1)) AND try_strptime(substr(x, 7, 8), '%Y%m%d') BETWEEN '1900-01-01' AND now()"
+    kept = {
+        "db_url": f"NOT {fits(chr(39).join(['regexp_extract(x, ', '//[^:]+:([^@]+)@', ', 1)']))}", "generic_secret": f"NOT {fits(secret)} AND NOT regexp_matches({secret}, '[:=]$|^[0-9]+$') AND NOT (regexp_full_match({secret}, '[a-z]+') AND len({secret}) < 12)",
+        "idcard": person, "bank": _LUHN_SQL.format(x="x"), "email": r"NOT regexp_matches(x, '(?i)@(example|test|localhost|domain)\.')",
+    }
+    shape = lambda rule: scan.LEAKS[rule][0].replace(r"(?a:\b)", r"\b").replace("'", "''")
+    parts = [f"SELECT doc_id, '{rule}' AS rule, '{scan.LEAKS[rule][1]}' AS level, x FROM (SELECT doc_id, unnest(regexp_extract_all(v, '{shape(rule)}')) AS x FROM l) WHERE {kept.get(rule, 'true')}" for rule in scan.LEAKS]
+    return f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS v FROM documents) SELECT doc_id, rule, level, count(*) AS n FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL"
+
+
+@query(_leak_sql())
+def leak_tally(spark, d):
+    """RUL5, TXT2: findings of every rule in each document."""
+    return scan.leak_findings(read(spark, d, "documents")).groupBy("doc_id", "rule", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
@@ -351,17 +392,60 @@ def contract_review(spark, d):
     return lexicons.contract_clauses(read(spark, d, "documents"))
 
 
-@query()
+def _plain_sql(column: str) -> str:
+    quoted = scan.IGNORED.replace("'", "''")
+    return f"regexp_replace(lower(translate({column}, '{text.FULL}', '{text.HALF}')), '{quoted}', '', 'g')".replace(text.HALF, text.HALF.replace("'", "''"))
+
+
+_WORDS_SQL = ", ".join(f"('{c}', '{w}', '{v}')" for c, w, vs in inputs.WORDS for v in (w, *vs))
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_plain_sql("text")} AS t FROM documents), w AS (SELECT DISTINCT category, word, {_plain_sql("v")} AS v FROM (VALUES {_WORDS_SQL}) x(category, word, v))
+    SELECT doc_id, category, word, CAST(sum((len(t) - len(replace(t, v, ''))) / len(v)) AS BIGINT) AS n FROM t, w WHERE contains(t, v) GROUP BY ALL""")
 def obfuscated_scan(spark, d):
     """TXT4, STR23: words between which punctuation, blanks or zero-width characters stand."""
     return scan.word_hits(read(spark, d, "documents"), inputs.word_list(spark))
 
 
-@query("""WITH k AS (SELECT * FROM (VALUES ('rights', true, 'rights reserved'), ('rights', true, 'licensed'), ('contact', true, '@mail'), ('contact', true, 'example.com'), ('secrets', false, 'password'), ('secrets', false, 'token')) v(clause, required, k))
-    SELECT doc_id, clause, required, CAST(sum((len(text) - len(replace(text, k, ''))) / len(k)) AS BIGINT) AS hits, required AND sum((len(text) - len(replace(text, k, ''))) / len(k)) = 0 AS missing FROM documents, k GROUP BY doc_id, clause, required""")
+def _clauses_sql(texts: str, profile: list[tuple[str, bool, list[str]]]) -> str:
+    rows = ", ".join(f"('{c}', {r}, {i}, '{k}')" for c, r, ks in profile for i, k in enumerate(ks))
+    return f"""WITH t AS ({texts}), k AS (SELECT * FROM (VALUES {rows}) v(clause, required, i, k)), h AS (SELECT doc_id, t, clause, required, i, k, (len(t) - len(replace(t, k, ''))) / len(k) AS n, nullif(strpos(t, k), 0) AS pos FROM t, k)
+    SELECT doc_id, clause, required, CAST(sum(n) AS BIGINT) AS hits, CAST(min(len(left(t, pos - 1)) - len(replace(left(t, pos - 1), chr(10), '')) + 1) AS INTEGER) AS line,
+    coalesce(array_to_string(list_slice(list(k ORDER BY i) FILTER (n > 0), 1, 3), '|'), '') AS sample, required AND sum(n) = 0 AS missing FROM h GROUP BY doc_id, clause, required"""
+
+
+@query(_clauses_sql("SELECT doc_id, text AS t FROM documents", inputs.CLAUSES))
 def clause_coverage(spark, d):
     """AGG22, RUL8."""
-    return scan.clause_coverage(read(spark, d, "documents"), inputs.clauses(spark))
+    return scan.clause_coverage(read(spark, d, "documents"), inputs.clauses(spark)).withColumn("sample", F.array_join("sample", "|"))
+
+
+_GENERAL = [(c, r, ks.split()) for c, r, ks in lexicons.CONTRACTS["general"]]
+_CONTRACT_WORDS = [k for _, _, ks in _GENERAL for k in ks]
+
+
+@query(_clauses_sql(f"SELECT o_orderkey AS doc_id, '合同' || chr(10) || {_CONTRACT_WORDS}[CAST(o_orderkey % {len(_CONTRACT_WORDS)} AS INTEGER) + 1] || '：' || repeat({_CONTRACT_WORDS}[CAST(o_custkey % {len(_CONTRACT_WORDS)} AS INTEGER) + 1] || chr(10), CAST(o_orderkey % 3 AS INTEGER)) AS t FROM orders", _GENERAL))
+def contract_review(spark, d):
+    """RUL8, AGG22: contracts with one to three words of the built-in profile."""
+    words, n = F.array(*map(F.lit, _CONTRACT_WORDS)), len(_CONTRACT_WORDS)
+    pick = lambda k: F.get(words, (F.col(k) % n).cast("int"))
+    t = F.concat(F.lit("合同\n"), pick("o_orderkey"), F.lit("："), F.repeat(F.concat(pick("o_custkey"), F.lit("\n")), (F.col("o_orderkey") % 3).cast("int")))
+    return lexicons.contract_clauses(read(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), t.alias("text"))).withColumn("sample", F.array_join("sample", "|"))
+
+
+@query("""SELECT o_orderkey AS doc_id, p AS pair, CASE WHEN o_orderkey % 4 = 3 THEN 'both' ELSE 'single' END AS status FROM orders, (VALUES ('甲方/乙方')) v(p) WHERE o_orderkey % 4 <> 0""")
+def contract_parties(spark, d):
+    """AGG23: one side named, the other, or both."""
+    k = F.col("o_orderkey") % 4
+    t = F.concat(F.when(k.isin(1, 3), "甲方：A\n").otherwise(""), F.when(k >= 2, "乙方：B\n").otherwise("丙"))
+    return lexicons.contract_parties(read(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), t.alias("text")))
+
+
+@query("""SELECT o_orderkey AS doc_id, CAST(nth AS INTEGER) AS nth, found FROM orders, (VALUES (0, '____'), (1, '（ ）'), (2, 'TBD')) v(nth, found) WHERE nth <= o_orderkey % 4 - 1""")
+def blanks_to_fill(spark, d):
+    """TXT6."""
+    t = F.array_join(F.slice(F.array(F.lit("No. ____"), F.lit("by （ ）"), F.lit("on TBD")), F.lit(1), (F.col("o_orderkey") % 4).cast("int")), "; ")
+    return scan.placeholders(read(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), t.alias("text"))).withColumn("nth", F.col("nth").cast("int"))
 
 
 # --- files -------------------------------------------------------------------------------------------------------
@@ -504,11 +588,13 @@ def capital_amounts(spark, d):
     return read(spark, d, "customer").select("c_custkey", numbers.capital_amount(F.floor(F.col("c_acctbal") * 100 + 0.5).cast("long")).alias("capital"))
 
 
-@query("SELECT doc_id, length(text) AS n, CASE WHEN length(text) < 1024 THEN CAST(length(text) AS VARCHAR) || ' B' ELSE 'more' END AS size FROM documents")
+@query("""SELECT doc_id, n, CASE WHEN n < 1024 THEN CAST(n AS VARCHAR) || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0) ELSE printf('%.2f GB', n / 1073741824.0) END AS size
+    FROM (SELECT doc_id, CAST(length(text) * CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 1000 ELSE 1000003 END AS BIGINT) AS n FROM documents)""")
 def text_sizes(spark, d):
-    """STR18."""
-    x = read(spark, d, "documents").withColumn("n", F.length("text").cast("long"))
-    return x.select("doc_id", "n", F.when(F.col("n") < 1024, text.human_size("n")).otherwise("more").alias("size"))
+    """STR18 from bytes to gigabytes."""
+    factor = F.when(F.col("doc_id") % 3 == 0, 1).when(F.col("doc_id") % 3 == 1, 1000).otherwise(1000003)
+    x = read(spark, d, "documents").withColumn("n", (F.length("text") * factor.cast("long")).cast("long"))
+    return x.select("doc_id", "n", text.human_size("n").alias("size"))
 
 
 # --- scalar functions and streams' batch forms -------------------------------------------------------------------
@@ -582,11 +668,19 @@ def natural_order(spark, d):
     return read(spark, d, "nation").select("n_nationkey", F.row_number().over(w).alias("nth"))
 
 
-@query("SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '[ \\t]+$', '', 'gm'), chr(10) || '+$', '') || chr(10)) AS digest FROM documents WHERE text <> '' AND NOT regexp_matches(text, '(?m)^\\s*(```|~~~|[*+]\\s|\\t)')")
+@query("""SELECT doc_id, sha256(CASE WHEN text = '' THEN '' ELSE regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]+$', '', 'gm'), '^(\\s*)-\\s+', '\\1- ', 'gm'), chr(10) || '+$', '') || chr(10) END) AS digest FROM documents""")
 def markdown_fix(spark, d):
-    """TXT8 on texts without fences, other list marks and tabs, which tests cover."""
-    x = read(spark, d, "documents").where(r"text <> '' and not text rlike '(?m)^\\s*(```|~~~|[*+]\\s|\\t)'")
-    return x.select("doc_id", F.sha2(documents.fix("text"), 256).alias("digest"))
+    """TXT8 on all texts, which have no fences, tabs, tables and other list marks (markdown_tables has the last two)."""
+    return read(spark, d, "documents").select("doc_id", F.sha2(documents.fix("text"), 256).alias("digest"))
+
+
+@query("""SELECT c_custkey AS doc_id, '| name' || repeat(' ', len(c_name) - 4) || ' | no' || repeat(' ', w - 2) || ' |' || chr(10) || '| ' || repeat('-', len(c_name)) || ' | ' || repeat('-', w) || ' |' || chr(10) || '| ' || c_name || ' | ' || c_custkey || repeat(' ', w - len(CAST(c_custkey AS VARCHAR))) || ' |' || chr(10)
+    || '| x' || repeat(' ', len(c_name) - 1) || ' | ' || repeat(' ', w) || ' |' || chr(10) || chr(10) || '* a' || chr(10) || '* b' || chr(10) || '    c' || chr(10) || '```py' || chr(10) || '- x  ' || chr(10) || '```' || chr(10) AS text
+    FROM (SELECT *, CAST(greatest(3, len(CAST(c_custkey AS VARCHAR))) AS INTEGER) AS w FROM customer)""")
+def markdown_tables(spark, d):
+    """TXT8: tables without separator and cells, mixed list marks, tabs, an open fence."""
+    t = F.concat(F.lit("|name|no|\n|"), "c_name", F.lit(" |"), F.col("c_custkey").cast("string"), F.lit("|\n| x|  \n\n*  a\n- b \n\t\tc\n```py\n- x  \n\n"))
+    return read(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), documents.fix(t).alias("text"))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DECIMAL(18,2)) AS total FROM events GROUP BY ALL")
@@ -692,3 +786,146 @@ def timetable_in_force(spark, d):
     """PRJ9-PRJ11: a holiday with one train suspended."""
     off = spark.sql("SELECT date'2024-05-01' AS d, 'S7' AS no UNION ALL SELECT date'2024-05-02', '*'")
     return timetable.effective(inputs.stops(spark), "2024-05-01", holiday=True, suspended=off).select("no", "station")
+
+
+# --- subtitles, links, packages, columns, logs -------------------------------------------------------------------
+
+
+def _cues(spark, d):
+    x = read(spark, d, "events")
+    start = F.col("event_id") % 20 * 4000 + F.col("event_id") % 7 * 10
+    body = F.concat("event_type", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(", and\n"), F.col("user_id").cast("string"))).otherwise(""))
+    style = F.when(F.col("event_id") % 5 == 0, "Top")
+    return x.select(F.floor(F.col("event_id") / 20).alias("doc_id"), F.col("event_id").alias("nth"), start.cast("long").alias("start_ms"), (start + 1230).cast("long").alias("end_ms"), body.alias("text"), style.alias("style"))
+
+
+_CUES = """c AS (SELECT CAST(floor(event_id / 20) AS BIGINT) AS doc_id, event_id AS nth, CAST(event_id % 20 * 4000 + event_id % 7 * 10 AS BIGINT) AS start_ms, CAST(event_id % 20 * 4000 + event_id % 7 * 10 + 1230 AS BIGINT) AS end_ms,
+    event_type || CASE WHEN event_id % 3 = 0 THEN ', and' || chr(10) || user_id ELSE '' END AS text, CASE WHEN event_id % 5 = 0 THEN 'Top' END AS style FROM events)"""
+
+
+@query(f"WITH {_CUES} SELECT doc_id, start_ms, end_ms, text, coalesce(style, 'Default') AS style FROM c")
+def subtitle_ass(spark, d):
+    """SRC18, SNK8, STR21, TXT9: written as ASS and read by its Format line."""
+    return documents.ass_cues(documents.subtitles(_cues(spark, d), "ass")).drop("nth")
+
+
+@query(f"WITH {_CUES} SELECT doc_id, start_ms, end_ms, text FROM c")
+def subtitle_srt(spark, d):
+    """SRC18, SNK8: written as SRT and read again."""
+    return documents.cues(documents.subtitles(_cues(spark, d), "srt")).drop("nth")
+
+
+_AT = "lpad(CAST({x} // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST({x} % 3600000 // 60000 AS VARCHAR), 2, '0') || ':' || lpad(CAST({x} % 60000 // 1000 AS VARCHAR), 2, '0') || '.' || lpad(CAST({x} % 1000 AS VARCHAR), 3, '0')"
+
+
+@query(f"WITH {_CUES} SELECT doc_id, sha256('WEBVTT' || chr(10) || chr(10) || string_agg({_AT.format(x='start_ms')} || ' --> ' || {_AT.format(x='end_ms')} || chr(10) || text, chr(10) || chr(10) ORDER BY start_ms, end_ms, nth) || chr(10)) AS digest FROM c GROUP BY doc_id")
+def subtitle_vtt(spark, d):
+    """SNK8, TXT9."""
+    return documents.subtitles(_cues(spark, d), "vtt").select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
+@query(f"WITH {_CUES} SELECT doc_id, count(*) AS cues, count_if(style IS NOT NULL) AS styles_lost, CAST(0 AS BIGINT) AS times_cut FROM c GROUP BY doc_id")
+def subtitle_lost(spark, d):
+    """TXT9: what SRT can't keep."""
+    return documents.subtitle_losses(_cues(spark, d))
+
+
+@query("SELECT 'p' || p_partkey || '.md' AS target, p_partkey AS doc_id FROM part WHERE p_partkey % 3 <> 0")
+def links_dead(spark, d):
+    """TXT10: links to files that aren't there; addresses and anchors are none."""
+    name = F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".md"))
+    x = read(spark, d, "part")
+    t = F.concat(F.lit("see [a]("), name, F.lit("#top), [b](https://x.org/y) and [c](#d)"))
+    return documents.dead_links(x.select(F.col("p_partkey").alias("doc_id"), t.alias("text")), x.where("p_partkey % 3 = 0").select(name.alias("path")))
+
+
+@query("""SELECT c_custkey AS doc_id, 'description' AS field, 'missing' AS problem FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 'version', 'version' FROM customer WHERE c_custkey % 2 = 0""")
+def package_heads(spark, d):
+    """RUL10: fields of packages that are missing or no version number."""
+    t = F.concat(F.lit("---\nname: "), "c_name", F.when(F.col("c_custkey") % 3 == 0, "").otherwise("\ndescription: d"), F.when(F.col("c_custkey") % 2 == 0, "\nversion: v1").otherwise("\nversion: 1.0.2"), F.lit("\n---\n"))
+    return documents.package_findings(read(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), t.alias("text")))
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS package, 'deep' AS problem FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'junk' FROM part WHERE p_partkey % 5 = 0 UNION ALL
+    SELECT CAST(p_partkey AS VARCHAR), 'stale' FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 3 = 0""")
+def package_trees(spark, d):
+    """RUL10: folders too deep, junk, versions that stayed."""
+    x = read(spark, d, "part").withColumn("package", F.col("p_partkey").cast("string"))
+    path = F.when(F.col("p_partkey") % 4 == 0, "a/b/c.md").otherwise("a/b.md")
+    files_ = x.select("package", path.alias("path")).union(x.where("p_partkey % 5 = 0").select("package", F.lit("a/.DS_Store")))
+    versions = x.select("package", F.lit("1.0.0").alias("version"), F.when(F.col("p_partkey") % 3 == 0, "1.0.0").otherwise("0.9.0").alias("old_version"), (F.col("p_partkey") % 2 == 0).alias("altered"))
+    return documents.package_tree_findings(files_, versions)
+
+
+@query("SELECT c_custkey AS line, c_mktsegment AS meaning, c_name AS named, CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS VARCHAR) AS nth FROM customer")
+def columns_resolved(spark, d):
+    """PRJ1, PRJ2, STR4: columns by meaning, by name without regard to case and by position."""
+    x = read(spark, d, "customer").select(F.col("c_custkey").alias("line"), F.col("c_acctbal").cast("decimal(12,2)").cast("string").alias("b"), F.col("c_name").alias("Name"), F.col("c_mktsegment").alias("Segment (所属)"))
+    return x.select("line", F.col(f"`{columns.resolve_meaning(x, ['market', 'segment'])}`").alias("meaning"), F.col(columns.resolve(x, "NAME")).alias("named"), F.col(columns.resolve(x, "2")).alias("nth"))
+
+
+@query("""SELECT o_orderkey AS line, CASE o_orderkey % 5 WHEN 1 THEN 'a||' WHEN 2 THEN 'a|b|c' ELSE 'a|b|' || o_custkey END AS cells, o_orderkey % 5 IN (1, 2) AS ragged FROM orders WHERE o_orderkey % 5 <> 0""")
+def rows_even(spark, d):
+    """PRJ4, PRJ5: blank rows go, short rows are filled up and long ones cut."""
+    k = F.col("o_orderkey") % 5
+    cells = F.when(k == 0, F.array(F.lit(" "), F.lit("　"))).when(k == 1, F.array(F.lit("a"))).when(k == 2, F.array(*map(F.lit, "abcd"))).otherwise(F.array(F.lit("a"), F.lit("b"), F.col("o_custkey").cast("string")))
+    x = read(spark, d, "orders").select(F.col("o_orderkey").alias("line"), cells.alias("cells"))
+    return clean.even_rows(clean.drop_blank_rows(x)).withColumn("cells", F.array_join("cells", "|"))
+
+
+@query(f"WITH {LEDGERS_SQL} SELECT line, -cents AS cents FROM b")
+def ledger_flipped(spark, d):
+    """PRJ6."""
+    return clean.flip(inputs.ledgers(spark, d)[1]).select("line", "cents")
+
+
+@query("""SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS digits, format('{:,.2f}', CAST(p_partkey * 12.5 AS DOUBLE)) AS amount, CASE p_partkey % 3 WHEN 0 THEN 'box' WHEN 1 THEN 'city' ELSE 'name' END AS one,
+    CASE p_partkey % 2 WHEN 0 THEN 'k' || p_partkey ELSE '"k-' || p_partkey || '"' END AS ident, CAST(p_partkey % 4 + 1 AS BIGINT) AS line, repeat(' ', CAST(least(p_partkey % 4, 2) AS INTEGER)) || 'HIT' || p_partkey AS around FROM part""")
+def text_helpers(spark, d):
+    """STR2, STR5, STR14, STR15, STR19, STR20."""
+    k = F.col("p_partkey")
+    t = F.concat(F.repeat(F.lit("\n"), (k % 4).cast("int")), F.lit("HIT"), k.cast("string"))
+    wide = F.translate(F.lpad(k.cast("string"), 7, "0"), "0123456789", "０１２３４５６７８９")
+    plural = F.when(k % 3 == 0, "boxes").when(k % 3 == 1, "cities").otherwise("names")
+    ident = F.concat(F.when(k % 2 == 0, "k").otherwise("k-"), k.cast("string"))
+    return read(spark, d, "part").select(
+        "p_partkey", text.half_width_digits(wide).alias("digits"), text.thousands(k * 12.5).alias("amount"), text.singular(plural).alias("one"), text.identifier(ident).alias("ident"),
+        text.line_of(t, (k % 4).cast("int")).cast("long").alias("line"), text.context(t, (k % 4).cast("int"), F.length(k.cast("string")) + 3, around=2).alias("around"),
+    )
+
+
+@query("SELECT event_id, strftime(ts, '%Y/%m/%d at %H.%M.%S') AS at FROM events")
+def time_texts(spark, d):
+    """DT12."""
+    return read(spark, d, "events").select("event_id", dates.time_text("ts", "YYYY/MM/DD at HH.mm.ss").alias("at"))
+
+
+@query("""SELECT lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS commit, c_name AS author, '2024-01-02' AS date, f AS file, CAST(n AS INTEGER) AS line, CASE n WHEN 12 THEN c_mktsegment WHEN 14 THEN '++ b/x' ELSE 'new' END AS text
+    FROM customer, (VALUES ('a.txt', 12), ('a.txt', 14), ('d/b.txt', 1)) v(f, n)""")
+def log_lines(spark, d):
+    """SRC17, TXT7: the lines that commits add, with their places."""
+    c = F.col
+    t = F.concat(F.lit("commit "), F.lpad(c("c_custkey").cast("string"), 7, "0"), F.lit("\nAuthor: "), c("c_name"), F.lit("\nDate: 2024-01-02\n\n    text\n\ndiff --git a/a.txt b/a.txt\n--- a/a.txt\n+++ b/a.txt\n@@ -11,3 +11,4 @@ f\n kept\n+"), c("c_mktsegment"),
+        F.lit("\n-gone\n kept\n+++ b/x\ndiff --git a/d/b.txt b/d/b.txt\n--- /dev/null\n+++ b/d/b.txt\n@@ -0,0 +1 @@\n+new\n"))
+    return sources.added_lines(read(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), t.alias("text")))
+
+
+@query("""SELECT to_json({'n_nationkey': n_nationkey, 'n_name': n_name}) AS value FROM nation""")
+def json_report(spark, d):
+    """SNK3."""
+    return sinks.report(read(spark, d, "nation").select("n_nationkey", "n_name"))
+
+
+@query(f"""WITH {STOPS_SQL}, e AS (SELECT * FROM stops WHERE eff_until IS NULL OR eff_until >= DATE '2024-05-01') SELECT a.no, a.type, a.depart, b.arrive, CAST(date_diff('minute', CAST(a.depart AS TIME), CAST(b.arrive AS TIME)) AS INTEGER) AS minutes,
+    'station 6' AS terminal FROM e a JOIN e b ON a.no = b.no WHERE a.station = 'station 1' AND b.station = 'station 6' AND a.depart > '09:00' ORDER BY a.depart, a.no LIMIT 2""")
+def timetable_terminal(spark, d):
+    """TT2: the next two runs; from one end of the line the other end is the terminal."""
+    return timetable.next_to_terminal(inputs.stops(spark), ("station 1", "station 6"), station="station 1", direction=0, date="2024-05-01", after="09:00", n=2)
+
+
+@query(f"WITH {STOPS_SQL} SELECT no, station, CAST(row_number() OVER (PARTITION BY no ORDER BY seq) AS INTEGER) AS seq, arrive, depart FROM stops")
+def timetable_maps(spark, d):
+    """MAP1: stops from a train's map of stations; a station that isn't there is passed through."""
+    s = inputs.stops(spark)
+    trains = s.groupBy("no").agg(F.map_from_entries(F.collect_list(F.struct("station", F.struct("arrive", "depart")))).alias("t"))  # six stations
+    return timetable.stops_of_trains(trains, s.select("station", F.col("seq").alias("position")).distinct()).select("no", "station", "seq", "arrive", "depart")

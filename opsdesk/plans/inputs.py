@@ -151,3 +151,23 @@ def customer_files(spark: SparkSession, sf_dir: str) -> str:
     for part, sep, encoding in ((rows.where(even), ";", "UTF-8"), (rows.where(~even), "\t", "GB18030")):
         part.write.mode("append").options(sep=sep, encoding=encoding, header="true", quoteAll="true", escape='"').csv(folder)
     return folder
+
+
+def leaky_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: on its second line each has one key, or something that only looks like one."""
+    k = F.col("o_orderkey")
+    m, s = k % 10, k.cast("string")
+    row = (
+        F.when(m == 0, F.concat(F.lit("id AKIA"), F.lpad(s, 16, "0"), F.lit(" end"))).when(m == 1, F.concat(F.lit('  password = "Tr0ub4dor'), s, F.lit('"'))).when(m == 2, F.lit("password: xxxxxxxx, token=your_token"))
+        .when(m == 3, F.concat(F.lit("at postgres://u:pw"), s, F.lit("@db/x"))).when(m == 4, F.concat(F.lit("tel 1380000"), F.lpad((k % 10000).cast("string"), 4, "0"))).when(m == 5, F.concat(F.lit("mail a"), s, F.lit("@corp.io")))
+        .when(m == 6, F.lit("mail a@example.com, postgres://u:changeme@db/x")).when(m == 7, F.concat(F.lit("ghp_"), F.lpad(s, 36, "a"))).when(m == 8, F.lit("-----BEGIN RSA PRIVATE KEY-----")).otherwise(F.concat(F.lit("LTAI"), F.lpad(s, 16, "b")))
+    )
+    return read(spark, sf_dir, "orders").select(k.alias("doc_id"), F.concat(F.lit("first\n"), row, F.lit("\nlast")).alias("text"))
+
+
+#: What the texts above hold: the place of the key, its rule and level, and the key itself, masked.
+LEAKY_SQL = """v AS (SELECT o_orderkey AS doc_id, CAST(o_orderkey AS VARCHAR) AS s, o_orderkey % 10 AS m FROM orders),
+    f AS (SELECT doc_id, CASE m WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 5 WHEN 5 THEN 6 ELSE 1 END AS pos, ['aws_ak', 'generic_secret', '', 'db_url', 'phone', 'email', '', 'github_token', 'private_key', 'aliyun_ak'][m + 1] AS rule,
+      ['high', 'medium', '', 'high', 'medium', 'low', '', 'high', 'high', 'high'][m + 1] AS level, CASE m WHEN 0 THEN 'AKIA' || lpad(s, 16, '0') WHEN 1 THEN 'password = "Tr0ub4dor' || s WHEN 3 THEN 'postgres://u:pw' || s || '@db'
+      WHEN 4 THEN '1380000' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') WHEN 5 THEN 'a' || s || '@corp.io' WHEN 7 THEN 'ghp_' || lpad(s, 36, 'a') WHEN 8 THEN '-----BEGIN RSA PRIVATE KEY-----' WHEN 9 THEN 'LTAI' || lpad(s, 16, 'b') END AS x FROM v),
+    k AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, rule, level, left(x, 4) || repeat('*', CAST(least(12, len(x) - 8) AS INTEGER)) || right(x, 4) AS masked FROM f)"""

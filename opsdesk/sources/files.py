@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +58,28 @@ def front_matter(documents: DataFrame) -> DataFrame:
 
 
 def added_lines(log: DataFrame) -> DataFrame:
-    """SRC17: commit, file, text of the lines that a log with patches (doc_id, text: one commit's output a row) adds."""
-    x = log.select(F.regexp_extract("text", r"^commit ([0-9a-f]{7,40})", 1).alias("commit"), F.explode(F.split("text", r"(?m)^(?=diff --git )")).alias("part")).where(F.col("part").startswith("diff --git"))
-    return x.select("commit", F.regexp_extract("part", r"(?m)^\+\+\+ b/(.*)$", 1).alias("file"), F.explode(F.regexp_extract_all("part", F.lit(r"(?m)^\+(?!\+\+)(.*)$"), F.lit(1))).alias("text"))
+    """SRC17: commit, author, date (as written), file, line (in the new file), text of the lines that a log with patches adds
+    (doc_id, text: one commit's output a row; without a commit's head, as a staged difference is, the first three are null)."""
+
+    def added(text: str) -> Iterator[tuple]:
+        head = text.split("diff --git ", 1)[0]
+        who = [m[1].strip() if (m := re.search(p, head, re.M)) else None for p in (r"^commit ([0-9a-f]{7,40})", r"^Author:(.*)$", r"^Date:(.*)$")]
+        file, line = None, 0
+        for row in text.split("\n"):
+            if row.startswith("diff --git "):
+                file, line = None, 0
+            elif not line and row.startswith("+++ "):
+                file = row[4:].removeprefix("b/")
+            elif m := re.match(r"@@ -\d+(?:,\d+)? \+(\d+)", row):
+                line = int(m[1])
+            elif line and row.startswith("+"):
+                yield *who, file, line, row[1:]
+                line += 1
+            elif line and row.startswith(" "):
+                line += 1
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pd.DataFrame([x for t in pdf.text for x in added(t or "")], columns=["commit", "author", "date", "file", "line", "text"])
+
+    return log.select("text").mapInPandas(run, "commit string, author string, date string, file string, line int, text string")

@@ -143,6 +143,23 @@ def test_leaks(spark):
     assert rows(scan.leak_findings(df), "doc_id", "line", "rule") == [(0, 2, "aws_ak"), (1, 1, "generic_secret"), (4, 1, "db_url")]
 
 
+def test_leak_places(spark):
+    """Columns, the order of rules, words before a key, and what only looks like a placeholder."""
+    key = "AKIA" + "Q7RT" * 4
+    df = docs(spark, f"密{key} {key}\n\nmy_token = MyStr0ngP@ss\ntoken: my_token1\nPassWord:exampleX9", "mysql://root:changeme@h/d mysql://root:x1y2z3@h/d", "card 4111111111111111 4111111111111112", None, "")
+    got = rows(scan.leak_findings(df), "doc_id", "line", "column", "rule", "masked")
+    assert got == [(0, 1, 2, "aws_ak", "AKIA" + "*" * 12 + "Q7RT"), (0, 1, 23, "aws_ak", "AKIA" + "*" * 12 + "Q7RT"), (1, 1, 27, "db_url", "mysq" + "*" * 12 + "z3@h"), (2, 1, 6, "bank", "4111" + "*" * 8 + "1111")]
+    assert [r.nth for r in scan.leak_findings(docs(spark, f"a@b.io {key}"), ("email", "aws_ak")).collect()] == [1, 2]
+
+
+def test_word_list_in_one_pass(spark):
+    """Overlapping variants, places of one variant that overlap, two words with one variant, no list at all."""
+    words = spark.createDataFrame([("a", "aa", ["xyx"]), ("b", "ab", None), ("c", "other", ["A B"])], "category string, word string, variants array<string>")
+    df = docs(spark, "aaaa xyxyx", "ａ-b AB", None, "")
+    assert rows(scan.word_hits(df, words)) == [(0, "a", "aa", 3), (1, "b", "ab", 2), (1, "c", "other", 2)]
+    assert scan.word_hits(df, words.limit(0)).count() == 0
+
+
 def test_restricted_words(spark):
     df = docs(spark, "本店销量第一，最好\n第一名的奖品", "最高气温三十度，最佳食用期三天", None, "唯一的首选")
     assert rows(lexicons.ad_findings(df), "doc_id", "word", "level", "line") == [(0, "最好", "high", 1), (0, "销量第一", "high", 1), (3, "唯一", "medium", 1), (3, "首选", "medium", 1)]
@@ -302,11 +319,11 @@ def test_markdown_rules(spark):
 
 
 def test_markdown_fix(spark):
-    cases = {"a  \n* b\n\tc": "a\n- b\n  c\n", "```\n* x  \n": "```\n* x  \n```\n", "x\n\n\n": "x\n", "": ""}
+    cases = {"a  \n* b\n- d\n\tc": "a\n* b\n* d\n  c\n", "|a|bb|\n|ccccc|\n": "| a     | bb  |\n| ----- | --- |\n| ccccc |     |\n", "```\n|a|\n|b|\n```\n|c|\n|-|\n": "```\n|a|\n|b|\n```\n| c   |\n| --- |\n", "```\n* x  \n": "```\n* x  \n```\n", "x\n\n\n": "x\n", "": ""}
     df = docs(spark, *cases)
     got = df.select("doc_id", documents.fix("text").alias("text"))
     assert [r.text for r in got.orderBy("doc_id").collect()] == list(cases.values())
-    assert {r.code for r in documents.lint(got).collect()} <= {"MD040"}
+    assert {r.code for r in documents.lint(got).collect()} <= {"MD040", "MD056"}  # code in fences stays as it is, tables in it are judged
 
 
 def test_links(spark):
@@ -436,3 +453,23 @@ def test_near_misses_against_every_pair(spark):
     schema = "line long, cents long, d date"
     got = [(x.line_a, x.line_b) for x in reconcile.near_misses(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_subtitles_by_format_line(spark):
+    text = "[Script Info]\nFormat: x\n[V4+ Styles]\nFormat: Name\n[Events]\nDialogue: 0,0:00:09.00\nFormat: Start, End, Style, Text\nDialogue: 0:00:01.00,0:00:02.50,Top,{\\\\i1}a, b\\\\Nc\nDialogue: x,y,z,w\n".replace("\\\\", "\\")
+    cues = documents.ass_cues(docs(spark, text))
+    assert rows(cues, "start_ms", "end_ms", "text", "style") == [(1000, 2500, "a, b\nc", "Top")]
+    assert documents.subtitles(cues, "ass").first().text.endswith("Effect, Text\nDialogue: 0,0:00:01.00,0:00:02.50,Top,,0,0,0,,a, b\\Nc\n")
+    assert rows(documents.subtitle_losses(cues)) == [(0, 1, 1, 0)] and rows(documents.subtitle_losses(cues.withColumn("end_ms", F.lit(2501)), "ass")) == [(0, 1, 0, 1)]
+
+
+def test_package_trees(spark):
+    files = spark.createDataFrame([("p", "a/b/c.js"), ("p", "SKILL.md"), ("q", "x/.DS_Store"), ("r", "x/y.md")], "package string, path string")
+    versions = spark.createDataFrame([("p", "1.0.0", "1.0.0", True), ("q", "1.0.0", "1.0.0", False), ("r", "1.0.1", "1.0.0", True)], "package string, version string, old_version string, altered boolean")
+    assert rows(documents.package_tree_findings(files, versions)) == [("p", "deep"), ("p", "stale"), ("q", "junk")]
+
+
+def test_clause_places(spark):
+    profile = spark.createDataFrame([("pay", True, ["付款", "价款", "支付", "结算"]), ("law", True, ["管辖"])], "clause string, required boolean, keywords array<string>")
+    got = rows(scan.clause_coverage(docs(spark, "甲\n支付价款，价款\n结算付款"), profile), "clause", "hits", "line", "sample", "missing")
+    assert got == [("law", 0, None, [], True), ("pay", 5, 2, ["付款", "价款", "支付"], False)]
