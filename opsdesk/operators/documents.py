@@ -21,7 +21,7 @@ _FENCE = re.compile(r"\s*(```+|~~~+)(.*)", re.S)
 _ANY_LINE = {"MD009": r"[ \t]+$", "MD010": r"^\t"}
 _HEADING = {"MD019": r"^#{1,6}\s{2,}", "MD021": r"^#{1,6}\s+$", "MD026": r"^#{1,6}\s.*[。！？，；：]\s*$"}
 _ITEM = {"MD027": r"^\s*[-*+]\s{2,}\S"}
-_OTHER = {"MD039": r"\[\s*\]\([^)]*\)|\[\s+[^\]]|\S[^\]]*\s+\]\(", "MD034": r"(?s)^(?!.*<https?://)(?!.*\]\(https?:).*(?:^|[\s(])https?://\S"}
+_OTHER = {"MD039": r"\[\s*\]\([^)]*\)|\[\s+[^\]]|\S\s+\]\(", "MD034": r"(?s)^(?!.*<https?://)(?!.*\]\(https?:).*(?:^|[\s(])https?://\S"}
 _RULES = {k: [(code, re.compile(p)) for code, p in rules.items()] for k, rules in (("any", _ANY_LINE), ("heading", _HEADING), ("item", _ITEM), ("other", _OTHER))}
 _MARK = re.compile(r"(\s*)([-*+])(\s+)(\S.*)", re.S)
 

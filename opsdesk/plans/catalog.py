@@ -588,7 +588,7 @@ def capital_amounts(spark, d):
     return read(spark, d, "customer").select("c_custkey", numbers.capital_amount(F.floor(F.col("c_acctbal") * 100 + 0.5).cast("long")).alias("capital"))
 
 
-@query("""SELECT doc_id, n, CASE WHEN n < 1024 THEN CAST(n AS VARCHAR) || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0) ELSE printf('%.2f GB', n / 1073741824.0) END AS size
+@query("""SELECT doc_id, n, CASE WHEN n < 1024 THEN CAST(n AS VARCHAR) || ' B' WHEN n < 1048576 THEN printf('%.1f KB', round(n / 1024.0, 1)) WHEN n < 1073741824 THEN printf('%.1f MB', round(n / 1048576.0, 1)) ELSE printf('%.2f GB', round(n / 1073741824.0, 2)) END AS size
     FROM (SELECT doc_id, CAST(length(text) * CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 1000 ELSE 1000003 END AS BIGINT) AS n FROM documents)""")
 def text_sizes(spark, d):
     """STR18 from bytes to gigabytes."""
