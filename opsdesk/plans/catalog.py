@@ -386,12 +386,6 @@ def banned_scan(spark, d):
     return lexicons.word_spans(read(spark, d, "documents"), lexicons.banned_words(spark))
 
 
-@query()
-def contract_review(spark, d):
-    """RUL8."""
-    return lexicons.contract_clauses(read(spark, d, "documents"))
-
-
 def _plain_sql(column: str) -> str:
     quoted = scan.IGNORED.replace("'", "''")
     return f"regexp_replace(lower(translate({column}, '{text.FULL}', '{text.HALF}')), '{quoted}', '', 'g')".replace(text.HALF, text.HALF.replace("'", "''"))
