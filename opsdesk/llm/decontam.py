@@ -7,7 +7,8 @@ A document is contaminated if its tiles cover ``coverage`` or more of an item's
 
 The benchmark's token ids and seed hashes are sent to the tasks while they are fewer than ``max_broadcast_seeds``
 (checked by a count); the documents are then read once, without a shuffle. A larger benchmark is joined instead: seeds
-of the documents with seeds of the items, and the texts to the pairs found. Both ways give the same rows.
+of the documents with the rarer seeds of the items (all but as many as a covered item must share with the document
+besides), and the texts to the pairs found. Both ways give the same rows.
 
 Defined results: tokens are runs of letters, digits and underscores in lower case; null and empty texts match nothing;
 an item with fewer than ``min_match`` tokens is matched as one run of its own length, and one without tokens by nothing;
@@ -17,15 +18,16 @@ repeated documents are judged each; an item_id with several texts has one row at
 
 from __future__ import annotations
 
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, wide
@@ -132,18 +134,40 @@ def _scan(items: dict[int, list[list[str]]], min_match: int, coverage: float) ->
     return run
 
 
-def _seed_rows(min_match: int | None, sizes: list[int]) -> Callable:
-    """(id, seed, k) of each distinct seed of k tokens: of the items their own, of the documents all sizes that items have."""
+def _hashes(words: list[str], k: int) -> list[int]:
     import xxhash
 
+    return [xxhash.xxh3_64_intdigest("\0".join(words[a : a + k])) - (1 << 63) for a in range(len(words) - k + 1 if k else 0)]
+
+
+def _item_seeds(min_match: int, coverage: float) -> Callable:
+    """Seeds of the items with the places each has in its text, and how many places a text can spare: tiles of at least k
+    tokens that cover the share c of n tokens have c * n / k places or more, so that a text which shares none of the other
+    places isn't covered."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
-            for key, text in zip(pdf.id, pdf.text, strict=True):
+            for item, part, text in zip(pdf.item_id, pdf.part, pdf.item, strict=True):
                 w = tokens(text)
-                for k in [min(min_match, len(w))] if min_match else sizes:
-                    rows += [(key, h, k) for h in {xxhash.xxh3_64_intdigest("\0".join(w[a : a + k])) - (1 << 63) for a in range(len(w) - k + 1 if k else 0)}]
-            yield pd.DataFrame(rows, columns=["id", "seed", "k"])
+                k = min(min_match, len(w))
+                spare = max(0, math.ceil(coverage * len(w) / k - 1e-9) - 1) if k else 0
+                rows += [(item, part, h, k, times, spare) for h, times in Counter(_hashes(w, k)).items()]
+            yield pd.DataFrame(rows, columns=["item_id", "part", "seed", "k", "times", "spare"])
+
+    return run
+
+
+def _doc_seeds(sizes: list[int]) -> Callable:
+    """(doc_id, seed, k) of each distinct seed, of all sizes that items have."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for key, text in zip(pdf.doc_id, pdf.text, strict=True):
+                w = tokens(text)
+                rows += [(key, h, k) for k in sizes for h in set(_hashes(w, k))]
+            yield pd.DataFrame(rows, columns=["doc_id", "seed", "k"])
 
     return run
 
@@ -151,9 +175,9 @@ def _seed_rows(min_match: int | None, sizes: list[int]) -> Callable:
 def _pairs(min_match: int, coverage: float) -> Callable:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            pairs = zip(pdf.doc_id, pdf.text, pdf.item_id, pdf["items"], strict=True)
-            rows = [(d, i, *r) for d, t, i, texts in pairs if (r := _best(tokens(t), [w for x in texts if (w := tokens(x))], min_match, coverage))]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
+            pairs = zip(pdf.doc_id, pdf.same, pdf.text, pdf.item_id, pdf.part, pdf.item, strict=True)
+            rows = [(d, h, i, p, *r) for d, h, t, i, p, x in pairs if (w := tokens(x)) and (r := _judged(tokens(t), w, min_match, coverage))]
+            yield pd.DataFrame(rows, columns=["doc_id", "same", "item_id", "part", "covered", "item_tokens", "coverage", "tiles"])
 
     return run
 
@@ -196,13 +220,29 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, *, min_match: int =
     held = _held(items, max_broadcast_seeds)
     if held is not None:
         return docs.mapInPandas(_scan(held, min_match, coverage), OUT)
-    seeds = cut(items.select(F.col("item_id").alias("id"), "text").mapInPandas(_seed_rows(min_match, []), "id long, seed long, k int").toDF("item_id", "seed", "k").distinct())
-    sizes = sorted(r.k for r in seeds.select("k").distinct().collect())
-    of_docs = docs.select(F.col("doc_id").alias("id"), "text").mapInPandas(_seed_rows(None, sizes), "id long, seed long, k int").toDF("doc_id", "seed", "k")
-    pairs = of_docs.join(wide(seeds), ["seed", "k"]).select("doc_id", "item_id").distinct()
-    whole = items.groupBy("item_id").agg(F.collect_set("text").alias("items"))
-    texts = docs.join(wide(pairs), "doc_id").join(wide(whole), "item_id")
-    return texts.select("doc_id", "text", "item_id", "items").mapInPandas(_pairs(min_match, coverage), OUT)
+    return _joined(docs, items, min_match, coverage)
+
+
+def _joined(docs: DataFrame, items: DataFrame, min_match: int, coverage: float) -> DataFrame:
+    """The rows of contaminated() for a benchmark of any size; doc_id may be of any type. Of each text of an item the most
+    frequent seeds, as many as it can spare, aren't joined: a phrase of many items meets few documents."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    parts = items.select("item_id", F.xxhash64("text").alias("part"), F.col("text").alias("item"))
+    seeds = cut(parts.mapInPandas(_item_seeds(min_match, coverage), "item_id long, part long, seed long, k int, times long, spare long"))
+    often = seeds.groupBy("seed", "k").agg(F.sum("times").alias("often"))
+    rarest_last = Window.partitionBy("item_id", "part").orderBy(F.desc("often"), "seed", "k").rowsBetween(Window.unboundedPreceding, 0)
+    wanted = cut(seeds.join(wide(often), ["seed", "k"]).withColumn("upto", F.sum("times").over(rarest_last)).where("upto > spare").select("item_id", "part", "seed", "k"))
+    sizes = sorted(r.k for r in wanted.select("k").distinct().collect())  # min_match numbers at most
+    of_docs = docs.mapInPandas(_doc_seeds(sizes), f"doc_id {id_type}, seed long, k int")
+    pairs = of_docs.join(wide(wanted), ["seed", "k"]).select("doc_id", "item_id", "part").distinct()
+    texts = docs.select("doc_id", F.xxhash64("text").alias("same"), "text").join(wide(pairs), "doc_id").join(wide(parts), ["item_id", "part"])
+    judged = texts.mapInPandas(_pairs(min_match, coverage), f"doc_id {id_type}, same long, item_id long, part long, covered int, item_tokens int, coverage double, tiles int")
+    # The best text of each item, once for each equal row of a document.
+    result = F.struct("coverage", "covered", (-F.col("tiles")).alias("tiles"), "item_tokens")
+    each = judged.groupBy("doc_id", "same", "item_id", "part").agg(F.max(result).alias("x"), F.count(F.lit(1)).alias("rows"))
+    best = each.groupBy("doc_id", "same", "item_id").agg(F.max("x").alias("x"), F.max("rows").alias("rows"))
+    best = best.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+    return best.select("doc_id", "item_id", "x.covered", "x.item_tokens", "x.coverage", (-F.col("x.tiles")).alias("tiles"))
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, *, min_match: int = 5, coverage: float = 0.5, max_broadcast_seeds: int = 500_000) -> DataFrame:
@@ -211,6 +251,7 @@ def clean(documents: DataFrame, benchmark: DataFrame, *, min_match: int = 5, cov
     held = _held(_items(benchmark), max_broadcast_seeds)
     if held is not None:
         return documents.mapInArrow(_without(held, min_match, coverage), documents.schema)
-    keyed = documents.withColumn("_row", F.xxhash64("doc_id", "text"))
-    leaks = contaminated(keyed.select(F.col("_row").alias("doc_id"), "text"), benchmark, min_match=min_match, coverage=coverage, max_broadcast_seeds=max_broadcast_seeds).select(F.col("doc_id").alias("_row")).distinct()
+    key = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\0"), F.coalesce("text", F.lit(""))), 256)
+    keyed = documents.withColumn("_row", key)
+    leaks = _joined(keyed.where("text is not null").select(F.col("_row").alias("doc_id"), "text"), _items(benchmark), min_match, coverage).select(F.col("doc_id").alias("_row")).distinct()
     return keyed.join(wide(cut(leaks)), "_row", "left_anti").select(*documents.columns)

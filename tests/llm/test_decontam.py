@@ -95,3 +95,16 @@ def test_whole_query_against_the_plain_rule(spark):
     for limit in (500_000, 1):
         got = decontam.contaminated(docs, bench, min_match=3, max_broadcast_seeds=limit).collect()
         assert sorted((x.doc_id, x.item_id, x.covered, x.item_tokens) for x in got) == sorted(want)
+
+
+def test_frequent_seeds_that_are_spared_lose_no_pair(spark):
+    """Items that share a long phrase: with each share of coverage the join finds what the search in the tasks finds."""
+    r = random.Random(11)
+    phrase = " ".join(r.choice("abcdefghij") for _ in range(24))
+    word = lambda n: " ".join(r.choice("klmnopqrst") for _ in range(n))
+    items = [(i, f"{word(r.randint(0, 12))} {phrase} {word(r.randint(0, 12))}") for i in range(15)]
+    rows = [(i, f"{word(5)} {' '.join(phrase.split()[: r.randint(4, 24)])} {word(5)} {' '.join(r.choice(items)[1].split()[r.randint(0, 8) :])}") for i in range(30)] + [(40, phrase), (40, phrase), (41, phrase + " " + phrase)]
+    docs, bench = tables(spark, rows, items)
+    for coverage in (0.3, 0.5, 0.8, 1.0):
+        one, two = (sorted(map(tuple, decontam.contaminated(docs, bench, min_match=4, coverage=coverage, max_broadcast_seeds=m).collect())) for m in (500_000, 1))
+        assert one == two and (coverage == 1.0 or len(one) > 20)
