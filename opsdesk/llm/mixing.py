@@ -6,8 +6,11 @@ target entropy of the weights, or, without one, to the smallest ``a`` under whic
 
 A source of quota q and size t is read as blocks. Each block is a permutation of the source's documents, by a hash of
 block number and id; all but the last are whole, and of the last those documents are taken whose tokens start before the
-quota ends. The start of a document in its block comes from sums in two levels: ranges of the hash, whose number grows
-with the source, and windows inside a range, so that a source with a third of all rows is spread over many tasks.
+quota ends. The start of a document in its block comes from sums in three levels: groups of ranges of the hash, ranges, whose
+number grows with the source, and rows inside a range, so that a source with a third of all rows is spread over many tasks.
+
+No source is read more than ``max_repeats`` times. A target entropy or a budget may ask for more; mix() then warns with the
+tokens that each source lacks and gives the mix without them; with ``strict`` it raises.
 
 Only the table of sources (one row each) reaches the driver.
 
@@ -19,6 +22,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,7 +74,13 @@ def least_budget(tokens: dict, w: dict) -> int:
     return max((math.ceil(t / w[s] - 1e-9) for s, t in tokens.items() if t), default=0)
 
 
-def mix(documents: DataFrame, *, target_entropy: float | None = None, max_repeats: float = 4.0, budget: int | None = None, max_sources: int = 100_000) -> DataFrame:
+def shortfall(tokens: dict, w: dict, total: int, max_repeats: float) -> dict:
+    """Tokens by which max_repeats keeps a source below its weight's part of the total (one is rounding)."""
+    lacks = {s: round(w[s] * total) - int(max_repeats * t) for s, t in tokens.items() if t}
+    return {s: n for s, n in lacks.items() if n > 1}
+
+
+def mix(documents: DataFrame, *, target_entropy: float | None = None, max_repeats: float = 4.0, budget: int | None = None, strict: bool = False, max_sources: int = 100_000) -> DataFrame:
     """doc_id, source, n_tokens, block (from 1), start (tokens of the source's reading before the document, which orders it)
     and weight for each reading of a document."""
     slim = cut(documents.select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens")))
@@ -80,6 +90,12 @@ def mix(documents: DataFrame, *, target_entropy: float | None = None, max_repeat
     tokens = {r.source: r.t for r in by}
     w = weights(tokens, exponent(tokens, target_entropy=target_entropy, max_repeats=max_repeats, budget=budget))
     total = budget if budget is not None else least_budget(tokens, w)
+    lacks = shortfall(tokens, w, total, max_repeats)
+    if lacks:
+        short = f"max_repeats={max_repeats} leaves {len(lacks)} sources short of their weights, by {sum(lacks.values())} tokens: {dict(sorted(lacks.items(), key=str)[:20])}"
+        if strict:
+            raise ValueError(short)
+        warnings.warn(short, stacklevel=2)
     plan = []
     for r in by:
         quota = min(round(w[r.source] * total), int(max_repeats * r.t)) if r.t else 0
@@ -92,9 +108,14 @@ def mix(documents: DataFrame, *, target_entropy: float | None = None, max_repeat
     each = each.where(n_blocks > 0).withColumn("block", F.explode(F.sequence(F.lit(1).cast("long"), n_blocks)))
     each = each.withColumn("h", F.xxhash64("doc_id", "block")).withColumn("r", F.floor((F.col("h") / 2.0**64 + 0.5) * F.col("ranges")).cast("long"))
     inside = Window.partitionBy("source", "block", "r").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = Window.partitionBy("source", "block").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    sums = each.groupBy("source", "block", "r").agg(F.sum("n_tokens").alias("x"))
-    before = sums.select(F.col("source").alias("s"), F.col("block").alias("b"), F.col("r").alias("q"), F.coalesce(F.sum("x").over(ranges), F.lit(0)).alias("before"))
+    of_group = Window.partitionBy("source", "block", "g").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    of_block = Window.partitionBy("source", "block").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    sums = each.groupBy("source", "block", "r").agg(F.sum("n_tokens").alias("x")).withColumn("g", F.floor(F.col("r") / _RANGE).cast("long"))
+    groups = sums.groupBy("source", "block", "g").agg(F.sum("x").alias("x"))
+    groups = groups.select(F.col("source").alias("s"), F.col("block").alias("b"), F.col("g").alias("o"), F.coalesce(F.sum("x").over(of_block), F.lit(0)).alias("groups"))
+    sums = sums.withColumn("ranges", F.coalesce(F.sum("x").over(of_group), F.lit(0)))
+    sums = sums.join(groups, F.col("s").eqNullSafe(F.col("source")) & (F.col("b") == F.col("block")) & (F.col("o") == F.col("g"))).drop("s", "b")
+    before = sums.select(F.col("source").alias("s"), F.col("block").alias("b"), F.col("r").alias("q"), (F.col("groups") + F.col("ranges")).alias("before"))
     placed = each.withColumn("in_range", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(before, F.col("s").eqNullSafe(F.col("source")) & (F.col("b") == F.col("block")) & (F.col("q") == F.col("r")))
     at = F.col("before") + F.col("in_range")
     return placed.where((F.col("block") <= F.col("full")) | (at < F.col("rest"))).select("doc_id", "source", "n_tokens", "block", ((F.col("block") - 1) * F.col("t") + at).alias("start"), "weight")

@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from opsdesk.llm import mixing
@@ -80,3 +81,12 @@ def test_realised_texts(spark):
     docs = spark.createDataFrame([(i, f"text {i}", "ab"[i % 2]) for i in range(20)], "doc_id long, text string, source string")
     mixed = mixing.mix(docs, max_repeats=1.0)
     assert sorted((r.doc_id, r.text) for r in mixing.realise(docs, mixed).collect()) == [(i, f"text {i}") for i in range(20)]
+
+
+def test_a_source_that_runs_out_is_named(spark):
+    docs = spark.createDataFrame([(i, "w " * 10, "ab"[i == 0]) for i in range(10)], "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match=r"1 sources short of their weights, by 35 tokens: \{'b': 35\}"):
+        mixing.mix(docs, target_entropy=math.log(2), budget=90, max_repeats=1.0, strict=True)
+    with pytest.warns(UserWarning, match="short of their weights"):
+        got = mixing.mix(docs, target_entropy=math.log(2), budget=90, max_repeats=1.0).collect()
+    assert sum(r.n_tokens for r in got if r.source == "b") == 10 and 45 <= sum(r.n_tokens for r in got if r.source == "a") < 55
