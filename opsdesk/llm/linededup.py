@@ -26,10 +26,12 @@ rows that repeat a doc_id are told apart by nothing, and so share their decision
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, wide
+from .common import cut, drop, wide
 from .graph import components
 
 _GROUP = 64
@@ -112,7 +114,8 @@ def _short_pairs(rest: DataFrame, t: int) -> DataFrame:
 def _candidates(lines: DataFrame, t: int) -> tuple[DataFrame, DataFrame]:
     """Pairs a < b of lines that share a key, and cliques (clique, id). lines: id, text."""
     level = lines.select(F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("shape"), "id", "text", F.length("text").alias("n"))
-    pairs, cliques = level.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0), level.select(F.col("node").alias("clique"), "id").limit(0)
+    # Each level's pairs are a table of their own, so that no plan grows with the number of levels.
+    pairs, cliques = [], level.select(F.col("node").alias("clique"), "id").limit(0)
     while True:
         rows = _keyed(level.where(F.col("n") > t), t)
         shared = cut(rows.groupBy("key").agg(F.min("id.h").alias("low"), F.max("id.h").alias("high"), F.max("own").alias("own")).where("own and low <> high").select("key"))
@@ -122,17 +125,22 @@ def _candidates(lines: DataFrame, t: int) -> tuple[DataFrame, DataFrame]:
         size = cut(members.groupBy("key").agg(F.count(F.lit(1)).alias("c")))
         few = members.join(wide(size.where(F.col("c") <= _GROUP)), "key")
         own = few.where("own").select("key", F.col("id").alias("x"))
-        pairs = pairs.union(own.join(wide(few.select("key", F.col("id").alias("y"))), "key").where("x <> y").select(*_pair("x", "y")))
+        pairs.append(cut(own.join(wide(few.select("key", F.col("id").alias("y"))), "key").where("x <> y").select(*_pair("x", "y")).distinct()))
         many = cut(members.join(wide(size.where(F.col("c") > _GROUP).select("key")), "key"))
+        drop(shared, members, size)
         if many.isEmpty():
             break
         left = level.select("node", "shape", "id", "text").join(wide(many), ["node", "shape", "id"])
         text = F.concat(F.expr("substring(text, 1, start - 1)"), F.expr("substring(text, start + size)"))
         rest = left.select(F.col("key").alias("node"), F.xxhash64("shape", "start").alias("shape"), "id", text.alias("text")).withColumn("n", F.length("text"))
         level = cut(rest.withColumn("clique", F.xxhash64("node", "shape", "n")).distinct())
+        drop(many)
         cliques = cliques.union(level.where(F.col("n") <= t).select("clique", "id"))
-        pairs = pairs.union(_short_pairs(level, t))
-    return pairs.distinct(), cliques.distinct()
+        pairs.append(cut(_short_pairs(level, t).distinct()))
+    none = lines.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    every = cut(reduce(DataFrame.union, pairs, none).distinct())
+    drop(*pairs)
+    return every, cliques.distinct()
 
 
 def links(documents: DataFrame, *, max_edits: int = 1, min_chars: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -140,7 +148,7 @@ def links(documents: DataFrame, *, max_edits: int = 1, min_chars: int = 20) -> t
     are all linked with each other. A pair may also be in a clique, and a clique in another."""
     lines = _once(lines_of(documents, max(min_chars, max_edits + 1)))
     pairs, cliques = _candidates(lines, max_edits)
-    pairs, cliques = cut(pairs), cut(cliques)
+    cliques = cut(cliques)
     real = cliques.groupBy("clique").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("clique")
     ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = cut(lines.join(wide(ends), "id", "left_semi"))
