@@ -1,12 +1,15 @@
 """Matching two ledgers (JN6-JN9, AGG13): equal amounts within days one to one, sums of a few, then near misses.
 
-Entries are (line, cents, d). Only equal amounts can match, so the greedy choice runs on each amount by itself;
-a popular amount is cut further where a gap of more than ``days`` separates its dates, beyond which nothing interacts.
+Entries are (line, cents, d); a line number is one entry of its side. Only equal amounts can match, so the greedy choice runs
+on each amount by itself; a popular amount is cut further where a gap of more than ``days`` separates its dates, beyond
+which nothing interacts. Such a stretch of at most ``group_rows`` entries is matched in a stream; of a larger one that many
+entries at a time, in the order of lines, so that no task holds it, with the same result.
 """
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -15,17 +18,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import day_gap
+from ..shared import discard, written
+from .ranks import joined, positions
 
 
 def _pairs_of(a: list[tuple], b: list[tuple], days: int) -> Iterator[tuple[int, int, int]]:
-    """In a's order: the unused entry of b with the smallest gap, of equals the first; a missing date is no gap."""
-    free = list(b)
+    """In a's order: the unused entry of b with the smallest gap, of equals the first; a missing date is no gap. The unused
+    entries of a date are taken in their order, whoever takes them."""
+    free, order, taken, first = defaultdict(deque), [line for line, _ in b], set(), 0
+    day_of = dict(b)
+    for line, day in b:
+        free[day].append(line)
     for line, day in a:
-        gaps = [(0 if day is None or d is None else abs(day - d), other, k) for k, (other, d) in enumerate(free)]
-        best = min((g for g in gaps if g[0] <= days), default=None)
-        if best:
-            yield line, best[1], best[0]
-            free.pop(best[2])
+        found = None
+        if day is None:
+            while first < len(order) and order[first] in taken:
+                first += 1
+            found = (order[first], 0) if first < len(order) else None
+        else:
+            for gap in range(days + 1):
+                near = {day - gap, day + gap, *([None] if gap == 0 else [])}
+                heads = [free[d][0] for d in near if free.get(d)]
+                if heads:
+                    found = min(heads), gap
+                    break
+        if found:
+            taken.add(found[0])
+            free[day_of[found[0]]].popleft()
+            yield line, *found
 
 
 def _greedy(days: int):
@@ -50,17 +70,58 @@ def _greedy(days: int):
     return run
 
 
-def match_exact(a: DataFrame, b: DataFrame, *, days: int = 3) -> DataFrame:
+def _in_blocks(rows: DataFrame, days: int, block: int) -> DataFrame:
+    """The same choice for groups of any size, by blocks of a's lines. The used entries of b with one date are always the first
+    of that date, so how many they are is all that a block has to know of the ones before. Of a date a block can use no
+    more entries than it has entries that see the date, the next ones in order; its undated entries none but the next ``block``
+    of all. Groups take their blocks side by side: as many steps as the largest group has blocks."""
+    spark, group, date = rows.sparkSession, ["cents", "part"], ["cents", "part", "day"]
+    a = positions(rows.where("side = 0").select("line", *date), group, ["line"], "k")
+    a = written(a.select("line", *date, F.floor((F.col("k") - 1) / block).cast("int").alias("block")), "block")
+    b = written(positions(rows.where("side = 1").select("line", *date), date, ["line"], "k"))
+    used = spark.createDataFrame([], "cents long, part long, day int, used long")
+    out = spark.createDataFrame([], "line_a long, line_b long, gap int")
+
+    def matched(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        sides = [[(line, None if pd.isna(d) else int(d)) for line, d in zip(s.line.tolist(), s.day.tolist(), strict=True)] for s in (x.sort_values("line"), y.sort_values("line"))]
+        return pd.DataFrame(list(_pairs_of(*sides, days)), columns=["line_a", "line_b", "gap"])
+
+    for i in range((a.agg(F.max("block")).first()[0] or 0) + 1):
+        now = a.where(F.col("block") == i).drop("block")
+        around = F.when(F.col("day").isNotNull(), F.array_append(F.transform(F.sequence(F.lit(-days), F.lit(days)), lambda g: F.col("day") + g), F.lit(None).cast("int")))
+        sees = now.groupBy(*date).agg(F.count(F.lit(1)).alias("n")).where("day is not null").select(*group, F.explode(around).alias("day"), "n").groupBy(*date).agg(F.sum("n").alias("n"))
+        left = joined(b, used, date, "left").where("k > coalesce(used, 0)")
+        usable = joined(left, sees, date).where("k <= coalesce(used, 0) + n").select("line", *date)
+        undated = now.where("day is null").select(*group).distinct()
+        if not undated.isEmpty():
+            rank = F.row_number().over(Window.partitionBy(*group).orderBy("line"))
+            any_date = left.join(undated.hint("merge"), group).withColumn("nth", rank).where(F.col("nth") <= block)
+            usable = usable.union(any_date.select("line", *date)).distinct()
+        pairs = written(now.groupBy(*group).cogroup(usable.groupBy(*group)).applyInPandas(matched, "line_a long, line_b long, gap int"))
+        more = pairs.select(F.col("line_b").alias("line")).join(b.hint("merge"), "line").groupBy(*date).agg(F.count(F.lit(1)).alias("used"))
+        before, used = used, written(used.union(more.select(used.columns)).groupBy(*date).agg(F.sum("used").alias("used")))
+        discard(before)
+        out = out.union(pairs)
+    discard(a, b)
+    return out
+
+
+def match_exact(a: DataFrame, b: DataFrame, *, days: int = 3, group_rows: int = 500_000) -> DataFrame:
     """JN6: line_a, line_b, gap."""
-    both = a.select(F.lit(0).alias("side"), "line", "cents", "d").union(b.select(F.lit(1).alias("side"), "line", "cents", "d")).where("cents is not null")
-    w = Window.partitionBy("cents").orderBy("d", "side", "line")
-    gap = F.datediff("d", F.lag("d").over(w))
-    open_dates = F.max(F.col("d").isNull()).over(Window.partitionBy("cents"))  # an undated entry can meet any date
-    both = both.withColumn("cut", F.when(~open_dates & (gap > days), 1).otherwise(0)).withColumn("part", F.sum("cut").over(w))
+    both = a.select(F.lit(0).alias("side"), "line", "cents", F.unix_date("d").alias("day")).union(b.select(F.lit(1).alias("side"), "line", "cents", F.unix_date("d").alias("day"))).where("cents is not null")
+    # One row for each amount and date: an amount has as many as the calendar has days.
+    dates = both.groupBy("cents", "day").agg(F.count_if(F.col("side") == 0).alias("n_a"), F.count_if(F.col("side") == 1).alias("n_b"))
+    amount = Window.partitionBy("cents")
+    gap = F.col("day") - F.lag("day").over(amount.orderBy("day"))
+    undated = F.max(F.col("day").isNull()).over(amount)  # such an entry can meet any date
+    dates = dates.withColumn("cut", F.when(~undated & (gap > days), 1).otherwise(0)).withColumn("part", F.sum("cut").over(amount.orderBy("day")))
     whole = Window.partitionBy("cents", "part")
-    both = both.withColumns({"day": F.unix_date("d"), "low": F.min("side").over(whole), "high": F.max("side").over(whole)}).where("low <> high")
-    rows = both.select("cents", "part", "side", "line", "day").repartition("cents", "part").sortWithinPartitions("cents", "part", "side", "line")
-    return rows.mapInPandas(_greedy(days), "line_a long, line_b long, gap int")
+    dates = dates.withColumns({"a": F.sum("n_a").over(whole), "b": F.sum("n_b").over(whole)}).where("a > 0 and b > 0").select("cents", "day", "part", (F.col("a") + F.col("b")).alias("size"))
+    rows = joined(both, dates, ["cents", "day"])
+    small = rows.where(F.col("size") <= group_rows).drop("size").repartition("cents", "part").sortWithinPartitions("cents", "part", "side", "line")
+    out = small.mapInPandas(_greedy(days), "line_a long, line_b long, gap int")
+    large = rows.where(F.col("size") > group_rows)
+    return out if large.isEmpty() else out.unionByName(_in_blocks(large, days, group_rows))
 
 
 def leftover(side: DataFrame, matched: DataFrame, column: str) -> DataFrame:
@@ -68,29 +129,71 @@ def leftover(side: DataFrame, matched: DataFrame, column: str) -> DataFrame:
     return side.join(matched.select(F.col(column).alias("line")), "line", "left_anti")
 
 
+def _sums(pool: list[tuple], parts: int) -> dict[int, list[tuple[int, list[int]]]]:
+    """pool: cents of each entry. For each sum of two to ``parts`` entries their sets, in the order of the search: by first
+    member, then second, ..., a set before those that go on from it. A member may not exceed what is missing, and has the sign of
+    the sum; only where nothing is missing can any follow."""
+    sign = lambda v: (v > 0) - (v < 0)
+    out = defaultdict(list)
+    for c in sorted(c for n in range(2, parts + 1) for c in combinations(range(len(pool)), n)):
+        total = left = sum(pool[i] for i in c)
+        for k, i in enumerate(c):
+            v = pool[i]
+            if (left and v and sign(v) != sign(total)) or (abs(v) > abs(left) and sign(v) == sign(left)) or (left == 0 and k > 1):
+                break
+            left -= v
+        else:
+            out[total].append(c)
+    return out
+
+
 def match_split(a: DataFrame, b: DataFrame, *, days: int = 3, parts: int = 3, pool: int = 60) -> DataFrame:
     """JN7: entries of a that two to ``parts`` unused entries of b add up to, for pools of at most ``pool`` entries;
-    a larger pool gives no result. line_a, lines_b."""
-    empty = a.sparkSession.createDataFrame([], "line_a long, lines_b array<long>")
-    if b.limit(pool + 1).count() > pool:
-        return empty
-
-    def run(frames):
-        rows = pd.concat(list(frames))
-        free, out = rows[rows.side == 1].sort_values("line").to_dict("records"), []
-        for x in rows[rows.side == 0].sort_values("line").to_dict("records"):
-            usable = [f for f in free if f["cents"] * x["cents"] > 0 and abs(f["cents"]) < abs(x["cents"])]
-            hit = next((c for n in range(2, parts + 1) for c in combinations(usable, n) if sum(f["cents"] for f in c) == x["cents"]), None)
-            if hit and all(pd.isna(f["day"]) or pd.isna(x["day"]) or abs(f["day"] - x["day"]) <= days for f in hit):
-                out.append((x["line"], [f["line"] for f in hit]))
-                free = [f for f in free if f not in hit]
-        yield pd.DataFrame(out, columns=["line_a", "lines_b"])
-
-    # At most ``pool`` rows on one side; of the other only those that a pool of that size could sum to.
-    limit = b.agg(F.max(F.abs("cents")).alias("m"))
-    near = a.join(F.broadcast(limit), F.abs("cents") <= parts * F.col("m")).drop("m")
-    both = near.select(F.lit(0).alias("side"), "line", "cents", F.unix_date("d").alias("day")).union(b.select(F.lit(1).alias("side"), "line", "cents", F.unix_date("d").alias("day")))
-    return both.coalesce(1).mapInPandas(run, "line_a long, lines_b array<long>")
+    a larger pool gives no result. In the order of a's lines, each entry has the first set of the search among those that are
+    left, and takes it if all its dates are within days. line_a, lines_b.
+
+    The sums of the pool are a table of bounded size that side a is joined with. An entry's set is final when no earlier entry
+    takes a member of it; so a round settles all entries before the first whose set meets one that was taken in it. A round takes
+    two entries of b at least, so rounds are at most half as many as the pool's entries."""
+    spark = a.sparkSession
+    nothing = spark.createDataFrame([], "line_a long, lines_b array<long>")
+    entries = b.where("cents is not null").select("line", "cents", F.unix_date("d").alias("day")).orderBy("line").limit(pool + 1).collect()
+    if len(entries) > pool:
+        return nothing
+    if sum(math.comb(pool, n) for n in range(2, parts + 1)) > 100_000:
+        raise ValueError("the sums of such a pool are too many for a table that is sent to all tasks")
+    sums = _sums([e.cents for e in entries], parts)
+    found, used, after = [], 0, None
+    known = spark.createDataFrame([(t,) for t in sums], "cents long")
+    x = written(a.join(F.broadcast(known), "cents", "left_semi").select("line", "cents", F.unix_date("d").alias("day")))
+    while True:
+        rows = []
+        for total, sets in sums.items():
+            for c in sets:
+                mask = sum(1 << i for i in c)
+                if not mask & used:
+                    dates = [entries[i].day for i in c if entries[i].day is not None]
+                    rows.append((total, mask, min(dates, default=None), max(dates, default=None)))
+                    break
+        first = spark.createDataFrame(rows, "cents long, mask long, low int, high int")
+        fits = F.coalesce((F.col("day") - F.col("low") <= days) & (F.col("high") - F.col("day") <= days), F.lit(True))
+        asked = x.join(F.broadcast(first), "cents").select("line", "mask", fits.alias("fits"))
+        asked = asked if after is None else asked.where(F.col("line") >= after)
+        takers = asked.where("fits").orderBy("line").limit(pool // 2 + 1).collect()
+        # The first entry whose set meets an earlier one of this round.
+        taken, meets = 0, F.lit(False)
+        for t in takers:
+            meets |= (F.col("line") > t.line) & (F.col("mask").bitwiseAND(F.lit(t.mask)) != 0)
+        after = asked.where(meets).agg(F.min("line")).first()[0] if takers else None
+        for t in takers:
+            if after is None or t.line < after:
+                taken |= t.mask
+                found.append((t.line, [e.line for i, e in enumerate(entries) if t.mask >> i & 1]))
+        used |= taken
+        if after is None:
+            break
+    discard(x)
+    return spark.createDataFrame(found, nothing.schema)
 
 
 def near_misses(a: DataFrame, b: DataFrame, *, days: int = 3, ratio: float = 0.01) -> DataFrame:

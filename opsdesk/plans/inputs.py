@@ -58,6 +58,27 @@ LEDGERS_SQL = """o AS (SELECT o_orderkey AS line, CAST(floor(o_totalprice / 50)
     a AS (SELECT * FROM o WHERE line % 2 = 0), b AS (SELECT line, cents, d + CAST(line % 4 AS INTEGER) AS d FROM o WHERE line % 2 = 1)"""
 
 
+def split_ledgers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """line, cents, d: an entry for each order, and a few, one for each nation, that some orders are sums of; a third of those
+    without a date."""
+    o, n = read(spark, sf_dir, "orders"), read(spark, sf_dir, "nation")
+    key = F.col("n_nationkey")
+    a = o.select(F.col("o_orderkey").alias("line"), (F.when(F.col("o_orderkey") % 4 == 0, -1).otherwise(1) * (F.col("o_orderkey") * 7919 % 300) * 100).cast("long").alias("cents"), F.to_date("o_orderdate").alias("d"))
+    b = n.select(key.cast("long").alias("line"), (F.when(key % 5 == 0, -1).otherwise(1) * (1 + key * 37 % 101) * 100).cast("long").alias("cents"), F.when(key % 3 > 0, F.expr("date_add(date'1993-01-01', cast(n_nationkey * 61 as int))")).alias("d"))
+    return a, b
+
+
+#: Sets of two and three entries of b by their sum, in the order of the search (ord), and what the search does not go into.
+SPLIT_SQL = """a AS (SELECT o_orderkey AS line, CAST((CASE WHEN o_orderkey % 4 = 0 THEN -1 ELSE 1 END) * (o_orderkey * 7919 % 300) * 100 AS BIGINT) AS cents, CAST(o_orderdate AS DATE) AS d FROM orders),
+    b AS (SELECT CAST(n_nationkey AS BIGINT) AS line, CAST((CASE WHEN n_nationkey % 5 = 0 THEN -1 ELSE 1 END) * (1 + n_nationkey * 37 % 101) * 100 AS BIGINT) AS cents, CASE WHEN n_nationkey % 3 > 0 THEN DATE '1993-01-01' + CAST(n_nationkey * 61 AS INTEGER) END AS d FROM nation),
+    two AS (SELECT x.cents + y.cents AS t, [x.line, y.line] AS lines, [x.cents, y.cents] AS c, [x.d, y.d] AS ds FROM b x JOIN b y ON x.line < y.line),
+    three AS (SELECT t + z.cents AS t, list_append(lines, z.line) AS lines, list_append(c, z.cents) AS c, list_append(ds, z.d) AS ds FROM two JOIN b z ON lines[2] < z.line),
+    s AS (SELECT t, lines, ds, row_number() OVER (ORDER BY lines) AS ord FROM (SELECT * FROM two UNION ALL SELECT * FROM three WHERE c[1] + c[2] <> t)
+      WHERE NOT (t <> 0 AND sign(c[1]) <> sign(t)) AND NOT (abs(c[1]) > abs(t) AND sign(c[1]) = sign(t))
+      AND NOT (t <> c[1] AND sign(c[2]) <> sign(t)) AND NOT (abs(c[2]) > abs(t - c[1]) AND sign(c[2]) = sign(t - c[1]))
+      AND (len(c) = 2 OR (sign(c[3]) = sign(t) AND NOT (abs(c[3]) > abs(t - c[1] - c[2]) AND sign(c[3]) = sign(t - c[1] - c[2])))))"""
+
+
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")
     cents = F.when(F.col("o_orderkey") % 97 == 0, 0).when(F.col("o_orderkey") % 89 == 0, -F.floor(F.col("o_totalprice") * 100 + 0.5)).otherwise(F.floor(F.col("o_totalprice") * 100 + 0.5)).cast("long")

@@ -98,6 +98,89 @@ def test_exact_matches_are_the_sequential_ones(spark):
         m = reconcile.match_exact(da, db, days=days)
         assert sorted(rows(m)) == greedy(a, sorted(b), days)
         assert m.count() + reconcile.leftover(da, m, "line_a").count() == len(a)
+    assert sorted(rows(reconcile.match_exact(da, db, days=3, group_rows=40))) == greedy(a, sorted(b), 3)
+
+
+def test_one_amount_with_most_entries_is_matched_in_blocks(spark):
+    """Four entries in ten on one day."""
+    r = random.Random(2)
+    day = lambda: D(2024, 1, 5) if r.random() < 0.4 else D(2024, 1, 1) + datetime.timedelta(r.randrange(14))
+    a, b = [(2 * i, 500, day()) for i in range(30_000)], [(2 * i + 1, 500, day()) for i in range(25_000)]
+    r.shuffle(a)
+    schema = "line long, cents long, d date"
+    m = reconcile.match_exact(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), days=2, group_rows=9000)
+    assert sorted(rows(m)) == sequential(a, b, 2)
+
+
+def sequential(a, b, days):
+    """The same choice for entries with dates and one amount, by a search in each date's free lines."""
+    free, out = {}, []
+    for line, _, d in sorted(b, reverse=True):
+        free.setdefault(d, []).append(line)
+    for line, _, d in sorted(a):
+        for gap in range(days + 1):
+            heads = [(free[x][-1], x) for x in {d - datetime.timedelta(gap), d + datetime.timedelta(gap)} if free.get(x)]
+            if heads:
+                found, x = min(heads)
+                free[x].pop()
+                out.append((line, found, gap))
+                break
+    return sorted(out)
+
+
+def searched(a, b, days, parts):
+    """Sets of entries by a depth-first search for each line in turn."""
+    pool, out = sorted(b), []
+    sign = lambda v: (v > 0) - (v < 0)
+
+    def search(start, chosen, left, target):
+        if left == 0 and len(chosen) > 1:
+            return chosen
+        if len(chosen) < parts:
+            for i in range(start, len(pool)):
+                v = pool[i][1]
+                if (v and sign(v) != sign(target) and left) or (abs(v) > abs(left) and sign(v) == sign(left)):
+                    continue
+                found = search(i + 1, [*chosen, pool[i]], left - v, target)
+                if found:
+                    return found
+        return None
+
+    for line, cents, d in sorted(a):
+        found = search(0, [], cents, cents)
+        if found and all(None in (d, e) or abs((d - e).days) <= days for _, _, e in found):
+            out.append((line, [x[0] for x in found]))
+            pool = [x for x in pool if x not in found]
+    return out
+
+
+def test_sums_of_entries_are_the_sequential_ones(spark):
+    schema, some = "line long, cents long, d date", 0
+    for seed, size in ((1, 8), (2, 25), (3, 60), (4, 61)):
+        r = random.Random(seed)
+        day = lambda: None if r.random() < 0.3 else D(2024, 1, 1) + datetime.timedelta(r.randrange(8))  # noqa: B023, E731
+        a = [(i, r.choice([1, 1, 1, -1]) * r.randrange(0, 90) * 10, day()) for i in range(400)]
+        b = [(i, r.choice([1, 1, 1, -1, 0]) * r.randrange(1, 40) * 10, day()) for i in range(size)]
+        got = reconcile.match_split(spark.createDataFrame(a, schema).repartition(3), spark.createDataFrame(b, schema), days=3)
+        want = searched(a, b, 3, 3) if size <= 60 else []
+        assert sorted(rows(got)) == want
+        some += len(want)
+    assert some > 25
+
+
+def test_positions_of_common_keys(spark):
+    from opsdesk.operators import ranks
+
+    r = random.Random(6)
+    data = [(r.choice(["x", "x", "x", "y", None]), r.randrange(50), i) for i in range(900)]
+    got = ranks.positions(spark.createDataFrame(data, "k string, v int, i int").repartition(5), ["k"], [F.desc("v"), "i"])
+    want, seen = [], {}
+    for k, v, i in sorted(data, key=lambda x: (-x[1], x[2])):
+        seen[k] = seen.get(k, 0) + 1
+        want.append((k, v, i, seen[k]))
+    assert sorted(rows(got), key=repr) == sorted(want, key=repr)
+    assert [x[1] for x in sorted(rows(ranks.positions(spark.range(20).select("id"), [], ["id"])))] == list(range(1, 21))
+    assert ranks.positions(spark.range(0), [], ["id"]).count() == 0
 
 
 def test_near_and_split_matches(spark):
