@@ -5,7 +5,7 @@ target entropy of the weights, or, without one, to the smallest ``a`` under whic
 ``max_repeats`` times. The token budget defaults to the least that reads every source once in whole.
 
 A source of quota q and size t is read as blocks. Each block is a permutation of the source's documents, by a hash of
-block number and id; all but the last are whole, and of the last those documents are taken whose tokens start before the
+block number, id and text; all but the last are whole, and of the last those documents are taken whose tokens start before the
 quota ends. The start of a document in its block comes from sums in three levels: groups of ranges of the hash, ranges, whose
 number grows with the source, and rows inside a range, so that a source with a third of all rows is spread over many tasks.
 
@@ -27,6 +27,7 @@ import warnings
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import joined, positions
 from .common import cut
 
 _RANGE = 4_096  # rows of one hash range, about
@@ -83,7 +84,9 @@ def shortfall(tokens: dict, w: dict, total: int, max_repeats: float) -> dict:
 def mix(documents: DataFrame, *, target_entropy: float | None = None, max_repeats: float = 4.0, budget: int | None = None, strict: bool = False, max_sources: int = 100_000) -> DataFrame:
     """doc_id, source, n_tokens, block (from 1), start (tokens of the source's reading before the document, which orders it)
     and weight for each reading of a document."""
-    slim = cut(documents.select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens")))
+    # What orders a source's rows: id and text, and for rows without id, which may all be equal, their place in this table.
+    row = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(0)
+    slim = cut(documents.select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens"), F.xxhash64("text").alias("key"), row.alias("row")))
     by = slim.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).limit(max_sources + 1).collect()
     if len(by) > max_sources:
         raise ValueError(f"more than {max_sources} sources: their table goes to the driver and every task")
@@ -106,8 +109,8 @@ def mix(documents: DataFrame, *, target_entropy: float | None = None, max_repeat
     each = slim.join(F.broadcast(plan), F.col("s").eqNullSafe(F.col("source").cast("string"))).drop("s")
     n_blocks = F.col("full") + F.when(F.col("rest") > 0, 1).otherwise(0)
     each = each.where(n_blocks > 0).withColumn("block", F.explode(F.sequence(F.lit(1).cast("long"), n_blocks)))
-    each = each.withColumn("h", F.xxhash64("doc_id", "block")).withColumn("r", F.floor((F.col("h") / 2.0**64 + 0.5) * F.col("ranges")).cast("long"))
-    inside = Window.partitionBy("source", "block", "r").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("h", F.xxhash64("doc_id", "block", "key", "row")).withColumn("r", F.floor((F.col("h") / 2.0**64 + 0.5) * F.col("ranges")).cast("long"))
+    inside = Window.partitionBy("source", "block", "r").orderBy("h", "doc_id", "key", "n_tokens", "row").rowsBetween(Window.unboundedPreceding, -1)
     of_group = Window.partitionBy("source", "block", "g").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     of_block = Window.partitionBy("source", "block").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
     sums = each.groupBy("source", "block", "r").agg(F.sum("n_tokens").alias("x")).withColumn("g", F.floor(F.col("r") / _RANGE).cast("long"))
@@ -122,6 +125,10 @@ def mix(documents: DataFrame, *, target_entropy: float | None = None, max_repeat
 
 
 def realise(documents: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The texts in mixed proportions: mixed with the other columns of documents, whose doc_id must be unique."""
+    """The texts in mixed proportions: mixed with the other columns of documents (doc_id, source, text and more). Rows of one
+    doc_id, source and size, as rows without id may be, are paired one to one within a block, so each reading has a text."""
     other = [c for c in documents.columns if c not in mixed.columns]
-    return mixed.join(documents.select("doc_id", *other), "doc_id")
+    keys = ["doc_id", "source", "n_tokens"]
+    texts = positions(documents.select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens"), *other), keys, [F.xxhash64("text"), "text"], "_copy")
+    readings = positions(mixed, [*keys, "block"], ["start"], "_copy")
+    return joined(readings, texts, [*keys, "_copy"]).drop("_copy")

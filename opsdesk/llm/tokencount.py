@@ -7,8 +7,9 @@ the counts at all prefixes of each are worked out once for each Python worker an
 of a text are put together from its pieces'.
 
 The counts are those of the tokenizers library for the same file, without added special tokens; an added string inside
-a text counts as one token, as by the library's default. ``prefix_counts`` gives the counts at every prefix of every
-text, and ``token_counts`` answers size, truncation and budget from them, without splitting or encoding anything again.
+a text counts as one token, as by the library's default. ``prefix_table`` stores the counts at every prefix of every
+text, as the steps from each to the next (mostly one byte a character, of few values), and ``token_counts`` answers size, truncation and budget
+from that table, without splitting or encoding anything again; ``prefix_counts`` gives them as arrays.
 A file with another pre-tokeniser, a normaliser or added strings with rules of their own is refused.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated rows are counted each; texts of any length
@@ -28,6 +29,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 _KEEP = 1_000_000
 #: Stands between pieces; no token holds it.
 _GAP = chr(256)
@@ -120,7 +123,7 @@ class PrefixCounter:
         for piece, counts in zip(order, self.pieces(order), strict=True):
             if len(counts) > len(piece) + 1:  # at the ends of characters only
                 counts = [0, *np.array(counts)[np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in piece])].tolist()]
-            self.kept[piece] = bytes(counts[1:]) if counts[-1] < 256 else counts[1:]
+            self.kept[piece] = bytes(counts[1:]) if max(counts) < 256 else counts[1:]  # a prefix may have more than the whole
 
     def total(self, piece: str) -> int:
         """Tokens of a whole piece."""
@@ -207,13 +210,54 @@ def prefix_counts(documents: DataFrame, path: str) -> DataFrame:
     return documents.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_bytes long, counts array<int>")
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """The steps between neighbouring counts, after one byte that tells the bytes of each."""
+    steps = np.diff(counts)
+    most = int(np.abs(steps).max(initial=0))
+    width = 1 if most < 1 << 7 else 2 if most < 1 << 15 else 4
+    return bytes([width]) + steps.astype(f"<i{width}").tobytes()
+
+
+def unpacked(steps: bytes) -> np.ndarray:
+    return np.append(0, np.cumsum(np.frombuffer(steps, f"<i{steps[0]}", offset=1), dtype=np.int64))
+
+
+def prefix_table(documents: DataFrame, path: str) -> DataFrame:
+    """A written table of doc_id, n_bytes, n_tokens and steps, from which unpacked() gives the tokens of the first 0, 1, 2, ...
+    characters of each text. path as for prefix_counts."""
+    kind = documents.schema["doc_id"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = counter(path)
+        for pdf in frames:
+            for a in range(0, len(pdf), _ROWS):
+                part = pdf[a : a + _ROWS]
+                texts = [t or "" for t in part.text]
+                counts = [c.prefixes(t) for t in texts]
+                yield pd.DataFrame({"doc_id": part.doc_id, "n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in texts], "n_tokens": [int(x[-1]) for x in counts], "steps": [packed(x) for x in counts]})
+
+    return cut(documents.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_bytes long, n_tokens long, steps binary"))
+
+
 def fitting_chars(limit: int) -> Column:
     """Over prefix_counts: the characters of the longest prefix of at most ``limit`` tokens."""
     return F.expr(f"if(element_at(counts, -1) <= {int(limit)}, size(counts) - 1, array_max(transform(counts, (x, i) -> if(x <= {int(limit)}, i, 0))))")
 
 
 def token_counts(documents: DataFrame, path: str, *, limit: int = 1024) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit and fit_chars (characters of the longest prefix within the limit), all from
-    prefix_counts."""
-    n = F.element_at("counts", -1).cast("long")
-    return prefix_counts(documents, path).select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"), fitting_chars(limit).cast("long").alias("fit_chars"))
+    """doc_id, n_bytes, n_tokens, over_limit and fit_chars (characters of the longest prefix within the limit), all read from
+    prefix_table."""
+    return answered(prefix_table(documents, path), limit=limit)
+
+
+def answered(table: DataFrame, *, limit: int = 1024) -> DataFrame:
+    """token_counts for a prefix_table."""
+    kind = table.schema["doc_id"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            over = pdf.n_tokens > limit
+            fits = [int(np.flatnonzero(unpacked(x) <= limit)[-1]) if more else (len(x) - 1) // x[0] for x, more in zip(pdf.steps, over, strict=True)]
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "n_bytes": pdf.n_bytes, "n_tokens": pdf.n_tokens, "over_limit": over, "fit_chars": fits})
+
+    return table.mapInPandas(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")

@@ -84,15 +84,18 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = 20, scale: int = 64,
     usable = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()
     whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     v = vectors.where(usable).where(whole).select(F.col("vec_id").cast("long").alias("id"), F.transform("embedding", number).alias("v"), F.coalesce(queries, F.lit(False)).alias("is_query"))
-    v = cut(v.withColumn("dim", F.size("v")).withColumn("row", F.monotonically_increasing_id()))
+    v = cut(v.withColumn("dim", F.size("v")))
     n = {r.dim: (r.n, r.q) for r in v.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_query").alias("q")).collect()}
     blocks, chunks = max([1, *(-(-a // block) for a, _ in n.values())]), max([1, *(-(-b // chunk) for _, b in n.values())])
     grids = {d: (np.zeros(d), np.ones(d)) for d in n}
     for r in v.select("dim", F.posexplode("v").alias("at", "x")).groupBy("dim", "at").agg(F.min("x").alias("low"), F.max("x").alias("high")).collect():
         grids[r.dim][0][r.at], grids[r.dim][1][r.at] = r.low, max(1, -(-(r.high - r.low + 1) // CELLS))
-    # Of a vector that many rows repeat, only the k + 1 smallest ids can be among anybody's k best.
-    copy = F.row_number().over(Window.partitionBy("v").orderBy("id", "row"))
-    few = v.select("row", "id", "dim", "v", copy.alias("copy")).where(F.col("copy") <= k + 1)
+    # Of a vector that many rows repeat, only those of the k + 1 smallest ids (a query meets none of its own), and k of each id, can
+    # be among anybody's k best. Copies are counted before they are dealt, so a common vector is a row of each task.
+    folded = v.groupBy("dim", "v", "id").agg(F.count(F.lit(1)).alias("n"))
+    few = folded.withColumn("copy", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("copy") <= k + 1)
+    few = few.select("id", "dim", "v", F.explode(F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(k))))).drop("col")
+    few = cut(few.withColumn("row", F.monotonically_increasing_id()))
     cells = cut(few.select("row", "id", "dim", "v").mapInPandas(_cells(grids), "row long, id long, dim int, cells binary"))
     rows = cells.select("row", "id", "cells", "dim", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("c"))
     once = cut(v.where("is_query").groupBy("id").agg(F.min(F.struct("dim", "v")).alias("x")).select("id", "x.*"))
@@ -106,7 +109,7 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = 20, scale: int = 64,
     live = cut(live.select("query_id", "row", "high", F.row_number().over(_by_query(F.desc("high"), F.col("row"))).alias("nth")))
 
     def exact(some: DataFrame) -> DataFrame:
-        found = some.select("query_id", "row").join(wide(v.select("row", F.col("id").alias("vec_id"), F.col("v").alias("x"))), "row")
+        found = some.select("query_id", "row").join(wide(few.select("row", F.col("id").alias("vec_id"), F.col("v").alias("x"))), "row")
         both = found.join(wide(once.select(F.col("id").alias("query_id"), F.col("v").alias("y"))), "query_id")
         return both.select("query_id", "vec_id", F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x).alias("score"))
 

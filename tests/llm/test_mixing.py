@@ -90,3 +90,20 @@ def test_a_source_that_runs_out_is_named(spark):
     with pytest.warns(UserWarning, match="short of their weights"):
         got = mixing.mix(docs, target_entropy=math.log(2), budget=90, max_repeats=1.0).collect()
     assert sum(r.n_tokens for r in got if r.source == "b") == 10 and 45 <= sum(r.n_tokens for r in got if r.source == "a") < 55
+
+
+def test_rows_without_id_are_spread_and_keep_their_texts(spark):
+    rows = [(None, "big", "one two three")] * 3000 + [(None, "big", f"text {i}") for i in range(200)] + [(None, None, None), (None, "small", ""), (5, "small", "a b"), (5, "small", "c d"), (5, "small", "c d")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("extra", F.length("text"))
+    mixed = mixing.mix(docs, max_repeats=2.0).cache()
+    got = mixing.realise(docs, mixed)
+    assert got.count() == mixed.count() and {c for c in got.columns} == {*mixed.columns, "text", "extra"}
+    assert got.where("not text <=> null and extra <> length(text)").count() == 0
+    for block in (1,):
+        once = sorted(((r.doc_id or 0), r.source or "", r.text or "") for r in got.where(F.col("block") == block).collect())
+        assert once == sorted(((d or 0), s or "", t or "") for d, s, t in rows)
+    starts = sorted((r.start, r.n_tokens) for r in mixed.where("source = 'big'").collect())
+    at = 0
+    for start, n in starts:
+        assert start == at
+        at += n

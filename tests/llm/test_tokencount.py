@@ -54,3 +54,32 @@ def test_long_pieces_and_refused_files(spark, tmp_path):
         (tmp_path / "other.json").write_text(json.dumps(spec | change))
         with pytest.raises(ValueError):
             tokencount.PrefixCounter(str(tmp_path / "other.json"))
+
+
+def test_pieces_whose_count_crosses_255_both_ways(spark):
+    import random
+
+    words, texts = "the and ing hello world con qz station international government zxq information understanding rq".split(), []
+    r = random.Random(2)
+    long = "".join(r.choice(words) for _ in range(400))
+    counts = [library(long[:k]) for k in range(900, 1500)]
+    falls = [900 + k for k in range(1, len(counts)) if counts[k] == 255 and counts[k - 1] == 256]
+    rises = [900 + k for k in range(1, len(counts)) if counts[k] == 256 and counts[k - 1] == 255]
+    assert falls and rises
+    texts = [long[:k] for k in (*falls, *rises, falls[0] - 1, falls[0] + 1)]
+    for t in texts:
+        assert OWN.prefixes(t)[[-1, -2, -3, 1000]].tolist() == [library(t), library(t[:-1]), library(t[:-2]), library(t[:1000])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in tokencount.token_counts(df, PATH).collect()} == {i: library(t) for i, t in enumerate(texts)}
+
+
+def test_stored_steps_give_back_the_counts(spark):
+    import numpy as np
+
+    for counts in ([0], [0, 1, 1, 2], [0, 5, 4, 300, 2], [0, 1, 70_000, 1]):
+        assert tokencount.unpacked(tokencount.packed(np.array(counts))).tolist() == counts
+    texts = ["hello world's  \n\n end", None, "", "日本 🙂" * 50]
+    table = tokencount.prefix_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH)
+    for r in table.collect():
+        t = texts[r.doc_id] or ""
+        assert tokencount.unpacked(r.steps).tolist() == [library(t[:k]) for k in range(len(t) + 1)] and r.n_tokens == library(t)

@@ -41,6 +41,25 @@ def test_against_brute_force(spark):
     assert [x[1] for x in got[940]] == [941]
 
 
+def test_repeated_ids(spark):
+    """A query's own rows must not stand in for others of its vector; copies of another id are candidates each."""
+    v, w = [1.0, 0.5, -0.25], [2.0, 1.0, 1.0]
+    rows = [(0, v)] * 25 + [(i, v) for i in range(1, 31)] + [(40 + i, [0.5 * i, 0.0, 1.0]) for i in range(5)] + [(7, w)] * 30 + [(20, w), (20, v), (60, [0.0, 9.0, 1.0]), (60, [1.0, 9.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    for k in (20, 3):
+        got = collected(vafile.top_k(df, F.col("vec_id") % 20 == 0, k=k, block=16, chunk=2))
+        smallest = sorted(rows, key=lambda r: (r[0], len(r[1]), r[1]))
+        assert got == brute(smallest, lambda i: i % 20 == 0, k, 64)
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("embeddings", df.toArrow())
+    want = {}
+    for q, rank, vec, score in sorted(con.execute(queries.ORACLE_SQL["op2_vector_search"]).fetchall()):
+        want.setdefault(q, []).append((rank, vec, score))
+    assert want == collected(vafile.top_k(df, F.col("vec_id") % 20 == 0))
+
+
 def test_fewer_candidates_than_k_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0, 0.5]), (1, [0.25, -1.0]), (2, [0.1, 0.1])], "vec_id long, embedding array<float>")
     got = collected(vafile.top_k(df, F.col("vec_id") == 0, k=20))
