@@ -13,7 +13,7 @@ from ..sources import delimited, sinks
 from ..sources import files as sources
 from ..streaming import live
 from . import inputs
-from .inputs import HOLIDAYS_SQL, LEDGERS_SQL, MONEY_SQL, NUMBERS_SQL, SPLIT_SQL, STOPS_SQL, VERSIONS_SQL, read
+from .inputs import ASKED_SQL, HOLIDAYS_SQL, LEDGERS_SQL, MONEY_SQL, NUMBERS_SQL, SPLIT_SQL, STOPS_SQL, SUSPENDED_SQL, TRIPS_SQL, VERSIONS_SQL, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -533,26 +533,6 @@ def cron_next(spark, d):
     return calendars.cron_next(read(spark, d, "events"), "30-59/15 8,17 * * mon-fri", start="ts", key="event_id", n=3)
 
 
-@query(f"""WITH {STOPS_SQL}, e AS (SELECT * FROM stops WHERE eff_until IS NULL OR eff_until >= DATE '2024-05-01') SELECT a.no, a.type, a.depart, b.arrive, CAST(date_diff('minute', CAST(a.depart AS TIME), CAST(b.arrive AS TIME)) AS INTEGER) AS minutes
-    FROM e a JOIN e b ON a.no = b.no AND a.seq < b.seq WHERE a.station = 'station 2' AND b.station = 'station 5'""")
-def timetable_search(spark, d):
-    """TT1, JN14, JN15, PRJ9, DT13."""
-    return timetable.search(inputs.stops(spark), origin="station 2", to="station 5", date="2024-05-01")
-
-
-@query(f"""WITH {STOPS_SQL}, e AS (SELECT *, max(seq) OVER (PARTITION BY no) AS z FROM stops WHERE eff_until IS NULL OR eff_until >= DATE '2024-05-01') SELECT station, CAST(row_number() OVER (PARTITION BY station ORDER BY depart, no) AS INTEGER) AS nth, no, depart
-    FROM e WHERE seq < z AND depart > '09:00' QUALIFY nth <= 3""")
-def timetable_next(spark, d):
-    """TT2, WIN9, WIN4."""
-    return timetable.next_departures(inputs.stops(spark), date="2024-05-01", after="09:00")
-
-
-@query(f"WITH {STOPS_SQL} SELECT station, count(DISTINCT no) AS trains, min(depart) AS first, max(depart) AS last FROM stops GROUP BY 1")
-def timetable_stations(spark, d):
-    """TT4."""
-    return timetable.station_info(inputs.stops(spark))
-
-
 # --- documents and formats ---------------------------------------------------------------------------------------
 
 
@@ -766,28 +746,6 @@ def front_matter(spark, d):
     return sources.front_matter(x)
 
 
-@query(f"WITH {STOPS_SQL} SELECT CAST(seq AS INTEGER) AS seq, station, CASE WHEN seq > 1 THEN arrive END AS arrive, CASE WHEN seq < 6 THEN depart END AS depart, false AS effective FROM stops WHERE no = 'S5'")
-def timetable_stops(spark, d):
-    """TT3, WIN4: a train whose version is no longer in force."""
-    return timetable.stops_of(inputs.stops(spark), "S5", "2024-05-01")
-
-
-@query(f"""WITH {STOPS_SQL}, e AS (SELECT * FROM stops WHERE eff_until IS NULL OR eff_until >= DATE '2024-05-01') SELECT a.no, a.type, a.depart, b.arrive, CAST(date_diff('minute', CAST(a.depart AS TIME), CAST(b.arrive AS TIME)) AS INTEGER) AS minutes,
-    12.5 AS price FROM e a JOIN e b ON a.no = b.no AND a.seq < b.seq WHERE a.station = 'station 2' AND b.station = 'station 5' AND a.type = 'slow' AND a.depart > '09:00'""")
-def timetable_price(spark, d):
-    """TT5, JN16, PRJ12."""
-    trips = timetable.search(inputs.stops(spark), origin="station 2", to="station 5", date="2024-05-01", kind="slow", after="09:00")
-    prices = spark.createDataFrame([("station 5", "station 2", 12.5), ("station 1", "station 2", 3.0)], "a string, b string, price double").withColumn("price", F.col("price").cast("decimal(3,1)"))
-    return timetable.priced(trips, prices, origin="station 2", to="station 5")
-
-
-@query(f"WITH {STOPS_SQL} SELECT no, station FROM stops WHERE (eff_until IS NULL OR eff_until >= DATE '2024-05-01') AND NOT workday_only AND no <> 'S7'")
-def timetable_in_force(spark, d):
-    """PRJ9-PRJ11: a holiday with one train suspended."""
-    off = spark.sql("SELECT date'2024-05-01' AS d, 'S7' AS no UNION ALL SELECT date'2024-05-02', '*'")
-    return timetable.effective(inputs.stops(spark), "2024-05-01", holiday=True, suspended=off).select("no", "station")
-
-
 # --- subtitles, links, packages, columns, logs -------------------------------------------------------------------
 
 
@@ -916,16 +874,74 @@ def json_report(spark, d):
     return sinks.report(read(spark, d, "nation").select("n_nationkey", "n_name"))
 
 
-@query(f"""WITH {STOPS_SQL}, e AS (SELECT * FROM stops WHERE eff_until IS NULL OR eff_until >= DATE '2024-05-01') SELECT a.no, a.type, a.depart, b.arrive, CAST(date_diff('minute', CAST(a.depart AS TIME), CAST(b.arrive AS TIME)) AS INTEGER) AS minutes,
-    'station 6' AS terminal FROM e a JOIN e b ON a.no = b.no WHERE a.station = 'station 1' AND b.station = 'station 6' AND a.depart > '09:00' ORDER BY a.depart, a.no LIMIT 2""")
+# --- timetables --------------------------------------------------------------------------------------------------
+
+_ASKED = f"{STOPS_SQL}, {ASKED_SQL}, {TRIPS_SQL}"
+
+
+def _asked(spark, d):
+    return inputs.trips_asked(spark, d).withColumn("kinds", timetable.train_types("types"))
+
+
+@query(f"""WITH {_ASKED} SELECT request, no, type, depart, arrive, minutes FROM trips WHERE list_contains(kinds, type) AND (after IS NULL OR depart > after)
+    AND (via IS NULL OR EXISTS (FROM stops v WHERE v.no = trips.no AND v.eff_from = trips.eff_from AND v.station = trips.via AND v.seq BETWEEN sa AND sb))""")
+def timetable_search(spark, d):
+    """TT1, JN14, JN15, PRJ9, PRJ12, DT13: a table of requests."""
+    return timetable.journeys(inputs.stops(spark, d), _asked(spark, d))
+
+
+@query(f"""WITH {_ASKED}, {HOLIDAYS_SQL}, {SUSPENDED_SQL} SELECT request, trips.no, type, depart, arrive, minutes FROM trips JOIN kinds k ON k.d = trips.date
+    WHERE NOT (workday_only AND k.kind <> 'workday') AND NOT EXISTS (FROM suspended s WHERE s.d = trips.date AND s.no IN (trips.no, '*'))""")
+def timetable_in_force(spark, d):
+    """PRJ9-PRJ11: runs of workdays, and suspended ones."""
+    asked = inputs.trips_asked(spark, d).select("request", "origin", "to", "date")
+    return timetable.journeys(inputs.stops(spark, d), asked, holidays=inputs.holidays(spark), suspended=inputs.suspensions(spark, d))
+
+
+@query(f"""WITH {STOPS_SQL}, {ASKED_SQL}, near AS (SELECT request, CASE WHEN direction = 1 THEN CASE WHEN origin = 'st190' THEN 'st10' ELSE 'st190' END WHEN origin = 'st10' THEN 'st190' ELSE 'st10' END AS "to", origin, date, kinds, after, via FROM asked),
+    {TRIPS_SQL.replace("FROM asked q", "FROM near q")} SELECT request, no, type, depart, arrive, minutes, "to" AS terminal, CAST(row_number() OVER (PARTITION BY request ORDER BY depart, no, arrive) AS INTEGER) AS nth
+    FROM trips WHERE after IS NULL OR depart > after QUALIFY nth <= 2""")
 def timetable_terminal(spark, d):
-    """TT2: the next two runs; from one end of the line the other end is the terminal."""
-    return timetable.next_to_terminal(inputs.stops(spark), ("station 1", "station 6"), station="station 1", direction=0, date="2024-05-01", after="09:00", n=2)
+    """TT2, WIN9: the next two runs of each request to the end of the line that it asks for, from there to the other one."""
+    asked = inputs.trips_asked(spark, d).select("request", F.col("origin").alias("station"), "direction", "date", "after")
+    return timetable.next_runs(inputs.stops(spark, d), asked, ("st10", "st190"), n=2)
+
+
+@query(f"""WITH {STOPS_SQL}, e AS (SELECT *, max(seq) OVER (PARTITION BY no, eff_from) AS z FROM stops WHERE eff_from <= DATE '1998-03-02' AND coalesce(eff_until, DATE '1998-03-02') >= DATE '1998-03-02')
+    SELECT station, CAST(row_number() OVER (PARTITION BY station ORDER BY depart, no) AS INTEGER) AS nth, no, depart FROM e WHERE seq < z AND depart > '09:00' QUALIFY nth <= 3""")
+def timetable_next(spark, d):
+    """TT2, WIN9, WIN4: the next departures of every station on a day."""
+    return timetable.next_departures(inputs.stops(spark, d), date="1998-03-02", after="09:00")
+
+
+@query(f"WITH {STOPS_SQL} SELECT station, count(DISTINCT no) AS trains, min(depart) AS first, max(depart) AS last FROM stops GROUP BY 1")
+def timetable_stations(spark, d):
+    """TT4."""
+    return timetable.station_info(inputs.stops(spark, d))
+
+
+@query(f"""WITH {STOPS_SQL}, {ASKED_SQL}, versions AS (SELECT DISTINCT no, eff_from, eff_until FROM stops),
+    c AS (SELECT request, no, v.eff_from, v.eff_from <= date AND coalesce(v.eff_until, date) >= date AS effective FROM asked JOIN versions v USING (no) QUALIFY row_number() OVER (PARTITION BY request ORDER BY effective DESC, v.eff_from DESC) = 1)
+    SELECT request, seq, station, CASE WHEN seq > min(seq) OVER w THEN arrive END AS arrive, CASE WHEN seq < max(seq) OVER w THEN depart END AS depart, effective FROM c JOIN stops USING (no, eff_from) WINDOW w AS (PARTITION BY request)""")
+def timetable_stops(spark, d):
+    """TT3, WIN4: the version in force on the date asked for, or else the latest."""
+    return timetable.stops_for(inputs.stops(spark, d), inputs.trips_asked(spark, d).select("request", "no", "date"))
+
+
+@query(f"""WITH {_ASKED}, p AS (SELECT 'st' || (p_partkey % 200) AS a, 'st' || ((p_partkey + 11 * (p_partkey % 4)) % 200) AS b, CAST(p_retailprice AS DECIMAL(12,2)) AS price FROM part),
+    f AS (SELECT least(a, b) AS low, greatest(a, b) AS high, min(price) AS price FROM p GROUP BY ALL), t AS (SELECT trips.*, origin FROM trips JOIN asked USING (request))
+    SELECT request, no, type, depart, arrive, minutes, price FROM t LEFT JOIN f ON low = least(origin, "to") AND high = greatest(origin, "to")""")
+def timetable_price(spark, d):
+    """TT5, JN16: fares of the pairs of stations."""
+    asked, k = inputs.trips_asked(spark, d).select("request", "origin", "to", "date"), F.col("p_partkey")
+    prices = read(spark, d, "part").select(F.concat(F.lit("st"), k % 200).alias("a"), F.concat(F.lit("st"), (k + 11 * (k % 4)) % 200).alias("b"), F.col("p_retailprice").cast("decimal(12,2)").alias("price"))
+    return timetable.fares(timetable.journeys(inputs.stops(spark, d), asked), asked, prices)
 
 
-@query(f"WITH {STOPS_SQL} SELECT no, station, CAST(row_number() OVER (PARTITION BY no ORDER BY seq) AS INTEGER) AS seq, arrive, depart FROM stops")
+@query(f"""WITH {STOPS_SQL} SELECT no, eff_from, station, CAST(row_number() OVER (PARTITION BY no, eff_from ORDER BY depart, station) AS INTEGER) AS seq, arrive, depart FROM stops""")
 def timetable_maps(spark, d):
-    """MAP1: stops from a train's map of stations; a station that isn't there is passed through."""
-    s = inputs.stops(spark)
-    trains = s.groupBy("no").agg(F.map_from_entries(F.collect_list(F.struct("station", F.struct("arrive", "depart")))).alias("t"))  # six stations
-    return timetable.stops_of_trains(trains, s.select("station", F.col("seq").alias("position")).distinct()).select("no", "station", "seq", "arrive", "depart")
+    """MAP1: stops from a run's map of stations; a station that isn't there is passed through."""
+    s = inputs.stops(spark, d)
+    trains = s.groupBy("no", "eff_from").agg(F.map_from_entries(F.collect_list(F.struct("station", F.struct("arrive", "depart")))).alias("t"))  # seven stops at most
+    line = s.select("station").distinct().withColumn("position", F.col("station"))
+    return timetable.stops_of_trains(trains, line).select("no", "eff_from", "station", "seq", "arrive", "depart")

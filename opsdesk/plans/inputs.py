@@ -108,16 +108,54 @@ HOLIDAYS_SQL = """h AS (SELECT make_date(y, m, 1) AS d, 'holiday' AS kind FROM r
     kinds AS (SELECT days.d, coalesce(h.kind, CASE WHEN isodow(days.d) >= 6 THEN 'weekend' ELSE 'workday' END) AS kind FROM days LEFT JOIN h USING (d))"""
 
 
-def stops(spark: SparkSession) -> DataFrame:
-    """A small line of six stations with twelve runs a day."""
-    return spark.sql("""SELECT concat('S', n) AS no, s AS seq, concat('station ', s) AS station, date_format(timestamp'2024-01-01 06:00:00' + make_interval(0,0,0,0,0, n * 60 + s * 11), 'HH:mm') AS arrive,
-        date_format(timestamp'2024-01-01 06:00:00' + make_interval(0,0,0,0,0, n * 60 + s * 11 + 2), 'HH:mm') AS depart, if(n % 3 = 0, 'fast', 'slow') AS type, n % 4 = 0 AS workday_only,
-        date'2024-01-01' AS eff_from, if(n = 5, date'2024-03-01', cast(null as date)) AS eff_until FROM (SELECT explode(sequence(1, 12)) AS n), (SELECT explode(sequence(1, 6)) AS s) WHERE NOT (n % 3 = 0 AND s = 3)""")
+def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line of 200 stations: each order is a version of a run, four of a number in different periods, and its lines are the stops."""
+    x = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct().join(read(spark, sf_dir, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    n, v, at = F.floor(F.col("o_orderkey") / 4).cast("int"), (F.col("o_orderkey") % 4).cast("int"), F.col("l_linenumber")
+    begin = F.date_add(F.lit("1995-01-01").cast("date"), v * 600 + n % 500)
+    clock = lambda m: F.concat(F.lpad(F.floor(m / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((m % 60).cast("string"), 2, "0"))
+    minute = F.lit(300) + n * 37 % 900 + at * 11
+    return x.select(
+        F.concat(F.lit("T"), n).alias("no"), at.alias("seq"), F.concat(F.lit("st"), (n * 7 + at * 11) % 200).alias("station"), clock(minute).alias("arrive"), clock(minute + 2).alias("depart"),
+        F.element_at(F.array(F.lit("direct"), F.lit("express"), F.lit("normal")), n % 3 + 1).alias("type"), (F.col("o_orderkey") % 5 == 0).alias("workday_only"), begin.alias("eff_from"),
+        F.when(~((n % 10 == 0) & (v == 3)), F.date_add(begin, 30 + n % 7 * 10)).alias("eff_until"),
+    )
+
+
+STOPS_SQL = """runs AS (SELECT o_orderkey AS k, o_orderkey // 4 AS n, o_orderkey % 4 AS v FROM orders),
+    places AS (SELECT DISTINCT k, n, v, l_linenumber AS seq, 300 + n * 37 % 900 + l_linenumber * 11 AS m FROM lineitem JOIN runs ON k = l_orderkey),
+    stops AS (SELECT 'T' || n AS no, seq, 'st' || ((n * 7 + seq * 11) % 200) AS station, printf('%02d:%02d', m // 60, m % 60) AS arrive, printf('%02d:%02d', (m + 2) // 60, (m + 2) % 60) AS depart,
+      ['direct', 'express', 'normal'][n % 3 + 1] AS type, k % 5 = 0 AS workday_only, DATE '1995-01-01' + CAST(v * 600 + n % 500 AS INTEGER) AS eff_from,
+      CASE WHEN NOT (n % 10 = 0 AND v = 3) THEN DATE '1995-01-01' + CAST(v * 600 + n % 500 + 30 + n % 7 * 10 AS INTEGER) END AS eff_until FROM places)"""
+
+
+def trips_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """request, origin, to, date, kinds, after, via, direction, no: a request for each event, some by type or over a station."""
+    k = F.col("event_id")
+    st = lambda x: F.concat(F.lit("st"), x % 200)
+    return read(spark, sf_dir, "events").select(
+        k.alias("request"), st(k).alias("origin"), st(k + 11 * (1 + k % 3)).alias("to"), F.date_add(F.lit("1995-01-01").cast("date"), (k * 7 % 2400).cast("int")).alias("date"),
+        F.when(k % 4 == 0, "直达, 大站停").when(k % 4 == 1, "普通,unknown").otherwise("").alias("types"), F.when(k % 2 == 0, F.date_format("ts", "HH:mm")).alias("after"), F.when(k % 3 == 2, st(k + 11)).alias("via"),
+        (k % 2).cast("int").alias("direction"), F.concat(F.lit("T"), k).alias("no"),
+    )
+
+
+ASKED_SQL = """asked AS (SELECT event_id AS request, 'st' || (event_id % 200) AS origin, 'st' || ((event_id + 11 * (1 + event_id % 3)) % 200) AS "to", DATE '1995-01-01' + CAST(event_id * 7 % 2400 AS INTEGER) AS date,
+    CASE event_id % 4 WHEN 0 THEN ['direct', 'express'] WHEN 1 THEN ['normal'] ELSE ['direct', 'express', 'normal'] END AS kinds, CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%H:%M') END AS after,
+    CASE WHEN event_id % 3 = 2 THEN 'st' || ((event_id + 11) % 200) END AS via, CAST(event_id % 2 AS INTEGER) AS direction, 'T' || event_id AS no FROM events)"""
+#: Runs between two stations on a date, before what is left out of them.
+TRIPS_SQL = """trips AS (SELECT q.request, q.date, q.kinds, q.after, q.via, q."to", a.no, a.eff_from, a.type, a.workday_only, a.depart, b.arrive, a.seq AS sa, b.seq AS sb, CAST(split_part(b.arrive, ':', 1) AS INTEGER) * 60 + CAST(split_part(b.arrive, ':', 2) AS INTEGER)
+      - CAST(split_part(a.depart, ':', 1) AS INTEGER) * 60 - CAST(split_part(a.depart, ':', 2) AS INTEGER) AS minutes
+    FROM asked q JOIN stops a ON a.station = q.origin AND a.eff_from <= q.date AND coalesce(a.eff_until, q.date) >= q.date JOIN stops b ON b.no = a.no AND b.eff_from = a.eff_from AND b.station = q."to" AND b.seq > a.seq)"""
+
+
+def suspensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """d, no: runs that don't run on a day, one for each customer; on a few days none runs."""
+    k = F.col("c_custkey")
+    return read(spark, sf_dir, "customer").select(F.date_add(F.lit("1995-01-01").cast("date"), (k * 13 % 2400).cast("int")).alias("d"), F.when(k % 50 == 0, "*").otherwise(F.concat(F.lit("T"), k * 3 % 4000)).alias("no"))
 
 
-STOPS_SQL = """stops AS (SELECT 'S' || n AS no, s AS seq, 'station ' || s AS station, strftime(TIMESTAMP '2024-01-01 06:00:00' + INTERVAL 1 MINUTE * (n * 60 + s * 11), '%H:%M') AS arrive,
-    strftime(TIMESTAMP '2024-01-01 06:00:00' + INTERVAL 1 MINUTE * (n * 60 + s * 11 + 2), '%H:%M') AS depart, CASE WHEN n % 3 = 0 THEN 'fast' ELSE 'slow' END AS type, n % 4 = 0 AS workday_only,
-    CASE WHEN n = 5 THEN DATE '2024-03-01' END AS eff_until FROM range(1, 13) t(n), range(1, 7) u(s) WHERE NOT (n % 3 = 0 AND s = 3))"""
+SUSPENDED_SQL = """suspended AS (SELECT DATE '1995-01-01' + CAST(c_custkey * 13 % 2400 AS INTEGER) AS d, CASE WHEN c_custkey % 50 = 0 THEN '*' ELSE 'T' || (c_custkey * 3 % 4000) END AS no FROM customer)"""
 
 WORDS = [("license", "licensed under", ["cc by", "all rights reserved"]), ("insult", "idiot", ["clown", "loser"]), ("credential", "password", ["token", "api key"])]
 
