@@ -8,13 +8,14 @@ from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import subtitle_ms, subtitle_time
 from ..functions.text import WIDE, display_width, markdown_cell, numericish
 from ..sources.files import front_matter
+from .ranks import positions
 
 _FENCE = re.compile(r"\s*(```+|~~~+)(.*)", re.S)
 #: What a line outside of fences is tested for; headings, list items and other lines each have their own rules.
@@ -155,20 +156,41 @@ def fix(text: Column | str) -> Column:
 
 
 def links(documents: DataFrame) -> DataFrame:
-    """The relative link targets of each text; dead_links holds them against the files there are (TXT10, MD053)."""
-    found = F.regexp_extract_all("text", F.lit(r"\[[^\]]*\]\(([^)\s#]+)[^)]*\)"), F.lit(1))
-    return documents.select("doc_id", F.explode(F.array_distinct(found)).alias("target")).where(~F.col("target").rlike(r"^([a-z][a-z0-9+.-]*:|/|#)"))
-
-
-def dead_links(documents: DataFrame, paths: DataFrame) -> DataFrame:
-    return links(documents).join(paths.select(F.col("path").alias("target")), "target", "left_anti")
+    """The link targets of each text that name files: doc_id, line (from 1), target without its anchor, and the other columns but
+    text. Web, mail and data addresses and anchors are none (TXT10, MD053)."""
+    kept = [c for c in documents.columns if c != "text"]
+    lines = documents.where(F.col("text").contains("](")).select(*kept, F.posexplode(F.split("text", "\n")).alias("line", "_row"))
+    found = lines.select(*kept, (F.col("line") + 1).alias("line"), F.explode(F.regexp_extract_all("_row", F.lit(r"\]\(([^)]+)\)"), F.lit(1))).alias("target"))
+    found = found.where(~F.trim("target").rlike(r"^(https?:|mailto:|#|data:)"))
+    return found.withColumn("target", F.split_part(F.trim("target"), F.lit("#"), F.lit(1))).where("target <> ''")
+
+
+def resolved(path: Column) -> Column:
+    """A path without empty parts, "." and the ".." that leave one of its folders; an absolute one keeps its slash."""
+    leaves = lambda done, part: (part == "..") & (F.coalesce(F.get(done, F.size(done) - 1), F.lit("..")) != "..")
+    up = lambda done, part: F.when(part.isin("", "."), done).when(leaves(done, part), F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(F.array_append(done, part))
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), up)
+    return F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(parts, "/"))
+
+
+def dead_links(documents: DataFrame, paths: DataFrame, *, folder: str | None = None) -> DataFrame:
+    """TXT10, MD053: links whose target is neither among paths (path) nor a folder above one. A target has its %xx decoded, and is resolved against the text's folder: a column of documents, or the top of the tree."""
+    found = links(documents)
+    # try_url_decode takes a plus sign for a blank, as forms do.
+    name = F.coalesce(F.try_url_decode(F.replace(F.col("target"), F.lit("+"), F.lit("%2B"))), "target")
+    base = F.coalesce(F.col(folder), F.lit("")) if folder else F.lit("")
+    full = F.when(name.startswith("/"), name).when(base == "", name).otherwise(F.concat(base, F.lit("/"), name))
+    there = paths.select(resolved(F.col("path")).alias("_path"))
+    parts = F.split("_path", "/")
+    above = there.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("_path")).distinct()
+    return found.withColumn("_path", resolved(full)).where("_path <> ''").join(above.hint("merge"), "_path", "left_anti").drop("_path")
 
 
 def markdown_table(df: DataFrame, order: list[str]) -> DataFrame:
     """SNK4: the lines (line, text) of an aligned Markdown table in the order of the given columns: cells escaped, numeric
-    columns to the right, widths of at least 3. A table to be read by people: its rows are numbered in one task."""
+    columns to the right, widths of at least 3. The order should tell any two rows apart."""
     names = df.columns
-    numbered = df.select((F.row_number().over(Window.orderBy(*order)).cast("long") + 1).alias("line"), *[markdown_cell(F.col(c).cast("string")).alias(f"_c{k}") for k, c in enumerate(names)])
+    numbered = positions(df, [], order, "_line").select((F.col("_line") + 1).alias("line"), *[markdown_cell(F.col(c).cast("string")).alias(f"_c{k}") for k, c in enumerate(names)])
     widths, numeric = [], []
     for k, c in enumerate(names):
         cell = F.col(f"_c{k}")

@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,30 +86,46 @@ def _line(text: str, at: int) -> int:
     return text.count("\n", 0, at) + 1
 
 
+def _found(texts: Iterator[str], patterns: dict[str, int]) -> Iterator[list[tuple[int, int, int]]]:
+    """For each text the occurrences (rank, start, end) of the patterns, in the order of their ranks, found in one pass over the text."""
+    automaton = ahocorasick.Automaton()
+    for p, rank in patterns.items():
+        automaton.add_word(p, (rank, len(p)))
+    if patterns:
+        automaton.make_automaton()
+    for t in texts:
+        yield sorted((rank, end + 1 - size, end + 1) for end, (rank, size) in automaton.iter(t)) if patterns else []
+
+
 def ad_findings(documents: DataFrame, *, allow: tuple[str, ...] = (), min_level: str = "low") -> DataFrame:
     """TXT3, RUL6: doc_id, start, line, word, level, context of each restricted word. Higher levels and longer words come first, and
-    a word that begins inside a hit or an exempt phrase is none."""
+    a word that begins inside a hit or an exempt phrase is none. A word's own occurrences don't overlap. One pass over a text, however
+    long the list."""
     order = [(level, w) for level in LEVELS for w in sorted(AD_WORDS[level], key=len, reverse=True) if w not in allow]
+    exempt = [re.compile(p) for p in AD_EXEMPT]
 
-    def hits(text: str) -> list[tuple]:
-        present = [(level, w) for level, w in order if w in text]
-        if not present:
+    def settled(text: str, found: list[tuple[int, int, int]]) -> list[tuple]:
+        if not found:
             return []
-        taken = bytearray(len(text))
-        for p in AD_EXEMPT:
-            for m in re.finditer(p, text):
+        taken, out, last = bytearray(len(text)), [], (-1, 0)
+        for p in exempt:
+            for m in p.finditer(text):
                 taken[m.start() : m.end()] = b"\1" * len(m[0])
-        out = []
-        for level, w in present:
-            for m in re.finditer(re.escape(w), text):
-                if not taken[m.start()]:
-                    taken[m.start() : m.end()] = b"\1" * len(w)
-                    out.append((m.start(), _line(text, m.start()), w, level, text[max(0, m.start() - 12) : m.end() + 12].replace("\n", " ")))
+        for rank, start, end in found:
+            if rank == last[0] and start < last[1]:
+                continue
+            last = rank, end
+            if not taken[start]:
+                taken[start:end] = b"\1" * (end - start)
+                level, w = order[rank]
+                out.append((start, _line(text, start), w, level, text[max(0, start - 12) : end + 12].replace("\n", " ")))
         return sorted(x for x in out if LEVELS[x[3]] >= LEVELS[min_level])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pd.DataFrame([(d, *h) for d, t in zip(pdf.doc_id, pdf.text, strict=True) for h in hits(t or "")], columns=["doc_id", "start", "line", "word", "level", "context"])
+            texts = [t or "" for t in pdf.text]
+            found = _found(iter(texts), {w: rank for rank, (_, w) in reversed(list(enumerate(order)))})
+            yield pd.DataFrame([(d, *h) for d, t, f in zip(pdf.doc_id, texts, found, strict=True) for h in settled(t, f)], columns=["doc_id", "start", "line", "word", "level", "context"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, start int, line int, word string, level string, context string")
 
@@ -133,31 +150,31 @@ def _folded(text: str, ignored: re.Pattern) -> tuple[str, list[int]]:
 
 def word_spans(documents: DataFrame, words: DataFrame, *, max_entries: int = 100_000) -> DataFrame:
     """TXT4, STR23: doc_id, category, word, matched, line of each banned word, however it is spaced, decorated or widened. An earlier
-    entry of the list, and of its variants an earlier one, takes the characters first. The list goes to the tasks after a check
-    of its size."""
+    entry of the list, and of its variants an earlier one, takes the characters first. One pass over a text, however long the
+    list, which goes to the tasks after a check of its size."""
     listed = words.limit(max_entries + 1).collect()
     if len(listed) > max_entries:
         raise ValueError(f"a word list of more than {max_entries} entries; split it")
     ignored = re.compile(f"{IGNORED}|{ZERO_WIDTH}")
-    entries = [(r.category, r.word, [v for v in (_folded(x, ignored)[0] for x in [r.word, *(r.variants or [])]) if v]) for r in listed]
+    entries = [(r.category, r.word, v) for r in listed for v in (_folded(x, ignored)[0] for x in [r.word, *(r.variants or [])]) if v]
+    patterns = {v: rank for rank, (*_, v) in reversed(list(enumerate(entries)))}  # of equal ones the first
 
-    def hits(text: str) -> list[tuple]:
-        norm, at = _folded(text, ignored)
+    def settled(text: str, folded: tuple[str, list[int]], found: list[tuple[int, int, int]]) -> list[tuple]:
+        norm, at = folded
         taken, out = bytearray(len(norm)), []
-        for category, word, variants in entries:
-            for v in variants:
-                k = norm.find(v)
-                while k >= 0:
-                    if not any(taken[k : k + len(v)]):
-                        taken[k : k + len(v)] = b"\1" * len(v)
-                        a, b = at[k], at[k + len(v) - 1] + 1
-                        out.append((a, category, word, text[a:b], _line(text, a)))
-                    k = norm.find(v, k + 1)
+        for rank, start, end in found:
+            if not any(taken[start:end]):
+                taken[start:end] = b"\1" * (end - start)
+                a, b = at[start], at[end - 1] + 1
+                out.append((a, *entries[rank][:2], text[a:b], _line(text, a)))
         return [x[1:] for x in sorted(out)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pd.DataFrame([(d, *h) for d, t in zip(pdf.doc_id, pdf.text, strict=True) for h in hits(t or "")], columns=["doc_id", "category", "word", "matched", "line"])
+            texts = [t or "" for t in pdf.text]
+            folded = [_folded(t, ignored) for t in texts]
+            found = _found((norm for norm, _ in folded), patterns)
+            yield pd.DataFrame([(d, *h) for d, t, n, f in zip(pdf.doc_id, texts, folded, found, strict=True) for h in settled(t, n, f)], columns=["doc_id", "category", "word", "matched", "line"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, category string, word string, matched string, line int")
 

@@ -19,16 +19,18 @@ from ..functions.checks import CREDIT_ALPHABET, ID_CHECKS, ID_WEIGHTS, credit_co
 from ..functions.text import FULL, HALF, half_width, line_of
 
 _A, _Z = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
-#: Shapes of personal data, and what decides about a match.
+#: Shapes of personal data; and what decides about a match.
 PII = {
-    "idcard": (r"(?<![0-9])[0-9]{17}[0-9Xx](?![0-9A-Za-z])", id_number),
+    "idcard": (r"[0-9]{17}[0-9Xx]", id_number),
     "phone": (r"1[3-9][0-9]{9}", None),
-    "bank": (r"(?<![0-9])[0-9]{16,19}(?![0-9])", luhn),
-    "uscc": (r"(?<![0-9A-Za-z])[0-9A-HJ-NP-RT-UW-Ya-hj-np-rt-uw-y]{18}(?![0-9A-Za-z])", credit_code),
+    "bank": (r"[0-9]{16,19}", luhn),
+    "uscc": (r"[0-9A-HJ-NP-RT-Ya-hj-np-rt-y]{18}", credit_code),
     "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", None),
-    "plate": (r"[京津沪渝冀豫云辽黑湘皖鲁新苏浙赣鄂桂甘晋蒙陕吉闽贵粤青藏川宁琼][A-HJ-NP-Z][A-Z0-9]{4,6}", None),
+    "plate": (r"[京津沪渝冀豫云辽黑湘皖鲁新苏浙赣鄂桂甘晋蒙陕吉闽贵粤青藏川宁琼使领][A-HJ-NP-Z][A-HJ-NP-Z0-9]{4,6}", None),
     "ipv4": (_A + r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}" + _Z, ipv4),
 }
+#: What every text with a match of that type has.
+_TRACES = {"idcard": "[0-9]{17}", "bank": "[0-9]{16}", "uscc": "(?<![0-9A-Za-z])[0-9A-Za-z]{18}", "email": "@", "plate": "[一-鿿][A-HJ-NP-Z][A-HJ-NP-Z0-9]{4}", "ipv4": r"[0-9]\.[0-9]"}
 DEFAULT_PII = ("idcard", "phone", "bank", "email", "plate", "ipv4")
 #: What stands for a secret without being one.
 _PLACEHOLDER = re.compile(r"(?:x{3,}|\*{3,}|(?:your|my|the|some)(?:[-_]\w*)?|example\w*|placeholder|changeme|<[^>]*>|\{\{?\w*\}?\}?|todo|\.{3,}|null|none|test|dummy|sample|\$\{[^}]*\}|\$[A-Z_]+|process\.env\S*)", re.I | re.A)
@@ -56,7 +58,8 @@ def pii_counts(documents: DataFrame, types: tuple[str, ...] = DEFAULT_PII, *, id
     def n(kind: str) -> Column:
         shape, valid = PII[kind]
         found = F.regexp_extract_all(text, F.lit(shape), F.lit(0))
-        return F.coalesce(F.size(found if valid is None else F.filter(found, lambda x: F.coalesce(valid(x), F.lit(False)))), F.lit(0)).alias(kind)
+        found = F.when(F.col(text).rlike(_TRACES[kind]), found) if kind in _TRACES else found
+        return F.coalesce(F.array_size(found if valid is None else F.filter(found, lambda x: F.coalesce(valid(x), F.lit(False)))), F.lit(0)).alias(kind)
 
     return documents.select(id_column, *[n(k) for k in types])
 
@@ -79,8 +82,8 @@ def _id_number(s: str) -> bool:
 
 def _credit_code(s: str) -> bool:
     """credit_code() for the Arrow path."""
-    at = [CREDIT_ALPHABET.index(c) for c in s.upper()]
-    return (31 - sum(x * pow(3, k, 31) for k, x in enumerate(at[:17])) % 31) % 31 == at[17]
+    at = [CREDIT_ALPHABET.find(c) for c in s.upper()]
+    return min(at) >= 0 and (31 - sum(x * pow(3, k, 31) for k, x in enumerate(at[:17])) % 31) % 31 == at[17]
 
 
 _VALID = {"idcard": _id_number, "bank": _luhn, "uscc": _credit_code, "ipv4": lambda s: all(int(x) <= 255 for x in s.split("."))}
@@ -148,7 +151,7 @@ def redact(text: Column | str, types: tuple[str, ...] = ("email", "phone", "ipv4
     rules = {
         "email": (r"([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*(@[A-Za-z0-9.-]+\.[A-Za-z]{2,})", "$1***$2"),
         "phone": (r"(1[3-9][0-9])[0-9]{4}([0-9]{4})", "$1****$2"),
-        "plate": (f"({PII['plate'][0][: PII['plate'][0].index(']') + 1]}[A-HJ-NP-Z])[A-Z0-9]{{2,4}}([A-Z0-9]{{2}})", "$1***$2"),
+        "plate": (f"({PII['plate'][0][: PII['plate'][0].index(']') + 1]}[A-HJ-NP-Z])[A-HJ-NP-Z0-9]{{2,4}}([A-HJ-NP-Z0-9]{{2}})", "$1***$2"),
         "ipv4": (_A + r"([0-9]{1,3}\.[0-9]{1,3})\.[0-9]{1,3}\.[0-9]{1,3}" + _Z, "$1.*.*"),
     }
     if unknown := [k for k in types if k not in rules]:

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import lexicons
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -230,3 +232,41 @@ LEAKY_SQL = """v AS (SELECT o_orderkey AS doc_id, CAST(o_orderkey AS VARCHAR) AS
       ['high', 'medium', '', 'high', 'medium', 'low', '', 'high', 'high', 'high'][m + 1] AS level, CASE m WHEN 0 THEN 'AKIA' || lpad(s, 16, '0') WHEN 1 THEN 'password = "Tr0ub4dor' || s WHEN 3 THEN 'postgres://u:pw' || s || '@db'
       WHEN 4 THEN '1380000' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') WHEN 5 THEN 'a' || s || '@corp.io' WHEN 7 THEN 'ghp_' || lpad(s, 36, 'a') WHEN 8 THEN '-----BEGIN RSA PRIVATE KEY-----' WHEN 9 THEN 'LTAI' || lpad(s, 16, 'b') END AS x FROM v),
     k AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, rule, level, left(x, 4) || repeat('*', CAST(least(12, len(x) - 8) AS INTEGER)) || right(x, 4) AS masked FROM f)"""
+
+
+def _alone(words: list[str]) -> list[str]:
+    """Words that hold no other of them."""
+    return [w for w in words if not any(o != w and o in w for o in words)]
+
+
+AD_LEVELS = {w: level for level, words in lexicons.AD_WORDS.items() for w in words}
+AD_LIST = _alone(list(AD_LEVELS))
+BANNED_LIST = [(c, w, v) for c, w, *vs in (line.split("|") for line in lexicons.BANNED.strip().split("\n")) for v in (w, *vs)]
+BANNED_LIST = [x for k, x in enumerate(BANNED_LIST) if x[2] in _alone([v for *_, v in BANNED_LIST]) and not any(x[2].lower() == y[2].lower() for y in BANNED_LIST[:k])]
+
+
+def advertisements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: two restricted words on two lines, and, in every third, phrases in which such words are plain facts."""
+    k = F.col("o_orderkey")
+    word = lambda at: F.element_at(F.array(*map(F.lit, AD_LIST)), (at % len(AD_LIST) + 1).cast("int"))
+    facts = F.when(k % 3 == 0, " 最佳赏味期 第一次 z").otherwise("")
+    return read(spark, sf_dir, "orders").select(k.alias("doc_id"), F.concat(F.lit("k"), k, F.lit(" 本 "), word(k), F.lit(" 店\nx "), word(k * 7 + 3), F.lit(" y"), facts).alias("text"))
+
+
+_WORD = lambda at: f"{AD_LIST}[{at} % {len(AD_LIST)} + 1]"
+ADVERTISEMENTS_SQL = f"""a AS (SELECT o_orderkey AS doc_id, {_WORD('o_orderkey')} AS u, {_WORD('(o_orderkey * 7 + 3)')} AS v, 'k' || o_orderkey || ' 本 ' AS p, CASE WHEN o_orderkey % 3 = 0 THEN ' 最佳赏味期 第一次 z' ELSE '' END AS facts FROM orders),
+    b AS (SELECT doc_id, p || u || ' 店' || chr(10) || 'x ' || v || ' y' || facts AS text, [{{'start': len(p), 'line': 1, 'word': u}}, {{'start': len(p) + len(u) + 5, 'line': 2, 'word': v}}] AS found FROM a),
+    c AS (SELECT doc_id, text, unnest(found, recursive := true) FROM b)"""
+AD_LEVELS_SQL = "(VALUES " + ", ".join(f"('{w}', '{level}')" for w, level in AD_LEVELS.items()) + ") l(word, level)"
+
+
+def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: a banned word of each post, its characters set apart by marks and blanks."""
+    k = F.col("o_orderkey")
+    word = F.element_at(F.array(*[F.lit(v) for *_, v in BANNED_LIST]), (k % len(BANNED_LIST) + 1).cast("int"))
+    mark = F.element_at(F.array(F.lit(""), F.lit(" * "), F.lit("·"), F.lit("，")), (k % 4 + 1).cast("int"))
+    return read(spark, sf_dir, "orders").select(k.alias("doc_id"), F.concat(F.repeat(F.lit("zz\n"), (k % 3).cast("int")), F.lit("zz "), F.call_function("array_join", F.split(word, ""), mark), F.lit(" zz")).alias("text"))
+
+
+_BANNED = "[" + ", ".join(f"{{'c': '{c}', 'w': '{w}', 'v': '{v}'}}" for c, w, v in BANNED_LIST) + "]"
+POSTS_SQL = f"""p AS (SELECT o_orderkey AS doc_id, {_BANNED}[o_orderkey % {len(BANNED_LIST)} + 1] AS x, ['', ' * ', '·', '，'][o_orderkey % 4 + 1] AS mark FROM orders)"""

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What a scan for credentials passes over.
-SKIPPED_FOLDERS = (".git", "node_modules", "dist", "build", "vendor", "__pycache__", ".venv")
-SKIPPED_ENDINGS = ("png", "jpg", "jpeg", "gif", "ico", "pdf", "zip", "gz", "tar", "jar", "class", "so", "dll", "exe", "woff", "woff2", "ttf", "mp3", "mp4", "lock")
+SKIPPED_FOLDERS = ("node_modules", ".git", ".svn", "dist", "build", "out", ".next", "vendor", ".cache", "coverage", "__pycache__")
+SKIPPED_ENDINGS = ("png", "jpg", "jpeg", "gif", "webp", "ico", "pdf", "zip", "gz", "tar", "woff", "woff2", "ttf", "mp4", "mp3", "exe", "dll", "so", "dylib", "lock")
 
 
 def files(spark: SparkSession, path: str, *, glob: str | None = None, min_bytes: int = 0, exclude: tuple[str, ...] = ()) -> DataFrame:

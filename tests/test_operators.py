@@ -2,6 +2,7 @@ import datetime
 import hashlib
 import os
 import random
+import re
 import zlib
 
 import pytest
@@ -296,6 +297,35 @@ def test_duplicates_and_manifests(spark, tree):
     assert {r.path for r in sources.code_files(spark, tree).select("path").collect()} == {"a.txt", "sub/b.txt", "sub/c.txt", "e.csv", "g.csv"}
 
 
+def test_snapshots_are_compared_where_they_differ(spark, tmp_path):
+    r = random.Random(4)
+    old = [(f"d{r.randrange(9)}/f{i}", r.randrange(5), r.choice(["x", "y", None]), datetime.datetime(2024, 1, 1 + i % 3)) for i in range(600)]
+    new = [x for x in old if r.random() > 0.02] + [("new", 1, "x", None)]
+    new = [(p, b + (r.random() < 0.01), r.choice([h, h, h, "z"]) if r.random() < 0.05 else h, m if r.random() > 0.01 else None) for p, b, h, m in new]
+    schema = "path string, bytes long, hash string, mtime timestamp"
+    a, b = spark.createDataFrame(old, schema), spark.createDataFrame(new, schema)
+    for name, x in (("a", a), ("b", b), ("none", a.limit(0)), ("again", a.repartition(7))):
+        files.snapshot(x, f"{tmp_path}/{name}")
+    want = {tuple(x) for x in files.compare(a, b).where("status not in ('unchanged', 'unknown')").collect()}
+    got = {tuple(x) for x in files.compare_snapshots(spark, f"{tmp_path}/a", f"{tmp_path}/b").collect()}
+    assert {x for x in got if x[1] != "unknown"} == want and {x[1] for x in want} == {"added", "removed", "modified", "touched"}
+    assert files.compare_snapshots(spark, f"{tmp_path}/a", f"{tmp_path}/again").count() == 0
+    assert files.compare_snapshots(spark, f"{tmp_path}/none", f"{tmp_path}/a").where("status = 'added'").count() == 600
+    assert files.compare_snapshots(spark, f"{tmp_path}/none", f"{tmp_path}/none").count() == 0
+
+
+def test_copies_of_one_content_are_ranked_by_all_tasks(spark):
+    content = [(f"p{i:04}", b"same" if i % 3 else f"own {i % 200}".encode()) for i in range(900)]
+    df = spark.createDataFrame([(p, len(c), c, datetime.datetime(2024, 1, 1)) for p, c in content], "path string, bytes long, content binary, mtime timestamp").repartition(6)
+    got = {r.path: (r.n, r["rank"]) for r in files.duplicates(df).collect()}
+    groups = {}
+    for p, c in content:
+        groups.setdefault(c, []).append(p)
+    assert got == {p: (len(g), k + 1) for g in groups.values() if len(g) > 1 for k, p in enumerate(g)}
+    lines = documents.markdown_table(spark.range(500).select((F.col("id") * 7 % 500).alias("v")), ["v"]).orderBy("line").collect()
+    assert [x.text.strip("| ") for x in lines][2:] == [str(i) for i in range(500)] and [x.line for x in lines] == list(range(502))
+
+
 def test_delimited_files(spark, tree):
     got = {(r.doc_id, r.line): r.cells for r in delimited.records(spark, tree, glob="*.csv").collect()}
     assert got["e.csv", 2] == ["x;y", "1"] and got["e.csv", 3] == ["two\nlines", "2"] and got["e.csv", 4] == ["", ""]
@@ -414,6 +444,14 @@ def test_links(spark):
     assert [r.target for r in documents.dead_links(df, spark.createDataFrame([("there.md",)], "path string")).collect()] == ["gone.md"]
 
 
+def test_links_are_resolved_before_they_are_looked_up(spark):
+    text = "[a](./a.md) [b](sub/../a.md) ![c](my%20file.md)\n[d](sub/) [e](sub/x.md) [f](../up.md)\n[g](/abs.md) [h](a+b.md) [i](100%.md) [j]( mailto:x@y ) [k](data:x) [l](#top) [m](a.md#top) [n](HTTP-notes.md)"
+    paths = spark.createDataFrame([(p,) for p in ("a.md", "my file.md", "sub/x.md", "a+b.md", "100%.md")], "path string")
+    assert sorted((r.line, r.target) for r in documents.dead_links(docs(spark, text), paths).collect()) == [(2, "../up.md"), (3, "/abs.md"), (3, "HTTP-notes.md")]
+    inside = docs(spark, text).withColumn("dir", F.lit("sub"))
+    assert sorted(r.target for r in documents.dead_links(inside, paths, folder="dir").collect()) == ["../up.md", "./a.md", "/abs.md", "100%.md", "HTTP-notes.md", "a+b.md", "a.md", "my%20file.md", "sub/", "sub/../a.md", "sub/x.md"]
+
+
 def test_subtitles(spark):
     srt = "1\n00:00:01,000 --> 00:00:02,500\nhello\nthere\n\n2\n00:00:03,000 --> 00:00:04,000\nbye\n"
     c = documents.cues(docs(spark, srt))
@@ -552,6 +590,60 @@ def test_package_trees(spark):
     assert rows(documents.package_tree_findings(files, versions)) == [("p", "deep"), ("p", "stale"), ("q", "junk")]
 
 
+def test_word_lists_settle_hits_as_a_search_word_by_word(spark):
+    """The one pass against a search for each entry in turn."""
+    from opsdesk.operators import lexicons
+
+    r = random.Random(12)
+    pieces = [w for ws in lexicons.AD_WORDS.values() for w in ws] + ["最", "第一", "第一名", "最佳食用期", "最高气温", "x", " ", "\n", "加", "v信", "Ｖ 信", "包", "治", "百分之", "*"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randrange(0, 25))) for _ in range(120)] + [None, ""]
+    df = docs(spark, *texts)
+    order = [(level, w) for level in lexicons.LEVELS for w in sorted(lexicons.AD_WORDS[level], key=len, reverse=True)]
+    want = []
+    for i, t in enumerate(texts):
+        taken = bytearray(len(t or ""))
+        for p in lexicons.AD_EXEMPT:
+            for m in re.finditer(p, t or ""):
+                taken[m.start() : m.end()] = b"1" * len(m[0])
+        for level, w in order:
+            for m in re.finditer(re.escape(w), t or ""):
+                if taken[m.start()] in (0,):
+                    taken[m.start() : m.end()] = b"1" * len(w)
+                    want.append((i, m.start(), w, level))
+    ids = {x.text: x.doc_id for x in df.collect()}
+    first = min(x for x in ids.values() if x is not None)
+    got = sorted((x.doc_id - first, x.start, x.word, x.level) for x in lexicons.ad_findings(df).collect())
+    assert got == sorted(want) and len(got) > 200
+    entries = [("c", "ab", ["b c", "abc"]), ("c", "bc", ["c"]), ("d", "aa", ["aaa", "ab"])]
+    texts = ["".join(r.choice("aabbcc *，A") for _ in range(r.randrange(0, 30))) for _ in range(150)]
+    want = []
+    for i, t in enumerate(texts):
+        kept = [(k, c.lower()) for k, c in enumerate(t) if c not in " *，"]
+        norm, at = "".join(c for _, c in kept), [k for k, _ in kept]
+        taken = [False] * len(norm)
+        for c, w, variants in entries:
+            for v in (w, *variants):
+                v = v.replace(" ", "")
+                for k in range(len(norm) - len(v) + 1):
+                    if norm[k : k + len(v)] == v and not any(taken[k : k + len(v)]):
+                        taken[k : k + len(v)] = [True] * len(v)
+                        want.append((i, c, w, t[at[k] : at[k + len(v) - 1] + 1]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(x.doc_id, x.category, x.word, x.matched) for x in lexicons.word_spans(df, spark.createDataFrame(entries, "category string, word string, variants array<string>")).collect()]
+    assert sorted(got) == sorted(want) and len(got) > 200
+
+
+def test_personal_data_inside_longer_runs(spark):
+    from opsdesk.operators import scan
+
+    df = docs(spark, "京A12345 使A12345 领B1234I 京AI2345 x11010519491231002X9 no 99994111111111111111 V" + "1" * 18)
+    got = [(x.type, x.masked) for x in scan.pii_spans(df, tuple(scan.PII)).orderBy("start").collect()]
+    plates = [m for k, m in got if k == "plate"]
+    assert plates == ["京A***45", "使A***45", "领B***34"] and ("idcard", "*" * 14 + "002X") in got
+    counts = scan.pii_counts(df, tuple(scan.PII)).first()
+    assert counts.plate == 3 and counts.idcard == 1
+
+
 def test_clause_places(spark):
     profile = spark.createDataFrame([("pay", True, ["付款", "价款", "支付", "结算"]), ("law", True, ["管辖"])], "clause string, required boolean, keywords array<string>")
     got = rows(scan.clause_coverage(docs(spark, "甲\n支付价款，价款\n结算付款"), profile), "clause", "hits", "line", "sample", "missing")
