@@ -2,39 +2,41 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trim_u
+from ..shared import discard, written
 from .files import texts
 
 
+@lru_cache(maxsize=64)
+def _cell(delimiter: str) -> re.Pattern:
+    """A cell, of plain and quoted stretches, and what ends it."""
+    d = re.escape(delimiter)
+    return re.compile(rf'((?:[^"\n{d}]++|"(?:[^"]++|"")*+(?:"|\Z))*+)({d}|\n|\Z)')
+
+
+_QUOTED = re.compile(r'"((?:[^"]++|"")*+)(?:"|\Z)|\r')
+
+
 def parse(text: str, delimiter: str) -> list[list[str]]:
-    """Cells of each record: a quote opens or closes anywhere in a field, two make one, line ends inside quotes stay; records
-    of one blank cell are left out."""
-    rows, row, cell, quoted, k = [], [], [], False, 0
-    while k < len(text):
-        c = text[k]
-        if c == '"':
-            if quoted and text[k + 1 : k + 2] == '"':
-                cell.append('"')
-                k += 1
-            else:
-                quoted = not quoted
-        elif quoted or c not in (delimiter, "\n", "\r"):
-            cell.append(c)
-        elif c == delimiter:
-            row.append("".join(cell))
-            cell = []
-        elif c == "\n":
-            rows.append([*row, "".join(cell)])
-            row, cell = [], []
-        k += 1
-    if cell or row:
-        rows.append([*row, "".join(cell)])
+    """Cells of each record: a quoted stretch may be any part of a cell, two quotes in it are one, line ends in it stay and
+    carriage returns outside of it go; records of one blank cell are left out."""
+    rows, row = [], []
+    for m in _cell(delimiter).finditer(text):
+        cell, end = m.groups()
+        row.append(_QUOTED.sub(lambda q: (q[1] or "").replace('""', '"'), cell) if '"' in cell or "\r" in cell else cell)
+        if end != delimiter:
+            rows.append(row)
+            row = []
+        if not end:
+            break
     return [r for r in rows if len(r) > 1 or r[0].strip()]
 
 
@@ -58,7 +60,7 @@ def sniff_consistent(text: str, order: str = ",;\t|") -> str:
 
 def records(spark: SparkSession, path: str, delimiter: str | None = None, **options) -> DataFrame:
     """SRC2: doc_id (file), line (record number from 1), cells of every file; a file is parsed in one task, so this is for many
-    files of moderate size. Large regular files go through spark.read.csv."""
+    files of moderate size. split_records() takes files of any size."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = [(d, k, r) for d, t in zip(pdf.doc_id, pdf.text, strict=True) for k, r in enumerate(parse(t or "", delimiter or sniff(t or "")), 1)]
@@ -67,6 +69,87 @@ def records(spark: SparkSession, path: str, delimiter: str | None = None, **opti
     return texts(spark, path, **options).mapInPandas(run, "doc_id string, line long, cells array<string>")
 
 
+def _ranges(delimiter: str, inside: set):
+    """Rows (doc_id, block, value) are the lines of byte ranges in order. Records that lie in a range are parsed there (k: their number in
+    the range, cells); the lines before the first record end of a range that begins inside quotes (k = 0), and those of a last record that is
+    still open, come as text."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, lines, done, k = None, [], [], 0
+        odd = head = False
+
+        def flush(end: bool) -> pd.DataFrame:
+            nonlocal done, lines, k, head
+            rows = []
+            for cells in parse("\n".join(done), delimiter) if done else ():
+                k += 1
+                rows.append((*at, k, cells, None))
+            done = []
+            if end and lines:
+                rows.append((*at, 0 if head else k + 1, None, "\n".join(lines)))
+                lines = []
+            return pd.DataFrame(rows, columns=["doc_id", "block", "k", "cells", "text"])
+
+        for pdf in frames:
+            for doc, block, value in zip(pdf.doc_id, pdf.block, pdf.value, strict=True):
+                if (doc, block) != at:
+                    if at:
+                        yield flush(True)
+                    at, k = (doc, block), 0
+                    odd = head = at in inside
+                lines.append(value)
+                odd ^= value.count('"') % 2 == 1
+                if not odd:
+                    if head:
+                        yield pd.DataFrame([(*at, 0, None, "\n".join(lines))], columns=["doc_id", "block", "k", "cells", "text"])
+                    else:
+                        done += lines
+                    head, lines = False, []
+            if at:
+                yield flush(False)
+        if at:
+            yield flush(True)
+
+    return run
+
+
+def split_records(spark: SparkSession, path: str, delimiter: str | None = None, *, encoding: str = "UTF-8", max_open: int = 1_000_000) -> DataFrame:
+    """SRC2 for files of any size: records() of one dialect, parsed by byte ranges. Whether a range begins inside quotes is the parity of the
+    quotes before it: each range counts its own, and a running sum over the ranges of a file (one row each) settles all. Then ranges are
+    parsed alone, and a record that goes over a border is put together from the pieces of its ranges. Only the ranges that begin inside
+    quotes are sent to the tasks, after a check of their number."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    text = F.col("value") if encoding.upper() == "UTF-8" else F.decode(F.col("value").cast("binary"), encoding)
+    first = F.col("block") == 0
+    lines = lines.select(F.col("_metadata.file_path").alias("doc_id"), F.col("_metadata.file_block_start").alias("block"), text.alias("value"))
+    lines = lines.withColumn("value", F.when(first & F.col("value").startswith("\ufeff"), F.expr("substring(value, 2)")).otherwise(F.col("value")))
+    if delimiter is None:
+        head = lines.where(first).first()
+        delimiter = sniff(head.value if head else "")
+    of_file = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    quotes = lines.groupBy("doc_id", "block").agg(F.sum(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("n"))
+    begins = quotes.withColumn("before", F.sum("n").over(of_file)).where("before % 2 = 1").select("doc_id", "block").limit(max_open + 1).collect()
+    if len(begins) > max_open:
+        raise ValueError(f"more than {max_open} ranges begin inside quotes; read with a larger spark.sql.files.maxPartitionBytes")
+    inside = {(r.doc_id, r.block) for r in begins}
+    parts = written(lines.mapInPandas(_ranges(delimiter, inside), "doc_id string, block long, k long, cells array<string>, text string"))
+    whole = parts.where("text is null").select("doc_id", "block", "k", "cells")
+    pieces = parts.where("text is not null").withColumn("record", F.count_if(F.col("k") > 0).over(Window.partitionBy("doc_id").orderBy("block", "k")))
+    piece = F.sort_array(F.collect_list(F.struct("block", "k", "text")))
+    owner = F.min(F.when(F.col("k") > 0, F.struct("block", "k")))
+    joined = pieces.groupBy("doc_id", "record").agg(owner.alias("o"), F.array_join(F.transform(piece, lambda x: x.text), "\n").alias("text")).select("doc_id", "o.block", "o.k", "text")
+
+    def parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = [(d, b, k, cells) for d, b, k, t in zip(pdf.doc_id, pdf.block, pdf.k, pdf.text, strict=True) for cells in parse(t, delimiter)]
+            yield pd.DataFrame(rows, columns=["doc_id", "block", "k", "cells"])
+
+    rows = written(whole.union(joined.mapInPandas(parsed, "doc_id string, block long, k long, cells array<string>")))
+    discard(parts)
+    counts = rows.groupBy("doc_id", "block").agg(F.count(F.lit(1)).alias("n")).select("doc_id", "block", F.coalesce(F.sum("n").over(of_file), F.lit(0)).alias("before"))
+    return rows.join(counts.hint("merge"), ["doc_id", "block"]).select("doc_id", (F.col("before") + F.col("k")).alias("line"), "cells")
+
+
 def table(rows: DataFrame, *, header: list[str] | None = None) -> DataFrame:
     """SRC5: records of one dialect as columns of text, with line; the first record is the header unless one is given."""
     names = header or [c.strip() or f"c{k + 1}" for k, c in enumerate(rows.where("line = 1").first().cells)]

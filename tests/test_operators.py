@@ -334,6 +334,63 @@ def test_delimited_files(spark, tree):
     assert delimited.sniff_consistent("a,b;c\nd,e;f\n") in ",;" and delimited.sniff("a\tb,c\td") == "\t"
 
 
+def plain_cells(text, d):
+    """One character after the other."""
+    out, row, cell, quoted = [], [], "", False
+    text = list(text)
+    while text:
+        c = text.pop(0)
+        if c == '"' and quoted and text[:1] == ['"']:
+            cell += text.pop(0)
+        elif c == '"':
+            quoted = not quoted
+        elif quoted or c not in (d, "\n", "\r"):
+            cell += c
+        elif c == d:
+            row, cell = [*row, cell], ""
+        elif c == "\n":
+            out, row, cell = [*out, [*row, cell]], [], ""
+    return [r for r in [*out, *([[*row, cell]] if cell or row else [])] if len(r) > 1 or r[0].strip()]
+
+
+def test_parse_against_a_loop():
+    r = random.Random(3)
+    for _ in range(4000):
+        text = "".join(r.choice('ab,,""""\n\r ;') for _ in range(r.randrange(0, 24)))
+        for d in ",;":
+            assert delimited.parse(text, d) == plain_cells(text, d), (text, d)
+    assert len(delimited.parse("x," * 200_000 + '"' + "y" * 1_000_000, ",")[0]) == 200_001
+
+
+def test_files_cut_at_any_byte_parse_alike(spark, tmp_path, monkeypatch):
+    texts = {
+        "a.csv": '\ufeffk,v\r\n1,"two\nlines"\n\n2,"a ""b"", c\n\n"x\n姓名\n ,\n3,"' + "l\n" * 9 + '"\nlast,"open\nend',
+        "b.csv": '""\n"\n",1', "c.csv": "",
+    }
+    for name, t in texts.items():
+        (tmp_path / name).write_bytes(t.encode())
+    parts = "spark.sql.files.maxPartitionBytes"
+
+    def kept(df, write=delimited.written):
+        out = write(df)
+        spark.conf.unset(parts)  # small ranges are for the files only
+        return out
+
+    monkeypatch.setattr(delimited, "written", kept)
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        for size in (2, 3, 7, 31, 4096):
+            spark.conf.set(parts, str(size))
+            got = {}
+            for x in delimited.split_records(spark, str(tmp_path), ",").collect():
+                got.setdefault(x.doc_id.rsplit("/", 1)[1], {})[x.line] = x.cells
+            for name, t in texts.items():
+                assert got.get(name, {}) == {k + 1: cells for k, cells in enumerate(delimited.parse(t.removeprefix("\ufeff"), ","))}, (size, name)
+    finally:
+        spark.conf.unset(parts)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_gb18030_and_settings(tree):
     """Decoding needs a setting that a running session doesn't take: it is read from a fresh one in the source's docs."""
     from opsdesk.session import SETTINGS
