@@ -47,19 +47,27 @@ FEATURES = ("length", "transitions", "vowel_changes", "digits", "uppers", "other
 
 def candidates(documents: DataFrame, *, path: str = "source", min_chars: int = 16, min_named: int = 6) -> DataFrame:
     """doc_id, nth (from 0), token, before (up to two short words), path of every candidate."""
-    named = rf"[A-Za-z_][\w.\-]*[\"']?[:=][\"']?[^\s:=/]{{{min_named},}}"
-    after = rf"(?<=[:=][ \t]{{1,2}})[\"']?[^\s:=]{{{min_named},}}"
-    pattern = rf"(?<!\S)(?:\S{{1,{min_chars - 1}}}[ \t]+){{0,2}}?(?:\S{{{min_chars},}}|{named}|{after})"
+    opening = r"[({\[\"']{0,3}"
+    value = rf"[\"']?(?!//|=)[^\s\"']\S{{{min_named - 1},}}"
+    named = rf"[A-Za-z_][\w.\-]*[\"']?[:=]{value}"
+    after = rf"[A-Za-z_][\w.\-]*[\"']?[ \t]{{0,20}}[:=]\s{{1,20}}{value}"
+    pattern = rf"(?<!\S)(?:\S{{1,{min_chars - 1}}}[ \t]+){{0,2}}?(?:{opening}{after}|\S{{{min_chars},}}|{opening}{named})"
     found = documents.where("text is not null").select("doc_id", F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("nth", "found"))
-    return found.select("doc_id", "nth", "path", F.regexp_extract("found", r"(\S+)$", 1).alias("token"), F.regexp_extract("found", r"^(.*?)\S+$", 1).alias("before"))
+    return found.select("doc_id", "nth", "path", F.regexp_extract("found", r"(\S+)$", 1).alias("token"), F.regexp_extract("found", r"(?s)^(.*?)\S+$", 1).alias("before"))
 
 
 def parts(found: DataFrame) -> DataFrame:
-    """Adds name and value: what stands before the last = or : of a token and what stands after it, without quotes."""
+    """Adds name and value. A value after a name and its = or :, with or without blanks and a line end between, goes to its closing quote, or
+    to the next blank, whatever is in it; a token without name is its own value, without the marks around it."""
     bare = F.regexp_replace("token", r"""^[^\p{L}\p{N}/_+.$~\-]+|[^\p{L}\p{N}/_+=]+$""", "")
-    assigned = r"""^([A-Za-z_][\w.\-]{0,60})["']?[:=]["']?([^:=/]\S*)$"""
-    name = F.regexp_extract("bare", assigned, 1)
-    return found.withColumn("bare", bare).withColumn("name", name).withColumn("value", F.when(F.col("name") != "", F.regexp_extract("bare", assigned, 2)).otherwise(F.col("bare"))).drop("bare")
+    before = F.regexp_extract("before", r"""([A-Za-z_][\w.\-]{0,60})["']?[ \t]*[:=]\s*$""", 1)
+    quoted = F.regexp_extract("token", r"""^["']([^"']+)["']""", 1)
+    assigned = r"""^([A-Za-z_][\w.\-]{0,60})["']?[:=]["']?((?!//)[^:=]\S*)$"""
+    inner = F.regexp_extract("token", r"""^[({\["']{0,3}[A-Za-z_][\w.\-]{0,60}["']?[:=]["']([^"']+)["']""", 1)
+    own = F.regexp_extract(bare, assigned, 1)
+    name = F.when(before != "", before).otherwise(own)
+    value = F.when((before != "") & (quoted != ""), quoted).when((before != "") | (own == ""), bare).when(inner != "", inner).otherwise(F.regexp_extract(bare, assigned, 2))
+    return found.withColumn("name", name).withColumn("value", value)
 
 
 def featured(found: DataFrame) -> DataFrame:

@@ -40,3 +40,15 @@ def test_candidates_are_whole_and_in_order(spark):
     docs = spark.createDataFrame([(1, "short abcdefghijklmnopqrst two words zyxwvutsrqponmlkjihg, end\nQQQQQQQQQQQQQQQQ")], "doc_id long, text string").withColumn("source", F.lit(None).cast("string"))
     got = [(r.nth, r.before.strip(), r.token, r.path) for r in secrets.candidates(docs).orderBy("nth").collect()]
     assert got == [(0, "short", "abcdefghijklmnopqrst", ""), (1, "two words", "zyxwvutsrqponmlkjihg,", ""), (2, "", "QQQQQQQQQQQQQQQQ", "")]
+
+
+def test_values_go_to_their_quote_or_blank(spark):
+    texts = ["password:    hunter2secret", "PASSWORD:\n  hunter2secret", "set pwd=ab:cd:ef:gh now", '{"password": "ab/cd:ef=gh1", "x": 1}', "secret: /9j/4AAQSkZJ==", "token = 'a b:c!'", 'key="hunter2!";', "see https://example.com/a", "a==bcdefg", "secret=/9j/4AAQSkZJ==", "api_key : q8Zr:4TnV"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {}
+    for r in secrets.parts(secrets.candidates(df)).orderBy("doc_id", "nth").collect():
+        got.setdefault(r.doc_id, []).append((r["name"], r.value))
+    assert got[0] == [("password", "hunter2secret")] and got[1] == [("PASSWORD", "hunter2secret")] and got[2] == [("pwd", "ab:cd:ef:gh")]
+    assert got[3] == [("password", "ab/cd:ef=gh1")] and got[4] == [("secret", "/9j/4AAQSkZJ==")] and got[6] == [("key", "hunter2!")]
+    assert got[9] == [("secret", "/9j/4AAQSkZJ==")] and got[10] == [("api_key", "q8Zr:4TnV")]
+    assert 8 not in got and all(name == "" for name, _ in got.get(7, []))
