@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.dates import subtitle_ms, subtitle_time
 from ..functions.text import WIDE, display_width, markdown_cell, numericish
@@ -324,13 +324,49 @@ def json_pretty(df: DataFrame, column: str, *, indent: int | None = 2, sort_keys
     return df.withColumn(column, pretty(F.col(column)))
 
 
-def interfaces(df: DataFrame, column: str, name: str = "Root") -> str:
-    """JSN4, SNK10: TypeScript interfaces for a column of JSON objects. Spark merges all rows' schemas into one type, and keys
-    that not every object has are optional; only that type reaches the driver."""
-    merged = df.agg(F.schema_of_variant_agg(F.try_parse_json(F.col(column))).alias("t"), F.count_if(F.try_parse_json(F.col(column)).isNotNull()).alias("n")).first()
-    optional = {r.key for r in json_shape(df.where(F.try_parse_json(F.col(column)).isNotNull()), column).where("optional").select("key").collect()} if merged.n else set()
-    blocks: list[str] = []
+def json_types(df: DataFrame, column: str) -> DataFrame:
+    """AGG25, JSN4: path, kind, n: how many values of each kind (null, boolean, number, string, array, object) stand at each place of a column of
+    JSON texts. A path's steps are .key and [] (any element), the whole text's is empty. Tables of parts of the rows add up to
+    that of all: counts are folded in each task and summed. Texts that aren't JSON have no rows."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter = Counter()
+        for pdf in frames:
+            for text in pdf.t:
+                try:
+                    stack = [((), json.loads((text or "").removeprefix("\ufeff")))]
+                except (ValueError, RecursionError):
+                    continue
+                while stack:
+                    path, v = stack.pop()
+                    kind = "null" if v is None else "boolean" if isinstance(v, bool) else "number" if isinstance(v, int | float) else "string" if isinstance(v, str) else "array" if isinstance(v, list) else "object"
+                    counts[path, kind] += 1
+                    if kind == "object":
+                        stack += [((*path, f".{k}"), x) for k, x in v.items()]
+                    elif kind == "array":
+                        stack += [((*path, "[]"), x) for x in v]
+        yield pd.DataFrame([(list(p), k, n) for (p, k), n in counts.items()], columns=["path", "kind", "n"])
+
+    parts = df.select(F.col(column).alias("t")).mapInPandas(run, "path array<string>, kind string, n long")
+    return parts.groupBy("path", "kind").agg(F.sum("n").alias("n"))
+
+
+def interfaces(df: DataFrame, column: str, name: str = "Root", *, max_paths: int = 100_000) -> str:
+    """JSN4, SNK10: TypeScript interfaces for a column of JSON texts. A place with several kinds is a union, its parts in order; keys that
+    not every object of a place has are optional, at any depth; the objects of an array make one interface. Interfaces of one
+    name and body are one. Only the table of json_types() reaches the driver, after a check of its size."""
+    rows = json_types(df, column).limit(max_paths + 1).collect()
+    if len(rows) > max_paths:
+        raise ValueError(f"more than {max_paths} places and kinds: keys that are data make no interface")
+    kinds: dict[tuple, dict[str, int]] = {}
+    keys: dict[tuple, list[str]] = {}
+    for r in rows:
+        kinds.setdefault(tuple(r.path), {})[r.kind] = r.n
+    for path in kinds:
+        if path and path[-1] != "[]":
+            keys.setdefault(path[:-1], []).append(path[-1])
     names: dict[str, str] = {}
+    blocks: list[str] = []
 
     def pascal(x: str) -> str:
         parts = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", x)
@@ -339,22 +375,31 @@ def interfaces(df: DataFrame, column: str, name: str = "Root") -> str:
     def one(x: str) -> str:
         return re.sub("ies$", "y", x) if x.endswith("ies") else re.sub("es$", "", x) if re.search("(ch|sh|ss|x|s)es$", x) else re.sub("([^s])s$", r"\1", x)
 
-    def kind(t: T.DataType, hint: str, top: bool = False) -> str:
-        if isinstance(t, T.ArrayType):
-            inner = kind(t.elementType, one(hint))
-            return f"{inner}[]" if " " not in inner else f"({inner})[]"
-        if isinstance(t, T.StructType):
-            body = "\n".join(f"  {f.name if re.fullmatch('[A-Za-z_$][A-Za-z0-9_$]*', f.name) else json.dumps(f.name)}{'?' * (top and f.name in optional)}: {kind(f.dataType, f.name)};" for f in t.fields)
-            label, k = pascal(hint), 2
-            while names.get(label, body) != body:
-                label, k = f"{pascal(hint)}{k}", k + 1
-            if label not in names:
-                names[label] = body
-                blocks.append(f"export interface {label} {{\n{body}\n}}\n")
-            return label
-        return "number" if isinstance(t, T.NumericType) else "boolean" if isinstance(t, T.BooleanType) else "null" if isinstance(t, T.NullType) else "unknown" if isinstance(t, T.VariantType) else "string"
-
-    root = kind(T.DataType.fromDDL(merged.t.replace("OBJECT<", "STRUCT<")), name, top=True)
+    def declared(path: tuple, hint: str) -> str:
+        n, lines = kinds[path]["object"], []
+        for step in sorted(keys.get(path, [])):
+            key, child = step[1:], (*path, step)
+            label = key if re.fullmatch("[A-Za-z_$][A-Za-z0-9_$]*", key) else json.dumps(key, ensure_ascii=False)
+            lines.append(f"  {label}{'?' * (sum(kinds[child].values()) < n)}: {union(child, key)};")
+        body, label, k = "\n".join(lines), pascal(hint), 2
+        while names.get(label, body) != body:
+            label, k = f"{pascal(hint)}{k}", k + 1
+        if label not in names:
+            names[label] = body
+            blocks.append(f"export interface {label} {{\n{body}\n}}\n")
+        return label
+
+    def union(path: tuple, hint: str) -> str:
+        parts = []
+        for kind in kinds.get(path, {}):
+            if kind == "array":
+                inner = union((*path, "[]"), one(hint) if one(hint) != name else f"{name}Item")
+                parts.append(f"({inner})[]" if " | " in inner else f"{inner}[]")
+            else:
+                parts.append(declared(path, hint) if kind == "object" else kind)
+        return " | ".join(sorted(parts)) or "unknown"
+
+    root = union((), name)
     return "\n".join(blocks) + ("" if root == pascal(name) else f"export type {pascal(name)} = {root};\n")
 
 

@@ -976,3 +976,34 @@ def timetable_maps(spark, d):
     trains = s.groupBy("no", "eff_from").agg(F.map_from_entries(F.collect_list(F.struct("station", F.struct("arrive", "depart")))).alias("t"))  # seven stops at most
     line = s.select("station").distinct().withColumn("position", F.col("station"))
     return timetable.stops_of_trains(trains, line).select("no", "eff_from", "station", "seq", "arrive", "depart")
+
+
+# --- JSON texts --------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {inputs.JSON_TEXTS_SQL}, x AS (SELECT k FROM j WHERE k % 7 <> 0), r AS (SELECT count(*) AS n, count_if(k % 2 = 0) AS s, count_if(k % 5 > 0) AS o, count_if(k % 5 > 0 AND k % 3 = 0) AS z FROM x)
+    SELECT path, kind, t.n AS n FROM r, LATERAL (VALUES ('', 'object', n), ('.id', 'number', n), ('.tag', 'string', s), ('.tag', 'number', n - s), ('.items', 'array', n), ('.items []', 'object', 2 * n), ('.items [] .n', 'number', 2 * n),
+      ('.items [] .x', 'boolean', n), ('.sub', 'object', o), ('.sub .k', 'null', z), ('.sub .k', 'array', o - z)) t(path, kind, n) WHERE t.n > 0""")
+def json_kinds(spark, d):
+    """AGG25, JSN4: kinds of values at each place."""
+    return documents.json_types(inputs.json_texts(spark, d), "text").withColumn("path", F.array_join("path", " "))
+
+
+@query("""SELECT unnest([E'export interface Item {\n  n: number;\n  x?: boolean;\n}\n\nexport interface Sub {\n  k: null | unknown[];\n}\n\nexport interface Order {\n  id: number;\n  items: Item[];\n  sub?: Sub;\n  tag: number | string;\n}\n']) AS text FROM (SELECT count(*) FROM orders)""")
+def json_interfaces(spark, d):
+    """JSN4, SNK10: the interfaces of all texts."""
+    text = documents.interfaces(inputs.json_texts(spark, d), "text", "Order")
+    return read(spark, d, "orders").agg(F.lit(text).alias("text"))
+
+
+@query(f"""WITH {inputs.JSON_TEXTS_SQL} SELECT doc_id, CAST(1 AS INTEGER) AS line, CAST(len(text) + 1 AS INTEGER) AS "column", left(text, 120) AS snippet FROM j WHERE k % 7 = 0""")
+def json_faults(spark, d):
+    """JSN1: where the texts that aren't JSON go wrong."""
+    return documents.json_errors(inputs.json_texts(spark, d), "text").drop("message")
+
+
+@query(f"""WITH {inputs.JSON_TEXTS_SQL} SELECT doc_id, '{{"id":' || k || ',"items":[{{"n":1}},{{"n":2,"x":true}}],' || CASE WHEN k % 5 > 0 THEN '"sub":{{"k":' || CASE WHEN k % 3 = 0 THEN 'null' ELSE '[]' END || '}},' ELSE '' END || '"tag":' || CASE WHEN k % 2 = 0 THEN '"' || o_orderstatus || '"' ELSE CAST(k AS VARCHAR) END || '}}' AS text
+    FROM j JOIN orders ON o_orderkey = k WHERE k % 7 <> 0""")
+def json_sorted_texts(spark, d):
+    """JSN3, SNK11: minified, the keys of every object in order."""
+    return documents.json_pretty(inputs.json_texts(spark, d), "text", indent=None, sort_keys=True).where("text is not null")

@@ -270,3 +270,16 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _BANNED = "[" + ", ".join(f"{{'c': '{c}', 'w': '{w}', 'v': '{v}'}}" for c, w, v in BANNED_LIST) + "]"
 POSTS_SQL = f"""p AS (SELECT o_orderkey AS doc_id, {_BANNED}[o_orderkey % {len(BANNED_LIST)} + 1] AS x, ['', ' * ', '·', '，'][o_orderkey % 4 + 1] AS mark FROM orders)"""
+
+
+def json_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: an order as JSON with a tag of two kinds, items of which some lack a key, and, in every fifth, no sub; every seventh is cut."""
+    k = F.col("o_orderkey")
+    tag = F.when(k % 2 == 0, F.concat(F.lit('"'), "o_orderstatus", F.lit('"'))).otherwise(k.cast("string"))
+    sub = F.when(k % 5 > 0, F.concat(F.lit(', "sub": {"k": '), F.when(k % 3 == 0, "null").otherwise("[]"), F.lit("}"))).otherwise("")
+    text = F.concat(F.lit('{"id": '), k, F.lit(', "tag": '), tag, F.lit(', "items": [{"n": 1}, {"n": 2, "x": true}]'), sub, F.when(k % 7 == 0, "").otherwise("}"))
+    return read(spark, sf_dir, "orders").select(k.alias("doc_id"), text.alias("text"))
+
+
+JSON_TEXTS_SQL = """j AS (SELECT o_orderkey AS doc_id, o_orderkey AS k, '{"id": ' || o_orderkey || ', "tag": ' || CASE WHEN o_orderkey % 2 = 0 THEN '"' || o_orderstatus || '"' ELSE CAST(o_orderkey AS VARCHAR) END || ', "items": [{"n": 1}, {"n": 2, "x": true}]'
+    || CASE WHEN o_orderkey % 5 > 0 THEN ', "sub": {"k": ' || CASE WHEN o_orderkey % 3 = 0 THEN 'null' ELSE '[]' END || '}' ELSE '' END || CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE '}' END AS text FROM orders)"""

@@ -530,6 +530,24 @@ def test_json(spark):
     assert "export interface Reply {" in text and '"user-name": string;' in text and "items: Item[];" in text and "ok?: boolean;" in text and "n: number;" in text
 
 
+def test_types_are_merged_over_all_rows_and_depths(spark):
+    texts = ['{"id": 1, "tag": "a", "items": [{"a": 1}, {"a": "x", "b": null}], "mixed": [1, "a"], "none": [], "sub": {"k": 1}}', '{"id": 2, "tag": 7, "items": [], "mixed": [true], "none": [], "sub": {}}',
+             '{"id": 3, "a-b": {"k": 1}, "tag": null, "items": [{"a": 2, "b": 5}], "mixed": [[1], []], "none": [], "sub": {"k": "s"}}', "not json", None]
+    df = docs(spark, *texts).repartition(3)
+    text = documents.interfaces(df, "text", "Root")
+    want = [
+        "export interface AB {", "  k: number;", "export interface Item {", "  a: number | string;", "  b?: null | number;", "export interface Sub {", "  k?: number | string;", "export interface Root {", '  "a-b"?: AB;', "  id: number;", "  items: Item[];",
+        "  mixed: (boolean | number | number[] | string)[];", "  none: unknown[];", "  sub: Sub;", "  tag: null | number | string;",
+    ]
+    assert [x for x in text.split("\n") if x and x != "}"] == want
+    assert documents.interfaces(docs(spark, '[{"no": "A"}]', '[{"no": "B", "x": 1}]'), "text", "UserList") == 'export interface UserListItem {\n  no: string;\n  x?: number;\n}\nexport type UserList = UserListItem[];\n'
+    assert documents.interfaces(docs(spark, "x"), "text") == "export type Root = unknown;\n"
+    table = {(".".join(r.path), r.kind): r.n for r in documents.json_types(df, "text").collect()}
+    assert table["", "object"] == 3 and table[".items.[]..b", "null"] == 1 and table[".mixed.[]", "number"] == 1 and table[".items.[]", "object"] == 3
+    with pytest.raises(ValueError):
+        documents.interfaces(df, "text", max_paths=3)
+
+
 def test_packages(spark):
     df = docs(spark, "---\nname: a\ndescription: 'x'\nversion: 1.2.3\n---\nbody", "---\nname: b\nversion: 1.2\n---\n", "none")
     assert rows(documents.package_findings(df)) == [(1, "description", "missing"), (1, "version", "version"), (2, "description", "missing"), (2, "name", "missing"), (2, "version", "missing")]
