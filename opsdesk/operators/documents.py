@@ -210,34 +210,69 @@ def markdown_table(df: DataFrame, order: list[str]) -> DataFrame:
     return head.union(rule).union(numbered.join(F.broadcast(size)).select("line", row([padded(F.col(f"_c{k}"), k) for k in range(len(names))])))  # one row of widths
 
 
+_TIMES = r"(?m)^\s*((?:\d+:)?\d{1,2}:\d{1,2}[,.]\d{1,3})\s*-->\s*((?:\d+:)?\d{1,2}:\d{1,2}[,.]\d{1,3})[^\n]*$"
+
+
 def cues(documents: DataFrame) -> DataFrame:
     """SRC18: doc_id, nth, start_ms, end_ms, text of SRT and WebVTT texts; blocks without a time line are skipped."""
-    blocks = F.split(F.regexp_replace(F.regexp_replace("text", r"\r\n?", "\n"), r"^﻿?(WEBVTT[^\n]*\n)?", ""), r"\n[ \t]*\n+")
-    at = r"(?m)^\s*((?:\d+:)?\d{1,2}:\d{1,2}[,.]\d{1,3})\s*-->\s*((?:\d+:)?\d{1,2}:\d{1,2}[,.]\d{1,3})[^\n]*$"
-    x = documents.select("doc_id", F.posexplode(blocks).alias("nth", "b")).where(F.regexp_extract("b", at, 1) != "")
-    body = F.regexp_replace(F.regexp_extract("b", r"-->[^\n]*\n([\s\S]*)$", 1), r"\s+$", "")
-    return x.select("doc_id", "nth", subtitle_ms(F.regexp_extract("b", at, 1)).alias("start_ms"), subtitle_ms(F.regexp_extract("b", at, 2)).alias("end_ms"), body.alias("text"))
+    return documents.select("doc_id", F.explode(_blocks(F.col("text"))).alias("c")).select("doc_id", "c.nth", "c.start_ms", "c.end_ms", "c.text")
+
+
+def _blocks(text: Column) -> Column:
+    """The cues of an SRT or WebVTT text, as an array."""
+    blocks = F.split(F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"^﻿?(WEBVTT[^\n]*\n)?", ""), r"\n[ \t]*\n+")
+    body = lambda b: F.regexp_replace(F.regexp_extract(b, r"-->[^\n]*\n([\s\S]*)$", 1), r"\s+$", "")
+    time = lambda b, k: subtitle_ms(F.regexp_extract(b, _TIMES, k))
+    one = lambda b, i: F.struct(i.alias("nth"), time(b, 1).cast("long").alias("start_ms"), time(b, 2).cast("long").alias("end_ms"), body(b).alias("text"), F.lit(None).cast("string").alias("style"), F.regexp_extract(b, _TIMES, 1).alias("at"))
+    found = F.filter(F.transform(blocks, one), lambda c: c["at"] != "")
+    return F.transform(found, lambda c: F.struct(*[c[k].alias(k) for k in ("nth", "start_ms", "end_ms", "text", "style")]))
+
+
+def subtitle_format(text: Column | str, path: Column | str | None = None) -> Column:
+    """SRC18: srt, vtt or ass: by the ending of the path, else by what the text begins with or holds; null for neither."""
+    t = F.col(text) if isinstance(text, str) else text
+    by_text = F.when(t.rlike(r"^﻿?\s*WEBVTT"), "vtt").when(t.rlike(r"(?mi)^\[(Script Info|Events)\]"), "ass").when(t.rlike(_TIMES), "srt")
+    if path is None:
+        return by_text
+    ending = F.regexp_extract(F.lower(F.col(path) if isinstance(path, str) else path), r"\.(srt|vtt|ass|ssa)$", 1)
+    return F.when(ending.isin("ass", "ssa"), "ass").when(ending != "", ending).otherwise(by_text)
+
+
+def any_cues(documents: DataFrame, *, path: str = "path") -> DataFrame:
+    """SRC18: doc_id, format, nth, start_ms, end_ms, text, style of the cues of a table of SRT, WebVTT and ASS texts. Each text goes to its own
+    reader in one scan; notes of WebVTT and texts of no format have no cues."""
+
+    @F.pandas_udf("array<struct<nth: int, a: string, b: string, text: string, style: string>>")
+    def events(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else [dict(zip(("nth", "a", "b", "text", "style"), x, strict=True)) for x in _ass_events(t)])
+
+    x = documents.select("doc_id", "text", subtitle_format("text", path).alias("format")).where("format is not null")
+    plain = F.when(F.col("format") == "vtt", F.regexp_replace(F.regexp_replace("text", r"\r\n?", "\n"), r"(?m)(^|\n)NOTE\b[\s\S]*?(\n[ \t]*\n|\z)", "$1\n")).when(F.col("format") == "srt", F.col("text"))
+    ass = F.transform(events(F.when(F.col("format") == "ass", F.col("text"))), lambda c: F.struct(c.nth.alias("nth"), subtitle_ms(c.a).cast("long").alias("start_ms"), subtitle_ms(c.b).cast("long").alias("end_ms"), c.text.alias("text"), c.style.alias("style")))
+    found = x.select("doc_id", "format", F.explode(F.when(F.col("format") == "ass", ass).otherwise(_blocks(plain))).alias("c"))
+    return found.select("doc_id", "format", "c.*").where("start_ms is not null and end_ms is not null")
+
+
+def _ass_events(text: str) -> list[tuple]:
+    """nth, start, end, text, style of each dialogue line."""
+    out, on, at = [], False, {}
+    for k, row in enumerate(map(str.strip, text.splitlines())):
+        name, _, rest = row.partition(":")
+        if row.startswith("[") and row.endswith("]"):
+            on, at = row.lower() == "[events]", {}
+        elif on and name.lower() == "format":
+            at = {f.strip().lower(): n for n, f in enumerate(rest.split(","))}
+        elif on and name.lower() == "dialogue" and at:
+            cell = rest.split(",", len(at) - 1)
+            get = lambda f: cell[at[f]].strip() if at.get(f, len(cell)) < len(cell) else ""  # noqa: B023, E731
+            out.append((k, get("start"), get("end"), re.sub(r"\\[Nn]", "\n", re.sub(r"\{[^}]*\}", "", get("text"))), get("style") or None))
+    return out
 
 
 def ass_cues(documents: DataFrame) -> DataFrame:
     """SRC18, STR21: doc_id, nth, start_ms, end_ms, text, style of the [Events] of ASS texts, by the fields that their Format line
     names; tags off, \\N as line ends. Cues before a Format line or without times are left out."""
-
-    def events(text: str) -> list[tuple]:
-        out, on, at = [], False, {}
-        for k, row in enumerate(map(str.strip, text.splitlines())):
-            name, _, rest = row.partition(":")
-            if row.startswith("[") and row.endswith("]"):
-                on, at = row.lower() == "[events]", {}
-            elif on and name.lower() == "format":
-                at = {f.strip().lower(): n for n, f in enumerate(rest.split(","))}
-            elif on and name.lower() == "dialogue" and at:
-                cell = rest.split(",", len(at) - 1)
-                get = lambda f: cell[at[f]].strip() if at.get(f, len(cell)) < len(cell) else ""  # noqa: B023, E731
-                out.append((k, get("start"), get("end"), re.sub(r"\\[Nn]", "\n", re.sub(r"\{[^}]*\}", "", get("text"))), get("style") or None))
-        return out
-
-    x = _each_text(documents, events, "nth int, a string, b string, text string, style string")
+    x = _each_text(documents, _ass_events, "nth int, a string, b string, text string, style string")
     return x.select("doc_id", "nth", subtitle_ms("a").alias("start_ms"), subtitle_ms("b").alias("end_ms"), "text", "style").where("start_ms is not null and end_ms is not null")
 
 

@@ -9,6 +9,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from datetime import date
+from hashlib import sha256
 
 import ahocorasick
 import pandas as pd
@@ -186,10 +187,10 @@ def _starred(s: str) -> str:
     return "*" * len(s) if len(s) <= 8 else s[:4] + "*" * min(12, len(s) - 8) + s[-4:]
 
 
-def leak_findings(documents: DataFrame, rules: tuple[str, ...] = tuple(LEAKS), *, id_column: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+def leak_findings(documents: DataFrame, rules: tuple[str, ...] = tuple(LEAKS), *, id_column: str = "doc_id", keep: tuple[str, ...] = (), digest: bool = False) -> DataFrame:
     """TXT2, TXT7, RUL5, SRT7: id_column (and the columns to keep), line and column (from 1), nth (of the rule, in whose order
-    findings are listed), rule, level, masked for each match; placeholders and impossible numbers are left out. Texts without a
-    trace of any rule stay in the JVM; in the others each rule looks only at the lines around its traces."""
+    findings are listed), rule, level, masked for each match; placeholders and impossible numbers are left out; with digest also the
+    SHA-256 of the whole match. Texts without a trace of any rule stay in the JVM; in the others each rule looks only at the lines around its traces."""
     shapes = [(k, rule, re.compile(LEAKS[rule][0]), LEAKS[rule][1], _LEAK_KEPT.get(rule)) for k, rule in enumerate(rules, 1)]
     hints = [re.compile(LEAKS[rule][2]) for rule in rules]
 
@@ -202,7 +203,7 @@ def leak_findings(documents: DataFrame, rules: tuple[str, ...] = tuple(LEAKS), *
                 line, seen = line + text.count("\n", seen, start), start
                 for m in shape.finditer(text[start:stop]):
                     if kept is None or kept(m[0]):
-                        yield line, m.start() + 1, k, rule, level, _starred(m[0])
+                        yield line, m.start() + 1, k, rule, level, _starred(m[0]), *([sha256(m[0].encode()).hexdigest()] if digest else [])
                 at = hint.search(text, stop)
 
     names = [id_column, *keep]
@@ -210,11 +211,26 @@ def leak_findings(documents: DataFrame, rules: tuple[str, ...] = tuple(LEAKS), *
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = [(*ids, *x) for *ids, t in pdf.itertuples(index=False, name=None) for x in found(t)]
-            yield pd.DataFrame(rows, columns=[*names, "line", "column", "nth", "rule", "level", "masked"])
+            yield pd.DataFrame(rows, columns=[*names, "line", "column", "nth", "rule", "level", "masked", *(["digest"] if digest else [])])
 
     traced = documents.where(F.col("text").rlike("|".join(f"(?:{LEAKS[r][2]})" for r in rules)))
     kinds = "".join(f"`{c}` {documents.schema[c].dataType.simpleString()}, " for c in names)
-    return traced.select(*names, "text").mapInPandas(run, f"{kinds}line int, column int, nth int, rule string, level string, masked string")
+    return traced.select(*names, "text").mapInPandas(run, f"{kinds}line int, column int, nth int, rule string, level string, masked string{', digest string' if digest else ''}")
+
+
+#: The rules for secrets; the others are for personal data.
+SECRET_RULES = tuple(r for r in LEAKS if r not in ("idcard", "phone", "bank", "email"))
+
+
+def history_findings(added: DataFrame, rules: tuple[str, ...] = SECRET_RULES) -> DataFrame:
+    """TXT7: rule, level, masked, commit, date, author, file, line, commits of each secret that a history (sources.files.added_lines) brought in:
+    equal findings are folded to the first commit by date, and commits says how many brought it in. Dates as texts are compared in ISO form."""
+    rows = added.withColumn("id", F.struct("commit", "date", "author", "file", F.col("line").alias("at")))
+    lines = rows.select(F.to_json("id").alias("doc_id"), "text")
+    found = leak_findings(lines, rules, digest=True).withColumn("id", F.from_json("doc_id", "commit string, date string, author string, file string, at int"))
+    first = F.min(F.struct("id.date", "id.commit", "id.file", "id.at", "column", "id.author", "masked")).alias("x")
+    groups = found.groupBy("rule", "level", "digest").agg(first, F.count_distinct("id.commit").alias("commits"))
+    return groups.select("rule", "level", "x.masked", "x.commit", "x.date", "x.author", "x.file", F.col("x.at").alias("line"), "commits")
 
 
 #: Characters that don't keep a word from being found, and characters of no width.

@@ -1007,3 +1007,29 @@ def json_faults(spark, d):
 def json_sorted_texts(spark, d):
     """JSN3, SNK11: minified, the keys of every object in order."""
     return documents.json_pretty(inputs.json_texts(spark, d), "text", indent=None, sort_keys=True).where("text is not null")
+
+
+# --- histories and mixed files -----------------------------------------------------------------------------------
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS commit, c_name AS author, strftime(DATE '2024-01-01' + CAST(c_custkey * 13 % 300 AS INTEGER), '%Y-%m-%d') AS date FROM customer),
+    f AS (SELECT 'aws_ak' AS rule, 'high' AS level, 'AKIA' || lpad(CAST(k % 37 AS VARCHAR), 16, '0') AS x, commit, date, author, 2 AS line FROM c UNION ALL SELECT 'generic_secret', 'medium', 'password = "Tr0ub4dor' || k % 5 || 'x', commit, date, author, 3 FROM c WHERE k % 3 = 0)
+    SELECT rule, level, left(x, 4) || repeat('*', CAST(least(12, len(x) - 8) AS INTEGER)) || right(x, 4) AS masked, arg_min(commit, date || commit) AS commit, min(date) AS date, arg_min(author, date || commit) AS author, 'src/c.js' AS file, CAST(any_value(line) AS INTEGER) AS line, count(*) AS commits
+    FROM f GROUP BY rule, level, x""")
+def history_secrets(spark, d):
+    """TXT7, SRC17, STR7: secrets of a history, each with the commit that brought it in first."""
+    k = F.col("c_custkey")
+    lines = F.concat(F.lit("+x\n+key = AKIA"), F.lpad((k % 37).cast("string"), 16, "0"), F.when(k % 3 == 0, F.concat(F.lit('\n+password = "Tr0ub4dor'), k % 5, F.lit('x"'))).otherwise(""))
+    head = F.concat(F.lit("commit "), F.lpad(k.cast("string"), 8, "0"), F.lit("\nAuthor: "), "c_name", F.lit("\nDate:   "), F.expr("date_add(date'2024-01-01', cast(c_custkey * 13 % 300 as int))").cast("string"))
+    log = F.concat(head, F.lit("\n\n    work\n\ndiff --git a/src/c.js b/src/c.js\n--- a/src/c.js\n+++ b/src/c.js\n@@ -0,0 +1,3 @@\n"), lines, F.lit("\n"))
+    folder = inputs.scratch(spark, "log")
+    read(spark, d, "customer").select(log.alias("text")).write.text(folder)
+    return scan.history_findings(sources.added_lines(sources.commits(spark, folder)))
+
+
+@query(f"""WITH {_CUES} SELECT doc_id, ['srt', 'vtt', 'ass'][doc_id % 3 + 1] AS format, start_ms, end_ms, text, CASE WHEN doc_id % 3 = 2 THEN coalesce(style, 'Default') END AS style FROM c""")
+def subtitles_mixed(spark, d):
+    """SRC18: files of three formats in one table, half of them with an ending."""
+    x = _cues(spark, d)
+    forms = [documents.subtitles(x.where(F.col("doc_id") % 3 == k), form).withColumn("path", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("film."), F.lit(form.upper()))).otherwise("film")) for k, form in enumerate(("srt", "vtt", "ass"))]
+    return documents.any_cues(forms[0].union(forms[1]).union(forms[2])).drop("nth")

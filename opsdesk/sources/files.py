@@ -57,6 +57,14 @@ def front_matter(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.explode(F.split(head, r"\r?\n")).alias("row")).where(F.col("row").rlike(r"^[\w-]+:")).select("doc_id", F.regexp_extract("row", r"^([\w-]+):", 1).alias("key"), F.trim(F.regexp_replace("row", r"^[\w-]+:\s*", ""), F.lit(" \"'")).alias("value"))
 
 
+def commits(spark: SparkSession, path: str) -> DataFrame:
+    """SRC17: doc_id (the commit), at (its date and time as written) and text of each commit of logs with patches, as ``git log -p`` prints them. The reader
+    splits at the line that begins a commit, so that one long log is read by many tasks."""
+    head = r"(?:^|\n)commit ([0-9a-f]{7,40})"
+    raw = spark.read.option("lineSep", "\ncommit ").text(path).select(F.when(F.col("value").startswith("commit "), F.col("value")).otherwise(F.concat(F.lit("commit "), "value")).alias("text"))
+    return raw.select(F.regexp_extract("text", head, 1).alias("doc_id"), F.regexp_extract("text", r"\nDate:[ \t]*([^\n]*)", 1).alias("at"), "text").where("doc_id <> ''")
+
+
 def added_lines(log: DataFrame) -> DataFrame:
     """SRC17: commit, author, date (as written), file, line (in the new file), text of the lines that a log with patches adds
     (doc_id, text: one commit's output a row; without a commit's head, as a staged difference is, the first three are null)."""
