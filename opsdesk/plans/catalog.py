@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import checks, dates, numbers, text
-from ..operators import aggregate, audit, calendars, clean, columns, diff, documents, files, lexicons, quality, reconcile, scan, timetable
+from ..operators import aggregate, audit, calendars, clean, columns, diff, documents, files, lexicons, quality, ranks, reconcile, scan, timetable
 from ..sources import delimited, sinks
 from ..sources import files as sources
 from ..streaming import live
@@ -65,7 +65,7 @@ def agg_global(spark, d):
 @query("SELECT event_type, user_id, count(*) AS row_count, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DECIMAL(18,2)) AS total FROM events GROUP BY ALL")
 def agg_multi_key(spark, d):
     x = read(spark, d, "events").withColumn("value", F.col("value").cast("decimal(18,6)"))
-    return x.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("row_count"), F.sum("value").cast("decimal(18,2)").alias("total"))
+    return aggregate.aggregate(x, ["event_type", "user_id"], [("sum", "value")]).select("event_type", "user_id", "row_count", F.col("sum_value").cast("decimal(18,2)").alias("total"))
 
 
 @query("SELECT o_custkey, count(*) AS row_count, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,4)) AS total FROM orders GROUP BY 1 ORDER BY total DESC NULLS LAST, o_custkey LIMIT 10")
@@ -670,11 +670,11 @@ def distinct_values(spark, d):
     return read(spark, d, "events").select("event_type").distinct()
 
 
-@query("SELECT n_nationkey, CAST(row_number() OVER (ORDER BY CAST(regexp_extract(n_name, '[0-9]+') AS INTEGER)) AS INTEGER) AS nth FROM nation")
+@query("SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nth FROM part")
 def natural_order(spark, d):
-    """SRT4: NATION_2 before NATION_10, within the nations' one region table."""
-    w = Window.partitionBy(F.lit(1)).orderBy(text.natural_key("n_name"))  # 25 nations at every scale
-    return read(spark, d, "nation").select("n_nationkey", F.row_number().over(w).alias("nth"))
+    """SRT4: each brand's files, file 2 before file 10."""
+    x = read(spark, d, "part").select("p_partkey", "p_brand", text.natural_key(F.concat(F.lit("File "), "p_partkey", F.lit(".txt"))).alias("key"))
+    return ranks.positions(x, ["p_brand"], ["key"]).select("p_partkey", "nth")
 
 
 @query("""SELECT doc_id, sha256(CASE WHEN text = '' THEN '' ELSE regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]+$', '', 'gm'), '^(\\s*)-\\s+', '\\1- ', 'gm'), chr(10) || '+$', '') || chr(10) END) AS digest FROM documents""")
@@ -1033,3 +1033,69 @@ def subtitles_mixed(spark, d):
     x = _cues(spark, d)
     forms = [documents.subtitles(x.where(F.col("doc_id") % 3 == k), form).withColumn("path", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("film."), F.lit(form.upper()))).otherwise("film")) for k, form in enumerate(("srt", "vtt", "ass"))]
     return documents.any_cues(forms[0].union(forms[1]).union(forms[2])).drop("nth")
+
+
+# --- files and texts, continued ----------------------------------------------------------------------------------
+
+_COPIES = "h AS (SELECT lpad(CAST(doc_id AS VARCHAR), 10, '0') AS path, octet_length(encode(text)) AS bytes, sha256(text) AS hash FROM documents)"
+
+
+@query(f"WITH {_COPIES} SELECT hash, count(*) AS n, CAST(max(bytes) * (count(*) - 1) AS BIGINT) AS reclaimable FROM h GROUP BY hash HAVING count(*) > 1")
+def dup_reclaimable(spark, d):
+    """SRT5: what deleting copies would free."""
+    return files.reclaimable(files.duplicates(_files(spark, d)))
+
+
+@query(f"WITH {_COPIES} SELECT path AS value FROM h QUALIFY row_number() OVER (PARTITION BY hash ORDER BY path) > 1")
+def dup_deletions(spark, d):
+    """SNK6: the list of copies beyond the kept one, as it is written."""
+    folder = inputs.scratch(spark, "deletions")
+    sinks.write_deletions(files.duplicates(_files(spark, d)), folder)
+    return spark.read.text(folder)
+
+
+@query(f"WITH {_COPIES} SELECT path, CAST(bytes AS BIGINT) AS bytes, hash FROM h")
+def manifest_read(spark, d):
+    """SRC16, MTH10: manifests of one document a folder, as other tools write them."""
+    folder, entries = inputs.scratch(spark, "manifests"), files.manifest(_files(spark, d)).withColumn("part", F.col("path").cast("long") % 7)
+    whole = entries.groupBy("part").agg(F.to_json(F.struct(F.collect_list(F.struct("path", "bytes", "hash", "mtime")).alias("files"))).alias("value"))
+    whole.write.partitionBy("part").text(folder)
+    return delimited.manifest_entries(spark, folder).select("path", "bytes", "hash")
+
+
+@query(r"""SELECT 'p' || p_partkey || '.txt' AS name, replace(p_name, ' ', '_') || '.txt' AS plain, regexp_replace(p_name, '^(\S+) (\S+)$', '\2 \1') || '.txt' AS swapped FROM part""")
+def rename_replaced(spark, d):
+    """STR10: a literal and a pattern with groups in names."""
+    x = read(spark, d, "part").select(F.concat(F.lit("d/p"), "p_partkey", F.lit("/"), "p_name", F.lit(".txt")).alias("path"), F.lit(0).alias("bytes"), F.current_timestamp().alias("mtime"))
+    name = F.concat(F.regexp_extract("dir", r"(p\d+)/$", 1), F.lit(".txt")).alias("name")
+    plain = files.rename_plan(x, find=" ", replace="_").select(name, F.col("new_name").alias("plain"))
+    return plain.join(files.rename_plan(x, find=r"^(\S+) (\S+)$", replace="$2 $1", regex=True).select(name, F.col("new_name").alias("swapped")), "name")
+
+
+@query(r"""SELECT p_partkey, [CAST(p_partkey AS VARCHAR), p_brand, CASE WHEN p_partkey % 3 = 0 THEN 'a\|b' ELSE '' END] AS cells FROM part""")
+def table_cells(spark, d):
+    """STR22: rows of Markdown tables with and without outer pipes, with escaped ones."""
+    k = F.col("p_partkey")
+    row = F.concat(F.when(k % 2 == 0, "| ").otherwise(""), k, F.lit(" | "), "p_brand", F.lit(" | "), F.when(k % 3 == 0, "a\\|b").otherwise(""), F.lit(" |"))
+    return read(spark, d, "part").select("p_partkey", text.table_cells(row).alias("cells"))
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN CAST(ts AS DATE) WHEN 1 THEN CAST(ts AS DATE) + 1 WHEN 2 THEN CAST(ts AS DATE) + 2 WHEN 3 THEN DATE '2024-03-09' WHEN 4 THEN DATE '2023-12-31' ELSE CAST(ts AS DATE) END AS d FROM events""")
+def days_named(spark, d):
+    """DT14: days by their names, by month and day, in full, and words that name none."""
+    word = F.element_at(F.array(*map(F.lit, ("今天", "tomorrow", "后天", "03-09", "2023-12-31", "02-30"))), (F.col("event_id") % 6 + 1).cast("int"))
+    return read(spark, d, "events").select("event_id", calendars.named_days(word, F.to_date("ts")).alias("d"))
+
+
+@query("""WITH e AS (SELECT DISTINCT extract('minute' FROM ts) AS m, extract('hour' FROM ts) AS h FROM events) SELECT m || ' ' || h || ' * * *' AS cron, '每天 ' || printf('%02d:%02d', h, m) AS said FROM e""")
+def cron_said(spark, d):
+    """DT11: what expressions say."""
+    x = read(spark, d, "events").select(F.concat(F.minute("ts"), F.lit(" "), F.hour("ts"), F.lit(" * * *")).alias("cron"))
+    return calendars.cron_texts(x, "cron")
+
+
+@query("""SELECT o_orderkey AS k FROM orders WHERE o_orderpriority = (SELECT max(o_orderpriority) FROM orders)""")
+def snapshot_newest(spark, d):
+    """SET5, SRC14: the rows of the newest of several snapshots."""
+    x = read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("version"))
+    return timetable.latest_or_fallback(x, x.select("k").limit(0))
