@@ -61,7 +61,7 @@ def test_against_brute_force(spark, monkeypatch, most):
     assert collected(simhash.near_duplicates(df, most=most)) == brute(rows, 4, 4)
 
 
-@pytest.mark.parametrize("most", [16_384, 5])
+@pytest.mark.parametrize("most", [16_384, 60])
 def test_links_of_chains_and_dense_families(spark, monkeypatch, most):
     """Points without texts: families within a few bits, chains of 4 bits a step, and strangers at 5."""
     r = random.Random(9)
