@@ -1,4 +1,4 @@
-"""Markdown, subtitles and JSON as tables of lines, cues and values (RUL9, TXT8-TXT10, SRC18, SNK4, SNK8, JSN1-JSN3, AGG25)."""
+"""Markdown, subtitles and JSON as tables of lines, cues and values (RUL9, TXT8-TXT10, SRC18, SNK2, SNK4, SNK8, JSN1-JSN3, AGG25)."""
 
 from __future__ import annotations
 
@@ -22,8 +22,8 @@ _FENCE = re.compile(r"\s*(```+|~~~+)(.*)", re.S)
 _ANY_LINE = {"MD009": r"[ \t]+$", "MD010": r"^\t"}
 _HEADING = {"MD019": r"^#{1,6}\s{2,}", "MD021": r"^#{1,6}\s+$", "MD026": r"^#{1,6}\s.*[。！？，；：]\s*$"}
 _ITEM = {"MD027": r"^\s*[-*+]\s{2,}\S"}
-_OTHER = {"MD039": r"\[\s*\]\([^)]*\)|\[\s+[^\]]|\S\s+\]\(", "MD034": r"(?s)^(?!.*<https?://)(?!.*\]\(https?:).*(?:^|[\s(])https?://\S"}
-_RULES = {k: [(code, re.compile(p)) for code, p in rules.items()] for k, rules in (("any", _ANY_LINE), ("heading", _HEADING), ("item", _ITEM), ("other", _OTHER))}
+_OTHER = {"MD039": (r"\[\s*\]\([^)]*\)", r"\[\s+[^\]]|\S\s+\]\("), "MD034": r"(?s)^(?!.*<https?://)(?!.*\]\(https?:).*(?:^|[\s(])https?://\S"}
+_RULES = {k: [(code, re.compile(p)) for code, ps in rules.items() for p in ((ps,) if isinstance(ps, str) else ps)] for k, rules in (("any", _ANY_LINE), ("heading", _HEADING), ("item", _ITEM), ("other", _OTHER))}
 _MARK = re.compile(r"(\s*)([-*+])(\s+)(\S.*)", re.S)
 
 
@@ -186,28 +186,43 @@ def dead_links(documents: DataFrame, paths: DataFrame, *, folder: str | None = N
     return found.withColumn("_path", resolved(full)).where("_path <> ''").join(above.hint("merge"), "_path", "left_anti").drop("_path")
 
 
-def markdown_table(df: DataFrame, order: list[str]) -> DataFrame:
-    """SNK4: the lines (line, text) of an aligned Markdown table in the order of the given columns: cells escaped, numeric
-    columns to the right, widths of at least 3. The order should tell any two rows apart."""
+def _aligned(df: DataFrame, order: list[str], cell: Callable[[Column], Column], frame: Callable[[list[Column]], Column], rule: Callable[[Column, Column], Column], least: int, right: list[str] | None) -> DataFrame:
+    """The lines (line, text) of a table of equal widths: the head, a rule and the rows, in the order of the given columns. Columns
+    of numbers, or those in right, stand to the right."""
     names = df.columns
-    numbered = positions(df, [], order, "_line").select((F.col("_line") + 1).alias("line"), *[markdown_cell(F.col(c).cast("string")).alias(f"_c{k}") for k, c in enumerate(names)])
+    numbered = positions(df, [], order, "_line").select((F.col("_line") + 1).alias("line"), *[cell(F.col(f"`{c}`").cast("string")).alias(f"_c{k}") for k, c in enumerate(names)])
     widths, numeric = [], []
     for k, c in enumerate(names):
-        cell = F.col(f"_c{k}")
-        widths.append(F.greatest(F.coalesce(F.max(display_width(cell)), F.lit(0)), display_width(F.lit(c)), F.lit(3)).alias(f"_w{k}"))
-        numeric.append(F.coalesce(F.bool_and(numericish(cell) | (cell == "")) & F.bool_or(cell != ""), F.lit(False)).alias(f"_n{k}"))
+        x = F.col(f"_c{k}")
+        widths.append(F.greatest(F.coalesce(F.max(display_width(x)), F.lit(0)), display_width(F.lit(c)), F.lit(least)).alias(f"_w{k}"))
+        to_right = F.max(F.lit(c in right)) if right is not None else F.bool_and(numericish(x) | (x == "")) & F.bool_or(x != "")
+        numeric.append(F.coalesce(to_right, F.lit(False)).alias(f"_n{k}"))
     size = numbered.agg(*widths, *numeric)
 
-    def padded(x: Column, k: int) -> Column:
+    def padded(x: Column, k: int, head: bool = False) -> Column:
         blanks = F.repeat(F.lit(" "), F.col(f"_w{k}") - display_width(x))
-        return F.when(F.col(f"_n{k}"), F.concat(blanks, x)).otherwise(F.concat(x, blanks))
+        left = F.concat(x, blanks)
+        return left if head and right is not None else F.when(F.col(f"_n{k}"), F.concat(blanks, x)).otherwise(left)
+
+    columns = range(len(names))
+    top = size.select(F.lit(0).cast("long").alias("line"), frame([padded(F.lit(c), k, True) for k, c in enumerate(names)]).alias("text"))
+    below = size.select(F.lit(1).cast("long").alias("line"), frame([rule(F.col(f"_w{k}"), F.col(f"_n{k}")) for k in columns]).alias("text"))
+    return top.union(below).union(numbered.join(F.broadcast(size)).select("line", frame([padded(F.col(f"_c{k}"), k) for k in columns]).alias("text")))  # one row of widths
 
-    def row(cells: list[Column]) -> Column:
-        return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("text")
 
-    head = size.select(F.lit(0).cast("long").alias("line"), row([padded(F.lit(c), k) for k, c in enumerate(names)]))
-    rule = size.select(F.lit(1).cast("long").alias("line"), row([F.concat(F.repeat(F.lit("-"), F.col(f"_w{k}") - F.col(f"_n{k}").cast("int")), F.when(F.col(f"_n{k}"), ":").otherwise("")) for k in range(len(names))]))
-    return head.union(rule).union(numbered.join(F.broadcast(size)).select("line", row([padded(F.col(f"_c{k}"), k) for k in range(len(names))])))  # one row of widths
+def markdown_table(df: DataFrame, order: list[str]) -> DataFrame:
+    """SNK4: the lines (line, text) of an aligned Markdown table in the order of the given columns: cells escaped, numeric
+    columns to the right, widths of at least 3. The order should tell any two rows apart."""
+    frame = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    rule = lambda w, n: F.concat(F.repeat(F.lit("-"), w - n.cast("int")), F.when(n, ":").otherwise(""))
+    return _aligned(df, order, markdown_cell, frame, rule, 3, None)
+
+
+def console_table(df: DataFrame, order: list[str], right: list[str]) -> DataFrame:
+    """SNK2: the lines (line, text) of a table for a terminal in the order of the given columns: two blanks between the columns,
+    wide characters counted twice, those in right to the right below a head that stays left. A null cell is a dash."""
+    rule = lambda w, n: F.repeat(F.lit("-"), w)
+    return _aligned(df, order, lambda c: F.coalesce(c, F.lit("—")), lambda cells: F.concat_ws("  ", *cells), rule, 0, right)
 
 
 _TIMES = r"(?m)^\s*((?:\d+:)?\d{1,2}:\d{1,2}[,.]\d{1,3})\s*-->\s*((?:\d+:)?\d{1,2}:\d{1,2}[,.]\d{1,3})[^\n]*$"
@@ -447,6 +462,25 @@ def package_findings(documents: DataFrame, required: tuple[str, ...] = ("name",
     return missing.unionByName(wrong.select("doc_id", F.col("key").alias("field"), F.lit("version").alias("problem")))
 
 
+#: Fields that a package must have, and should have.
+PACKAGE_FIELDS = ("name", "description", "description_zh", "description_en", "version", "author")
+RECOMMENDED_FIELDS = ("category", "scenarios", "roles")
+
+
+def package_report(packages: DataFrame, *, required: tuple[str, ...] = PACKAGE_FIELDS, recommended: tuple[str, ...] = RECOMMENDED_FIELDS) -> DataFrame:
+    """RUL10: package, level, field, problem of packages (package: its folder's name, text: its head file, null if it has none, which is the
+    only finding then): E missing and version (not of three numbers), W missing (recommended) and folder (its name is another). Of a
+    repeated field the first counts; quotes go. One map over the texts."""
+    head = F.regexp_extract(F.regexp_replace("text", "\r", ""), r"(?s)\A(?:.*?\n)??---[ \t]*(?=\n|\z)(.*?)(?:\n---[ \t]*(?=\n|\z)|\z)", 1)
+    value = lambda k: F.regexp_replace(F.regexp_replace(F.regexp_extract(head, rf"\n{re.escape(k)}:[ \t]*([^\n]*)", 1), "[\"']", ""), r"\s+$", "")
+    finding = lambda when, level, field, problem: F.when(when, F.struct(F.lit(level).alias("level"), F.lit(field).alias("field"), F.lit(problem).alias("problem")))
+    rules = [finding(value(k) == "", level, k, "missing") for level, ks in (("E", required), ("W", recommended)) for k in ks]
+    rules.append(finding((value("version") != "") & ~value("version").rlike(r"^[0-9]+\.[0-9]+\.[0-9]+$"), "E", "version", "version"))
+    rules.append(finding((value("name") != "") & (value("name") != F.col("package")), "W", "name", "folder"))
+    found = F.when(F.col("text").isNull(), F.array(finding(F.lit(True), "E", "file", "missing"))).otherwise(F.filter(F.array(*rules), lambda x: x.isNotNull()))
+    return packages.select("package", F.explode(found).alias("x")).select("package", "x.*")
+
+
 def package_tree_findings(files: DataFrame, versions: DataFrame | None = None) -> DataFrame:
     """RUL10: package, problem of the file lists (package, path within it) of packages: deep (more than one folder below the
     root), junk (.DS_Store); with versions (package, version, old_version, altered) also stale: altered without a new version."""

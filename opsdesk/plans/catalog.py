@@ -337,12 +337,45 @@ def redact_email(spark, d):
     return read(spark, d, "documents").select("doc_id", F.sha2(scan.redact("text", ("email",)), 256).alias("digest"))
 
 
-@query()
+def _placed_sql(text: str, shape: str) -> str:
+    """The matches of a pattern in a text with their places, counted from 1: what stands between them tells where they are."""
+    shape = shape.replace("'", "''")
+    return f"""list_transform(list_zip(regexp_extract_all({text}, '{shape}'), list_transform(regexp_split_to_array({text}, '{shape}'), lambda x: len(x))), lambda x, i: {{'v': x[1], 'i': i, 'gap': x[2]}})"""
+
+
+_MASK_SQL = """CASE type WHEN 'phone' THEN left(v, 3) || '****' || right(v, 4) WHEN 'email' THEN left(v, 1) || '***' || substr(v, strpos(v, '@')) WHEN 'plate' THEN left(v, 2) || '***' || right(v, 2) WHEN 'uscc' THEN left(v, 2) || repeat('*', 12) || right(v, 4)
+    WHEN 'ipv4' THEN split_part(v, '.', 1) || '.' || split_part(v, '.', 2) || '.*.*' ELSE repeat('*', len(v) - 4) || right(v, 4) END"""
+_VALID_SQL = {"idcard": _PERSON_SQL, "bank": _LUHN_SQL.format(x="x"), "uscc": _CREDIT_SQL, "ipv4": "list_max(list_transform(string_split(x, '.'), lambda y: CAST(y AS INTEGER))) <= 255"}
+
+
+def _spans_sql(types: tuple[str, ...]) -> str:
+    kinds = " UNION ALL ".join(f"""SELECT doc_id, '{k}' AS type, unnest({_placed_sql("text", scan.PII[k][0].replace(scan._A, chr(92) + 'b').replace(scan._Z, chr(92) + 'b'))}) AS m FROM documents""" for k in types)
+    valid = " ".join(f"WHEN '{k}' THEN {_VALID_SQL[k]}" for k in types if k in _VALID_SQL)
+    return f"""WITH RECURSIVE m AS ({kinds}), p AS (SELECT doc_id, type, m.v AS x, CAST(sum(m.gap + len(m.v)) OVER (PARTITION BY doc_id, type ORDER BY m.i) - len(m.v) AS INTEGER) AS start FROM m WHERE m.v IS NOT NULL),
+    h AS (SELECT doc_id, type, x AS v, start, CAST(start + len(x) AS INTEGER) AS stop FROM p WHERE {f"CASE type {valid} ELSE true END" if valid else "true"}),
+    r AS (SELECT doc_id, min({{'a': start, 'b': -stop, 'type': type, 'v': v}}) AS s FROM h GROUP BY doc_id UNION ALL SELECT h.doc_id, min({{'a': h.start, 'b': -h.stop, 'type': h.type, 'v': h.v}}) FROM r JOIN h ON h.doc_id = r.doc_id AND h.start >= -r.s.b GROUP BY h.doc_id),
+    s AS (SELECT doc_id, s.type AS type, s.a AS start, -s.b AS stop, s.v AS v FROM r)
+    SELECT doc_id, type, start, stop, CAST(len(left(text, start)) - len(replace(left(text, start), chr(10), '')) + 1 AS INTEGER) AS line, {_MASK_SQL} AS masked FROM s JOIN documents USING (doc_id)"""
+
+
+@query(_spans_sql(scan.DEFAULT_PII))
 def pii_spans(spark, d):
-    """TXT1, WIN7: spans of several types; tests hold them against brute force."""
+    """TXT1, WIN7, RUL4: spans of several types, overlaps settled."""
     return scan.pii_spans(read(spark, d, "documents"))
 
 
+@query(_spans_sql(tuple(scan.PII)))
+def pii_spans_all(spark, d):
+    """PRJ14, TXT1: spans of all types."""
+    return scan.pii_spans(read(spark, d, "documents"), scan.chosen_types("all"))
+
+
+@query(_spans_sql(("email", "ipv4")))
+def pii_spans_chosen(spark, d):
+    """PRJ14, TXT1: spans of two types."""
+    return scan.pii_spans(read(spark, d, "documents"), scan.chosen_types("email, ipv4"))
+
+
 @query(f"""WITH {inputs.LEAKY_SQL} SELECT doc_id, 2 AS line, pos AS "column", 1 AS nth, rule, level, masked FROM k WHERE rule = 'aws_ak'""")
 def leak_aws(spark, d):
     """TXT2, STR7, SRT7."""
@@ -374,9 +407,25 @@ def leak_tally(spark, d):
     return scan.leak_findings(read(spark, d, "documents")).groupBy("doc_id", "rule", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+def _leaks_sql() -> str:
+    holder = "(?i)" + scan._PLACEHOLDER.pattern.replace("'", "''")
+    value = """regexp_replace(x, '^[^:=]*[:=]\\s*["'']?', '')"""
+    kept = {
+        "db_url": f"NOT regexp_full_match(substr(split_part(x, '@', 1), strpos(x, '://') + 3 + strpos(substr(x, strpos(x, '://') + 3), ':')), '{holder}')",
+        "generic_secret": f"NOT (regexp_full_match({value}, '{holder}') OR right({value}, 1) IN (':', '=') OR regexp_full_match({value}, '[0-9]+') OR (regexp_full_match({value}, '[a-z]+') AND len({value}) < 12))",
+        "idcard": _PERSON_SQL, "bank": _LUHN_SQL.format(x="x"), "email": "NOT regexp_matches(x, '(?i)@(example|test|localhost|domain)\\.')",
+    }
+    plain = {rule: shape.replace(scan._B, chr(92) + "b") for rule, (shape, *_) in scan.LEAKS.items()}
+    rules = " UNION ALL ".join(f"""SELECT doc_id, line, CAST({k} AS INTEGER) AS nth, '{rule}' AS rule, '{scan.LEAKS[rule][1]}' AS level, unnest({_placed_sql("t", shape)}) AS m FROM l WHERE regexp_matches(t, '{shape.replace("'", "''")}')""" for k, (rule, shape) in enumerate(plain.items(), 1))
+    valid = " ".join(f"WHEN '{rule}' THEN {c}" for rule, c in kept.items())
+    return f"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ts FROM documents), l AS (SELECT doc_id, unnest(ts) AS t, CAST(unnest(range(1, len(ts) + 1)) AS INTEGER) AS line FROM d), m AS ({rules}),
+    p AS (SELECT doc_id, line, nth, rule, level, m.v AS x, CAST(sum(m.gap + len(m.v)) OVER (PARTITION BY doc_id, line, rule ORDER BY m.i) - len(m.v) + 1 AS INTEGER) AS "column" FROM m WHERE m.v IS NOT NULL)
+    SELECT doc_id, line, "column", nth, rule, level, CASE WHEN len(x) <= 8 THEN repeat('*', len(x)) ELSE left(x, 4) || repeat('*', CAST(least(12, len(x) - 8) AS INTEGER)) || right(x, 4) END AS masked FROM p WHERE CASE rule {valid} ELSE true END"""
+
+
+@query(_leaks_sql())
 def leak_scan(spark, d):
-    """TXT2, RUL5 with all rules; their look-arounds have no counterpart in the oracle's dialect."""
+    """TXT2, RUL5, SRT7: all rules over all documents."""
     return scan.leak_findings(read(spark, d, "documents"))
 
 
@@ -485,9 +534,15 @@ def manifest_root(spark, d):
     return files.root_hash(files.manifest(_files(spark, d)), buckets=1)
 
 
-@query()
+#: crc32 of a path, bit by bit.
+_CRC_SQL = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(path, ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) WHEN a & 1 = 1 THEN xor(a >> 1, CAST(3988292384 AS BIGINT)) ELSE a >> 1 END), CAST(4294967295 AS BIGINT))"""
+
+
+@query(f"""WITH h AS (SELECT lpad(CAST(doc_id AS VARCHAR), 10, '0') AS path, octet_length(encode(text)) AS bytes, sha256(text) AS hash FROM documents),
+    b AS (SELECT {_CRC_SQL} % 1024 AS b, count(*) AS n, sum(bytes) AS bytes, sha256(string_agg(path || chr(0) || CAST(bytes AS VARCHAR) || chr(0) || hash || chr(10), '' ORDER BY path)) AS digest FROM h GROUP BY 1)
+    SELECT CAST(sum(n) AS BIGINT) AS n_files, CAST(sum(bytes) AS BIGINT) AS bytes, sha256(string_agg(digest, '' ORDER BY b)) AS root FROM b""")
 def manifest_tree(spark, d):
-    """AGG21 for any number of files; tests hold it against a plain loop (the oracle has no crc32)."""
+    """AGG21 for any number of files."""
     return files.root_hash(files.manifest(_files(spark, d)))
 
 
@@ -591,12 +646,31 @@ def markdown_lint(spark, d):
     return documents.lint(read(spark, d, "documents"))
 
 
-@query()
+def _capital_sql(cents: str) -> str:
+    digit = lambda x: f"substr('{numbers.CAPITALS}', CAST({x} AS INTEGER) + 1, 1)"
+    places = "[" + ", ".join(f"'{p}'" for p in numbers.PLACES) + "]"
+    four = lambda k: f"substr(s, {4 * k + 1}, 4)"
+    section = lambda k, name: f"""CASE WHEN {four(k)} = '0000' THEN '零' ELSE regexp_replace(array_to_string(list_transform([1, 2, 3, 4], lambda j: CASE WHEN substr({four(k)}, j, 1) = '0' THEN '零' ELSE {digit(f"substr({four(k)}, j, 1)")} || {places}[j] END), ''), '零+$', '') || '{name}' END"""
+    whole = " || ".join(section(k, name) for k, name in enumerate(numbers.SECTIONS))
+    text = f"regexp_replace(regexp_replace({whole}, '零+', '零', 'g'), '^零|零$', '', 'g')"
+    return f"""SELECT *, CASE WHEN c < 0 THEN '负' ELSE '' END || CASE WHEN abs(c) < 100 THEN '零' ELSE {text} END || '元' || CASE WHEN j = 0 AND f = 0 THEN '整' WHEN f = 0 THEN {digit('j')} || '角' WHEN j = 0 THEN '零' || {digit('f')} || '分' ELSE {digit('j')} || '角' || {digit('f')} || '分' END AS capital
+    FROM (SELECT *, lpad(CAST(abs(c) // 100 AS VARCHAR), 16, '0') AS s, abs(c) // 10 % 10 AS j, abs(c) % 10 AS f FROM ({cents}))"""
+
+
+@query(f"SELECT c_custkey, capital FROM ({_capital_sql('SELECT c_custkey, CAST(floor(c_acctbal * 100 + 0.5) AS BIGINT) AS c FROM customer')})")
 def capital_amounts(spark, d):
-    """MTH3: tests hold it against known numerals."""
+    """MTH3."""
     return read(spark, d, "customer").select("c_custkey", numbers.capital_amount(F.floor(F.col("c_acctbal") * 100 + 0.5).cast("long")).alias("capital"))
 
 
+@query(f"SELECT o_orderkey, capital FROM ({_capital_sql('SELECT o_orderkey, CAST(CASE o_orderkey % 5 WHEN 0 THEN o_orderkey * 100000 WHEN 1 THEN o_custkey * 1000000007 WHEN 2 THEN -o_orderkey * 10000001000 WHEN 3 THEN o_orderkey % 100 ELSE o_orderkey * 10007000305 END AS BIGINT) AS c FROM orders')})")
+def capital_large(spark, d):
+    """MTH3: amounts from cents to trillions, with zeros inside."""
+    k, u = F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long")
+    cents = F.when(k % 5 == 0, k * 100000).when(k % 5 == 1, u * 1000000007).when(k % 5 == 2, -k * 10000001000).when(k % 5 == 3, k % 100).otherwise(k * 10007000305)
+    return read(spark, d, "orders").select("o_orderkey", numbers.capital_amount(cents).alias("capital"))
+
+
 @query("""SELECT doc_id, n, CASE WHEN n < 1024 THEN CAST(n AS VARCHAR) || ' B' WHEN n < 1048576 THEN printf('%.1f KB', round(n / 1024.0, 1)) WHEN n < 1073741824 THEN printf('%.1f MB', round(n / 1048576.0, 1)) ELSE printf('%.2f GB', round(n / 1073741824.0, 2)) END AS size
     FROM (SELECT doc_id, CAST(length(text) * CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 1000 ELSE 1000003 END AS BIGINT) AS n FROM documents)""")
 def text_sizes(spark, d):
@@ -1099,3 +1173,74 @@ def snapshot_newest(spark, d):
     """SET5, SRC14: the rows of the newest of several snapshots."""
     x = read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("version"))
     return timetable.latest_or_fallback(x, x.select("k").limit(0))
+
+
+# --- tables for people, packages, walks and samples --------------------------------------------------------------
+
+
+@query("""WITH w AS (SELECT greatest(max(len(c_name)), 6) AS a, greatest(max(len(b)), 7) AS b, greatest(max(len(k)), 9) AS k FROM (SELECT c_name, CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS VARCHAR) AS b, CAST(c_custkey AS VARCHAR) AS k FROM customer))
+    SELECT CAST(row_number() OVER (ORDER BY c_custkey) + 1 AS BIGINT) AS line, repeat(' ', CAST(w.k - len(CAST(c_custkey AS VARCHAR)) AS INTEGER)) || c_custkey || '  ' || c_name || repeat(' ', CAST(w.a - len(c_name) AS INTEGER)) || '  ' || repeat(' ', CAST(w.b - len(CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS VARCHAR)) AS INTEGER)) || CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS VARCHAR) AS text FROM customer, w
+    UNION ALL SELECT 0, 'c_custkey' || repeat(' ', CAST(k - 9 AS INTEGER)) || '  ' || '名称字' || repeat(' ', CAST(a - 6 AS INTEGER)) || '  ' || 'balance' || repeat(' ', CAST(b - 7 AS INTEGER)) FROM w UNION ALL SELECT 1, repeat('-', CAST(k AS INTEGER)) || '  ' || repeat('-', CAST(a AS INTEGER)) || '  ' || repeat('-', CAST(b AS INTEGER)) FROM w""")
+def terminal_table(spark, d):
+    """SNK2: a table for a terminal, with a wide head and numbers to the right."""
+    x = read(spark, d, "customer").select("c_custkey", F.col("c_name").alias("名称字"), F.col("c_acctbal").cast("decimal(12,2)").alias("balance"))
+    return documents.console_table(x, ["c_custkey"], ["c_custkey", "balance"])
+
+
+@query("""WITH p AS (SELECT 'p' || p_partkey AS package, p_partkey AS k FROM part), f AS (SELECT package, k, unnest(['name', 'description', 'description_zh', 'description_en', 'version', 'author', 'category', 'scenarios', 'roles']) AS field, unnest(range(9)) AS i FROM p WHERE k % 11 > 0)
+    SELECT package, CASE WHEN i < 6 THEN 'E' ELSE 'W' END AS level, field, 'missing' AS problem FROM f WHERE k % 9 = i UNION ALL SELECT package, 'E', 'version', 'version' FROM f WHERE field = 'version' AND k % 9 <> 4 AND k % 4 = 0
+    UNION ALL SELECT package, 'W', 'name', 'folder' FROM f WHERE field = 'name' AND k % 9 <> 0 AND k % 5 = 0 UNION ALL SELECT package, 'E', 'file', 'missing' FROM p WHERE k % 11 = 0""")
+def package_report(spark, d):
+    """RUL10: required and recommended fields, version numbers, names against folders."""
+    k, fields = F.col("p_partkey"), documents.PACKAGE_FIELDS + documents.RECOMMENDED_FIELDS
+    value = {"name": F.when(k % 5 == 0, "another").otherwise(F.concat(F.lit("'p"), k, F.lit("'"))), "version": F.when(k % 4 == 0, "1.0").otherwise('"1.0.2"')}
+    rows = [F.when(k % 9 == i, F.lit(f"# {f}: no")).otherwise(F.concat(F.lit(f"{f}: "), value.get(f, F.lit("x")))) for i, f in enumerate(fields)]
+    text = F.when(k % 11 > 0, F.concat(F.lit("---\n"), F.concat_ws("\n", *rows), F.lit("\n---\nname: body\n")))
+    return documents.package_report(read(spark, d, "part").select(F.concat(F.lit("p"), k).alias("package"), text.alias("text")))
+
+
+@query("SELECT p_partkey, [',', ';', chr(9), '|'][p_partkey % 4 + 1] AS delimiter FROM part")
+def delimiters_sniffed(spark, d):
+    """SRC4: samples whose first line has more of another delimiter than of the one that their records agree on."""
+    k = F.col("p_partkey")
+    at = lambda n: F.element_at(F.array(*map(F.lit, ",;\t|")), (F.pmod(k + n, F.lit(4)) + 1).cast("int"))
+    sep, other = at(0), at(1)
+    head = F.concat(F.lit("no"), sep, F.lit("name"), sep, F.lit('"brand'), other, other, other, F.lit('"'))
+    row = lambda n: F.concat(F.lit("\n"), k + n, sep, "p_brand", sep, F.lit("x"))
+    return read(spark, d, "part").select("p_partkey", delimited.delimiters(F.concat(head, row(1), row(2), row(3))).alias("delimiter"))
+
+
+@query("SELECT c_name AS row FROM customer WHERE c_custkey % 6 IN (0, 1)")
+def code_walk(spark, d):
+    """SRC8: lines of files worth a scan: not those in skipped folders, of skipped kinds, with zero bytes or too large."""
+    folder, k = inputs.scratch(spark, "code"), F.col("c_custkey") % 6
+    x = read(spark, d, "customer")
+    for n, place in enumerate(("src", "lib/a", "node_modules/m", "lib/dist/b", "src/zero", "src/packed")):
+        name = F.concat(F.lit("a\0"), "c_name") if place == "src/zero" else F.col("c_name")
+        x.where(k == n).select(name.alias("value")).write.option("compression", "gzip" if place == "src/packed" else "none").text(f"{folder}/{place}")
+    found = sources.code_files(spark, folder).select(sources.decoded("content").alias("t"))
+    return found.select(F.explode(F.split(F.rtrim("t", F.lit("\n")), "\n")).alias("row")).where("row <> ''")
+
+
+@query("""SELECT 'n=' || c_nationkey AS folder, CAST(sum(len(c_name) + 1) AS BIGINT) AS bytes FROM customer WHERE c_nationkey <> 3 GROUP BY c_nationkey HAVING sum(len(c_name) + 1) >= (SELECT sum(len(c_name) + 1) / 25 FROM customer)""")
+def files_large(spark, d):
+    """PRJ15, SRC7: files of a least size, without those of one name."""
+    folder, x = inputs.scratch(spark, "sizes"), read(spark, d, "customer").select("c_name", F.col("c_nationkey").alias("n"))
+    x.repartition("n").write.partitionBy("n").text(folder)
+    least = x.agg(F.ceil(F.sum(F.length("c_name") + 1) / 25)).first()[0]
+    return sources.files(spark, folder, min_bytes=least, exclude=("n=3",)).select(F.split("path", "/")[0].alias("folder"), "bytes")
+
+
+@query("""SELECT o_orderkey AS line, 'E' AS level, 'E401' AS code FROM orders, (VALUES (83), (7)) v(m) WHERE o_orderkey % m = 0""")
+def fields_required(spark, d):
+    """PRJ7, RUL2: required fields that are blank; one that the table doesn't have is not asked for."""
+    x = inputs.claims(spark, d).withColumn("approver", F.when(F.col("line") % 7 == 0, " \t").otherwise("A"))
+    return audit.expense_findings(x, as_of="2000-01-01", required=("person", "approver", "cost_centre")).where("code = 'E401'")
+
+
+@query("""SELECT p_partkey, row_number() OVER (ORDER BY p_partkey % 7, p_partkey) AS nth FROM part""")
+def chinese_names(spark, d):
+    """SRT2: names in the order of their pronunciation (an, bei, chen, ding, guo, huang, zhang)."""
+    name = F.element_at(F.array(*map(F.lit, "安北陈丁郭黄张")), (F.col("p_partkey") % 7 + 1).cast("int"))
+    x = read(spark, d, "part").select("p_partkey", text.chinese_order(name).alias("name"))
+    return ranks.positions(x, [], ["name", "p_partkey"]).select("p_partkey", "nth")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,3 +37,8 @@ def discard(*tables: DataFrame) -> None:
         if path:
             at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def sized(df: DataFrame, most: int) -> DataFrame:
+    """A side of a join, broadcast once it is counted to have no more than most rows; a larger one is merged."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")

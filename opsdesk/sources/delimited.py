@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trim_u
@@ -58,6 +58,17 @@ def sniff_consistent(text: str, order: str = ",;\t|") -> str:
     return max(order, key=lambda d: (score(d), -order.index(d)))
 
 
+def delimiters(text: Column | str, *, consistent: bool = True) -> Column:
+    """SRC3, SRC4: the delimiter of each text, a sample of a file."""
+    choose = sniff_consistent if consistent else sniff
+
+    @F.pandas_udf("string")
+    def chosen(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: choose(t or ""))
+
+    return chosen(text)
+
+
 def records(spark: SparkSession, path: str, delimiter: str | None = None, **options) -> DataFrame:
     """SRC2: doc_id (file), line (record number from 1), cells of every file; a file is parsed in one task, so this is for many
     files of moderate size. split_records() takes files of any size."""

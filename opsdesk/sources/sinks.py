@@ -33,10 +33,3 @@ def write_manifest(entries: DataFrame, path: str, *, overwrite: bool = False) ->
 def write_deletions(dups: DataFrame, path: str, *, overwrite: bool = False) -> None:
     """SNK6: the paths beyond the kept copy, as text. Nothing is deleted."""
     dups.where("rank > 1").select("path").write.mode("overwrite" if overwrite else "error").text(path)
-
-
-def console_table(df: DataFrame, n: int = 20) -> str:
-    """SNK2: the first n rows as aligned text."""
-    from ..operators.documents import markdown_table
-
-    return "\n".join(r.text for r in markdown_table(df.limit(n), df.columns).orderBy("line").collect())

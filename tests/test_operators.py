@@ -408,7 +408,58 @@ def test_writers(spark, tmp_path):
         sinks.write_csv(df, f"{tmp_path}/csv")
     sinks.write_report(df, f"{tmp_path}/json")
     assert spark.read.json(f"{tmp_path}/json").count() == 2
-    assert sinks.console_table(df).split("\n")[0] == "| h1  | h2  |"
+
+
+def test_terminal_tables(spark):
+    df = spark.createDataFrame([("部门一", 5, 1), ("b", None, 2), ("cc", 12345, 3)], "dept string, total long, k int")
+    got = documents.console_table(df, ["k"], ["total"]).orderBy("line").collect()
+    assert [r.text for r in got] == ["dept    total  k", "------  -----  -", "部门一      5  1", "b           —  2", "cc      12345  3"]
+    assert [r.text for r in documents.console_table(df.limit(0), ["k"], ["total"]).orderBy("line").collect()] == ["dept  total  k", "----  -----  -"]
+
+
+def test_package_reports(spark):
+    full = "".join(f"\n{k}: x" for k in documents.PACKAGE_FIELDS[1:] if k != "version") + "".join(f"\n{k}: x" for k in documents.RECOMMENDED_FIELDS)
+    rows = [("p1", f"---\nname: 'p1'\nversion: \"1.2.3\"{full}\n---\nbody"), ("p2", f"intro\r\n---  \r\nname: other\r\nname: p2\r\nversion: v1{full}\r\n---\r\n"), ("p3", None), ("p4", "---\n---\nname: p4"), ("p5", f"---\nname: p5\nversion:\ncategory: c{full}")]
+    got = sorted(map(tuple, documents.package_report(spark.createDataFrame(rows, "package string, text string")).collect()))
+    missing = sorted([("p4", "E", k, "missing") for k in documents.PACKAGE_FIELDS] + [("p4", "W", k, "missing") for k in documents.RECOMMENDED_FIELDS])
+    assert got == sorted([("p2", "E", "version", "version"), ("p2", "W", "name", "folder"), ("p3", "E", "file", "missing"), *missing, ("p5", "E", "version", "missing")])
+
+
+def test_types_and_delimiters(spark):
+    assert scan.chosen_types() == scan.DEFAULT_PII and scan.chosen_types("email, Phone,email") == ("email", "phone") and scan.chosen_types("phone,all") == tuple(scan.PII)
+    with pytest.raises(ValueError, match="no type fax"):
+        scan.chosen_types("fax")
+    df = spark.createDataFrame([("a,b c|d\n1|2\n3|4",), ("a;b\n1;2",), ("",), (None,)], "text string")
+    assert [r[0] for r in df.select(delimited.delimiters("text")).collect()] == ["|", ";", ",", ","]
+    assert df.select(delimited.delimiters("text", consistent=False)).first()[0] == ","
+
+
+def test_clauses_in_one_pass(spark):
+    """The automaton's places against str.count and str.find, with keywords inside each other and more rows than a batch holds."""
+    import random
+
+    r = random.Random(3)
+    texts = [None, "", *("".join(r.choice("ab\n甲") for _ in range(r.randint(1, 60))) for _ in range(300))]
+    profile = [("x", True, ["a", "aa", "aba"]), ("y", False, ["甲甲", "", "b\nb"]), ("z", True, ["zz"])] + [(f"c{k}", k % 2 == 0, ["ab", "甲a"]) for k in range(200)]
+    got = scan.clause_coverage(docs(spark, *texts), spark.createDataFrame(profile, "clause string, required boolean, keywords array<string>")).collect()
+    assert len(got) == len(texts) * len(profile)
+    by = {(g.doc_id, g.clause): g for g in got}
+    for k, t in enumerate(texts, min(g.doc_id for g in got)):
+        t = t or ""
+        for clause, required, words in profile:
+            there = [w for w in words if w and w in t]
+            line = t.count("\n", 0, min(map(t.find, there))) + 1 if there else None
+            g = by[k, clause]
+            assert (g.hits, g.line, g.sample, g.missing) == (sum(map(t.count, there)), line, there[:3], required and not there)
+
+
+def test_sides_beyond_the_bound_are_merged(spark):
+    from opsdesk.shared import sized
+
+    a, b = spark.range(10), spark.range(5)
+    for most, kind in ((5, "Broadcast"), (4, "SortMergeJoin")):
+        joined = a.join(sized(b, most), "id")
+        assert kind in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 5
 
 
 def test_lists(spark, tmp_path):
