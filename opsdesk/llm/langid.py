@@ -29,13 +29,15 @@ from .ngrams import Distinct, hashed, slices
 SPECTRUM = (1, 3)
 BITS = 20
 ROWS = 256  # of one matrix product
+_SLAB = 1 << 15  # columns of one matrix product
+_PAIRS = 1 << 22  # texts' n-grams held at once
 _OTHER, _LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 
 
 @dataclass
 class Model:
     vocabulary: np.ndarray  # buckets of the landmarks' n-grams
-    presence: np.ndarray  # vocabulary x landmarks
+    presence: np.ndarray  # vocabulary x landmarks, eight landmarks a byte
     root: np.ndarray  # of each landmark's number of n-grams
     coefficients: np.ndarray  # landmarks x languages
     languages: list[str]
@@ -48,19 +50,68 @@ def normal(text: str | None) -> str:
 
 
 class Kernel:
+    """Kernel values of texts against the landmarks. A batch is a product of its presence matrix with that of the landmarks, ``_SLAB``
+    columns of the vocabulary at a time, and at most about ``_PAIRS`` (text, n-gram) pairs at once; the landmarks' matrix is kept in bits. So
+    neither long texts nor long landmarks make a large matrix. Sums are counts below 2^24, exact in single precision."""
+
     def __init__(self, vocabulary: np.ndarray, presence: np.ndarray, root: np.ndarray):
         self.at = np.full(1 << BITS, -1, np.int32)
         self.at[vocabulary] = np.arange(len(vocabulary), dtype=np.int32)
-        self.presence, self.root, self.distinct = presence, root, Distinct(1 << BITS)
+        self.bits = presence if presence.dtype == np.uint8 else np.packbits(presence > 0, axis=1)
+        self.root, self.distinct = root, Distinct(1 << BITS)
+        self.slabs = list(slices(len(vocabulary), _SLAB))
+        self.only = _unpacked(self.bits, len(root)) if len(self.slabs) == 1 else None
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        x, norm = np.zeros((len(texts), len(self.presence)), np.float32), np.ones(len(texts))
+        out, norm = np.zeros((len(texts), len(self.root)), np.float32), np.ones(len(texts))
+        held: list[tuple[int, np.ndarray]] = []
         for i, text in enumerate(texts):
             grams = self.distinct(hashed(text, SPECTRUM, BITS))
             norm[i] = np.sqrt(max(1, len(grams)))
             k = self.at[grams]
-            x[i, k[k >= 0]] = 1
-        return (x @ self.presence) / (norm[:, None] * self.root)
+            held.append((i, k[k >= 0]))
+            if sum(len(k) for _, k in held) > _PAIRS:
+                self._add(out, held)
+                held = []
+        self._add(out, held)
+        return out / (norm[:, None] * self.root)
+
+    def _add(self, out: np.ndarray, held: list[tuple[int, np.ndarray]]) -> None:
+        if not held:
+            return
+        columns = np.concatenate([k for _, k in held])
+        rows = np.repeat(np.arange(len(held), dtype=np.int32), [len(k) for _, k in held])
+        if len(self.slabs) > 1:
+            order = np.argsort(columns, kind="stable")
+            rows, columns = rows[order], columns[order]
+        for s in self.slabs:
+            a, b = (0, len(columns)) if self.only is not None else np.searchsorted(columns, [s.start, s.stop])
+            x = np.zeros((len(held), s.stop - s.start), np.float32)
+            x[rows[a:b], columns[a:b] - s.start] = 1
+            out[[i for i, _ in held]] += x @ (self.only if self.only is not None else _unpacked(self.bits[s], len(self.root)))
+
+
+def _unpacked(bits: np.ndarray, n: int) -> np.ndarray:
+    return np.unpackbits(bits, axis=1, count=n).astype(np.float32)
+
+
+def _landmarks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The vocabulary of the landmarks, their presence in bits, the roots of their sizes, and how many n-grams each two share. The texts are
+    gone through twice, so that one text's n-grams are held at a time."""
+    distinct, seen, sizes = Distinct(1 << BITS), np.zeros(1 << BITS, bool), []
+    for t in texts:
+        grams = distinct(hashed(t, SPECTRUM, BITS))
+        seen[grams] = True
+        sizes.append(len(grams))
+    vocabulary = np.flatnonzero(seen).astype(np.int32)
+    bits = np.zeros((len(vocabulary), -(-len(texts) // 8)), np.uint8)
+    for j, t in enumerate(texts):
+        bits[np.searchsorted(vocabulary, distinct(hashed(t, SPECTRUM, BITS))), j // 8] |= 128 >> j % 8
+    shared = np.zeros((len(texts), len(texts)))
+    for s in slices(len(vocabulary), _SLAB):
+        u = _unpacked(bits[s], len(texts))
+        shared += u.T @ u
+    return vocabulary, bits, np.sqrt(sizes), shared
 
 
 def _sums(kernel_of: Callable[[], Kernel], whiten: np.ndarray, languages: list[str]) -> Callable:
@@ -88,7 +139,7 @@ def fit(documents: DataFrame, *, learn: Column | None = None, n_landmarks: int =
     n = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(n)
     if not languages:
-        return Model(np.zeros(0, np.int32), np.zeros((0, 0), np.float32), np.zeros(0), np.zeros((0, 0)), [])
+        return Model(np.zeros(0, np.int32), np.zeros((0, 0), np.uint8), np.zeros(0), np.zeros((0, 0)), [])
     each = -(-n_landmarks // len(languages))
 
     def sampled(per_language: float, seed: int) -> DataFrame:
@@ -101,13 +152,8 @@ def fit(documents: DataFrame, *, learn: Column | None = None, n_landmarks: int =
     letter = F.col("text").rlike(r"\p{L}")
     few = sampled(4 * each + 20, 7).where(letter).select("lang", "text", F.row_number().over(order).alias("k")).where(F.col("k") <= each).orderBy("lang", "k").toPandas()
     texts = list(filter(None, map(normal, few.text))) or [" a "]
-    grams = [np.unique(hashed(t, SPECTRUM, BITS)) for t in texts]
-    vocabulary = np.unique(np.concatenate(grams))
-    presence = np.zeros((len(vocabulary), len(texts)), np.float32)
-    for j, g in enumerate(grams):
-        presence[np.searchsorted(vocabulary, g), j] = 1
-    root = np.sqrt([len(g) for g in grams])
-    value, vector = np.linalg.eigh((presence.T @ presence).astype(float) / np.outer(root, root))
+    vocabulary, presence, root, shared = _landmarks(texts)
+    value, vector = np.linalg.eigh(shared / np.outer(root, root))
     keep = value > 1e-8
     whiten = vector[:, keep] / np.sqrt(value[keep])
     got = sampled(max_fit_rows / len(languages), 11).mapInPandas(_sums(lambda: Kernel(vocabulary, presence, root), whiten, languages), "sums array<double>")
