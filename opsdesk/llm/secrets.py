@@ -42,6 +42,8 @@ DICTIONARY = (
     "tag target task template test text theme thing this time title token tool track tree trigger type union unit update upload user value "
     "version video view visible watch widget width window with word work write your zone"
 ).split()
+#: What stands between the name of a header and its credential.
+SCHEMES = "bearer|basic|digest|negotiate"
 FEATURES = ("length", "transitions", "vowel_changes", "digits", "uppers", "others", "distinct", "longest_lower", "hex", "covered", "placeholder", "path_like", "sample_path", "credential_near", "identifier_near", "named")
 
 
@@ -155,8 +157,10 @@ def fit(findings: DataFrame, *, trees: int = 40, depth: int = 8, seed: int = 7)
 
 
 def scan(documents: DataFrame, model: RandomForestClassificationModel, *, path: str = "source", min_chars: int = 16, min_named: int = 6, threshold: float = 0.5) -> DataFrame:
-    """doc_id, nth, name, masked, digest, length, score (0 to 1) and secret (score >= threshold) of every candidate."""
-    found = featured(candidates(documents, path=path, min_chars=min_chars, min_named=min_named))
+    """doc_id, nth, name, masked, digest, length, score (0 to 1) and secret (score >= threshold) of every candidate but the
+    scheme of a header (Authorization: Bearer), which is no value; what follows it is a candidate of its own."""
+    scheme = rf"""(?i)^[^A-Za-z]*(?:[A-Za-z_][\w.\-]*["']?[:=]["']?)?(?:{SCHEMES})[^A-Za-z0-9]*$"""
+    found = featured(candidates(documents, path=path, min_chars=min_chars, min_named=min_named).where(~F.col("token").rlike(scheme)))
     scored = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found))
     score: Column = F.element_at(vector_to_array("probability"), 2)
     masked = F.concat(F.substring("value", 1, 3), F.lit("***"))

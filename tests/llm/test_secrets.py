@@ -52,3 +52,12 @@ def test_values_go_to_their_quote_or_blank(spark):
     assert got[3] == [("password", "ab/cd:ef=gh1")] and got[4] == [("secret", "/9j/4AAQSkZJ==")] and got[6] == [("key", "hunter2!")]
     assert got[9] == [("secret", "/9j/4AAQSkZJ==")] and got[10] == [("api_key", "q8Zr:4TnV")]
     assert 8 not in got and all(name == "" for name, _ in got.get(7, []))
+
+
+def test_the_scheme_of_a_header_is_no_secret(spark):
+    real = "q8Zr4TnV0pLw7XkD2mHs9YbJ5cGf1EaR"
+    texts = [f"Authorization: Bearer {real}", f'"Authorization": "Basic {real}"', f"authorization=bearer {real}", f"Authorization:\n  Negotiate {real}"]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = secrets.scan(docs, secrets.fit(secrets.labelled_findings(spark, 2_000), trees=10)).collect()
+    assert sorted(r.doc_id for r in got if r.length == len(real)) == [0, 1, 2, 3]
+    assert not {r.length for r in got} & {len("basic"), len("bearer"), len("negotiate")}
