@@ -83,10 +83,12 @@ SECTIONS = ("万亿", "亿", "万", "")
 
 
 def capital_amount(cents: Column | str) -> Column:
-    """MTH3: cents as a capital numeral: sections of four digits, inner zeros as one, 整 without 角 and 分."""
+    """MTH3: cents as a capital numeral: sections of four digits, inner zeros as one, 整 without 角 and 分. All in whole numbers: a
+    double has no room for every amount over 2^53 cents."""
     cents = F.col(cents) if isinstance(cents, str) else cents
-    a = F.abs(cents)
-    yuan, jiao, fen = F.floor(a / 100).cast("long"), F.pmod(F.floor(a / 10), F.lit(10)).cast("int"), F.pmod(a, F.lit(10)).cast("int")
+    a = F.abs(cents).cast("long")
+    div = lambda x, y: F.call_function("div", x, F.lit(y))
+    yuan, jiao, fen = div(a, 100), F.pmod(div(a, 10), F.lit(10)).cast("int"), F.pmod(a, F.lit(10)).cast("int")
     digit = lambda d: F.substring(F.lit(CAPITALS), 1, 1) if d is None else F.lit(CAPITALS).substr(d + 1, F.lit(1))
     digits = F.lpad(yuan.cast("string"), 16, "0")
     parts = []

@@ -31,6 +31,14 @@ def test_capital_amounts(spark):
     assert dict(zip(cases, one(spark, list(cases), numbers.capital_amount("v"), "long"), strict=True)) == cases
 
 
+def test_capital_amounts_beyond_the_whole_numbers_of_a_double(spark):
+    cases = {
+        9_007_199_254_740_993: "玖拾万亿零柒佰壹拾玖亿玖仟贰佰伍拾肆万柒仟肆佰零玖元玖角叁分", 90_000_000_000_000_099: "玖佰万亿元玖角玖分",
+        -99_999_999_999_999_999: "负玖佰玖拾玖万亿玖仟玖佰玖拾玖亿玖仟玖佰玖拾玖万玖仟玖佰玖拾玖元玖角玖分",
+    }
+    assert dict(zip(cases, one(spark, list(cases), numbers.capital_amount("v"), "long"), strict=True)) == cases
+
+
 def test_rates_and_cents(spark):
     assert one(spark, ["13%", "13", "0.13", "1", ""], numbers.tax_rate("v")) == [0.13, 0.13, 0.13, 1.0, None]
     assert one(spark, [0, 5, -1234, 100000], numbers.cents_text("v"), "long") == ["0.00", "0.05", "-12.34", "1000.00"]
