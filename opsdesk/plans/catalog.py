@@ -1217,7 +1217,8 @@ def code_walk(spark, d):
     x = read(spark, d, "customer")
     for n, place in enumerate(("src", "lib/a", "node_modules/m", "lib/dist/b", "src/zero", "src/packed")):
         name = F.concat(F.lit("a\0"), "c_name") if place == "src/zero" else F.col("c_name")
-        x.where(k == n).select(name.alias("value")).write.option("compression", "gzip" if place == "src/packed" else "none").text(f"{folder}/{place}")
+        # Files of code grow in number, not in size: one over the scan's limit is none of its lines.
+        x.where(k == n).select(name.alias("value")).write.option("maxRecordsPerFile", 20_000).option("compression", "gzip" if place == "src/packed" else "none").text(f"{folder}/{place}")
     found = sources.code_files(spark, folder).select(sources.decoded("content").alias("t"))
     return found.select(F.explode(F.split(F.rtrim("t", F.lit("\n")), "\n")).alias("row")).where("row <> ''")
 

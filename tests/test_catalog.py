@@ -6,6 +6,7 @@ from decimal import Decimal
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from opsdesk.plans import catalog
 
@@ -42,3 +43,9 @@ def test_query(spark, duck, name):
     if name in catalog.ORACLE_SQL:
         cur = duck.execute(catalog.ORACLE_SQL[name])
         assert got == rows([c[0] for c in cur.description], cur.fetchall())
+
+
+def test_code_walk_with_many_lines(spark, tmp_path):
+    customers = spark.range(700_000).select(F.col("id").alias("c_custkey"), F.format_string("Customer#%09d", "id").alias("c_name"))
+    customers.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    assert catalog.QUERIES["code_walk"](spark, str(tmp_path)).distinct().count() == 2 * 116_667
