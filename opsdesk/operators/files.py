@@ -112,7 +112,8 @@ def rename_plan(files: DataFrame, *, style: str | None = None, find: str | None
     x = x.withColumn("out", out)
     if template:
         x = positions(x, ["dir"], [order, "path"], "seq").withColumn("seq", F.col("seq") + start - 1)
-        values = {"name": F.col("out"), "ext": F.regexp_replace("ext", r"^\.", ""), "seq": F.lpad(F.col("seq").cast("string"), pad, "0"), "date": F.date_format("mtime", "yyyyMMdd"), "time": F.date_format("mtime", "HHmmss")}
+        number = F.col("seq").cast("string")  # lpad cuts what is longer
+        values = {"name": F.col("out"), "ext": F.regexp_replace("ext", r"^\.", ""), "seq": F.lpad(number, F.greatest(F.length(number), F.lit(pad)), F.lit("0")), "date": F.date_format("mtime", "yyyyMMdd"), "time": F.date_format("mtime", "HHmmss")}
         new = F.lit(template)
         for k, v in values.items():
             new = F.replace(new, F.lit("{%s}" % k), v)

@@ -478,6 +478,10 @@ def test_rename(spark):
     assert got[0].startswith("20240305_005.")
     assert {r.problem for r in files.rename_plan(df, template="same").collect()} == {"taken"} and {r.problem for r in files.rename_plan(df, find=r"^.*$", replace="a?", regex=True).collect()} == {"forbidden"}
 
+    many = spark.range(12).select(F.format_string("d/%02d.csv", "id").alias("path"), F.lit(0).alias("bytes"), F.current_timestamp().alias("mtime"))
+    got = [(r.new_name, r.problem) for r in files.rename_plan(many, template="f{seq}.{ext}", pad=1).orderBy("name").collect()]
+    assert got == [(f"f{n}.csv", None) for n in range(1, 13)]  # numbers longer than pad are whole
+
 
 # --- calendars ---------------------------------------------------------------------------------------------------
 
