@@ -470,15 +470,19 @@ RECOMMENDED_FIELDS = ("category", "scenarios", "roles")
 def package_report(packages: DataFrame, *, required: tuple[str, ...] = PACKAGE_FIELDS, recommended: tuple[str, ...] = RECOMMENDED_FIELDS) -> DataFrame:
     """RUL10: package, level, field, problem of packages (package: its folder's name, text: its head file, null if it has none, which is the
     only finding then): E missing and version (not of three numbers), W missing (recommended) and folder (its name is another). Of a
-    repeated field the first counts; quotes go. One map over the texts."""
+    repeated field the first counts; quotes go. One map over the texts, whose heads are cut out once."""
     head = F.regexp_extract(F.regexp_replace("text", "\r", ""), r"(?s)\A(?:.*?\n)??---[ \t]*(?=\n|\z)(.*?)(?:\n---[ \t]*(?=\n|\z)|\z)", 1)
-    value = lambda k: F.regexp_replace(F.regexp_replace(F.regexp_extract(head, rf"\n{re.escape(k)}:[ \t]*([^\n]*)", 1), "[\"']", ""), r"\s+$", "")
+    value = lambda k: F.regexp_replace(F.regexp_replace(F.regexp_extract("_head", rf"\n{re.escape(k)}:[ \t]*([^\n]*)", 1), "[\"']", ""), r"\s+$", "")
+    fields = {k: f"_v{n}" for n, k in enumerate(dict.fromkeys((*required, *recommended, "version", "name")))}
+    heads = packages.select("package", F.col("text").isNull().alias("_none"), head.alias("_head"))
+    read = heads.select("package", "_none", *[value(k).alias(v) for k, v in fields.items()])
+    of = lambda k: F.col(fields[k])
     finding = lambda when, level, field, problem: F.when(when, F.struct(F.lit(level).alias("level"), F.lit(field).alias("field"), F.lit(problem).alias("problem")))
-    rules = [finding(value(k) == "", level, k, "missing") for level, ks in (("E", required), ("W", recommended)) for k in ks]
-    rules.append(finding((value("version") != "") & ~value("version").rlike(r"^[0-9]+\.[0-9]+\.[0-9]+$"), "E", "version", "version"))
-    rules.append(finding((value("name") != "") & (value("name") != F.col("package")), "W", "name", "folder"))
-    found = F.when(F.col("text").isNull(), F.array(finding(F.lit(True), "E", "file", "missing"))).otherwise(F.filter(F.array(*rules), lambda x: x.isNotNull()))
-    return packages.select("package", F.explode(found).alias("x")).select("package", "x.*")
+    rules = [finding(of(k) == "", level, k, "missing") for level, ks in (("E", required), ("W", recommended)) for k in ks]
+    rules.append(finding((of("version") != "") & ~of("version").rlike(r"^[0-9]+\.[0-9]+\.[0-9]+$"), "E", "version", "version"))
+    rules.append(finding((of("name") != "") & (of("name") != F.col("package")), "W", "name", "folder"))
+    found = F.when(F.col("_none"), F.array(finding(F.lit(True), "E", "file", "missing"))).otherwise(F.filter(F.array(*rules), lambda x: x.isNotNull()))
+    return read.select("package", F.explode(found).alias("x")).select("package", "x.*")
 
 
 def package_tree_findings(files: DataFrame, versions: DataFrame | None = None) -> DataFrame:

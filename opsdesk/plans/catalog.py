@@ -1196,7 +1196,8 @@ def package_report(spark, d):
     value = {"name": F.when(k % 5 == 0, "another").otherwise(F.concat(F.lit("'p"), k, F.lit("'"))), "version": F.when(k % 4 == 0, "1.0").otherwise('"1.0.2"')}
     rows = [F.when(k % 9 == i, F.lit(f"# {f}: no")).otherwise(F.concat(F.lit(f"{f}: "), value.get(f, F.lit("x")))) for i, f in enumerate(fields)]
     text = F.when(k % 11 > 0, F.concat(F.lit("---\n"), F.concat_ws("\n", *rows), F.lit("\n---\nname: body\n")))
-    return documents.package_report(read(spark, d, "part").select(F.concat(F.lit("p"), k).alias("package"), text.alias("text")))
+    parts = read(spark, d, "part").select("p_partkey").repartition("p_partkey")  # a small file, of which much text is made
+    return documents.package_report(parts.select(F.concat(F.lit("p"), k).alias("package"), text.alias("text")))
 
 
 @query("SELECT p_partkey, [',', ';', chr(9), '|'][p_partkey % 4 + 1] AS delimiter FROM part")

@@ -798,3 +798,14 @@ def test_clause_places(spark):
     profile = spark.createDataFrame([("pay", True, ["付款", "价款", "支付", "结算"]), ("law", True, ["管辖"])], "clause string, required boolean, keywords array<string>")
     got = rows(scan.clause_coverage(docs(spark, "甲\n支付价款，价款\n结算付款"), profile), "clause", "hits", "line", "sample", "missing")
     assert got == [("law", 0, None, [], True), ("pay", 5, 2, ["付款", "价款", "支付"], False)]
+
+
+def test_package_heads_are_cut_out_once(spark):
+    df = documents.package_report(spark.createDataFrame([("a", "---\nname: b\n---\n"), ("c", None)], "package string, text string").repartition(1))
+    before = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        assert df._jdf.queryExecution().optimizedPlan().toString().count(r"\A(?:.*?") == 1
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", before)
+    assert {tuple(x) for x in df.collect()} >= {("a", "W", "name", "folder"), ("c", "E", "file", "missing")}
