@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from ..functions.text import WIDE, display_width, markdown_cell, numericish
 from ..sources.files import front_matter
 from .ranks import positions
 
+#: Texts that a task holds as Python objects at a time.
+SLICE = 256
 _FENCE = re.compile(r"\s*(```+|~~~+)(.*)", re.S)
 #: What a line outside of fences is tested for; headings, list items and other lines each have their own rules.
 _ANY_LINE = {"MD009": r"[ \t]+$", "MD010": r"^\t"}
@@ -89,14 +92,21 @@ def _lint(text: str) -> list[tuple[int, str]]:
 
 
 def _each_text(documents: DataFrame, rows_of: Callable[[str], list[tuple]], schema: str) -> DataFrame:
-    """doc_id and the rows that a function finds in each text, in one pass of Arrow batches."""
-    names = ["doc_id", *[f.split()[0] for f in schema.split(", ")]]
+    """doc_id and the rows that a function finds in each text, in one pass of Arrow batches. Texts and rows are Python objects for
+    SLICE texts at a time only."""
+    kinds = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    names, types = zip(*[(f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")], strict=True)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            yield pd.DataFrame([(d, *x) for d, t in zip(pdf.doc_id, pdf.text, strict=True) for x in rows_of(t or "")], columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE):
+                part = batch.slice(k, SLICE)
+                rows = [(n, *x) for n, t in enumerate(part.column("text").to_pylist()) for x in rows_of(t or "")]
+                nth, *columns = zip(*rows, strict=True) if rows else [()] * (1 + len(names))
+                doc_id = part.column("doc_id").take(pa.array(nth, type=pa.int32()))
+                yield pa.RecordBatch.from_arrays([doc_id, *map(pa.array, columns, types)], names=["doc_id", *names])
 
-    return documents.select("doc_id", "text").mapInPandas(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, {schema}")
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, {schema}")
 
 
 def markdown_lines(documents: DataFrame) -> DataFrame:
@@ -146,12 +156,9 @@ def _fixed(text: str) -> str:
 def fix(text: Column | str) -> Column:
     """TXT8: outside of code fences blanks at line ends go, leading tabs become two blanks each, list marks become the first
     one that the text uses, tables get their separator, full rows and aligned columns; a fence left open is closed; one line
-    end at the end. Linear in the lines of a text, in Arrow batches."""
-
-    @F.pandas_udf("string")
-    def fixed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None else _fixed(t))
-
+    end at the end. Linear in the lines of a text. Rows go to Python some hundred at a time: an Arrow batch of ten thousand long
+    texts, twice, is too much for a worker."""
+    fixed = F.udf(lambda t: t if t is None else _fixed(t), "string", useArrow=False)
     return fixed(F.col(text) if isinstance(text, str) else text)
 
 

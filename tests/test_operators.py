@@ -809,3 +809,12 @@ def test_package_heads_are_cut_out_once(spark):
     finally:
         spark.conf.set("spark.sql.debug.maxToStringFields", before)
     assert {tuple(x) for x in df.collect()} >= {("a", "W", "name", "folder"), ("c", "E", "file", "missing")}
+
+
+def test_texts_are_python_objects_a_few_at_a_time(spark):
+    texts = spark.range(0, 1000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("a  \n").alias("text"))
+    plan = texts.select(documents.fix("text"))._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan  # a hundred rows, not ten thousand
+    rows = documents._each_text(texts, lambda t: [(k,) for k in range(20)], "nth int")
+    assert "MapInArrow" in rows._jdf.queryExecution().executedPlan().toString() and "MapInPandas" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.count() == 20_000 and rows.select("doc_id").distinct().count() == 1000
