@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import day_gap
-from ..shared import discard, written
+from ..shared import discard, sized, written
 from .ranks import joined, positions
 
 
@@ -196,23 +196,66 @@ def match_split(a: DataFrame, b: DataFrame, *, days: int = 3, parts: int = 3, po
     return spark.createDataFrame(found, nothing.schema)
 
 
-def near_misses(a: DataFrame, b: DataFrame, *, days: int = 3, ratio: float = 0.01) -> DataFrame:
-    """JN9: pairs of one sign, within days, that differ by at most max(100, ratio * |a|) cents but not by nothing. Two sizes
-    of amounts that may meet are in the same or neighbouring buckets of a logarithmic scale, two dates in those of a scale of
-    days + 1; each entry of a is repeated for the neighbours, so both are keys of the join. Undated entries meet any date:
-    they are joined by the amount's bucket alone, each side's with the other's."""
-    tolerance = F.greatest(F.lit(100), F.round(F.abs("cents_a") * ratio)).cast("long")
-    fits = (F.signum("cents_a") == F.signum("cents_b")) & (F.abs(F.col("cents_a") - F.col("cents_b")) <= tolerance) & (F.col("cents_a") != F.col("cents_b"))
-    step = 2 * math.log1p(ratio)  # a difference within the tolerance is half of it, about
-    size = lambda c: F.floor(F.log(F.abs(F.col(c)) + 100 / ratio) / step).cast("long")
-    week = lambda c: F.floor(F.unix_date(c) / (days + 1)).cast("long")
-    left = a.select(F.col("line").alias("line_a"), F.col("cents").alias("cents_a"), F.col("d").alias("d_a")).withColumn("s", F.explode(F.sequence(size("cents_a") - 1, size("cents_a") + 1)))
-    right = b.select(F.col("line").alias("line_b"), F.col("cents").alias("cents_b"), F.col("d").alias("d_b")).withColumn("s", size("cents_b"))
-    cols = ["line_a", "line_b", "cents_a", "cents_b"]
-    around = left.where("d_a is not null").withColumn("w", F.explode(F.sequence(week("d_a") - 1, week("d_a") + 1)))
-    dated = around.join(right.where("d_b is not null").withColumn("w", week("d_b")), ["s", "w"]).where(fits & (F.abs(F.datediff("d_a", "d_b")) <= days))
-    any_date = left.where("d_a is null").join(right, "s").where(fits).union(left.where("d_a is not null").join(right.where("d_b is null"), "s").where(fits))
-    return dated.select(*cols, day_gap(F.col("d_a"), F.col("d_b")).alias("gap")).union(any_date.select(*cols, F.lit(0).alias("gap")))
+def _grouped(side: DataFrame, block: int, hot: bool) -> DataFrame:
+    """cents, d, block, lines: the entries of each amount and date, of a common one (hot: there are such) in blocks of about so
+    many."""
+    value, part = ["cents", "d"], F.lit(0).cast("long")
+    if hot:
+        common = side.groupBy(*value).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")).where("blocks > 1")
+        side, part = joined(side, common, value, "left"), F.pmod(F.xxhash64("line"), F.coalesce("blocks", F.lit(1)))
+    return side.groupBy(*value, part.alias("block")).agg(F.collect_list(F.struct("line")).alias("lines"))
+
+
+def near_misses(a: DataFrame, b: DataFrame, *, days: int = 3, ratio: float = 0.01, block: int = 4096, pairs: int = 1 << 28) -> DataFrame:
+    """JN9: pairs of one sign, within days, that differ by at most max(100, ratio * |a|) cents but not by nothing. Entries of
+    one amount and date have the same partners, so these are joined as one row with a list of at most ``block`` lines or so, and
+    the lists are multiplied out after the join, where nothing is dealt again.
+
+    Keys of the join are the sign, a bucket of a logarithmic scale of amounts and one of a scale of days + 1; a's rows are repeated
+    for the buckets that their tolerance reaches. Undated entries meet any date: those of b have a bucket of their own that all
+    of a look into, those of a one that all dated ones of b look into. A cell of more than ``pairs`` pairs is cut: the side with
+    more rows is dealt over its cuts, the other is repeated for each."""
+    step = 2 * math.log1p(ratio)  # so that the tolerance reaches into two buckets, about
+    size = lambda c: F.floor(F.log(c + 100 / ratio) / step).cast("long")
+    week = lambda d: F.floor(d / (days + 1)).cast("long")
+    whole, day, dated, zero = F.abs("cents"), F.unix_date("d"), F.col("d").isNotNull(), F.lit(0).cast("long")
+    tolerance = F.greatest(F.lit(100), F.round(whole * ratio)).cast("long")
+    undated_a, undated_b = F.lit(1 << 40), F.lit((1 << 40) + 1)  # beyond all dates
+    key, value, up = ["up", "s", "w"], ["cents", "d"], (F.col("cents") > 0).alias("up")
+
+    def cells_a(df: DataFrame) -> DataFrame:
+        most = F.least(whole, F.lit((1 << 63) - 1) - tolerance) + tolerance
+        df = df.select("*", up, F.explode(F.sequence(size(F.greatest(whole - tolerance, zero)), size(most))).alias("s"))
+        return df.withColumn("w", F.explode(F.when(dated, F.array_append(F.sequence(week(day - days), week(day + days)), undated_b)).otherwise(F.array(undated_a, undated_b))))
+
+    def cells_b(df: DataFrame) -> DataFrame:
+        return df.select("*", up, size(whole).alias("s"), F.explode(F.when(dated, F.array(week(day), undated_a)).otherwise(F.array(undated_b))).alias("w"))
+
+    sides = [(cells_a, a.select("line", *value).where("cents <> 0")), (cells_b, b.select("line", *value).where("cents <> 0"))]
+    counts = [cells(side.groupBy(*value).agg(F.count(F.lit(1)).alias("n"))).select(*key, "n", F.ceil(F.col("n") / block).alias("blocks"), F.lit(i).alias("side")) for i, (cells, side) in enumerate(sides)]
+    n, rows = ([F.sum(F.when(F.col("side") == i, F.col(c)).otherwise(0)) for i in (0, 1)] for c in ("n", "blocks"))
+    cuts = F.least(F.ceil(n[0].cast("double") * n[1] / pairs), F.greatest(*rows))
+    loads = counts[0].union(counts[1]).groupBy(*key).agg(cuts.alias("cuts"), (rows[0] >= rows[1]).alias("deal_a"), (F.max("blocks") > 1).alias("hot"))
+    loads = written(loads.where("cuts > 1 or hot"))
+    heavy, hot = loads.where("cuts > 1"), {x.hot for x in loads.select("hot").distinct().collect()}
+    cut = bool(hot) and not heavy.isEmpty()
+    if not cut:
+        discard(loads)
+
+    def dealt(i: int) -> DataFrame:
+        cells, side = sides[i]
+        df = cells(_grouped(side, block, True in hot))
+        if not cut:
+            return df.withColumn("cut", zero)
+        one, each = F.array(F.pmod(F.xxhash64(*value, "block"), "cuts")), F.sequence(zero, F.col("cuts") - 1)
+        return df.join(sized(heavy, 100_000), key, "left").withColumn("cut", F.explode(F.when(F.col("cuts").isNull(), F.array(zero)).when(F.col("deal_a") == (i == 0), one).otherwise(each)))
+
+    left = dealt(0).select(*key, "cut", F.col("cents").alias("cents_a"), F.col("d").alias("d_a"), F.col("lines").alias("lines_a"), tolerance.alias("most"))
+    right = dealt(1).select(*key, "cut", F.col("cents").alias("cents_b"), F.col("d").alias("d_b"), F.col("lines").alias("lines_b"))
+    apart, gap = F.abs(F.col("cents_a") - F.col("cents_b")), day_gap(F.col("d_a"), F.col("d_b"))
+    met = left.join(right.hint("merge"), [*key, "cut"]).where((apart > 0) & (apart <= F.col("most")) & (gap <= days)).withColumn("gap", gap)
+    met = met.select(F.explode("lines_a").alias("a"), "lines_b", "cents_a", "cents_b", "gap").select("a", F.explode("lines_b").alias("b"), "cents_a", "cents_b", "gap")
+    return met.select(F.col("a.line").alias("line_a"), F.col("b.line").alias("line_b"), "cents_a", "cents_b", "gap")
 
 
 def totals(side: DataFrame) -> DataFrame:

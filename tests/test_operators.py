@@ -706,6 +706,39 @@ def test_near_misses_against_every_pair(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_near_misses_join_lists_of_lines(spark):
+    schema, day = "line long, cents long, d date", D(2024, 1, 1)
+    side = lambda first, cents: spark.createDataFrame([(first + k, cents, day) for k in range(300)] + [(first + 900, 77, None)], schema)
+    got = reconcile.near_misses(side(0, 10_000), side(1000, 10_050))
+    assert sorted((x.line_a, x.line_b) for x in got.collect()) == [(x, 1000 + y) for x in range(300) for y in range(300)]
+
+    def joined_rows(plan):
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            return joined_rows(plan.executedPlan())
+        if plan.nodeName().endswith("QueryStage"):
+            return joined_rows(plan.plan())
+        own = plan.metrics().apply("numOutputRows").value() if "Join" in plan.nodeName() else 0
+        return own + sum(joined_rows(plan.children().apply(i)) for i in range(plan.children().size()))
+
+    assert 0 < joined_rows(got._jdf.queryExecution().executedPlan()) < 100  # not one row for each of 90,000 pairs
+
+
+def test_near_misses_in_blocks_and_cuts(spark):
+    import random
+
+    r = random.Random(3)
+    schema = "line long, cents long, d date"
+    side = lambda n: [(k, r.choice([-1, 1]) * r.choice([40, 120, 5000, 5030, 20_000, 20_150, 20_310]), None if r.random() < 0.1 else D(2024, 1, 1 + r.randint(0, 9))) for k in range(n)]
+    a, b = side(300), side(200)
+    want = {
+        (x, y, abs((da - db).days) if da and db else 0) for x, ca, da in a for y, cb, db in b
+        if ca * cb > 0 and 0 < abs(ca - cb) <= max(100, int(abs(ca) * 0.01 + 0.5)) and (da is None or db is None or abs((da - db).days) <= 2)
+    }
+    for how in ({"block": 3}, {"block": 2, "pairs": 10}):
+        got = rows(reconcile.near_misses(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), days=2, **how), "line_a", "line_b", "gap")
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_subtitles_by_format_line(spark):
     text = "[Script Info]\nFormat: x\n[V4+ Styles]\nFormat: Name\n[Events]\nDialogue: 0,0:00:09.00\nFormat: Start, End, Style, Text\nDialogue: 0:00:01.00,0:00:02.50,Top,{\\\\i1}a, b\\\\Nc\nDialogue: x,y,z,w\n".replace("\\\\", "\\")
     cues = documents.ass_cues(docs(spark, text))
